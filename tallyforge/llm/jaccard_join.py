@@ -10,8 +10,8 @@ threshold differ in at most ``r = n / 4`` shingles, so of ``m`` coordinates all
 Each set names its ``r + 1`` fullest coordinates' contents, and a pair shares at least one of those.  Nothing is lost.
 
 Equal sets are one node from the start.  A content that up to ``SMALL`` nodes share gives all its pairs; one that more
-share gives a star, and only where the star leaves it in several components are its nodes compared in blocks, with
-boxes of count vectors, across components.
+share gives a star, and only where the star leaves it in several components are its nodes compared in blocks, across
+components: by boxes of points, then by their points, then by points of many more coordinates made for this.
 
 Empty or null text: an empty set, linked with nothing.  Rows with one doc_id are one document.  A row without doc_id
 has no component.  Repeated rows are equal sets.
@@ -40,6 +40,8 @@ GROUPS = 32
 SMALL = 64
 BLOCK = 512
 LEAF = 16
+#: Coordinates of the finer points of hot nodes: at least so many, at most so many.
+FINE_LEAST, FINE_MOST = 256, 8192
 SHARD_ROWS = 2_000_000
 GROWTH = 2.5
 
@@ -75,11 +77,11 @@ def shingle_sets(flat: np.ndarray, lengths: np.ndarray, width: int = WIDTH) -> t
     return key[first], np.bincount(doc[first], minlength=len(lengths))
 
 
-def count_vectors(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def count_vectors(sets: np.ndarray, sizes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Points: shingles of each set by the hash's lowest bits."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    flat = np.bincount(doc * GROUPS + (sets % np.uint64(GROUPS)).astype(np.int64), minlength=len(sizes) * GROUPS)
-    return flat.reshape(-1, GROUPS)
+    flat = np.bincount(doc * groups + (sets % np.uint64(groups)).astype(np.int64), minlength=len(sizes) * groups)
+    return flat.reshape(-1, groups)
 
 
 def least_overlap(total: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -304,23 +306,39 @@ def box_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[t
             yield leaf[i], others[j]
 
 
-def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs across components within the contents that many nodes share and that lie in several components."""
     marked = hot.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = marked.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    marked = marked.join(open_.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sig").join(nodes.select("node", "n_shingles", "point"), "node")
+    marked = marked.join(open_.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sig").join(nodes.select("node", "folder", "file", "first", "n_words", "n_shingles", "point"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = marked.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        node, component = part.node.to_numpy(), part.component.to_numpy()
+        part = part.drop_duplicates("node")
+        node, component, size = part.node.to_numpy(), part.component.to_numpy(), part.n_shingles.to_numpy()
         points = np.frombuffer(b"".join(part.point), np.int32).reshape(-1, GROUPS)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in box_pairs(points, part.n_shingles.to_numpy(), percent):
+        read, a, b = Sets(width), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # the more shingles, the more coordinates it takes to tell two sets apart
+        fine = min(FINE_MOST, max(FINE_LEAST, 1 << int(size.max()).bit_length()))
+        places = list(zip(part.folder, part.file, part["first"], part.n_words))
+        made: dict[int, np.ndarray] = {}
+
+        def sharp(k: int) -> np.ndarray:
+            if k not in made:
+                made[k] = count_vectors(read.get(*places[k]), size[k : k + 1], fine)[0].astype(np.int32 if size[k] > 65_000 else np.uint16)
+            return made[k]
+
+        for i, j in box_pairs(points, size, percent):
             apart = component[i] != component[j]
-            a.append(node[i][apart])
-            b.append(node[j][apart])
+            i, j = i[apart], j[apart]
+            for k in np.unique(i):
+                others = j[i == k]
+                bound = np.minimum(sharp(k)[None], np.stack([sharp(o) for o in others])).sum(1, dtype=np.int64)
+                others = others[bound >= least_overlap(size[k] + size[others], percent)]
+                a.append(np.full(len(others), node[k]))
+                b.append(node[others])
         a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
@@ -343,7 +361,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     labels = connected_components(links)
     hot = found.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     if not hot.isEmpty():
-        more = written(verified(hot_pairs(hot, labels, nodes, percent), nodes, width, percent), "links")
+        more = written(verified(hot_pairs(hot, labels, nodes, width, percent), nodes, width, percent), "links")
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
     by_digest = nodes.select("digest", "node").join(labels, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component_id"))
