@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-A document's distinct token ids, hashed to random directions, give it a place in a few dimensions; the place's number
+A document's token ids, hashed to random directions and added up, give it a place in a few dimensions; the place's number
 on a Hilbert curve orders the documents, so that neighbours in a sequence are alike.  The table is sorted by range of
 that number, and each range is cut into sequences one after the other.  A range's last sequence is cut into powers of
 two, which need no padding.
@@ -14,6 +14,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,13 @@ END_ID = 2
 class TokenIds(dict):
     """Ids of white-space separated pieces of text.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces in order.
-    ``ids`` of piece k lie at ``begin[k]:begin[k + 1]`` of one flat array.
+    The tokenizer drops white space, lower-cases and never joins across white space, so a text's ids are those of its
+    pieces in order, and pieces may be lower-cased (A-Z) before they are looked up.  Only a text that holds the opening
+    of a special token is left as it is, for those are told by their case.  ``ids`` of piece k lie at
+    ``begin[k]:begin[k + 1]`` of one flat array, ``toward[k]`` is the sum of their directions.
     """
 
-    LIMIT = 600_000
+    LIMIT = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,58 +47,69 @@ class TokenIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.table = directions(self.size)
         self.clear_all()
 
     def clear_all(self) -> None:
         self.clear()
+        self.new: list[bytes] = []
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Adds pieces not met before."""
-        ids = [e.ids for e in self.tokenizer.encode_batch([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)]
-        n = len(self)
-        ends = self.begin[n] + np.cumsum([len(x) for x in ids])
+        self.toward = np.zeros((1 << 16, DIMENSIONS), np.float32)
+
+    def __missing__(self, piece: bytes) -> int:
+        """A piece not met before gets the next number; its ids follow in ``learn``."""
+        k = self[piece] = len(self)
+        self.new.append(piece)
+        return k
+
+    def learn(self) -> None:
+        if not self.new:
+            return
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in self.new], add_special_tokens=False)]
+        n, more = len(self) - len(ids), np.array([len(x) for x in ids], np.int64)
+        ends = self.begin[n] + np.cumsum(more)
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) + 1 > len(self.begin):
+        while len(self) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.begin[n] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(ends[-1] - self.begin[n]))
-        self.begin[n + 1 : n + 1 + len(ids)] = ends
-        self.update(zip(pieces, range(n, n + len(ids))))
-
-    def encode(self, batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts, each with the end id, and how many each has."""
-        words = [t.encode("utf-8", "surrogatepass").split() for t in batch_texts]
+            self.toward = np.concatenate([self.toward, np.zeros_like(self.toward)])
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(more.sum()))
+        self.flat[self.begin[n] : ends[-1]] = flat
+        self.begin[n + 1 : len(self) + 1] = ends
+        owner = np.repeat(np.arange(len(ids)), more)
+        self.toward[n : len(self)] = np.stack([np.bincount(owner, self.table[flat, d], minlength=len(ids)) for d in range(DIMENSIONS)], axis=1)
+        self.new = []
+
+    def encode(self, batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of the texts, each with the end id, how many each has, and the sum of each text's directions."""
         if len(self) > self.LIMIT:
             self.clear_all()
-        new = {w for ws in words for w in ws if w not in self}
-        if new:
-            self.learn(sorted(new))
-        pieces = np.fromiter((self[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        raw = [t.encode("utf-8", "surrogatepass") for t in batch_texts]
+        words = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        amounts = np.array([len(w) for w in words], np.int64)
+        pieces = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(amounts.sum()))
+        self.learn()
         n = self.begin[pieces + 1] - self.begin[pieces]
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), amounts)
         lengths = np.bincount(owner, n, minlength=len(words)).astype(np.int64) + 1
         out = np.full(int(lengths.sum()), END_ID, np.uint32)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(lengths) - 1] = False
         at = np.repeat(self.begin[pieces] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         out[inside] = self.flat[at]
-        return out, lengths
+        sums = np.stack([np.bincount(owner, self.toward[pieces, d], minlength=len(words)) for d in range(DIMENSIONS)], axis=1)
+        return out, lengths, sums
 
 
 def directions(size: int, dimensions: int = DIMENSIONS, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((size, dimensions)).astype(np.float32)
 
 
-def places(flat: np.ndarray, lengths: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Each text's place: the sum of its distinct ids' directions over the root of their number, by normal quantiles."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    key = np.unique(doc * len(table) + flat)
-    doc, token = key // len(table), key % len(table)
-    sums = np.stack([np.bincount(doc, table[token, d], minlength=len(lengths)) for d in range(table.shape[1])], axis=1)
-    z = sums / np.sqrt(np.maximum(np.bincount(doc, minlength=len(lengths)), 1))[:, None]
-    # the logistic curve stands in for the normal distribution function
+def places(sums: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Each text's place: the direction of its vector, spread over the cube by the logistic curve."""
+    long = np.sqrt((sums**2).mean(1, keepdims=True))
+    z = sums / np.where(long > 0, long, 1)
     return np.minimum((2**bits / (1 + np.exp(-1.702 * z))).astype(np.int64), 2**bits - 1)
 
 
@@ -137,18 +151,17 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
         cache = _TOKENS.get(tokenizer)
         if cache is None:
             cache = _TOKENS[tokenizer] = TokenIds(tokenizer)
-        table = directions(cache.size)
         kind = np.dtype("<u2") if cache.size <= 1 << 16 else np.dtype("<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                flat, lengths = cache.encode(texts(batch))
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                flat, lengths, sums = cache.encode(texts(batch))
                 ends = np.cumsum(lengths)
                 small = flat.astype(kind)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array(hilbert(places(flat, lengths, table))),
+                        pa.array(hilbert(places(sums))),
                         pa.array(lengths),
                         pa.array(np.full(len(lengths), kind.itemsize, np.int32)),
                         pa.array([small[e - n : e].tobytes() for n, e in zip(lengths, ends)], pa.binary()),
