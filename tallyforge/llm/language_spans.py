@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SCRIPTS = (
 
 def script(word: str) -> str:
     code = ord(word[0])
+    if code <= 0x024F:
+        return "latin"
     return next((name for low, high, name in SCRIPTS if low <= code <= high), "other")
 
 
@@ -63,8 +66,9 @@ class LanguageModel:
         for (lang, g), c in counts.items():
             table[where[g], column[lang]] = c
         totals = table.sum(0)
-        self.table = (np.log(table + 0.05) - np.log(totals + 0.05 * (len(grams) + 1))).astype(np.float32)
-        self.unseen = (np.log(0.05) - np.log(totals + 0.05 * (len(grams) + 1))).astype(np.float32)
+        # the last row is for trigrams never seen
+        table = np.vstack([table, np.zeros((1, n))])
+        self.table = (np.log(table + 0.05) - np.log(totals + 0.05 * len(table))).astype(np.float32)
         self.where = where
         self.may = {}
         words = Counter()
@@ -75,39 +79,54 @@ class LanguageModel:
             if (shares >= 0.01).any():
                 self.may[name] = np.where(shares >= 0.01, 0, -30).astype(np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        """A word's score in each language, the best being 0 or below; one word moves the path by 8 at most."""
-        total = np.zeros(len(self.languages), np.float32)
-        for g in trigrams(word):
-            k = self.where.get(g)
-            total += self.unseen if k is None else self.table[k]
-        narrowed = self.may.get(script(word))
-        if narrowed is not None:
-            total = total + narrowed
-        return np.maximum(total - total.max(), -8.0)
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of lower-cased words in each language, and their letters.
+
+        A run of letters scores 0 in its best language and -8 at least in any; a word's runs are added.
+        """
+        grams, starts, owner, scripts = [], [], [], []
+        letters = np.zeros(len(words), np.int32)
+        get, unseen = self.where.get, len(self.table) - 1
+        for k, word in enumerate(words):
+            for part in LETTERS.findall(word):
+                starts.append(len(grams))
+                owner.append(k)
+                scripts.append(script(part))
+                letters[k] += len(part)
+                grams += [get(g, unseen) for g in trigrams(part)]
+        rows = np.zeros((len(words), len(self.languages)), np.float32)
+        if grams and self.languages:
+            sums = np.add.reduceat(self.table[grams], starts)
+            for name, narrowed in self.may.items():
+                sums[[s == name for s in scripts]] += narrowed
+            np.add.at(rows, owner, np.maximum(sums - sums.max(1, keepdims=True), -8.0))
+        return rows, letters
 
 
 class Scores(dict):
-    """Rows of a growing table of word scores by lower-cased word; its letters count with it."""
+    """Rows of a growing table of word scores by lower-cased word, with the word's letters."""
 
-    LIMIT = 400_000
+    LIMIT = 500_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.new: list[str] = []
         self.table = np.zeros((1024, len(model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int32)
 
     def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.letters):
+        """A word not met before gets the next row, which ``learn`` fills."""
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+    def learn(self) -> None:
+        while len(self) > len(self.letters):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        parts = LETTERS.findall(word.lower())
-        if parts:
-            self.table[k] = sum(map(self.model.word, parts))
-            self.letters[k] = sum(map(len, parts))
-        self[word] = k
-        return k
+        first = len(self) - len(self.new)
+        self.table[first : len(self)], self.letters[first : len(self)] = self.model.words(self.new)
+        self.new = []
 
 
 def label_words(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -185,9 +204,10 @@ def predicted(model: LanguageModel, tag: int, batch_texts: list[str], switch: fl
     if cache is None or len(cache) > Scores.LIMIT:
         _SCORES.clear()
         cache = _SCORES[tag] = Scores(model)
-    words = [t.split() for t in batch_texts]
+    words = [t.lower().split() for t in batch_texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    ids = np.fromiter((cache[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
+    ids = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+    cache.learn()
     # words without letters take the label of their neighbours, for their scores are all 0
     labels = label_words(cache.table[ids], lengths, switch) if names else np.zeros(len(ids), np.int8)
     doc = np.repeat(np.arange(len(words)), lengths)
