@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,6 +29,9 @@ LENGTH = 4096
 DIMENSIONS = 4
 BITS = 15
 END_ID = 2
+#: Commas and the like after a letter.  The tokenizer always cuts there, so a space may be put in, and a word with and
+#: without a comma is one piece.
+AFTER_LETTER = re.compile(rb"(?<=[a-z])[.,;:!?#*$%&|]")
 
 
 class TokenIds(dict):
@@ -39,7 +43,7 @@ class TokenIds(dict):
     ``begin[k]:begin[k + 1]`` of one flat array, ``toward[k]`` is the sum of their directions.
     """
 
-    LIMIT = 800_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,7 +90,7 @@ class TokenIds(dict):
         if len(self) > self.LIMIT:
             self.clear_all()
         raw = [t.encode("utf-8", "surrogatepass") for t in batch_texts]
-        words = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        words = [(t if b"<|" in t else AFTER_LETTER.sub(rb" \g<0>", t.lower())).split() for t in raw]
         amounts = np.array([len(w) for w in words], np.int64)
         pieces = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(amounts.sum()))
         self.learn()
@@ -153,8 +157,8 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
             cache = _TOKENS[tokenizer] = TokenIds(tokenizer)
         kind = np.dtype("<u2") if cache.size <= 1 << 16 else np.dtype("<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 flat, lengths, sums = cache.encode(texts(batch))
                 ends = np.cumsum(lengths)
                 small = flat.astype(kind)
