@@ -52,13 +52,17 @@ def lower_ascii_py(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` for a function from one batch to one batch, with at most ``PIECE`` rows in a batch."""
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType, per_task: Callable | None = None) -> DataFrame:
+    """``mapInArrow`` for a function from one batch to one batch, with at most ``PIECE`` rows in a batch.
+
+    What ``per_task`` makes, once in each task, is given to the function as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = (per_task(),) if per_task else ()
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
-                yield function(batch.slice(at, PIECE))
+                yield function(batch.slice(at, PIECE), *more)
 
     return df.mapInArrow(run, schema)
 

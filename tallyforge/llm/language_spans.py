@@ -120,6 +120,12 @@ class Scores(dict):
         self.new.append(word)
         return k
 
+    def trim(self) -> None:
+        """Begins anew where the table has grown too large."""
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.__init__(self.model)
+
     def learn(self) -> None:
         while len(self) > len(self.letters):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -194,16 +200,10 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
     return LanguageModel(counts, scripts)
 
 
-_SCORES: dict[int, Scores] = {}
-
-
-def predicted(model: LanguageModel, tag: int, batch_texts: list[str], switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+def predicted(cache: Scores, batch_texts: list[str], switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Each word's text, words per text, each word's label, and the texts' languages and scores."""
-    names = model.languages
-    cache = _SCORES.get(tag)
-    if cache is None or len(cache) > Scores.LIMIT:
-        _SCORES.clear()
-        cache = _SCORES[tag] = Scores(model)
+    names = cache.model.languages
+    cache.trim()
     words = [t.lower().split() for t in batch_texts]
     lengths = np.array([len(w) for w in words], np.int64)
     ids = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
@@ -221,11 +221,10 @@ def predicted(model: LanguageModel, tag: int, batch_texts: list[str], switch: fl
 def labelled_spans(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` (share of the letters) and the spans as (language, first word, words)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    tag = id(shared) ^ hash(str(model.languages))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = shared.value.languages
-        doc, lengths, labels, pred, score = predicted(shared.value, tag, texts(batch), switch)
+    def run(batch: pa.RecordBatch, cache: Scores) -> pa.RecordBatch:
+        names = cache.model.languages
+        doc, lengths, labels, pred, score = predicted(cache, texts(batch), switch)
         columns = [batch.column("doc_id"), pa.array(pred), pa.array(score)]
         if with_spans:
             change = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (labels[1:] != labels[:-1])]) if len(doc) else np.empty(0, np.int64)
@@ -238,7 +237,7 @@ def labelled_spans(docs: DataFrame, model: LanguageModel, switch: float = SWITCH
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "spans"][: len(columns)])
 
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang string, first_word long, n_words long>>" * with_spans
-    return map_batches(docs.select("doc_id", "text"), run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema, lambda: Scores(shared.value))
 
 
 def identified(docs: DataFrame, train: Column, switch: float = SWITCH, fit_docs: int = FIT_DOCS, with_spans: bool = True) -> DataFrame:
@@ -249,14 +248,13 @@ def identified(docs: DataFrame, train: Column, switch: float = SWITCH, fit_docs:
 def accepted(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least`` or more; ``lang`` becomes that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    tag = id(shared) ^ hash(str(model.languages))
     names = docs.columns
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        *_, pred, score = predicted(shared.value, tag, texts(batch), switch)
+    def run(batch: pa.RecordBatch, cache: Scores) -> pa.RecordBatch:
+        *_, pred, score = predicted(cache, texts(batch), switch)
         columns = list(batch.columns)
         columns[names.index("lang")] = pa.array(pred, pa.string())
         kept = pa.array((score >= least) & (np.array(pred, object) != "und"))
         return pa.RecordBatch.from_arrays(columns, names).filter(kept)
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, lambda: Scores(shared.value))
