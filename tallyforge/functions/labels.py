@@ -36,11 +36,12 @@ def buff_level(class_name: Column) -> Column:
     return F.when(class_name.isNotNull(), F.when(digits == "", F.lit(1)).otherwise(digits.try_cast("long")))
 
 
-def damage_category(source: Column) -> Column:
+def damage_category(source: Column, gun: str = "^weapon_|_weapon_") -> Column:
+    """``total``, ``item``, ``gun`` or ``ability`` by the class name; ``gun`` is the pattern of weapon classes."""
     return (
         F.when(source.isin(*TOTAL_CLASSES), "total")
         .when(source.startswith("upgrade_"), "item")
-        .when(source.startswith("citadel_weapon") | source.contains("_weapon_"), "gun")
+        .when(source.rlike(gun), "gun")
         .otherwise("ability")
     )
 
