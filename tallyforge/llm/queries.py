@@ -81,3 +81,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_curve_packing,
     )
 }
+
+_SPACED = r"[^\x20\x09-\x0D]"
+ORACLE_SQL: dict[str, str] = {
+    "op4_host_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, 'null') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{_SPACED}+') AS w FROM d),
+g AS (SELECT r, i, list_slice(w, i, i + 4) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM g) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_SPACED}') GROUP BY r),
+m AS (SELECT doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN dup USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS f, sum(base_failed::INT) / count(*)::DOUBLE AS rate FROM b GROUP BY 1),
+p AS (SELECT avg(rate) AS mu, coalesce(var_pop(rate), 0) AS v FROM h),
+s AS (SELECT mu, CASE WHEN v > mu * (1 - mu) / 1001 THEN greatest(mu * (1 - mu) / v - 1, 0) ELSE 1000.0 END AS strength FROM p),
+x AS (SELECT host, (f + mu * strength) / (n + strength) > 0.5 AS rejected FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN x USING (host)
+""",
+}
