@@ -43,7 +43,10 @@ class TokenIds(dict):
     ``begin[k]:begin[k + 1]`` of one flat array, ``toward[k]`` is the sum of their directions.
     """
 
+    #: Pieces kept; a hundred bytes or two each.
     LIMIT = 500_000
+    #: Pieces encoded at once: the tokenizer's own records of them are far larger than their ids.
+    AT_ONCE = 2_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,7 +73,10 @@ class TokenIds(dict):
     def learn(self) -> None:
         if not self.new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in self.new], add_special_tokens=False)]
+        ids = []
+        for at in range(0, len(self.new), self.AT_ONCE):
+            some = [p.decode("utf-8", "surrogatepass") for p in self.new[at : at + self.AT_ONCE]]
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         n, more = len(self) - len(ids), np.array([len(x) for x in ids], np.int64)
         ends = self.begin[n] + np.cumsum(more)
         while ends[-1] > len(self.flat):
@@ -78,7 +84,7 @@ class TokenIds(dict):
         while len(self) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.toward = np.concatenate([self.toward, np.zeros_like(self.toward)])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(more.sum()))
+        flat = np.concatenate(ids)
         self.flat[self.begin[n] : ends[-1]] = flat
         self.begin[n + 1 : len(self) + 1] = ends
         owner = np.repeat(np.arange(len(ids)), more)
@@ -157,6 +163,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
             cache = _TOKENS[tokenizer] = TokenIds(tokenizer)
         kind = np.dtype("<u2") if cache.size <= 1 << 16 else np.dtype("<u4")
         for whole in batches:
+            pa.default_memory_pool().release_unused()
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 flat, lengths, sums = cache.encode(texts(batch))
@@ -222,6 +229,9 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
+        # no text is looked up any more, and the executor's memory is shared with the sort
+        _TOKENS.clear()
+        pa.default_memory_pool().release_unused()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
         types = [pa.int64()] * 7 + [pa.list_(pa.uint32())]
 
