@@ -10,6 +10,9 @@ LANES = {1: "yellow", 4: "blue", 6: "green"}
 #: Sources whose damage rows repeat the detail rows.
 TOTAL_CLASSES = ("Bullet", "Ability", "Melee", "Misc")
 
+#: Fixed value: how classes of guns themselves begin.
+GUN_CLASSES = "^citadel_weapon"
+
 
 def mapped(value: Column, names: dict) -> Column:
     """The name of a value, null for unknown ones."""
@@ -36,7 +39,7 @@ def buff_level(class_name: Column) -> Column:
     return F.when(class_name.isNotNull(), F.when(digits == "", F.lit(1)).otherwise(digits.try_cast("long")))
 
 
-def damage_category(source: Column, gun: str = "^weapon_|_weapon_") -> Column:
+def damage_category(source: Column, gun: str = GUN_CLASSES) -> Column:
     """``total``, ``item``, ``gun`` or ``ability`` by the class name; ``gun`` is the pattern of weapon classes."""
     return (
         F.when(source.isin(*TOTAL_CLASSES), "total")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import binned, iso_week, month_text, ratio, zero_sum
-from tallyforge.operators import eras, items, records, snapshots
+from tallyforge.operators import delivery, eras, items, laning, pools, records, snapshots
 from tallyforge.plans.metrics import Context, Dimension, Lookup, Measure, MetricView, Scope, Series, compare, repeated_keys, summarize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,3 +472,144 @@ def nested_explode(spark, sf_dir):
 def returned_after_leaving(spark, sf_dir):
     rows = read(spark, sf_dir, "events")
     return records.returned(rows, ["user_id", "event_type"], "value", F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+# Delivery, laning, pools
+
+_CLASS = "CASE WHEN l_partkey % 4 = 0 THEN concat('citadel_weapon_', l_suppkey % 3) WHEN l_partkey % 4 = 1 THEN concat('upgrade_', l_suppkey % 7) WHEN l_partkey % 4 = 2 THEN 'Bullet' ELSE concat('ability_', l_suppkey % 5) END"
+
+
+def _eras_sql(prefix: str, value: str, name: str) -> str:
+    return (
+        f"e AS (SELECT concat('{prefix}', o_custkey % 6) AS class, date_trunc('month', o_orderdate) AS era_from, {value} AS {name} FROM orders GROUP BY 1, 2), "
+        "v AS (SELECT *, row_number() OVER w AS n, lead(era_from) OVER w AS valid_to FROM e WINDOW w AS (PARTITION BY class ORDER BY era_from))"
+    )
+
+
+def _class_eras(spark, sf_dir, prefix: str, value, name: str) -> DataFrame:
+    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("era_from")
+    return read(spark, sf_dir, "orders").groupBy(F.concat(F.lit(prefix), (F.col("o_custkey") % 6).cast("string")).alias("class"), month).agg(value.alias(name))
+
+
+def _games(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("at"))
+
+
+@query(
+    f"WITH {_eras_sql('upgrade_', "CASE WHEN count(*) % 2 = 0 THEN 'weapon' ELSE 'vitality' END", 'slot')}, x AS (SELECT l.*, {_CLASS} AS class, o_orderdate AS moment FROM lineitem l JOIN orders ON l_orderkey = o_orderkey) "
+    "SELECT class, category, delivery, count(*) AS n, sum(l_quantity)::BIGINT AS total FROM (SELECT x.class, l_quantity, CASE WHEN x.class LIKE 'citadel%' THEN 'gun' WHEN x.class LIKE 'upgrade%' THEN 'item' WHEN x.class = 'Bullet' THEN 'total' ELSE 'ability' END AS category, "
+    "CASE WHEN x.class LIKE 'citadel%' THEN 'gun' WHEN x.class LIKE 'ability%' THEN 'ability' WHEN x.class = 'Bullet' THEN NULL WHEN x.class = 'upgrade_3' OR v.slot = 'weapon' THEN 'gun_proc' ELSE 'spirit_proc' END AS delivery "
+    "FROM x LEFT JOIN v ON x.class = v.class AND (moment >= era_from OR n = 1) AND (valid_to IS NULL OR moment < valid_to)) GROUP BY 1, 2, 3"
+)
+def delivery_classes(spark, sf_dir):
+    slot = F.when(F.count(F.lit(1)) % 2 == 0, "weapon").otherwise("vitality")
+    rows = read(spark, sf_dir, "lineitem").withColumn("class", F.expr(_CLASS))
+    out = delivery.with_delivery(rows, _games(spark, sf_dir), _class_eras(spark, sf_dir, "upgrade_", slot, "slot"), "l_orderkey", "class", "at", ["upgrade_3"])
+    return out.groupBy("class", "category", "delivery").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("total"))
+
+
+@query(
+    f"WITH {_eras_sql('pickup_', 'CASE WHEN count(*) % 8 > 0 THEN count(*) END', 'value')}, b AS (SELECT l_orderkey, l_returnflag, concat('pickup_', l_suppkey % 7) AS class, sum(CASE WHEN l_suppkey % 7 = 6 AND l_quantity < 25 THEN 0 ELSE l_quantity END) AS k FROM lineitem GROUP BY 1, 2, 3) "
+    "SELECT l_orderkey, l_returnflag, sum(k)::BIGINT AS pickups, (CASE WHEN bool_or(value IS NULL AND k <> 0) THEN NULL ELSE coalesce(sum(k * value), 0) END)::BIGINT AS gained FROM b JOIN orders ON l_orderkey = o_orderkey "
+    "LEFT JOIN v ON b.class = v.class AND (o_orderdate >= era_from OR n = 1) AND (valid_to IS NULL OR o_orderdate < valid_to) GROUP BY 1, 2"
+)
+def buff_gains(spark, sf_dir):
+    n = F.count(F.lit(1))
+    rows = read(spark, sf_dir, "lineitem").withColumn("class", F.expr("concat('pickup_', l_suppkey % 7)"))
+    taken = F.when((F.col("l_suppkey") % 7 == 6) & (F.col("l_quantity") < 25), 0).otherwise(F.col("l_quantity"))
+    eras_of = _class_eras(spark, sf_dir, "pickup_", F.when(n % 8 > 0, n), "value")
+    out = delivery.buff_gains(rows, _games(spark, sf_dir), eras_of, ["l_orderkey"], "l_returnflag", "class", taken, "at")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("pickups", "gained")})
+
+
+_SOURCE = "concat(CASE WHEN c_custkey % 3 = 0 THEN 'upgrade_' ELSE 'ability_' END, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN '_crit' ELSE '' END)"
+
+
+@query(
+    f"WITH d AS (SELECT concat('ability_', n_nationkey) AS class_name, n_name AS name FROM nation WHERE n_regionkey > 0 UNION ALL SELECT concat('upgrade_', r_regionkey), r_name FROM region), x AS (SELECT c_custkey, {_SOURCE} AS source FROM customer) "
+    "SELECT c_custkey, source, coalesce(d.name, c.name || ' (crit)', source) AS source_name FROM x LEFT JOIN d ON source = d.class_name LEFT JOIN d c ON source = c.class_name || '_crit'"
+)
+def source_names(spark, sf_dir):
+    abilities = read(spark, sf_dir, "nation").where("n_regionkey > 0").select(F.expr("concat('ability_', n_nationkey)").alias("class_name"), F.col("n_name").alias("name"))
+    shop = read(spark, sf_dir, "region").select(F.expr("concat('upgrade_', r_regionkey)").alias("class_name"), F.col("r_name").alias("name"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.expr(_SOURCE).alias("source"))
+    return delivery.with_source_name(rows, delivery.source_labels(abilities, shop), "source").select("c_custkey", "source", "source_name")
+
+
+_LANED = (
+    "e AS (SELECT *, (epoch_us(ts) - 1704067200000000) // 86400000000 AS match_id, ((epoch_us(ts) - 1704067200000000) // 1000000) % 86400 AS t FROM events), p AS (SELECT match_id, user_id AS account_id, user_id % 2 AS team, user_id % 29 AS lane, max(t) FILTER (event_type = 'signup') AS gone FROM e GROUP BY 1, 2), "
+    "s AS (SELECT match_id, user_id AS account_id, arg_max(event_id, (t, event_id)) AS worth, max(t) AS snap_t FROM e WHERE event_type <> 'error' AND t <= 57600 GROUP BY 1, 2), d AS (SELECT match_id, user_id AS account_id, count(*) AS deaths FROM e WHERE event_type = 'error' AND t <= 57600 GROUP BY 1, 2), "
+    "k AS (SELECT match_id, user_id - 1 AS account_id, count(*) AS kills FROM e WHERE event_type = 'error' AND t <= 57600 AND event_id % 5 > 0 GROUP BY 1, 2), "
+    "l AS (SELECT p.*, coalesce(worth, 0) AS worth, snap_t, coalesce(kills, 0) AS kills, coalesce(deaths, 0) AS deaths FROM p LEFT JOIN s USING (match_id, account_id) LEFT JOIN k USING (match_id, account_id) LEFT JOIN d USING (match_id, account_id))"
+)
+
+
+def _laned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Players and their laning stats; a day of events is a match, its users are the players."""
+    e = events(spark, sf_dir).withColumn("match_id", F.floor(F.col("t") / 86400)).withColumn("t", F.floor(F.col("t")) % 86400).withColumn("account_id", F.col("user_id"))
+    players = e.groupBy("match_id", "account_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("t"))).alias("gone"))
+    players = players.withColumn("team", F.col("account_id") % 2).withColumn("lane", F.col("account_id") % 29)
+    samples = e.where("event_type <> 'error'").withColumn("worth", F.col("event_id"))
+    died = e.where("event_type = 'error'").withColumn("killer", F.when(F.col("event_id") % 5 > 0, F.col("account_id") - 1))
+    return players, laning.laning_stats(players.drop("gone"), samples, died, 57600, ["worth"], ["t", "event_id"])
+
+
+@query(f"WITH {_LANED} SELECT match_id, account_id, team, lane, worth, snap_t, kills, deaths FROM l")
+def laning_stats(spark, sf_dir):
+    return _laned(spark, sf_dir)[1].select("match_id", "account_id", "team", "lane", "worth", "snap_t", "kills", "deaths")
+
+
+@query(
+    f"WITH {_LANED} SELECT match_id, lane, {', '.join(f'coalesce(sum({v}) FILTER (team = {t}), 0)::BIGINT AS {v}{t}' for v in ('worth', 'kills') for t in (0, 1))}, "
+    f"{', '.join(f'(coalesce(sum({v}) FILTER (team = 0), 0) - coalesce(sum({v}) FILTER (team = 1), 0))::BIGINT AS {v}_gap' for v in ('worth', 'kills'))} FROM l GROUP BY 1, 2"
+)
+def lane_sums(spark, sf_dir):
+    return laning.lane_sums(_laned(spark, sf_dir)[1], ["worth", "kills"])
+
+
+@query(
+    f"WITH {_LANED}, m AS (SELECT match_id, min(account_id) AS me, arg_min(team, account_id) AS mt, arg_min(lane, account_id) AS ml FROM l GROUP BY 1) SELECT match_id, me AS account_id, (coalesce(sum(worth) FILTER (lane = ml AND team = mt), 0) - coalesce(sum(worth) FILTER (lane = ml AND team <> mt), 0))::BIGINT AS lane_net, "
+    "max(deaths) FILTER (account_id = me) AS my_early, coalesce(max(deaths) FILTER (team = mt AND account_id <> me), 0) AS worst_early, coalesce(bool_or(gone IS NOT NULL) FILTER (team = mt AND account_id <> me), false) AS ally_left FROM l JOIN m USING (match_id) GROUP BY 1, 2 HAVING count(*) FILTER (lane = ml AND snap_t IS NULL) = 0"
+)
+def lane_records(spark, sf_dir):
+    players, laned = _laned(spark, sf_dir)
+    mine = players.groupBy("match_id").agg(F.min_by(F.struct("account_id", "team", "lane"), "account_id").alias("p")).select("match_id", "p.*")
+    return laning.lane_records(mine, players, laned, "worth", "gone").drop("team", "lane")
+
+
+def _pool(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    watched = read(spark, sf_dir, "customer").where("c_mktsegment = 'FURNITURE'").select(F.col("c_custkey").alias("account_id"), "c_name")
+    games = read(spark, sf_dir, "orders").withColumn("match_id", F.col("o_orderkey"))
+    ledger = games.select("match_id", F.col("o_custkey").alias("account_id"), F.floor(F.col("o_totalprice") / 1000).alias("rank"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"))
+    return watched, pools.pool_games(ledger, watched, games, F.col("o_orderstatus") == "F", "match_id", "account_id")
+
+
+@query(
+    "SELECT c_custkey AS account_id, c_name, count(o_orderkey) AS games, min(floor(o_totalprice / 1000))::BIGINT AS rank, max(strftime(o_orderdate, '%Y-%m-%d')) AS newest "
+    "FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' WHERE c_mktsegment = 'FURNITURE' GROUP BY 1, 2"
+)
+def pool_members(spark, sf_dir):
+    watched, pool = _pool(spark, sf_dir)
+    return pools.pool_members(watched, pool, "account_id").withColumnRenamed("at", "newest")
+
+
+@query(
+    "SELECT l_orderkey AS match_id, c_custkey AS account_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
+    "WHERE o_orderstatus = 'F' AND c_mktsegment = 'FURNITURE' GROUP BY 1, 2"
+)
+def pool_builds(spark, sf_dir):
+    _, pool = _pool(spark, sf_dir)
+    owner = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_custkey").alias("account_id"))
+    bought = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "match_id").join(owner, "match_id")
+    out = pools.pool_builds(pool, bought, ["match_id", "account_id"], ["l_linenumber", "l_partkey"], ["l_partkey"])
+    return out.withColumn("seq", F.array_join(F.transform("seq", lambda e: e["l_partkey"].cast("string")), ","))
+
+
+@query(
+    "WITH b AS (SELECT l_suppkey, l_partkey, count(DISTINCT l_quantity) AS k, min(l_quantity)::BIGINT AS account_id FROM lineitem GROUP BY 1, 2), p AS (SELECT account_id, min(l_partkey) AS rank FROM b WHERE k = 1 GROUP BY 1) "
+    "SELECT account_id, rank, min(l_suppkey) AS board FROM b JOIN p USING (account_id) WHERE k = 1 AND l_partkey = rank GROUP BY 1, 2"
+)
+def ladder_positions(spark, sf_dir):
+    ids = F.collect_set(F.col("l_quantity").cast("long")).alias("ids")
+    boards = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(ids)
+    return pools.ladder_positions(boards, "ids", "l_suppkey", "l_partkey", "account_id")
