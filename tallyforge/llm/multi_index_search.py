@@ -2,7 +2,9 @@
 
 Both halves of the vectors are quantised by a codebook each; a cell of the index is a pair of centroids.  A query
 walks the cells from the best sum of its two halves' inner products down, with a heap, until the cells met hold enough
-vectors, and every vector in those cells is compared exactly.
+vectors, and every vector in those cells is compared exactly.  How many are enough is measured on the table itself:
+``trial`` of the queries are compared with every row first, and the walk is as long as it takes for the share
+``recall`` of their true neighbours to lie in the cells met.
 
 The codebooks are fitted on a sample of at most ``fit_rows`` vectors, taken by a hash of the id; every row is indexed.
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part.
@@ -26,6 +28,7 @@ from tallyforge.llm.common import map_batches, written
 FIT_ROWS = 20_000
 MAX_CENTROIDS = 512
 BLOCK_ROWS = 4096
+TRIAL = 256
 
 
 def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -82,10 +85,49 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, scan_least: int = 2000, fit_rows: int = FIT_ROWS) -> DataFrame:
+def walk_needed(index: DataFrame, queries, books: list[np.ndarray], counts: np.ndarray, k: int, recall: float, trial: int) -> int:
+    """Rows a walk must hold to meet the share ``recall`` of the true neighbours of ``trial`` queries, those of the lowest hash.
+
+    Each of these queries is compared with every row of ``index``; what comes to the driver are its ``k`` neighbours' cells.
+    """
+    asked = index.where(queries).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(trial).toArrow()
+    if not asked.num_rows:
+        return 0
+    dim, n_second = sum(b.shape[1] for b in books), len(books[1])
+    x, ids = matrix(asked.column("embedding"), dim), asked.column("vec_id").to_numpy()
+    shared = index.sparkSession.sparkContext.broadcast((x, ids))
+
+    def nearby(batch: pa.RecordBatch) -> pa.RecordBatch:
+        (asked, asked_ids), own = shared.value, batch.column("vec_id").to_numpy()
+        score = asked @ matrix(batch.column("embedding"), dim).T
+        score[asked_ids[:, None] == own] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        q = np.repeat(np.arange(len(asked)), best.shape[1])
+        cell = batch.column("i").to_numpy().astype(np.int64) * n_second + batch.column("j").to_numpy()
+        best = best.ravel()
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[best]), pa.array(score[q, best]), pa.array(cell[best])], ["q", "vec_id", "score", "cell"])
+
+    near = map_batches(index, nearby, "q long, vec_id long, score double, cell long").where(F.col("score") > float("-inf"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "cell").toPandas()
+    half, before = books[0].shape[1], []
+    for q, cells in near.groupby("q").cell:
+        sums = ((x[q, :half] @ books[0].T)[:, None] + (x[q, half:] @ books[1].T)[None]).ravel()
+        walked = np.argsort(-sums, kind="stable")
+        held = np.empty(len(counts), np.int64)
+        held[walked] = np.cumsum(counts[walked]) - counts[walked]  # rows met before each cell
+        before.append(held[cells.to_numpy()])
+    if not before:
+        return 0
+    before = np.sort(np.concatenate(before))
+    return int(before[min(len(before), max(1, int(np.ceil(recall * len(before))))) - 1]) + 1
+
+
+def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, scan_least: int = 2000, fit_rows: int = FIT_ROWS, recall: float = 0.95, trial: int = TRIAL) -> DataFrame:
     """The ``k`` nearest rows by inner product for the rows of ``vectors`` where the Column ``queries`` holds.
 
-    ``scan_share`` of all rows, but ``scan_least`` at least, are compared with each query.
+    ``scan_share`` of all rows, but ``scan_least`` at least, are compared with each query, and more where the walk
+    that ``recall`` needs is longer.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -118,6 +160,8 @@ def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, s
     salts = np.maximum(1, -(-counts.reshape(-1, n_second).sum(1) // BLOCK_ROWS))
     all_counts = spark.sparkContext.broadcast(counts)
     enough = max(scan_least, k + 1, int(scan_share * total))
+    if enough < total:
+        enough = max(enough, walk_needed(index, queries, books, counts, k, recall, trial))
 
     def routes(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, (one, two), n = matrix(batch.column("embedding"), dim), shared.value, all_counts.value
@@ -144,15 +188,18 @@ def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, s
             return empty
         block = block.sort_values(["j", "vec_id"], kind="stable")
         ids, x, j = block.vec_id.to_numpy(), np.stack(block.embedding.to_numpy()), block.j.to_numpy()
+        longest = np.sqrt((x**2).sum(1).max())
         left, right = np.searchsorted(j, np.arange(n_second)), np.searchsorted(j, np.arange(n_second), "right")
         out = []
         for query_id, q, cells in zip(asked.query_id, asked["query"], asked.cells):
             at = np.concatenate([np.arange(left[c], right[c]) for c in cells])
             at = at[ids[at] != query_id]
-            score = (x[at] * q).sum(1)
             if len(at) > k:
-                edge = np.partition(score, len(score) - k)[len(score) - k]
-                at, score = at[score >= edge], score[score >= edge]
+                # a fast product leaves all rows that could be among the best; the scores are summed in a fixed order
+                rough = (x @ q)[at]
+                edge = np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-12 * dim * longest * np.sqrt((q * q).sum())
+                at = at[rough >= edge]
+            score = (x[at] * q).sum(1)
             best = np.lexsort((ids[at], -score))[:k]
             out.append((np.full(len(best), query_id), ids[at][best], score[best]))
         return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})

@@ -61,6 +61,17 @@ def test_search_recall_and_order(spark, sf):
         assert [f[1:] for f in found] == sorted(f[1:] for f in found)
 
 
+@pytest.mark.parametrize("copies", [1, 8])
+def test_search_recall_of_the_pruned_walk(spark, copies):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rng = F.transform("embedding", lambda x, i: x + (F.pmod(F.xxhash64("vec_id", "copy", i), F.lit(2001)) - 1000) / 20_000)
+    table = table.crossJoin(spark.range(copies).withColumnRenamed("id", "copy")).select((F.col("vec_id") + F.col("copy") * 1_000_000).alias("vec_id"), F.when(F.col("copy") == 0, F.col("embedding").cast("array<double>")).otherwise(rng).alias("embedding"))
+    ask = F.col("vec_id") % 20 == 0
+    got = {(r.query_id, r.vec_id) for r in multi_index_search.search(table, ask, scan_least=0).collect()}
+    want = {(q, v) for q, _, v, _ in multi_index_search.exact_search(table, ask)}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
 def test_search_odd_vectors(spark):
     rows = [(k, [float(k % 7), 1.0, -2.0], 0) for k in range(50)] + [(60, None, 0), (61, [0.0, 0.0, 0.0], 0), (62, [None, 1.0, 1.0], 0), (63, [float("nan"), 1.0, 1.0], 0), (64, [1.0], 0), (80, [1.0, 1.0, float("inf")], 0), (None, [1.0, 1.0, 1.0], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
