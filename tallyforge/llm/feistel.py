@@ -21,8 +21,8 @@ DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-#: Earlier kinds win where two could begin at one place.
-ANY = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+#: Cards as they are written: unbroken, 4-4-4-4, 4-6-5 and 4-6-4 digits; found at every place, overlaps too.
+GROUPED = r"(?<![0-9])(?=([0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9]))"
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
 N_DAYS = 73_049
 
@@ -110,7 +110,7 @@ def _relaid(value: Column, new_digits: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match of ``ANY`` that passes validation, else null."""
+    """The kind of a match of ``any_value`` that passes validation, else null."""
     plain = digits(value)
     whole = lambda p: value.rlike(f"^(?:{p})$")
     iso = F.when(value.substr(5, 1) == "-", value).otherwise(F.concat_ws("-", value.substr(7, 4), value.substr(4, 2), value.substr(1, 2)))
@@ -124,6 +124,23 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def any_value(text: str) -> Column:
+    """The pattern of all kinds for a row's text; earlier kinds win where two could begin at one place.
+
+    Grouped cards that pass Luhn are named in the pattern itself.  No phone, social security number or free run of
+    digits may reach into one of these, nor a free run into a value of another kind, so neighbouring digits hide none.
+    """
+    grouped = F.array_distinct(F.regexp_extract_all(text, F.lit(GROUPED), F.lit(1)))
+    valid = F.array_join(F.filter(grouped, lambda c: luhn_sum(digits(c)) % 10 == 0), "|")
+    # (?!) matches nowhere
+    cards = F.concat(F.lit("(?<![0-9])(?:"), F.when(valid == "", F.lit("(?!)")).otherwise(valid), F.lit(")(?![0-9])"))
+    last_four = "[0-9]{4}(?!"
+    ssn, phone = ([F.lit(x) for x in p.rsplit(last_four, 1)] for p in (SSN, PHONE))
+    free = [F.lit(f"(?<![0-9])[0-9](?:[0-9]|[ -](?!{IP}|{DATE}|{SSN}|{PHONE}|"), cards, F.lit(")[0-9]){12,18}(?![0-9])")]
+    guard = [F.lit("(?!"), cards, F.lit(f"){last_four}")]
+    return F.concat(F.lit(f"{EMAIL}|{IP}|{DATE}|"), cards, F.lit("|"), ssn[0], *guard, ssn[1], F.lit("|"), phone[0], *guard, phone[1], F.lit("|"), *free)
+
+
 def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of a match; a match that fails validation stays as it is."""
     return bind(F.struct(kind_of(value).alias("kind"), digits(value).alias("plain")), lambda s: _pseudonym(value, s["kind"], s["plain"], key))
@@ -172,11 +189,11 @@ def count_of(kinds: str, kind: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text pseudonymised and the number of replaced values by kind in ``n_email``, ``n_card``, ..."""
     secret = F.lit(key)
-    hits = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.withColumn("_hits", F.coalesce(hits, F.array().cast("array<string>")))
-    pieces = F.split(text, ANY, -1)
+    rows = docs.withColumn("_any", F.when(F.col(text).rlike("[0-9@]"), any_value(text)))
+    rows = rows.withColumn("_hits", F.coalesce(F.regexp_extract_all(text, F.col("_any"), F.lit(0)), F.array().cast("array<string>")))
+    pieces = F.split(text, F.col("_any"), -1)
     new = F.transform("_hits", lambda v: pseudonym(v, secret))
     joined = F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, v: F.array(F.coalesce(p, F.lit("")), F.coalesce(v, F.lit(""))))), "")
     rows = rows.withColumn("_kinds", F.transform("_hits", kind_of)).withColumn(text, F.when(F.size("_hits") > 0, joined).otherwise(F.col(text)))
     counts = {f"n_{k}": count_of("_kinds", k) for k in KINDS}
-    return rows.withColumns(counts).drop("_hits", "_kinds")
+    return rows.withColumns(counts).drop("_any", "_hits", "_kinds")

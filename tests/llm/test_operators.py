@@ -136,6 +136,20 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert re.search(r"p[0-9a-f]{12}@mail", new)[0] in got[2].text
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    card, amex = "4539 1488 0343 6467", "3782 822463 10005"
+    around = ["pay {} 12/26", "order 42 {}", "card {} 123", "no 1234 {} 2024-02-29", "12 1111 2222 3334 {}", "{} 10.20.30.40", "555 212 {}", "{} 415-555-0187", "{} 123-45-6789", "12/26 {}/123", "{}"]
+    rows = [(k, a.format(c)) for c in (card, amex, card.replace(" ", ""), card.replace(" ", "-")) for k, a in enumerate(around)]
+    got = feistel.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    for r, (_, old), c in zip(got, rows, [c for c in (card, amex, card.replace(" ", ""), card.replace(" ", "-")) for _ in around]):
+        assert card_py(c, "k") in r.text and c not in r.text and r.n_card == 1, (old, r)
+        for other in ("2024-02-29", "10.20.30.40", "415-555-0187", "123-45-6789"):
+            assert other not in r.text
+    rows = [(1, "ext 123 415-555-0187"), (2, "415-555-0187"), (3, "id 4539148803436 415.555.0187"), (4, "4539148803436468 12 1234")]
+    got = [r.text for r in feistel.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert got[0] == "ext 123 " + got[1] and got[1] != rows[1][1] and got[2].endswith(got[1].replace("-", ".")) and got[3] == rows[3][1]
+
+
 def test_pseudonyms_of_the_table(spark, sf, rows):
     got = {r.doc_id: r for r in queries.op2_feistel_pseudonyms(spark, sf).collect()}
     for r in rows:
