@@ -66,16 +66,18 @@ def _permuted(text: Column, tweak: str, key: Column) -> Column:
     return bind(done, lambda d: F.concat(F.lpad(d["a"].cast("string"), left, "0"), F.lpad(d["b"].cast("string"), n - left, "0")))
 
 
-def permuted_below(value: Column, size: int, tweak: str, key: Column) -> Column:
+def permuted_below(value: Column, size: int, tweak: str, key: Column, also=lambda x: F.lit(True)) -> Column:
     """A number in [0, ``size``) permuted there: the digit permutation is repeated until it falls into the range.
 
+    With ``also``, the range is the numbers in it for which ``also`` holds.
+
     Cycle walking ends at a value in range, for the starting value is in range itself and permutations are cycles.
     The ranges used here fill at least 0.4 of their power of ten, so the odds of more than 64 steps are below 1e-14.
     """
     width = len(str(size - 1))
     pad = lambda x: F.lpad(x.cast("string"), width, "0")
     first = permuted_digits(pad(value), tweak, key).cast("long")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda x, _: F.when(x < size, x).otherwise(permuted_digits(pad(x), tweak, key).cast("long")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda x, _: F.when((x < size) & also(x), x).otherwise(permuted_digits(pad(x), tweak, key).cast("long")))
 
 
 def luhn_sum(text: Column) -> Column:
@@ -109,15 +111,21 @@ def _relaid(value: Column, new_digits: Column) -> Column:
     return F.aggregate(chars, start, step)["out"]
 
 
+def iso_date(value: Column) -> Column:
+    """A match of ``DATE`` as yyyy-MM-dd, day first unless only month first is a date; null where neither is."""
+    first, second, year = value.substr(1, 2), value.substr(4, 2), value.substr(7, 4)
+    said = F.when(value.substr(5, 1) == "-", F.array(value)).otherwise(F.array(F.concat_ws("-", year, second, first), F.concat_ws("-", year, first, second)))
+    return F.get(F.filter(said, lambda d: F.try_to_date(d, "yyyy-MM-dd").isNotNull()), F.lit(0))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a match of ``any_value`` that passes validation, else null."""
     plain = digits(value)
     whole = lambda p: value.rlike(f"^(?:{p})$")
-    iso = F.when(value.substr(5, 1) == "-", value).otherwise(F.concat_ws("-", value.substr(7, 4), value.substr(4, 2), value.substr(1, 2)))
     return (
         F.when(value.contains("@"), F.lit("email"))
         .when(whole(IP), F.lit("ip"))
-        .when(whole(DATE), F.when(F.try_to_date(iso, "yyyy-MM-dd").isNotNull(), F.lit("date")))
+        .when(whole(DATE), F.when(iso_date(value).isNotNull(), F.lit("date")))
         .when(whole(SSN), F.when(~plain.rlike("^(000|666|9..)|^...00|0000$"), F.lit("ssn")))
         .when(whole(PHONE), F.lit("phone"))
         .when(whole(CARD), F.when(luhn_sum(plain) % 10 == 0, F.lit("card")))
@@ -165,10 +173,13 @@ def _pseudonym(value: Column, kind: Column, plain: Column, key: Column) -> Colum
     address = permuted_below(number, 2**32, "ip", key)
     ip = F.concat_ws(".", *(F.floor(address / 256**k).cast("long").bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)))
     is_iso = value.substr(5, 1) == "-"
-    iso = F.when(is_iso, value).otherwise(F.concat_ws("-", value.substr(7, 4), value.substr(4, 2), value.substr(1, 2)))
-    day = permuted_below(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")), N_DAYS, "date", key)
-    new_day = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
-    date = F.when(is_iso, F.date_format(new_day, "yyyy-MM-dd")).otherwise(relaid(value, F.date_format(new_day, "ddMMyyyy")))
+    start = F.lit(FIRST_DAY).cast("date")
+    number = F.datediff(F.to_date(iso_date(value), "yyyy-MM-dd"), start)
+    # dates that can only be month first are permuted among themselves, so no two values get one pseudonym
+    month_first = ~is_iso & (value.substr(4, 2).cast("int") > 12)
+    day = F.when(month_first, permuted_below(number, N_DAYS, "month first", key, lambda x: F.dayofmonth(F.date_add(start, x.cast("int"))) > 12)).otherwise(permuted_below(number, N_DAYS, "date", key))
+    new_day = F.date_add(start, day.cast("int"))
+    date = F.when(is_iso, F.date_format(new_day, "yyyy-MM-dd")).otherwise(relaid(value, F.when(month_first, F.date_format(new_day, "MMddyyyy")).otherwise(F.date_format(new_day, "ddMMyyyy"))))
     local = F.concat(F.lit("p"), F.substring(F.sha2(F.concat(key, F.lit("|email|"), F.lower(F.split_part(value, F.lit("@"), F.lit(1)))), 256), 1, 12))
     email = F.concat(local, F.lit("@"), F.split_part(value, F.lit("@"), F.lit(2)))
     return (

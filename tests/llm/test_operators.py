@@ -150,6 +150,18 @@ def test_pseudonyms_beside_other_digits(spark):
     assert got[0] == "ext 123 " + got[1] and got[1] != rows[1][1] and got[2].endswith(got[1].replace("-", ".")) and got[3] == rows[3][1]
 
 
+def test_dates_of_both_orders(spark):
+    days = [(y, m, d) for y in (1950, 1999, 2024) for m in (1, 2, 12) for d in (1, 12, 13, 28)]
+    said = sorted({f"{a:02d}{s}{b:02d}{s}{y}" for y, m, d in days for s in "/." for a, b in ((m, d), (d, m))}) + ["13/13/1999", "02/30/1999"]
+    rows = feistel.pseudonymised(spark.createDataFrame(enumerate(said), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    assert got[-2:] == said[-2:] and all(r.n_date == 1 for r in rows[:-2]) and len(set(got)) == len(said)
+    assert all(re.fullmatch(r"(19|20)\d\d", n[6:]) and n[2] == o[2] for o, n in zip(said[:-2], got))
+    for old, new in zip(said[:-2], got):
+        a, b = int(new[:2]), int(new[3:5])
+        assert new != old and (a <= 12 < b <= 31 if int(old[3:5]) > 12 else a <= 31 and b <= 12)
+
+
 def test_pseudonyms_of_the_table(spark, sf, rows):
     got = {r.doc_id: r for r in queries.op2_feistel_pseudonyms(spark, sf).collect()}
     for r in rows:
