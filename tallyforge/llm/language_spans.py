@@ -146,11 +146,11 @@ def label_words(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nd
     lengths, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), "left")
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if not steps:
         return labels
     stay = np.ones((len(scores), n_states), bool)
-    came = np.zeros(len(scores), np.int8)
+    came = np.zeros(len(scores), np.int16)
     best = np.zeros((active[0], n_states), np.float32)
     for t in range(steps):
         a = active[t]
@@ -163,7 +163,7 @@ def label_words(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nd
             stay[at], came[at] = same, top
             np.maximum(here, jump[:, None], out=here)
         here += scores[at]
-    state = best.argmax(1).astype(np.int8)
+    state = best.argmax(1).astype(np.int16)
     # a text's best state at its own end: rows of ``best`` stop changing when their text ends
     for t in range(steps - 1, -1, -1):
         a = active[t]
@@ -209,7 +209,7 @@ def predicted(cache: Scores, batch_texts: list[str], switch: float) -> tuple[np.
     ids = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
     cache.learn()
     # words without letters take the label of their neighbours, for their scores are all 0
-    labels = label_words(cache.table[ids], lengths, switch) if names else np.zeros(len(ids), np.int8)
+    labels = label_words(cache.table[ids], lengths, switch) if names else np.zeros(len(ids), np.int16)
     doc = np.repeat(np.arange(len(words)), lengths)
     n = max(1, len(names))
     share = np.bincount(doc * n + labels, cache.letters[ids], minlength=len(words) * n).reshape(-1, n)

@@ -448,6 +448,20 @@ def test_languages(spark, rows, odd, empty):
     assert language_spans.identified(empty, F.lit(True)).count() == 0
 
 
+def test_more_languages_than_a_byte_holds():
+    rng = np.random.default_rng(3)
+    lengths = np.array([40, 7, 0, 25])
+    scores = rng.normal(size=(lengths.sum(), 300)).astype(np.float32)
+    labels = language_spans.label_words(scores, lengths, 1.0)
+    want = [viterbi_py(scores[e - n : e], 1.0) for n, e in zip(lengths, np.cumsum(lengths)) if n]
+    assert labels.tolist() == [k for one in want for k in one] and labels.max() > 127
+    words = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(200)]
+    counts = {(f"l{k:03d}", g): 9 for k, w in enumerate(words) for g in language_spans.trigrams(w)}
+    model = language_spans.LanguageModel(counts, {(f"l{k:03d}", language_spans.script(w)): 9 for k, w in enumerate(words)})
+    *_, pred, score = language_spans.predicted(language_spans.Scores(model), [f"{w} {w}" for w in words], 3.0)
+    assert pred == model.languages and len(pred) == 200 and (score == 1).all()
+
+
 def test_mixed_text_spans(spark):
     en, ru = "the quick brown fox jumps over the lazy dog again", "съешь же ещё этих мягких французских булок да выпей чаю"
     rows = [(k, en, "en", "a") for k in range(5)] + [(10 + k, ru, "ru", "a") for k in range(5)] + [(20, f"{en} {ru} {en}", None, "a")]
