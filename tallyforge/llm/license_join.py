@@ -1,10 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line of the text.  A template matches a block when at least ``threshold`` of the template's distinct
+A block is a window of the text, across line breaks, one and a half times as long as the template in words; one
+begins at every template word.  A template matches a block when at least ``threshold`` of the template's distinct
 words are in the block.  The words of the templates are ordered by their frequency over all documents, rarest first;
-a block can reach the threshold only if it holds one of the template's first ``|T| - need + 1`` words (prefix filter),
+a text can reach the threshold only if it holds one of the template's first ``|T| - need + 1`` words (prefix filter),
 enough template words at all (length filter), and enough words from the first shared one on (positional filter).
-What is left is verified.  Words outside all templates can't count towards any threshold, so they are left out early.
+What is left is verified block by block.  Words outside all templates can't count towards any threshold, so they are left out early.
 
 Null text: empty.  Rows repeated: each has its own result row.  Further columns of the input are ignored.
 """
@@ -69,7 +70,9 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """One row for each block and template that match: ``key``, ``doc_id``, ``line``, ``template``, ``label``, ``containment``.
+    """One row for each text and template that match: ``key``, ``doc_id``, ``template``, ``label``, ``containment``, ``n_blocks``.
+
+    ``containment`` is that of the best block, ``n_blocks`` the number of blocks that match.
 
     ``key`` is a hash of the text, so that two rows with one ``doc_id`` are told apart.
     """
@@ -78,19 +81,20 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.
     vocabulary = sorted({w for _, _, words in rows for w in words})
     order = word_order(docs, vocabulary)
     need = {k: math.ceil(round(threshold * len(words), 9)) for k, _, words in rows}
+    width = {k: math.ceil(1.5 * len(re.findall(r"[0-9A-Za-z]+", text))) for k, (_, text) in enumerate(templates)}
     prefixes = []
     for k, label, words in rows:
         ranked = sorted(words, key=order.get)
-        prefixes += [(k, label, len(words), need[k], order[w], at) for at, w in enumerate(ranked[: len(words) - need[k] + 1], 1)]
-    prefix_table = spark.createDataFrame(prefixes, "template int, label string, t_size int, need int, rank int, t_pos int")
+        prefixes += [(k, label, len(words), need[k], order[w], at, width[k], words) for at, w in enumerate(ranked[: len(words) - need[k] + 1], 1)]
+    prefix_table = spark.createDataFrame(prefixes, "template int, label string, t_size int, need int, rank int, t_pos int, width int, t_words array<string>")
     contents = F.create_map(*(x for k, _, words in rows for x in (F.lit(k), F.array(*(F.lit(order[w]) for w in words)))))
     rank_of = F.create_map(*(x for w, k in order.items() for x in (F.lit(w), F.lit(k))))
-    # a line without any prefix word is passed over before it is cut into words
+    # a text without any prefix word is passed over before it is cut into words
     prefix_ranks = {p[4] for p in prefixes}
     some = rf"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:{'|'.join(w for w, k in order.items() if k in prefix_ranks)})(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
-    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "block")).where(F.col("block").rlike(some))
-    tokens = F.array_intersect(F.regexp_extract_all(lower_ascii("block"), F.lit(WORD), 0), F.array(*map(F.lit, vocabulary)))
-    blocks = lines.select("doc_id", "key", "line", F.array_sort(F.transform(tokens, lambda w: rank_of[w])).alias("ranks"))
+    whole = docs.where(F.col("text").rlike(some)).select("doc_id", F.xxhash64("text").alias("key"), F.regexp_extract_all(lower_ascii("text"), F.lit(WORD), 0).alias("words"))
+    tokens = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
+    blocks = whole.select("doc_id", "key", "words", F.array_sort(F.transform(tokens, lambda w: rank_of[w])).alias("ranks"))
     blocks = blocks.where(F.size("ranks") >= min(need.values()))
     probes = blocks.select("*", F.posexplode("ranks").alias("b_pos0", "rank"))
     enough_left = 1 + F.least(F.col("t_size") - F.col("t_pos"), F.size("ranks") - F.col("b_pos0") - 1) >= F.col("need")
@@ -101,9 +105,11 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.
         .withColumn("shared", shared)
         # a pair counts once, at its first shared word, for which the positional bound holds
         .where((F.array_min("shared") == F.col("rank")) & (F.size("shared") >= F.col("need")))
-        .withColumn("shared", F.size("shared"))
     )
-    return found.select("doc_id", "key", "line", "template", "label", (F.col("shared") / F.col("t_size")).alias("containment"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda p: F.array_contains("t_words", F.element_at("words", p)))
+    held = F.transform(starts, lambda p: F.size(F.array_intersect(F.slice("words", p, F.col("width")), "t_words")))
+    found = found.select("doc_id", "key", "template", "label", "t_size", F.filter(held, lambda n: n >= F.col("need")).alias("held")).where(F.size("held") > 0)
+    return found.select("doc_id", "key", "template", "label", (F.array_max("held") / F.col("t_size")).alias("containment"), F.size("held").alias("n_blocks"))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -112,7 +118,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -
     by_doc = (
         template_matches(docs, templates, threshold)
         .groupBy("doc_id", "key")
-        .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"), F.count_distinct("line").alias("n_blocks"))
+        .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"), F.sum("n_blocks").alias("n_blocks"))
     )
     lowered = lower_ascii("text")
     empty = F.array().cast("array<bigint>")

@@ -209,6 +209,16 @@ def test_licenses(spark, sf, rows, odd, empty):
     assert license_join.license_scan(empty).count() == 0
 
 
+def test_licenses_across_lines(spark):
+    import textwrap
+
+    texts = [(k, f"# code\n\n{mark}" + f"\n{mark}".join(textwrap.wrap(t, width)) + "\nx = 1", "en", "a") for mark, width in ((" * ", 76), ("", 40)) for k, (_, t) in enumerate(license_join.TEMPLATES)]
+    rows = license_join.license_scan(documents(spark, texts)).collect()
+    assert len(rows) == len(texts) and all(license_join.TEMPLATES[r.doc_id][0] in r.labels.split(",") for r in rows)
+    long = "This new software is free to try and was released last week; the company took it into the public beta after a long test."
+    assert license_join.license_scan(documents(spark, [(1, long, "en", "a")])).first().labels == ""
+
+
 # 4 host rules
 
 
