@@ -2,8 +2,8 @@
 
 Three fixed patterns label credentials.  From a bounded sample of the labelled values a probabilistic automaton is
 inferred per kind: the values, as strings of character classes, make a prefix tree with counts, and states whose
-futures don't differ more than chance allows are merged (state merging with the Hoeffding bound).  Every long token
-outside the labelled spans is then scored by its length-normalised log likelihood under each automaton, against the
+futures don't differ more than chance allows are merged (state merging with the Hoeffding bound).  Every token
+of 12 characters or more outside the labelled spans is then scored by its length-normalised log likelihood under each automaton, against the
 likelihood under an automaton of ordinary tokens, and joins the spans where a kind explains it as well as its own
 examples and better than ordinary text does.
 
@@ -27,7 +27,8 @@ from tallyforge.llm.common import map_batches, texts
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The alphabet and least length of labelled values; a full stop at either end is the sentence's.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 KINDS = ("assign", "access", "hex")
 SAMPLE = 4096
 DEPTH = 64
@@ -198,9 +199,8 @@ class Grammar:
 
     def best(self, value: str) -> tuple[str, float] | None:
         """The kind that a token belongs to, with its lead over ordinary tokens."""
-        letters = value.strip("=")
-        # a word of letters only, or a number, is no credential of any format
-        if value.isalpha() or letters.isdigit():
+        # a number is no credential of any format
+        if value.strip("=").isdigit():
             return None
         string = classes(value)
         other = self.other.score(string)

@@ -419,6 +419,19 @@ def test_grammar_generalises(spark):
     assert clean[1000] == "bare <access> here" and "AKIA" not in clean[0]
 
 
+def test_grammar_scores_short_dotted_and_letter_tokens(spark):
+    rng = np.random.default_rng(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    make = lambda n, chars=letters + "0123456789": "".join(rng.choice(list(chars), n))
+    value = lambda n: f"{make(n // 2)}.{make(n - n // 2 - 1)}"
+    rows = [(k, f"{' '.join(make(16, letters[:26]) for _ in range(4))} token={value(n)} and password: {make(n)} end", "en", "a") for k, n in enumerate([12, 13, 14, 15, 18, 24] * 100)]
+    asked = [make(12) for _ in range(10)] + [make(15) for _ in range(10)] + [value(20) for _ in range(10)] + [make(20, letters) for _ in range(10)]
+    rows += [(1000 + k, f"bare {v} here. Antidisestablishmentarianism is incomprehensible.", "en", "a") for k, v in enumerate(asked)]
+    got = {r.doc_id: r.spans for r in secret_grammar.secret_scan(documents(spark, rows)).collect()}
+    found = [got[1000 + k] == f"assign:5:{5 + len(v)}" for k, v in enumerate(asked)]
+    assert all(sum(found[k : k + 10]) >= 7 for k in range(0, 40, 10)), [sum(found[k : k + 10]) for k in range(0, 40, 10)]
+
+
 # 8 languages
 
 
