@@ -1,20 +1,23 @@
-"""N-gram Jaccard join with count-vector points.
+"""N-gram Jaccard join with an R-tree of count vectors.
 
 A document's set is its distinct word shingles, hashed.  Hash ranges are the coordinates of a point: how many shingles
-fall into each range.  For sets A and B the overlap is at most the sum of the coordinates' minima, so boxes of points
-(the leaves of an R-tree) and then pairs whose bound is too low are dropped; what is left is verified on the whole sets.
-
-Points of many coordinates all lie about equally far apart, so boxes alone can't part them and would be compared each
-with each.  What deals the points out is therefore a pigeonhole argument on the same coordinates: two sets at the
-threshold differ in at most ``r = n / 4`` shingles, so of ``m`` coordinates all but ``r`` hold the very same shingles.
-Each set names its ``r + 1`` fullest coordinates' contents, and a pair shares at least one of those.  Nothing is lost.
-
-Equal sets are one node from the start.  A content that up to ``SMALL`` nodes share gives all its pairs; one that more
-share gives a star, and only where the star leaves it in several components are its nodes compared in blocks, across
-components: by boxes of points, then by their points, then by points of many more coordinates made for this.
-
-Empty or null text: an empty set, linked with nothing.  Rows with one doc_id are one document.  A row without doc_id
-has no component.  Repeated rows are equal sets.
+fall into each range.  For sets A and B the overlap is at most the sum of the coordinates' minima.  Points are packed
+into R-trees; a node's box holds the largest count of each coordinate below it and its range of sizes, and two nodes,
+then two points, whose summed minima can't reach the threshold are dropped.  What is left is verified on whole sets.
+
+One tree over all points would be compared each leaf with each other, for points of many coordinates all lie about
+equally far apart.  The points are therefore dealt to many trees, by a pigeonhole argument on finer count vectors: two
+sets at the threshold differ in at most ``r = n / 4`` shingles, so of ``m`` coordinates all but ``r`` hold the very same
+shingles.  Each set names ``r + 1`` of its coordinates' contents, in an order that all sets agree on (fullest first, but
+those that many sets name last), and a pair of the threshold shares one of these.  A content's points make one tree.
+
+Equal sets are one point from the start.  A content whose tree leaves few pairs gives these.  One with more, or with
+over ``LARGE`` points, gives a star; where the star leaves it in several components its points are dealt to blocks by
+range, the blocks' boxes make the tree's upper levels, and blocks that these leave are compared across components.
+
+Words are 64-bit hashes, shingles too: two different ones are taken as equal with odds of 1 in 10**19.  Empty or null
+text: an empty set, linked with nothing.  Rows with one doc_id are one document.  A row without doc_id has no component.
+Repeated rows are equal sets.  An empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,51 +33,54 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import lower_ascii_py, shared_folder, texts, written
+from tallyforge.llm import byte_words
+from tallyforge.llm.byte_words import mixed
+from tallyforge.llm.common import shared_folder, written
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.shared_arrays import map_array, write_array
+from tallyforge.llm.shared_arrays import ArrayFile, map_array
 
 WIDTH = 5
 PERCENT = 80
-GROUPS = 32
-SMALL = 64
+#: Coordinates of a point, and of the coarser one that goes along with each content.
+GROUPS, COARSE = 32, 8
+#: Contents named by more points are named last by all; so many contents at most, the most frequent ones.
+SMALL, MOST_FREQUENT = 64, 1_000_000
+#: Points of one content that one task may hold as a tree, pairs per point that the tree may leave.
+LARGE, PAIRS_EACH = 4096, 4
 BLOCK = 512
-LEAF = 16
-#: Coordinates of the finer points of hot nodes: at least so many, at most so many.
-FINE_LEAST, FINE_MOST = 256, 8192
+LEAF, FAN = 16, 8
 SHARD_ROWS = 2_000_000
 GROWTH = 2.5
+#: Counts of a coarse point in one byte: exact up to 32, then rounded up by at most 4 percent.
+CODES = np.r_[np.arange(33), np.cumprod(np.r_[33.0, np.full(221, 1.04)]).astype(np.int64) + 1, 1 << 40].astype(np.int64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(flat: np.ndarray, lengths: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(words: np.ndarray, lengths: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after the other, and how many each text has.
 
-    ``flat`` holds the texts' word hashes.  A text with fewer words than ``width`` is one shingle as a whole.
+    ``words`` holds the texts' word hashes.  A text with fewer words than ``width`` is one shingle as a whole.
     """
-    words = flat.astype(np.uint64)
-    n = len(words)
-    begin = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(lengths)), lengths)
+    n, ends = len(words), np.cumsum(lengths)
+    factors = np.random.default_rng(23).integers(1, 1 << 63, width, np.uint64) * np.uint64(2) + np.uint64(1)
+    key = words * factors[0]
+    for k in range(1, width):
+        key[: n - k] += words[k:] * factors[k]
+    key = mixed(key)
     whole = np.maximum(lengths - width + 1, np.minimum(lengths, 1))
-    key = np.zeros(n, np.uint64)
-    inside = np.arange(n) - begin[doc]
-    for k in range(width):
-        at = np.arange(n) + k
-        held = inside + k < lengths[doc]
-        nxt = np.where(held, words[np.minimum(at, n - 1)] + np.uint64(1), np.uint64(0)) if n else words
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + nxt)
-    starts = inside < whole[doc]
-    key, doc = key[starts], doc[starts]
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    first = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
-    return key[first], np.bincount(doc[first], minlength=len(lengths))
+    for t in np.flatnonzero((lengths > 0) & (lengths < width)):
+        own = words[ends[t] - lengths[t] : ends[t]]
+        key[ends[t] - lengths[t]] = mixed((own * factors[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
+    mask = np.zeros(n + 1, np.int64)
+    np.add.at(mask, ends - lengths, 1)
+    np.add.at(mask, ends - lengths + whole, -1)
+    key = key[np.cumsum(mask[:-1]) > 0]
+    begin = np.cumsum(whole) - whole
+    for a, b in zip(begin.tolist(), (begin + whole).tolist()):
+        key[a:b].sort()
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    fresh[begin[whole > 0]] = True
+    return key[fresh], np.diff(np.r_[0, np.cumsum(fresh)][np.r_[begin, len(key)]])
 
 
 def count_vectors(sets: np.ndarray, sizes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -94,15 +100,21 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.floor(GROWTH ** np.arange(40)).astype(np.int64), n)
 
 
-def contents(sets: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def held_in(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+
+
+def contents(sets: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, frequent: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
     """Contents that each set names, as hashes, and the number of the set that names each.
 
     In a size class with ``m`` coordinates, a set with ``e`` empty ones shares at least m - r - e filled contents with
     any partner; by the prefix principle it is enough to name the r + 1 first in an order that all sets agree on:
-    fullest first, then by hash.  Where m - r - e < 1 the set names all its contents and its empty coordinates.
-    A set also takes part in the next class where a larger partner may be in that.
+    ``frequent`` ones last, fullest first, then by hash.  Where m - r - e < 1 the set names all its contents and its
+    empty coordinates.  A set also takes part in the next class where a larger partner may be in that.
     """
-    out_sig, out_doc = [], []
+    out_sig, out_doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     own = size_class(sizes)
     upper = size_class(sizes * 100 // percent)
     r = sizes * (100 - percent) // percent
@@ -114,7 +126,7 @@ def contents(sets: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tup
         m = int(GROWTH**c / 3) + 5
         n = sizes[chosen]
         doc = np.repeat(np.arange(len(chosen)), n)
-        at = np.repeat(begin[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(begin[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         h = sets[at]
         group = (((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1])])
@@ -123,7 +135,10 @@ def contents(sets: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tup
         owner = doc[first]
         filled = np.bincount(owner, minlength=len(chosen))
         spare = m - r[chosen] - (m - filled)
-        order = np.lexsort((sig, -amount, owner))
+        late = np.where(held_in(sig, frequent), 256, 255 - np.minimum(amount, 255))
+        # one number to sort by: the set, the rank of the amount, the hash's upper bits
+        rank = (owner.astype(np.uint64) << np.uint64(48)) | (late.astype(np.uint64) << np.uint64(39)) | (sig >> np.uint64(25))
+        order = np.argsort(rank)
         place = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
         keep = order[(place <= r[chosen][owner[order]]) | (spare[owner[order]] < 1)]
         out_sig.append(sig[keep])
@@ -132,141 +147,273 @@ def contents(sets: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tup
             empty = np.setdiff1d(np.arange(m), group[first][owner == d])
             out_sig.append(mixed(empty.astype(np.uint64) + np.uint64(int(c) << 32) + np.uint64(1 << 60)))
             out_doc.append(np.full(len(empty), chosen[d]))
-    return (np.concatenate(out_sig), np.concatenate(out_doc)) if out_sig else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
+    return np.concatenate(out_sig), np.concatenate(out_doc)
 
-class Words(dict):
-    """32-bit hashes of words."""
 
-    LIMIT = 500_000
+PLACE = ("folder", "file", "piece", "first", "n_words")
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) >> 32
-        if len(self) < self.LIMIT:
-            self[word] = h
-        return h
 
+def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row: ``doc_id``, ``n_shingles``, a digest of its set, its point, its named contents, and where its words are.
 
-def word_hashes(batch_texts: list[str], cache: Words) -> tuple[np.ndarray, np.ndarray]:
-    words = [lower_ascii_py(t).encode("utf-8", "surrogatepass").split() for t in batch_texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    return np.fromiter((cache[w] for ws in words for w in ws), np.uint32, int(lengths.sum())), lengths
-
-
-def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, a digest of its set, its point, and where its word hashes are kept.
-
-    The word hashes go to files in the shared folder, four bytes a word, so that sets can be made again where a pair
-    is verified without moving texts.
+    Each task keeps its words in one file of the shared folder: piece by piece, the distinct word hashes and then each
+    word's number among these, so that sets can be made again where a pair is verified without moving texts.
     """
-    folder = shared_folder(docs.sparkSession, "word-hashes")
+    folder = shared_folder(docs.sparkSession, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                flat, lengths = word_hashes(texts(batch), cache)
-                sets, sizes = shingle_sets(flat, lengths, width)
-                ends = np.cumsum(sizes)
-                digests = [xxhash.xxh3_128_digest(sets[e - s : e].tobytes()) for s, e in zip(sizes, ends)]
-                name = uuid.uuid4().hex
-                write_array(f"{folder}/{name}", flat)
-                points = count_vectors(sets, sizes).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(digests, pa.binary()),
-                        pa.array([name] * len(sizes)),
-                        pa.array(np.cumsum(lengths) - lengths),
-                        pa.array(lengths),
-                        pa.array([p.tobytes() for p in points], pa.binary()),
-                    ],
-                    ["doc_id", "n_shingles", "digest", "file", "first", "n_words", "point"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, file string, first long, n_words long, point binary")
+        name, kept = uuid.uuid4().hex, None
+        for batch in byte_words.pieces(batches):
+            words, lengths = byte_words.word_hashes(batch.column("text"))
+            sets, sizes = shingle_sets(words, lengths, width)
+            ends = np.cumsum(sizes)
+            distinct, number = np.unique(words, return_inverse=True)
+            kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
+            kept = kept or ArrayFile(f"{folder}/{name}")
+            piece = kept.append(np.array([len(distinct), np.dtype(kind).itemsize], np.uint64), distinct, number.astype(kind))
+            sig, doc = contents(sets, sizes, percent)
+            order = np.argsort(doc, kind="stable")
+            cut = np.searchsorted(doc[order], np.arange(len(sizes) + 1))
+            sig = sig[order]
+            points = count_vectors(sets, sizes).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(sizes.astype(np.int64)),
+                    pa.array([xxhash.xxh3_128_digest(sets[e - s : e].tobytes()) for s, e in zip(sizes, ends)], pa.binary()),
+                    pa.array([name] * len(sizes), pa.string()),
+                    pa.array(np.full(len(sizes), piece)),
+                    pa.array(np.cumsum(lengths) - lengths),
+                    pa.array(lengths),
+                    pa.array([p.tobytes() for p in points], pa.binary()),
+                    pa.array([sig[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "digest", "file", "piece", "first", "n_words", "point", "named"],
+            )
+        if kept:
+            kept.close()
+
+    schema = "doc_id long, n_shingles long, digest binary, file string, piece long, first long, n_words long, point binary, named binary"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     return written(rows.withColumn("folder", F.lit(folder)), "sets")
 
 
 class Sets:
-    """Sets read again from the kept word hashes; the last few are remembered."""
+    """Sets made again from the kept words; the last few are remembered."""
 
     def __init__(self, width: int = WIDTH):
         self.width, self.files, self.made = width, {}, {}
 
-    def get(self, folder: str, file: str, first: int, n_words: int) -> np.ndarray:
-        key = (file, first)
+    def words(self, folder: str, file: str, piece: int, first: int, n_words: int) -> np.ndarray:
+        if file not in self.files:
+            if len(self.files) > 500:
+                self.files.clear()
+            self.files[file] = map_array(f"{folder}/{file}", np.uint8)
+        data = self.files[file]
+        n, size = (int(x) for x in data[piece : piece + 16].view(np.uint64))
+        at = piece + 16 + 8 * n
+        codes = data[at + first * size : at + (first + n_words) * size].view(np.uint16 if size == 2 else np.uint32)
+        return data[piece + 16 : at].view(np.uint64)[codes]
+
+    def get(self, *place) -> np.ndarray:
+        key = place[1:4]
         if key not in self.made:
-            if len(self.made) > 200:
+            if len(self.made) > 500:
                 self.made.clear()
-            if file not in self.files:
-                if len(self.files) > 500:
-                    self.files.clear()
-                self.files[file] = map_array(f"{folder}/{file}", np.uint32)
-            self.made[key] = shingle_sets(np.asarray(self.files[file][first : first + n_words]), np.array([n_words]), self.width)[0]
+            words = self.words(*place)
+            self.made[key] = shingle_sets(words, np.array([len(words)]), self.width)[0]
         return self.made[key]
 
 
+def many_sets(read: Sets, places: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    words = [read.words(*p) for p in places]
+    return shingle_sets(np.concatenate(words), np.array([len(w) for w in words], np.int64), read.width)
+
+
+def frequent_contents(nodes: DataFrame, shards: int) -> np.ndarray:
+    """Contents named by more than SMALL points, sorted; of these the MOST_FREQUENT at most, whatever the size of the table.
+
+    They only set an order of the contents, so any choice gives the same links.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.sort(np.frombuffer(b"".join(batch.column("named").to_pylist()), np.uint64))
+            cut = np.searchsorted(shard_of(sig, shards), np.arange(shards + 1))
+            rows = [(s, sig[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "sig"])
+
+    def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        sig = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in part.sig]))
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        n = np.diff(np.r_[first, len(sig)])
+        many = n > SMALL
+        return pd.DataFrame({"sig": sig[first[many]].view(np.int64), "n": n[many]})
+
+    counted = nodes.select("named").mapInArrow(deal, "shard int, sig binary").groupBy("shard").applyInPandas(count, "sig long, n long")
+    found = counted.orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).select("sig").toArrow()
+    return np.sort(found.column("sig").to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+
+
+def shard_of(sig: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the hash's upper bits."""
+    return ((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+class RTree:
+    """An R-tree of points, packed by size and then coordinates: leaves of LEAF points, nodes of FAN nodes.
+
+    ``levels[k]`` has the boxes of a level: largest counts, smallest and largest size.  Level 0 are the points.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.order = np.lexsort((*points.T[:3], sizes))
+        box = (points[self.order], sizes[self.order], sizes[self.order])
+        self.levels = [box]
+        while len(box[0]) > 1:
+            cut = np.arange(0, len(box[0]), LEAF if len(self.levels) == 1 else FAN)
+            box = (np.maximum.reduceat(box[0], cut), np.minimum.reduceat(box[1], cut), np.maximum.reduceat(box[2], cut))
+            self.levels.append(box)
+
+
+def tree_pairs(a: RTree, b: RTree, percent: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Index pairs of points that may link: (i, j) of ``a`` and ``b``, or of ``a`` with itself, each pair once.
+
+    Pairs of nodes are followed from the roots down; None as soon as there are more than ``most`` pairs of points.
+    """
+    out, found = [], 0
+    if a is b and len(a.order) == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    todo = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        u, v, i, j = todo.pop()
+        if len(i) > 2048:
+            todo += [(u, v, i[k : k + 2048], j[k : k + 2048]) for k in range(0, len(i), 2048)]
+            continue
+        (p, p_low, p_high), (q, q_low, q_high) = a.levels[u], b.levels[v]
+        fits = (p_high[i] * 100 >= q_low[j] * percent) & (q_high[j] * 100 >= p_low[i] * percent)
+        i, j = i[fits], j[fits]
+        fits = np.minimum(p[i], q[j]).sum(1) >= least_overlap(p_low[i] + q_low[j], percent)
+        i, j = i[fits], j[fits]
+        if not len(i):
+            continue
+        if u == v == 0:
+            found += len(i)
+            if most is not None and found > most:
+                return None
+            out.append((a.order[i], b.order[j]))
+            continue
+        # the higher of the two is opened, both where they are of one level
+        same = a is b
+        if u >= v:
+            i, j = children(i, j, LEAF if u == 1 else FAN, len(a.levels[u - 1][0]))
+        if v >= u:
+            j, i = children(j, i, LEAF if v == 1 else FAN, len(b.levels[v - 1][0]))
+        u, v = u - (u >= v), v - (v >= u)
+        if same:
+            once = i < j if u == 0 else i <= j
+            i, j = i[once], j[once]
+        todo.append((u, v, i, j))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (none, none)
+
+
+def children(opened: np.ndarray, other: np.ndarray, fan: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    below = (opened[:, None] * fan + np.arange(fan)).ravel()
+    other = np.repeat(other, fan)
+    there = below < n
+    return below[there], other[there]
+
+
 def candidates(nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (``hot``, ``a``, ``b``): pairs of nodes, and content and node of contents that more than SMALL nodes share."""
-    total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).collect()[0].n
-    shards = max(1, math.ceil(total * 0.3 / SHARD_ROWS))
+    """Rows (``hot``, ``a``, ``b``): pairs of points that the trees leave, and content and point of contents left open."""
+    total = nodes.agg(F.coalesce(F.sum(F.length("named")), F.lit(0)).alias("n")).collect()[0].n // 8
+    shards = max(1, math.ceil(total / SHARD_ROWS))
+    # at most MOST_FREQUENT numbers
+    shared = nodes.sparkSession.sparkContext.broadcast(frequent_contents(nodes, shards))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(width)
+        read = Sets(width)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000).to_pydict()
-                made = [sets.get(*x) for x in zip(batch["folder"], batch["file"], batch["first"], batch["n_words"])]
-                sig, doc = contents(np.concatenate(made), np.array([len(x) for x in made]), percent)
-                node = np.array(batch["node"], np.int64)[doc]
-                shard = ((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                order = np.argsort(shard, kind="stable")
+                batch = whole.slice(at, 2000)
+                blobs = batch.column("named").to_pylist()
+                n = np.array([len(b) // 8 for b in blobs], np.int64)
+                sig, doc = np.frombuffer(b"".join(blobs), np.uint64), np.repeat(np.arange(len(n)), n)
+                again = np.unique(doc[held_in(sig, shared.value)])
+                if len(again):
+                    rows = batch.select(list(PLACE)).take(pa.array(again)).to_pydict()
+                    later = contents(*many_sets(read, list(zip(*(rows[c] for c in PLACE)))), percent, shared.value)
+                    other = ~np.isin(doc, again)
+                    sig, doc = np.r_[sig[other], later[0]], np.r_[doc[other], again[later[1]]]
+                points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+                coarse = np.searchsorted(CODES, points.reshape(len(points), -1, COARSE).sum(1)).astype(np.uint8)
+                node, size = batch.column("node").to_numpy(), batch.column("n_shingles").to_numpy().astype(np.int32)
+                shard = shard_of(sig, shards)
+                order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(s, sig[order[a:b]].tobytes(), node[order[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-                if rows:
-                    columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["shard", "sig", "node"])
+                columns: list[list] = [[] for _ in range(5)]
+                for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                    if b > a:
+                        d = doc[order[a:b]]
+                        for column, x in zip(columns, (s, *(y.tobytes() for y in ((sig[order[a:b]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), node[d], size[d], coarse[d])))):
+                            column.append(x)
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "sig", "node", "size", "point"])
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in part.sig])
-        node = np.concatenate([np.frombuffer(x, np.int64) for x in part.node])
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[fresh], node[fresh]
-        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        joined = lambda column, kind: np.frombuffer(b"".join(part[column]), kind)
+        sig, node, size, point = joined("sig", np.uint32), joined("node", np.int64), joined("size", np.int32), joined("point", np.uint8).reshape(-1, COARSE)
+        order = np.argsort(sig, kind="stable")
+        first = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1]])
         n = np.diff(np.r_[first, len(sig)])
-        a, b = [], []
-        for k in np.unique(n[(n > 1) & (n <= SMALL)]):  # runs of one length together
-            at = first[n == k]
+        out_a, out_b, hot_sig, hot_node = [], [], [], []
+        for k in np.unique(n[(n > 1) & (n <= LEAF)]):  # contents with one leaf, those of one length together
             i, j = np.triu_indices(k, 1)
-            a.append(node[at[:, None] + i].ravel())
-            b.append(node[at[:, None] + j].ravel())
-        hot = np.repeat(n > SMALL, n)
-        a.append(np.repeat(node[first], n)[hot])  # a star around the smallest node
-        b.append(node[hot])
-        a, b = np.concatenate(a), np.concatenate(b)
+            for at in np.array_split(first[n == k], max(1, int((n == k).sum()) * len(i) // 200_000)):
+                x, y = order[(at[:, None] + i).ravel()], order[(at[:, None] + j).ravel()]
+                s, t = size[x].astype(np.int64), size[y].astype(np.int64)
+                near = np.flatnonzero((np.minimum(s, t) * 100 >= np.maximum(s, t) * percent) & (node[x] != node[y]))
+                x, y = x[near], y[near]
+                near = CODES[np.minimum(point[x], point[y])].sum(1) >= least_overlap(s[near] + t[near], percent)
+                out_a.append(node[x[near]])
+                out_b.append(node[y[near]])
+        for k in np.flatnonzero(n > LEAF):
+            mine = order[first[k] : first[k] + n[k]]
+            mine = mine[np.unique(node[mine], return_index=True)[1]]
+            pairs = None
+            if len(mine) <= LARGE:
+                tree = RTree(CODES[point[mine]], size[mine].astype(np.int64))
+                pairs = tree_pairs(tree, tree, percent, PAIRS_EACH * len(mine))
+            if pairs is None:
+                out_a.append(np.full(len(mine), node[mine].min()))  # a star around the smallest node
+                out_b.append(node[mine])
+                hot_sig.append(np.full(len(mine), (int(key[0]) << 32) | int(sig[mine[0]])))
+                hot_node.append(node[mine])
+            else:
+                out_a.append(node[mine[pairs[0]]])
+                out_b.append(node[mine[pairs[1]]])
+        a, b, hot_sig, hot_node = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b, hot_sig, hot_node))
+        a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)] & (a != b)
         a, b = a[fresh], b[fresh]
-        is_hot = np.r_[np.zeros(len(a), bool), np.ones(int(hot.sum()), bool)]
-        return pd.DataFrame({"hot": is_hot, "a": np.r_[a, sig[hot].view(np.int64)], "b": np.r_[b, node[hot]]})
+        is_hot = np.r_[np.zeros(len(a), bool), np.ones(len(hot_sig), bool)]
+        return pd.DataFrame({"hot": is_hot, "a": np.r_[a, hot_sig], "b": np.r_[b, hot_node]})
 
-    named = nodes.where("n_shingles >= 4").select("node", "folder", "file", "first", "n_words").mapInArrow(name, "shard int, sig binary, node binary")
+    named = nodes.where("n_shingles >= 4").select("node", *PLACE, "n_shingles", "point", "named").mapInArrow(name, "shard int, sig binary, node binary, size binary, point binary")
     return written(named.groupBy("shard").applyInPandas(meet, "hot boolean, a long, b long"), "candidates")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that link: first by the bound of their points, then on the whole sets."""
-    place = F.struct("folder", "file", "first", "n_words", "n_shingles", "point")
+    place = F.struct(*PLACE, "n_shingles", "point")
     left = nodes.select(F.col("node").alias("a"), place.alias("x"))
     right = nodes.select(F.col("node").alias("b"), place.alias("y"))
-    # each point beside its pair; the arrays themselves stay where they are
-    joined = pairs.join(left, "a").join(right, "b").where(F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
+    # each point beside its pair; the words themselves stay where they are
+    joined = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(width)
@@ -277,7 +424,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
             p, q = (np.frombuffer(b"".join(z["point"].to_pylist()), np.int32).reshape(-1, GROUPS) for z in (x, y))
             need = least_overlap(x["n_shingles"].to_numpy() + y["n_shingles"].to_numpy(), percent)
             near = np.flatnonzero(np.minimum(p, q).sum(1) >= need)
-            at = [[z[f].take(pa.array(near)).to_pylist() for f in ("folder", "file", "first", "n_words")] for z in (x, y)]
+            at = [[z[f].take(pa.array(near)).to_pylist() for f in PLACE] for z in (x, y)]
             keep = [k for k, s, t in zip(near, zip(*at[0]), zip(*at[1])) if overlap(sets.get(*s), sets.get(*t)) >= need[k]]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
@@ -285,71 +432,111 @@ def verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
 
 
 def overlap(s: np.ndarray, t: np.ndarray) -> int:
-    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-    return int((t[at] == s).sum())
-
-
-def box_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs whose bound allows a link, found through the leaves of an R-tree packed by size and coordinates."""
-    order = np.lexsort((*points.T[:3], sizes))
-    leaves = [order[k : k + LEAF] for k in range(0, len(order), LEAF)]
-    high = np.stack([points[x].max(0) for x in leaves])
-    low_size = np.array([sizes[x].min() for x in leaves])
-    high_size = np.array([sizes[x].max() for x in leaves])
-    for k, leaf in enumerate(leaves):
-        bound = np.minimum(high[k], high[k:]).sum(1)
-        may = (bound >= least_overlap(low_size[k] + low_size[k:], percent)) & (high_size[k] * 100 >= low_size[k:] * percent)
-        others = np.concatenate([leaves[k + j] for j in np.flatnonzero(may)]) if may.any() else leaf[:0]
-        if len(others):
-            fits = np.minimum(points[leaf][:, None], points[others][None]).sum(2) >= least_overlap(sizes[leaf][:, None] + sizes[others][None], percent)
-            i, j = np.nonzero(fits)
-            yield leaf[i], others[j]
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
 
 
-def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs across components within the contents that many nodes share and that lie in several components."""
+def hot_blocks(hot: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Points of the open contents that lie in several components, in blocks of at most BLOCK: one row each, with its box.
+
+    Blocks are cut from ranges of (content, component, size), so a content of any size is spread over tasks.
+    """
     marked = hot.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = marked.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    marked = marked.join(open_.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sig").join(nodes.select("node", "folder", "file", "first", "n_words", "n_shingles", "point"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = marked.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node")
-        node, component, size = part.node.to_numpy(), part.component.to_numpy(), part.n_shingles.to_numpy()
-        points = np.frombuffer(b"".join(part.point), np.int32).reshape(-1, GROUPS)
-        read, a, b = Sets(width), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        # the more shingles, the more coordinates it takes to tell two sets apart
-        fine = min(FINE_MOST, max(FINE_LEAST, 1 << int(size.max()).bit_length()))
-        places = list(zip(part.folder, part.file, part["first"], part.n_words))
-        made: dict[int, np.ndarray] = {}
-
-        def sharp(k: int) -> np.ndarray:
-            if k not in made:
-                made[k] = count_vectors(read.get(*places[k]), size[k : k + 1], fine)[0].astype(np.int32 if size[k] > 65_000 else np.uint16)
-            return made[k]
-
-        for i, j in box_pairs(points, size, percent):
-            apart = component[i] != component[j]
-            i, j = i[apart], j[apart]
-            for k in np.unique(i):
-                others = j[i == k]
-                bound = np.minimum(sharp(k)[None], np.stack([sharp(o) for o in others])).sum(1, dtype=np.int64)
-                others = others[bound >= least_overlap(size[k] + size[others], percent)]
-                a.append(np.full(len(others), node[k]))
-                b.append(node[others])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return dealt.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    open_ = marked.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    marked = marked.join(open_.select("sig"), "sig").join(nodes.select("node", *PLACE, "n_shingles", "point"), "node")
+    order = ("sig", "component", "n_shingles", "node")
+    marked = marked.select(*order, *PLACE, "point").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = batch.column("sig").to_numpy()
+            run = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True]) if len(sig) else np.zeros(1, np.int64)
+            for a, b in ((k, min(k + BLOCK, end)) for begin, end in zip(run[:-1], run[1:]) for k in range(begin, end, BLOCK)):
+                part = batch.slice(a, b - a)
+                points = np.frombuffer(b"".join(part.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+                size, component = part.column("n_shingles").to_numpy(), part.column("component").to_numpy()
+                one = {"sig": int(sig[a]), "block": uuid.uuid4().int >> 65, "n_low": int(size.min()), "n_high": int(size.max()), "c_low": int(component.min()), "c_high": int(component.max())}
+                blobs = {"box": points.max(0), "nodes": part.column("node").to_numpy(), "sizes": size, "components": component, "points": points}
+                places = {c: part.column(c).to_pylist() for c in PLACE}
+                yield pa.RecordBatch.from_pylist([one | {k: v.tobytes() for k, v in blobs.items()} | places], BLOCK_SCHEMA)
+
+    return written(marked.mapInArrow(cut, BLOCK_DDL), "blocks")
+
+
+_LONGS = ("sig", "block", "n_low", "n_high", "c_low", "c_high")
+_BLOBS = ("box", "nodes", "sizes", "components", "points")
+BLOCK_SCHEMA = pa.schema([(c, pa.int64()) for c in _LONGS] + [(c, pa.binary()) for c in _BLOBS] + [(c, pa.list_(pa.string() if c in ("folder", "file") else pa.int64())) for c in PLACE])
+BLOCK_DDL = ", ".join([f"{c} long" for c in _LONGS] + [f"{c} binary" for c in _BLOBS] + [f"{c} array<{'string' if c in ('folder', 'file') else 'bigint'}>" for c in PLACE])
+
+
+def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Linked pairs across components within the contents that are left open."""
+    blocks = hot_blocks(hot, labels, nodes)
+
+    def upper(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of blocks that the boxes leave; a content has one row here for up to BLOCK points."""
+        box = np.frombuffer(b"".join(part.box), np.int32).reshape(-1, GROUPS)
+        tree = RTree(box, part.n_low.to_numpy())
+        # a box has a range of sizes
+        tree.levels[0] = (tree.levels[0][0], tree.levels[0][1], part.n_high.to_numpy()[tree.order])
+        for k in range(1, len(tree.levels)):
+            at = np.arange(0, len(tree.levels[k - 1][0]), LEAF if k == 1 else FAN)
+            tree.levels[k] = (*tree.levels[k][:2], np.maximum.reduceat(tree.levels[k - 1][2], at))
+        i, j = tree_pairs(tree, tree, percent)
+        every = np.arange(len(part))
+        i, j = np.r_[i, every], np.r_[j, every]
+        low, high, block = part.c_low.to_numpy(), part.c_high.to_numpy(), part.block.to_numpy()
+        apart = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
+        return pd.DataFrame({"i": block[i[apart]], "j": block[j[apart]]})
+
+    pairs = written(blocks.select("sig", "block", "box", "n_low", "n_high", "c_low", "c_high").groupBy("sig").applyInPandas(upper, "i long, j long"), "block-pairs")
+    one = blocks.select(F.col("block").alias("i"), F.struct(*_BLOBS[1:], *PLACE).alias("x"))
+    two = blocks.select(F.col("block").alias("j"), F.struct(*_BLOBS[1:], *PLACE).alias("y"))
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(width)
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides, trees = (row["x"], row["y"]), []
+                for s in sides:
+                    for c in ("nodes", "sizes", "components"):
+                        s[c] = np.frombuffer(s[c], np.int64)
+                    trees.append(RTree(np.frombuffer(s["points"], np.int32).reshape(-1, GROUPS), s["sizes"]))
+                    s["bits"] = bitmaps(sets, s)
+                if row["i"] == row["j"]:
+                    trees[1] = trees[0]
+                i, j = tree_pairs(trees[0], trees[1], percent)
+                x, y = sides
+                apart = x["components"][i] != y["components"][j]
+                i, j = i[apart], j[apart]
+                need = least_overlap(x["sizes"][i] + y["sizes"][j], percent)
+                a, b = [], []
+                for k in range(0, len(i), 20_000):
+                    p, q, n = i[k : k + 20_000], j[k : k + 20_000], need[k : k + 20_000]
+                    differ = np.bitwise_count(x["bits"][p] ^ y["bits"][q]).sum(1, dtype=np.int64)
+                    near = differ <= x["sizes"][p] + y["sizes"][q] - 2 * n
+                    for s, t, least in zip(p[near], q[near], n[near]):
+                        if overlap(sets.get(*(x[c][s] for c in PLACE)), sets.get(*(y[c][t] for c in PLACE))) >= least:
+                            a.append(min(x["nodes"][s], y["nodes"][t]))
+                            b.append(max(x["nodes"][s], y["nodes"][t]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = pairs.repartition("i", "j").join(one, "i").join(two, "j")
+    return dealt.select("i", "j", "x", "y").mapInArrow(leaves, "a long, b long").distinct()
+
+
+def bitmaps(sets: Sets, block: dict, bits: int = 2048) -> np.ndarray:
+    """Each set as ``bits`` bits, one set per shingle: two sets differ in at least as many shingles as bits."""
+    out = np.zeros((len(block["nodes"]), bits), np.uint8)
+    for k, place in enumerate(zip(*(block[c] for c in PLACE))):
+        out[k, ((sets.get(*place) >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
-    sets = document_sets(docs, width)
+    sets = document_sets(docs, width, percent)
     filled = sets.where("n_shingles > 0 and doc_id is not null")
-    place = F.struct("doc_id", "folder", "file", "first", "n_words", "n_shingles", "point")
+    place = F.struct("doc_id", *PLACE, "n_shingles", "point", "named")
     nodes = filled.groupBy("digest").agg(F.min_by(place, F.col("doc_id")).alias("p")).select("digest", F.col("p.doc_id").alias("node"), "p.*").drop("doc_id")
     nodes = written(nodes, "nodes")
     found = candidates(nodes, width, percent)
@@ -361,7 +548,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     labels = connected_components(links)
     hot = found.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     if not hot.isEmpty():
-        more = written(verified(hot_pairs(hot, labels, nodes, width, percent), nodes, width, percent), "links")
+        more = written(hot_pairs(hot, labels, nodes, width, percent), "links")
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
     by_digest = nodes.select("digest", "node").join(labels, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component_id"))
@@ -370,7 +557,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with one document of each component, that of the smallest id, and all rows without an id."""
+    """The rows of ``docs`` with one document of each component, that of the smallest id, and all rows without an id.
+
+    Of several rows with that id the one of the smallest row hash stays, so a job run again keeps the same text.
+    """
     found = jaccard_components(docs, width, percent)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    rows = marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("_row").alias("_row")).join(first, "doc_id", "left_semi")
+    kept = marked.join(rows, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -34,6 +34,31 @@ def write_array(uri: str, array: np.ndarray) -> None:
     store.move(draft, path)
 
 
+class ArrayFile:
+    """A file of the shared folder that a task writes bit by bit; it gets its name when it is closed."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = _store(uri)
+        self.store.create_dir(os.path.dirname(self.path), recursive=True)
+        self.draft = f"{self.path}.{uuid.uuid4().hex}"
+        self.out, self.size = self.store.open_output_stream(self.draft), 0
+
+    def append(self, *arrays: np.ndarray) -> int:
+        """Writes the arrays one after the other, each from a multiple of 8 bytes on; where the first begins."""
+        begin = self.size
+        for array in arrays:
+            data = np.ascontiguousarray(array).view(np.uint8)
+            self.out.write(data.data if array.size else b"")
+            pad = -len(data) % 8 if array.size else 0
+            self.out.write(bytes(pad))
+            self.size += (len(data) if array.size else 0) + pad
+        return begin
+
+    def close(self) -> None:
+        self.out.close()
+        self.store.move(self.draft, self.path)
+
+
 def map_array(uri: str, dtype) -> np.ndarray:
     """The array at ``uri``, memory-mapped."""
     path = _local(uri)

@@ -368,7 +368,10 @@ def test_components(spark, scale):
     assert any(c != d for d, _, c in want)
 
 
-def test_components_of_many_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("large", [jaccard_join.LARGE, 20])
+def test_components_of_many_near_copies(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in range(60)]
     data = []
@@ -377,12 +380,49 @@ def test_components_of_many_near_copies(spark, monkeypatch):
         for _ in range(int(rng.integers(0, 4))):
             w[int(rng.integers(0, 60))] = f"n{int(rng.integers(0, 50))}"
         data.append((d, " ".join(w)))
+    for d in range(300):  # copies of one text so far apart that few link
+        w = [f"u{k}" for k in range(60)]
+        for _ in range(int(rng.integers(2, 5))):
+            w[int(rng.integers(0, 60))] = f"n{int(rng.integers(0, 50))}"
+        data.append((500 + d, " ".join(w)))
     data += [(900 + k, " ".join(f"s{k % 3}{j}" for j in range(k % 9))) for k in range(30)]
     df = documents(spark, [(d, t, None, None) for d, t in data])
     got = sorted(map(tuple, jaccard_join.jaccard_components(df).collect()))
     assert got == components_py(data)
 
 
+def test_tree_gives_every_pair_within_the_bound():
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 6, (700, 8)) + rng.integers(0, 3, (700, 1))
+    size = points.sum(1)
+    tree = jaccard_join.RTree(points, size)
+    i, j = jaccard_join.tree_pairs(tree, tree, 80)
+    got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())}
+    bound = np.minimum(points[:, None], points[None]).sum(2) >= jaccard_join.least_overlap(size[:, None] + size[None])
+    want = {(x, y) for x, y in zip(*np.nonzero(bound)) if x < y and min(size[x], size[y]) * 100 >= 80 * max(size[x], size[y])}
+    assert got == want and len(got) == len(i)
+    two = jaccard_join.RTree(points[:100], size[:100])
+    i, j = jaccard_join.tree_pairs(two, tree, 80)
+    assert {(x, y) for x, y in zip(i.tolist(), j.tolist()) if x < y} == {(x, y) for x, y in want if x < 100}
+
+
+def test_word_hashes_of_bytes():
+    import pyarrow as pa
+
+    from tallyforge.llm import byte_words
+
+    texts = [None, "", " a  B\tc", "été\u00a0x Ab", "ab", "aB\n", "x" * 300_000 + " y " + "x" * 300_000] + [" ".join(f"w{k}" for k in range(n)) for n in range(50)]
+    h, n = byte_words.word_hashes(pa.array([""] + texts).slice(1))
+    words = [w for t in texts for w in SPACED.findall((t or "").translate(LOWER))]
+    assert n.tolist() == [len(SPACED.findall(t or "")) for t in texts] and len(set(h.tolist())) == len(set(words))
+    assert len(set(zip(words, h.tolist()))) == len(set(words))
+    slots = byte_words.Slots(8)
+    keys = np.unique(h)
+    assert (slots.find(keys) == -1).all()
+    slots.add(keys)
+    assert slots.find(keys[::-1]).tolist() == list(range(len(keys)))[::-1] and slots.find(keys[:3] + np.uint64(1)).tolist() == [-1] * 3
+
+
 def test_components_odd(spark, odd, empty):
     got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()))
     assert got == components_py([(r[0], r[1]) for r in ODD])
