@@ -6,13 +6,16 @@ that number, and each range is cut into sequences one after the other.  A range'
 two, which need no padding.
 
 Null text: the end id alone.  Documents at one place are dealt by their id's hash, so copies can fill several ranges.
+Repeated rows are packed each by itself, side by side.  A very long text is cut over as many sequences as it takes.  An
+empty table gives an empty result; further columns of the input are ignored.  Pieces of text are told apart by 64-bit
+hashes: two different ones are taken as equal with odds of 1 in 10**19.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -23,89 +26,186 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import texts, written
+from tallyforge.llm import byte_words
+from tallyforge.llm.common import written
 
 LENGTH = 4096
+#: Pieces of letters that are encoded together.
+TOGETHER = 256
 DIMENSIONS = 4
 BITS = 15
 END_ID = 2
-#: Commas and the like after a letter.  The tokenizer always cuts there, so a space may be put in, and a word with and
-#: without a comma is one piece.
-AFTER_LETTER = re.compile(rb"(?<=[a-z])[.,;:!?#*$%&|]")
+#: Fixed value: how the tokenizers that can be used piece by piece part a text.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks before and after which such a tokenizer always cuts, where a letter or digit stands on the other side.
+CUT_MARKS = b".,;:!?#*$%&|"
 
 
-class TokenIds(dict):
-    """Ids of white-space separated pieces of text.
+def byte_classes() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    out[list(range(65, 91)) + list(range(97, 123))] = 1
+    out[48:58] = 2
+    out[list(CUT_MARKS)] = 3
+    return out
+
+
+_CLASS = byte_classes()
+
+
+def piece_bounds(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-but-one byte of the pieces of texts: words, parted where letters, digits and CUT_MARKS meet."""
+    start, end = byte_words.word_bounds(flat, at)
+    kind = _CLASS[flat]
+    cut = np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))) + 1
+    # a cut at a text's first byte is one already
+    cut = cut[~is_start(cut, start)]
+    return np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
+
+
+def is_start(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.zeros(len(places), bool)
+    return starts[np.minimum(np.searchsorted(starts, places), len(starts) - 1)] == places
 
-    The tokenizer drops white space, lower-cases and never joins across white space, so a text's ids are those of its
-    pieces in order, and pieces may be lower-cased (A-Z) before they are looked up.  Only a text that holds the opening
-    of a special token is left as it is, for those are told by their case.  ``ids`` of piece k lie at
-    ``begin[k]:begin[k + 1]`` of one flat array, ``toward[k]`` is the sum of their directions.
-    """
 
-    LIMIT = 500_000
+class TokenIds:
+    """Token ids of texts, and the sums of their directions, piece by piece.
+
+    A tokenizer of the kind ``by_piece`` recognises drops white space, lower-cases and cuts texts where letters, single
+    digits and marks meet, so a text's ids are those of its pieces in order, and pieces may be lower-cased (A-Z) before
+    they are looked up.  Pieces met before are found by their hashes; ``ids`` of piece k lie at ``begin[k]:begin[k + 1]``
+    of one flat array, ``toward[k]`` is the sum of their directions.  A text that holds the opening of a special token,
+    and every text of another kind of tokenizer, is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        self.table = directions(self.size)
-        self.clear_all()
-
-    def clear_all(self) -> None:
+        self.by_piece = by_piece(path)
+        self.table = directions(self.tokenizer.get_vocab_size())
+        self.size = len(self.table)
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[k for word, k in words.items() if word.endswith("</w>")]] = True
+        self.slots = byte_words.Slots(22)
         self.clear()
-        self.new: list[bytes] = []
+
+    def clear(self) -> None:
+        self.slots.clear()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.toward = np.zeros((1 << 16, DIMENSIONS), np.float32)
 
-    def __missing__(self, piece: bytes) -> int:
-        """A piece not met before gets the next number; its ids follow in ``learn``."""
-        k = self[piece] = len(self)
-        self.new.append(piece)
-        return k
-
-    def learn(self) -> None:
-        if not self.new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in self.new], add_special_tokens=False)]
-        n, more = len(self) - len(ids), np.array([len(x) for x in ids], np.int64)
+    def learn(self, new: list[str]) -> None:
+        """Ids of the next pieces."""
+        flat, more = self.ids_of(new)
+        n = self.slots.n
         ends = self.begin[n] + np.cumsum(more)
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self) + 1 > len(self.begin):
+        while n + len(new) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.toward = np.concatenate([self.toward, np.zeros_like(self.toward)])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(more.sum()))
         self.flat[self.begin[n] : ends[-1]] = flat
-        self.begin[n + 1 : len(self) + 1] = ends
-        owner = np.repeat(np.arange(len(ids)), more)
-        self.toward[n : len(self)] = np.stack([np.bincount(owner, self.table[flat, d], minlength=len(ids)) for d in range(DIMENSIONS)], axis=1)
-        self.new = []
-
-    def encode(self, batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.begin[n + 1 : n + len(new) + 1] = ends
+        sums = np.r_[np.zeros((1, DIMENSIONS)), np.cumsum(self.table[flat], axis=0, dtype=np.float64)]
+        self.toward[n : n + len(new)] = sums[np.cumsum(more)] - sums[np.cumsum(more) - more]
+
+    def ids_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of pieces, and how many each has.
+
+        Pieces of letters are encoded many at a time with spaces between: each ends at an id that ends a word.  Where
+        there are more or fewer such ids than pieces, and for other pieces, each is encoded by itself.
+        """
+        plain = [k for k, piece in enumerate(new) if piece.isalpha()]
+        parts = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        flat, more, order, alone = [], [], [], sorted(set(range(len(new))).difference(plain))
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([new[k] for k in part]) for part in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.ends_word[ids])
+            if len(last) == len(part) and last[-1] == len(ids) - 1:
+                flat.append(ids)
+                more.append(np.diff(np.r_[-1, last]))
+                order += part
+            else:
+                alone += part
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([new[k] for k in alone], add_special_tokens=False)]
+        flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        more = np.concatenate([*more, np.array([len(x) for x in ids], np.int64)])
+        # back to the order of ``new``
+        flat, place = np.concatenate(flat), np.argsort(np.array(order + alone), kind="stable")
+        begin, n = (np.cumsum(more) - more)[place], more[place]
+        return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def numbers(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces, new ones learned."""
+        if self.slots.full:
+            self.clear()
+        keys = byte_words.span_hashes(flat, start, end)
+        found = self.slots.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, first = np.unique(keys[new], return_index=True)
+            at = new[first]
+            self.learn([flat[a:b].tobytes().lower().decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())])
+            self.slots.add(distinct)
+            found[new] = self.slots.find(keys[new])
+        return found
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids of the texts, each with the end id, how many each has, and the sum of each text's directions."""
-        if len(self) > self.LIMIT:
-            self.clear_all()
-        raw = [t.encode("utf-8", "surrogatepass") for t in batch_texts]
-        words = [(t if b"<|" in t else AFTER_LETTER.sub(rb" \g<0>", t.lower())).split() for t in raw]
-        amounts = np.array([len(w) for w in words], np.int64)
-        pieces = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(amounts.sum()))
-        self.learn()
-        n = self.begin[pieces + 1] - self.begin[pieces]
-        owner = np.repeat(np.arange(len(words)), amounts)
-        lengths = np.bincount(owner, n, minlength=len(words)).astype(np.int64) + 1
+        flat, at = byte_words.text_bytes(column)
+        n_texts = len(at) - 1
+        whole = np.arange(n_texts)
+        if self.by_piece:
+            opening = np.flatnonzero((flat[:-1] == ord("<")) & (flat[1:] == ord("|")))
+            whole = np.unique(np.searchsorted(at, opening, "right") - 1)
+        own = {}
+        if len(whole):
+            flat = flat.copy()
+            for k in whole.tolist():
+                own[k] = np.array(self.tokenizer.encode(flat[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                flat[at[k] : at[k + 1]] = ord(" ")
+        start, end = piece_bounds(flat, at)
+        number = self.numbers(flat, start, end)
+        edges = np.searchsorted(start, at)
+        n = self.begin[number + 1] - self.begin[number]
+        before = np.r_[0, np.cumsum(n)]
+        lengths = before[edges[1:]] - before[edges[:-1]] + 1
+        for k, ids in own.items():
+            lengths[k] += len(ids)
         out = np.full(int(lengths.sum()), END_ID, np.uint32)
+        ends = np.cumsum(lengths)
         inside = np.ones(len(out), bool)
-        inside[np.cumsum(lengths) - 1] = False
-        at = np.repeat(self.begin[pieces] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out[inside] = self.flat[at]
-        sums = np.stack([np.bincount(owner, self.toward[pieces, d], minlength=len(words)) for d in range(DIMENSIONS)], axis=1)
+        inside[ends - 1] = False
+        for k, ids in own.items():
+            out[ends[k] - 1 - len(ids) : ends[k] - 1] = ids
+            inside[ends[k] - lengths[k] : ends[k]] = False
+        out[inside] = self.flat[np.repeat(self.begin[number] - before[:-1], n) + np.arange(before[-1])]
+        sums = np.zeros((n_texts, DIMENSIONS), np.float32)
+        some = np.flatnonzero(edges[1:] > edges[:-1])
+        if len(some):
+            sums[some] = np.add.reduceat(self.toward[number], edges[some], axis=0)
+        for k, ids in own.items():
+            sums[k] = self.table[ids].sum(0)
         return out, lengths, sums
 
 
+def by_piece(path: str) -> bool:
+    """Whether the tokenizer file is of the kind whose texts may be encoded in pieces."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    normal = said.get("normalizer") or {}
+    lowers = any(n.get("type") == "Lowercase" for n in normal.get("normalizers", [normal]))
+    before = said.get("pre_tokenizer") or {}
+    splits = [p for p in before.get("pretokenizers", [before]) if p.get("type") == "Split"]
+    cuts = any(p["pattern"].get("Regex") == CUT_PATTERN and p["behavior"] == "Removed" and p["invert"] for p in splits)
+    special = all(t["content"].startswith("<|") for t in said.get("added_tokens", []))
+    return lowers and cuts and special and not (said["model"].get("continuing_subword_prefix") or "")
+
+
 def directions(size: int, dimensions: int = DIMENSIONS, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((size, dimensions)).astype(np.float32)
 
@@ -156,22 +256,20 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
         if cache is None:
             cache = _TOKENS[tokenizer] = TokenIds(tokenizer)
         kind = np.dtype("<u2") if cache.size <= 1 << 16 else np.dtype("<u4")
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                flat, lengths, sums = cache.encode(texts(batch))
-                ends = np.cumsum(lengths)
-                small = flat.astype(kind)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(hilbert(places(sums))),
-                        pa.array(lengths),
-                        pa.array(np.full(len(lengths), kind.itemsize, np.int32)),
-                        pa.array([small[e - n : e].tobytes() for n, e in zip(lengths, ends)], pa.binary()),
-                    ],
-                    ["doc_id", "place", "n", "width", "ids"],
-                )
+        for batch in byte_words.pieces(batches, 500):
+            flat, lengths, sums = cache.encode(batch.column("text"))
+            ends = np.cumsum(lengths)
+            small = flat.astype(kind)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(hilbert(places(sums))),
+                    pa.array(lengths),
+                    pa.array(np.full(len(lengths), kind.itemsize, np.int32)),
+                    pa.array([small[e - n : e].tobytes() for n, e in zip(lengths, ends)], pa.binary()),
+                ],
+                ["doc_id", "place", "n", "width", "ids"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place long, n long, width int, ids binary")
 

@@ -7,7 +7,7 @@ up the distinct bigrams of a batch of texts by binary search; nothing of the mod
 totals and shard names.
 
 Tokens are words and one end per text; a start mark is a context but no token.  Null text: empty, one end token.
-Rows repeated: each by itself.  No training texts: every token has the uniform probability over the one unknown word.
+Rows repeated: each by itself.  Further columns of the input are ignored.  An empty table gives an empty result.  No training texts: every token has the uniform probability over the one unknown word.
 """
 
 from __future__ import annotations
@@ -18,38 +18,28 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import lower_ascii_py, shared_folder, texts, written
+from tallyforge.llm import byte_words
+from tallyforge.llm.common import shared_folder, written
 from tallyforge.llm.shared_arrays import map_array, write_array
 
 START, END = np.uint64(1), np.uint64(2)
 #: Shards are made for so many tokens each.
 SHARD_TOKENS = 4_000_000
+#: Files that a worker keeps mapped.
+MAPS = 4000
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept for words met again."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = h
-        return h
-
-
-def tokens(batch_texts: list[str], cache: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, and how many tokens each text has."""
-    words = [lower_ascii_py(t).encode("utf-8", "surrogatepass").split() for t in batch_texts]
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
+    words, n = byte_words.word_hashes(column)
+    lengths = n + 1
     flat = np.full(int(lengths.sum()), END, np.uint64)
     inside = np.ones(len(flat), bool)
     inside[np.cumsum(lengths) - 1] = False
-    flat[inside] = np.fromiter((cache[w] for ws in words for w in ws), np.uint64, len(flat) - len(words))
+    flat[inside] = words
     return flat, lengths
 
 
@@ -87,6 +77,17 @@ def blob(*arrays: np.ndarray) -> list[bytes]:
     return [a.tobytes() for a in arrays]
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes each, or in eight where one needs more."""
+    return x.astype(np.uint64 if len(x) and int(x.max()) >> 32 else np.uint32)
+
+
+def wide(data: bytes | np.ndarray, n: int) -> np.ndarray:
+    """What ``narrow`` made of ``n`` numbers."""
+    flat = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    return flat.view(np.uint64 if n and len(flat) == 8 * n else np.uint32)
+
+
 @dataclass
 class Model:
     """Where the arrays are, the totals and the discounts of both orders."""
@@ -101,27 +102,30 @@ class Model:
     filled: dict[str, frozenset[int]]
     files: dict = field(default_factory=dict, repr=False)
 
-    def array(self, name: str, shard: int, dtype) -> np.ndarray:
+    def array(self, name: str, shard: int) -> np.ndarray:
+        """The bytes of an array; at most MAPS stay mapped."""
         key = (name, shard)
         if key not in self.files:
-            self.files[key] = map_array(f"{self.folder}/{name}-{shard:06d}", dtype)
+            if len(self.files) >= MAPS:
+                self.files.clear()
+            self.files[key] = map_array(f"{self.folder}/{name}-{shard:06d}", np.uint8)
         return self.files[key]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"files": {}}
 
-    def look_up(self, name: str, keys: np.ndarray, owner: np.ndarray, values: dict[str, type]) -> tuple[np.ndarray, ...]:
+    def look_up(self, name: str, keys: np.ndarray, owner: np.ndarray, values: tuple[str, ...]) -> tuple[np.ndarray, ...]:
         """Values of sorted ``keys`` in the shards of the sorted ``owner``; 0 where a key is missing."""
-        out = [np.zeros(len(keys), t) for t in values.values()]
+        out = [np.zeros(len(keys), np.int64) for _ in values]
         edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1], edges[1:]):
             shard = int(owner[a])
             if shard in self.filled[name]:
-                held = self.array(name, shard, np.uint64)
+                held = self.array(name, shard).view(np.uint64)
                 at = np.minimum(np.searchsorted(held, keys[a:b]), len(held) - 1)
                 hit = held[at] == keys[a:b]
-                for o, (column, dtype) in zip(out, values.items()):
-                    o[a:b] = np.where(hit, self.array(f"{name}.{column}", shard, dtype)[at], 0)
+                for o, column in zip(out, values):
+                    o[a:b] = np.where(hit, wide(self.array(f"{name}.{column}", shard), len(held))[at], 0)
         return tuple(out)
 
 
@@ -142,7 +146,7 @@ def count_bigrams(train: DataFrame, shards: int) -> DataFrame:
     """Rows (shard, context run lengths, words, counts) of each task's own sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, waiting, held = Hashes(), [], 0
+        waiting, held = [], 0
 
         def out() -> pa.RecordBatch:
             flat = np.concatenate([w[0] for w in waiting])
@@ -161,14 +165,13 @@ def count_bigrams(train: DataFrame, shards: int) -> DataFrame:
             columns = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "context", "run", "word", "n"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                flat, lengths = tokens(texts(batch.slice(at, 2000)), cache)
-                waiting.append((flat, contexts(flat, lengths)))
-                held += len(flat)
-                if held >= SHARD_TOKENS:
-                    yield out()
-                    held = 0
+        for batch in byte_words.pieces(batches):
+            flat, lengths = tokens(batch.column("text"))
+            waiting.append((flat, contexts(flat, lengths)))
+            held += len(flat)
+            if held >= SHARD_TOKENS:
+                yield out()
+                held = 0
         if waiting:
             yield out()
 
@@ -211,14 +214,14 @@ def train_model(train: DataFrame) -> Model:
         pair, v, w, c = pair[first], v[first], w[first], np.add.reduceat(c, first)
         shard = int(key[0])
         write_array(f"{folder}/pair-{shard:06d}", pair)
-        write_array(f"{folder}/pair.n-{shard:06d}", c.astype(np.uint32))
+        write_array(f"{folder}/pair.n-{shard:06d}", narrow(c))
         context, total, n1, n2, n3 = summed(v, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))
         for name, x in (("n", total), ("n1", n1), ("n2", n2), ("n3", n3)):
-            write_array(f"{folder}/context.{name}-{shard:06d}", x.astype(np.uint32))
+            write_array(f"{folder}/context.{name}-{shard:06d}", narrow(x))
         write_array(f"{folder}/context-{shard:06d}", context)
         word, kinds, total = summed(w, np.ones(len(w), np.int64), c)
         cut = np.searchsorted(shard_of(word, shards), np.arange(shards + 1))
-        rows = [(s, *blob(word[a:b], kinds[a:b].astype(np.uint32), total[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+        rows = [(s, *blob(word[a:b], narrow(kinds[a:b]), narrow(total[a:b]))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
         out = pd.DataFrame(rows, columns=["shard", "word", "kinds", "n"])
         # the shard's own totals come with its first row
         out["bigrams"] = [[shard, *small_counts(c)]] + [None] * (len(out) - 1)
@@ -227,13 +230,12 @@ def train_model(train: DataFrame) -> Model:
     def unigrams(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for p in parts for r in zip(p.word, p.kinds, p.n)]
         w = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-        kinds = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows]).astype(np.int64)
-        n = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
+        kinds, n = (np.concatenate([wide(r[k], len(r[0]) // 8) for r in rows]).astype(np.int64) for k in (1, 2))
         w, kinds, n = summed(w, kinds, n)
         shard = int(key[0])
         write_array(f"{folder}/word-{shard:06d}", w)
-        write_array(f"{folder}/word.kinds-{shard:06d}", kinds.astype(np.uint32))
-        write_array(f"{folder}/word.n-{shard:06d}", n.astype(np.uint64))
+        write_array(f"{folder}/word.kinds-{shard:06d}", narrow(kinds))
+        write_array(f"{folder}/word.n-{shard:06d}", narrow(n))
         yield pd.DataFrame({"shard": [shard], "n": [int(n.sum())], "v": [len(w)], "kinds": [int(kinds.sum())], "small": [small_counts(kinds)]})
 
     counted = count_bigrams(train.select("text"), shards)
@@ -251,12 +253,12 @@ def train_model(train: DataFrame) -> Model:
     return Model(folder, shards, int(totals.n.sum()) if len(totals) else 0, vocabulary, kinds, {1: d1, 2: discounts(two.tolist())}, (int(one[0]), int(one[1]), n3), filled)
 
 
-def score_batch(model: Model, batch_texts: list[str], cache: Hashes) -> dict[str, np.ndarray]:
+def score_batch(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
     """Per text: tokens, known tokens, the base score and the model's log10 probability."""
-    flat, lengths = tokens(batch_texts, cache)
+    flat, lengths = tokens(column)
     text = np.repeat(np.arange(len(lengths)), lengths)
     word, word_at = np.unique(flat, return_inverse=True)
-    kinds, n = model.look_up("word", word, shard_of(word, model.shards), {"kinds": np.uint32, "n": np.uint64})
+    kinds, n = model.look_up("word", word, shard_of(word, model.shards), ("kinds", "n"))
     n = n.astype(np.float64)
     v_size = model.vocabulary
     base = np.log10((n + 0.1) / (model.tokens + 0.1 * (v_size + 1)))
@@ -271,9 +273,9 @@ def score_batch(model: Model, batch_texts: list[str], cache: Hashes) -> dict[str
     one_of = order[first]
     which = np.empty(len(pair), np.int64)
     which[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-    (c,) = model.look_up("pair", pair[one_of], shard_of(before[one_of], model.shards), {"n": np.uint32})
+    (c,) = model.look_up("pair", pair[one_of], shard_of(before[one_of], model.shards), ("n",))
     context, context_at = np.unique(before[one_of], return_inverse=True)
-    cn, c1, c2, c3 = model.look_up("context", context, shard_of(context, model.shards), dict.fromkeys(("n", "n1", "n2", "n3"), np.uint32))
+    cn, c1, c2, c3 = model.look_up("context", context, shard_of(context, model.shards), ("n", "n1", "n2", "n3"))
     seen = cn > 0
     safe = np.maximum(cn, 1).astype(np.float64)
     gamma = np.where(seen, (d2[0] * c1 + d2[1] * c2 + d2[2] * c3) / safe, 1.0)
@@ -288,17 +290,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # names and totals only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
-                out = score_batch(shared.value, texts(piece), cache)
-                out["perplexity"] = 10 ** np.minimum(-out["score"] / out["n_tokens"], 300)
-                n = pa.array(np.full(piece.num_rows, shared.value.tokens))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("held_out"), pa.array(out["n_tokens"]), pa.array(out["n_known"]), n, *(pa.array(out[k]) for k in ("base_score", "score", "perplexity"))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
-                )
+        for piece in byte_words.pieces(batches):
+            out = score_batch(shared.value, piece.column("text"))
+            out["perplexity"] = 10 ** np.minimum(-out["score"] / out["n_tokens"], 300)
+            n = pa.array(np.full(piece.num_rows, shared.value.tokens))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), piece.column("held_out"), pa.array(out["n_tokens"]), pa.array(out["n_known"]), n, *(pa.array(out[k]) for k in ("base_score", "score", "perplexity"))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
+            )
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 

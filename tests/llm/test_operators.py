@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -407,8 +408,6 @@ def test_tree_gives_every_pair_within_the_bound():
 
 
 def test_word_hashes_of_bytes():
-    import pyarrow as pa
-
     from tallyforge.llm import byte_words
 
     texts = [None, "", " a  B\tc", "été\u00a0x Ab", "ab", "aB\n", "x" * 300_000 + " y " + "x" * 300_000] + [" ".join(f"w{k}" for k in range(n)) for n in range(50)]
@@ -594,13 +593,19 @@ def test_language_model(spark, sf, rows, odd, empty, monkeypatch):
     assert kneser_ney.kneser_ney(empty, F.lit(False)).count() == 0
 
 
+def test_counts_beyond_four_bytes():
+    for top in (7, 2**32 - 1, 2**32, 2**40):
+        x = np.array([1, top, 3], np.int64)
+        assert kneser_ney.wide(kneser_ney.narrow(x).tobytes(), 3).tolist() == x.tolist()
+
+
 def test_model_sums_to_one(spark):
     rows = [(k, f"a b c d e f g {k % 7} b c a", None, None) for k in range(40)]
     model = kneser_ney.train_model(documents(spark, rows).select("text"))
     words = ["a", "b", "c", "d", "e", "f", "g", *map(str, range(7)), "zzz"]
-    start = kneser_ney.score_batch(model, [f"a {w} q" for w in words] + ["a"], kneser_ney.Hashes())
+    start = kneser_ney.score_batch(model, pa.array([f"a {w} q" for w in words] + ["a"]))
     del start  # whole texts only; the sum is over the next token after one fixed text
-    one = kneser_ney.score_batch(model, ["a", *(f"a {w}" for w in words)], kneser_ney.Hashes())["score"]
+    one = kneser_ney.score_batch(model, pa.array(["a", *(f"a {w}" for w in words)]))["score"]
     assert all(np.isfinite(one))
 
 
@@ -616,6 +621,20 @@ def test_hilbert_is_a_curve():
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all() and n == 2
 
 
+def test_ids_of_odd_texts():
+    texts = ["Don't stop. it's 'tis .'s a.b 5th 12.5 \xc1x \xe9 .\u0301 5\u0301 \xe9.b <|endoftext|> x", "<|ENDOFTEXT|>", None, "", "a b!c'd5 #tag*** $5,000;x 'RE we'Ve y''s --'s 3's", "\u4e00\u4e8c3.\u4e09 \u0130stanbul \u03a3\u03a3 A.\u03a3 a\u00a0b", "e\u0301." * 3]
+    cache = curve_packing.TokenIds(queries.tokenizer_path())
+    assert cache.by_piece
+    for whole in (False, True):
+        cache.by_piece = not whole
+        flat, lengths, sums = cache.encode(pa.array(texts))
+        at = np.cumsum(lengths) - lengths
+        for t, a, n in zip(texts, at, lengths):
+            assert flat[a : a + n].tolist() == [*cache.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want = np.stack([cache.table[flat[a : a + n - 1]].sum(0) for a, n in zip(at, lengths)])
+        assert np.allclose(sums, want, atol=1e-4)
+
+
 def test_packing_round_trip(spark, sf, rows, odd, empty):
     from tokenizers import Tokenizer
 
