@@ -190,12 +190,13 @@ def license_py(text):
         at += hits
         if hits:
             base.add(label)
-    for line in (text or "").split("\n"):
-        mine = set(WORD.findall(line.translate(LOWER)))
-        for _, label, t in license_join.template_rows():
-            if len(mine & set(t)) >= math.ceil(0.8 * len(t) - 1e-9):
+    for (_, label, t), (_, said) in zip(license_join.template_rows(), license_join.TEMPLATES):
+        width, own = math.ceil(1.5 * len(re.findall("[0-9A-Za-z]+", said))), set(t)
+        if len(own.intersection(words)) >= math.ceil(0.8 * len(t) - 1e-9):
+            best = max(len(own.intersection(words[k : k + width])) for k, w in enumerate(words) if w in own)
+            if best >= math.ceil(0.8 * len(t) - 1e-9):
                 labels.add(label)
-                score = max(score, len(mine & set(t)) / len(t))
+                score = max(score, best / len(t))
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if at else score
 
 
@@ -220,6 +221,18 @@ def test_licenses_across_lines(spark):
     assert license_join.license_scan(documents(spark, [(1, long, "en", "a")])).first().labels == ""
 
 
+def test_many_phrase_places(spark):
+    import time
+
+    text = "see the MIT License, then the words of the public license; " * 10_000
+    docs = documents(spark, [(1, text, "en", "a"), (2, "mit\x00license mit \u212a license", "en", "a")])
+    license_join.license_scan(docs).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in license_join.license_scan(docs).collect()}
+    assert got[1].n_base == 10_000 and got[1].first_word == 2 and got[1].last_word == 11 * 9_999 + 2 and got[1].n_words == 110_000
+    assert got[2].n_base == 1 and got[2].n_words == 5 and time.time() - began < 10
+
+
 # 4 host rules
 
 
