@@ -45,7 +45,7 @@ PERCENT = 80
 GROUPS, COARSE = 32, 8
 #: Contents named by more points are named last by all; so many contents at most, the most frequent ones.
 SMALL, MOST_FREQUENT = 64, 1_000_000
-#: Points of one content that one task may hold as a tree, pairs per point that the tree may leave.
+#: Points of one content that one task may hold as a tree, pairs per point that the tree may leave; all pairs of SMALL points are always few enough.
 LARGE, PAIRS_EACH = 4096, 4
 BLOCK = 512
 LEAF, FAN = 16, 8
@@ -385,7 +385,7 @@ def candidates(nodes: DataFrame, width: int, percent: int) -> DataFrame:
             pairs = None
             if len(mine) <= LARGE:
                 tree = RTree(CODES[point[mine]], size[mine].astype(np.int64))
-                pairs = tree_pairs(tree, tree, percent, PAIRS_EACH * len(mine))
+                pairs = tree_pairs(tree, tree, percent, max(PAIRS_EACH * len(mine), SMALL * (SMALL - 1) // 2))
             if pairs is None:
                 out_a.append(np.full(len(mine), node[mine].min()))  # a star around the smallest node
                 out_b.append(node[mine])
@@ -438,7 +438,8 @@ def overlap(s: np.ndarray, t: np.ndarray) -> int:
 def hot_blocks(hot: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Points of the open contents that lie in several components, in blocks of at most BLOCK: one row each, with its box.
 
-    Blocks are cut from ranges of (content, component, size), so a content of any size is spread over tasks.
+    Blocks are cut from ranges of (content, component, size), so a content of any size is spread over tasks.  A block's
+    number is a hash of its points, so contents that the same points share have the same blocks.
     """
     marked = hot.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = marked.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
@@ -454,7 +455,7 @@ def hot_blocks(hot: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
                 part = batch.slice(a, b - a)
                 points = np.frombuffer(b"".join(part.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
                 size, component = part.column("n_shingles").to_numpy(), part.column("component").to_numpy()
-                one = {"sig": int(sig[a]), "block": uuid.uuid4().int >> 65, "n_low": int(size.min()), "n_high": int(size.max()), "c_low": int(component.min()), "c_high": int(component.max())}
+                one = {"sig": int(sig[a]), "block": xxhash.xxh3_64_intdigest(part.column("node").to_numpy().tobytes()) >> 1, "n_low": int(size.min()), "n_high": int(size.max()), "c_low": int(component.min()), "c_high": int(component.max())}
                 blobs = {"box": points.max(0), "nodes": part.column("node").to_numpy(), "sizes": size, "components": component, "points": points}
                 places = {c: part.column(c).to_pylist() for c in PLACE}
                 yield pa.RecordBatch.from_pylist([one | {k: v.tobytes() for k, v in blobs.items()} | places], BLOCK_SCHEMA)
@@ -488,7 +489,12 @@ def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, p
         apart = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
         return pd.DataFrame({"i": block[i[apart]], "j": block[j[apart]]})
 
-    pairs = written(blocks.select("sig", "block", "box", "n_low", "n_high", "c_low", "c_high").groupBy("sig").applyInPandas(upper, "i long, j long"), "block-pairs")
+    boxes = blocks.select("sig", "block", "box", "n_low", "n_high", "c_low", "c_high")
+    several = boxes.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    # a content of one block is compared with itself
+    alone = boxes.join(several, "sig", "left_anti").where("c_low != c_high").select(F.col("block").alias("i"), F.col("block").alias("j"))
+    pairs = written(boxes.join(several, "sig").groupBy("sig").applyInPandas(upper, "i long, j long").unionByName(alone).distinct(), "block-pairs")
+    blocks = blocks.dropDuplicates(["block"])
     one = blocks.select(F.col("block").alias("i"), F.struct(*_BLOBS[1:], *PLACE).alias("x"))
     two = blocks.select(F.col("block").alias("j"), F.struct(*_BLOBS[1:], *PLACE).alias("y"))
 
@@ -501,7 +507,6 @@ def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, p
                     for c in ("nodes", "sizes", "components"):
                         s[c] = np.frombuffer(s[c], np.int64)
                     trees.append(RTree(np.frombuffer(s["points"], np.int32).reshape(-1, GROUPS), s["sizes"]))
-                    s["bits"] = bitmaps(sets, s)
                 if row["i"] == row["j"]:
                     trees[1] = trees[0]
                 i, j = tree_pairs(trees[0], trees[1], percent)
@@ -510,9 +515,10 @@ def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, p
                 i, j = i[apart], j[apart]
                 need = least_overlap(x["sizes"][i] + y["sizes"][j], percent)
                 a, b = [], []
+                bits = [bitmaps(sets, s, np.unique(k)) for s, k in ((x, i), (y, j))]
                 for k in range(0, len(i), 20_000):
                     p, q, n = i[k : k + 20_000], j[k : k + 20_000], need[k : k + 20_000]
-                    differ = np.bitwise_count(x["bits"][p] ^ y["bits"][q]).sum(1, dtype=np.int64)
+                    differ = np.bitwise_count(bits[0][p] ^ bits[1][q]).sum(1, dtype=np.int64)
                     near = differ <= x["sizes"][p] + y["sizes"][q] - 2 * n
                     for s, t, least in zip(p[near], q[near], n[near]):
                         if overlap(sets.get(*(x[c][s] for c in PLACE)), sets.get(*(y[c][t] for c in PLACE))) >= least:
@@ -524,12 +530,14 @@ def hot_pairs(hot: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, p
     return dealt.select("i", "j", "x", "y").mapInArrow(leaves, "a long, b long").distinct()
 
 
-def bitmaps(sets: Sets, block: dict, bits: int = 2048) -> np.ndarray:
-    """Each set as ``bits`` bits, one set per shingle: two sets differ in at least as many shingles as bits."""
-    out = np.zeros((len(block["nodes"]), bits), np.uint8)
-    for k, place in enumerate(zip(*(block[c] for c in PLACE))):
-        out[k, ((sets.get(*place) >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+def bitmaps(sets: Sets, block: dict, rows: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """The sets of ``rows`` as ``bits`` bits, one for each shingle: two sets differ in at least as many shingles as bits."""
+    out = np.zeros((len(block["nodes"]), bits // 64), np.uint64)
+    for k in rows:
+        one = np.zeros(bits, np.uint8)
+        one[((sets.get(*(block[c][k] for c in PLACE)) >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = 1
+        out[k] = np.packbits(one).view(np.uint64)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
