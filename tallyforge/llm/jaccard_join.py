@@ -153,8 +153,8 @@ def contents(sets: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, freque
 PLACE = ("folder", "file", "piece", "first", "n_words")
 
 
-def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, a digest of its set, its point, its named contents, and where its words are.
+def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per row: ``doc_id``, ``n_shingles``, a digest of its set, its point, and where its words are.
 
     Each task keeps its words in one file of the shared folder: piece by piece, the distinct word hashes and then each
     word's number among these, so that sets can be made again where a pair is verified without moving texts.
@@ -171,10 +171,6 @@ def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
             kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
             kept = kept or ArrayFile(f"{folder}/{name}")
             piece = kept.append(np.array([len(distinct), np.dtype(kind).itemsize], np.uint64), distinct, number.astype(kind))
-            sig, doc = contents(sets, sizes, percent)
-            order = np.argsort(doc, kind="stable")
-            cut = np.searchsorted(doc[order], np.arange(len(sizes) + 1))
-            sig = sig[order]
             points = count_vectors(sets, sizes).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -186,14 +182,13 @@ def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
                     pa.array(np.cumsum(lengths) - lengths),
                     pa.array(lengths),
                     pa.array([p.tobytes() for p in points], pa.binary()),
-                    pa.array([sig[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "file", "piece", "first", "n_words", "point", "named"],
+                ["doc_id", "n_shingles", "digest", "file", "piece", "first", "n_words", "point"],
             )
         if kept:
             kept.close()
 
-    schema = "doc_id long, n_shingles long, digest binary, file string, piece long, first long, n_words long, point binary, named binary"
+    schema = "doc_id long, n_shingles long, digest binary, file string, piece long, first long, n_words long, point binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     return written(rows.withColumn("folder", F.lit(folder)), "sets")
 
@@ -230,15 +225,31 @@ def many_sets(read: Sets, places: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(np.concatenate(words), np.array([len(w) for w in words], np.int64), read.width)
 
 
-def frequent_contents(nodes: DataFrame, shards: int) -> np.ndarray:
+def some_words(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` words; a longer text is one by itself."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n_words").to_numpy())
+        row = 0
+        while row < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")) - row)
+            yield batch.slice(row, n)
+            row += n
+
+
+def places_of(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in PLACE)))
+
+
+def frequent_contents(nodes: DataFrame, shards: int, width: int, percent: int) -> np.ndarray:
     """Contents named by more than SMALL points, sorted; of these the MOST_FREQUENT at most, whatever the size of the table.
 
     They only set an order of the contents, so any choice gives the same links.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.sort(np.frombuffer(b"".join(batch.column("named").to_pylist()), np.uint64))
+        read = Sets(width)
+        for batch in some_words(batches):
+            sig = np.sort(contents(*many_sets(read, places_of(batch)), percent)[0])
             cut = np.searchsorted(shard_of(sig, shards), np.arange(shards + 1))
             rows = [(s, sig[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             if rows:
@@ -251,7 +262,7 @@ def frequent_contents(nodes: DataFrame, shards: int) -> np.ndarray:
         many = n > SMALL
         return pd.DataFrame({"sig": sig[first[many]].view(np.int64), "n": n[many]})
 
-    counted = nodes.select("named").mapInArrow(deal, "shard int, sig binary").groupBy("shard").applyInPandas(count, "sig long, n long")
+    counted = nodes.select(*PLACE).mapInArrow(deal, "shard int, sig binary").groupBy("shard").applyInPandas(count, "sig long, n long")
     found = counted.orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).select("sig").toArrow()
     return np.sort(found.column("sig").to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
@@ -328,39 +339,31 @@ def children(opened: np.ndarray, other: np.ndarray, fan: int, n: int) -> tuple[n
 
 def candidates(nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows (``hot``, ``a``, ``b``): pairs of points that the trees leave, and content and point of contents left open."""
-    total = nodes.agg(F.coalesce(F.sum(F.length("named")), F.lit(0)).alias("n")).collect()[0].n // 8
-    shards = max(1, math.ceil(total / SHARD_ROWS))
+    nodes = nodes.where("n_shingles >= 4")  # smaller sets link with equal ones only
+    # a set names about a third of its shingles' number
+    total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).collect()[0].n
+    shards = max(1, math.ceil(total * 0.3 / SHARD_ROWS))
     # at most MOST_FREQUENT numbers
-    shared = nodes.sparkSession.sparkContext.broadcast(frequent_contents(nodes, shards))
+    shared = nodes.sparkSession.sparkContext.broadcast(frequent_contents(nodes, shards, width, percent))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Sets(width)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                blobs = batch.column("named").to_pylist()
-                n = np.array([len(b) // 8 for b in blobs], np.int64)
-                sig, doc = np.frombuffer(b"".join(blobs), np.uint64), np.repeat(np.arange(len(n)), n)
-                again = np.unique(doc[held_in(sig, shared.value)])
-                if len(again):
-                    rows = batch.select(list(PLACE)).take(pa.array(again)).to_pydict()
-                    later = contents(*many_sets(read, list(zip(*(rows[c] for c in PLACE)))), percent, shared.value)
-                    other = ~np.isin(doc, again)
-                    sig, doc = np.r_[sig[other], later[0]], np.r_[doc[other], again[later[1]]]
-                points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
-                coarse = np.searchsorted(CODES, points.reshape(len(points), -1, COARSE).sum(1)).astype(np.uint8)
-                node, size = batch.column("node").to_numpy(), batch.column("n_shingles").to_numpy().astype(np.int32)
-                shard = shard_of(sig, shards)
-                order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                columns: list[list] = [[] for _ in range(5)]
-                for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                    if b > a:
-                        d = doc[order[a:b]]
-                        for column, x in zip(columns, (s, *(y.tobytes() for y in ((sig[order[a:b]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), node[d], size[d], coarse[d])))):
-                            column.append(x)
-                if columns[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "sig", "node", "size", "point"])
+        for batch in some_words(batches):
+            sig, doc = contents(*many_sets(read, places_of(batch)), percent, shared.value)
+            points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+            coarse = np.searchsorted(CODES, points.reshape(len(points), -1, COARSE).sum(1)).astype(np.uint8)
+            node, size = batch.column("node").to_numpy(), batch.column("n_shingles").to_numpy().astype(np.int32)
+            shard = shard_of(sig, shards)
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(shards + 1))
+            columns: list[list] = [[] for _ in range(5)]
+            for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                if b > a:
+                    d = doc[order[a:b]]
+                    for column, x in zip(columns, (s, *(y.tobytes() for y in ((sig[order[a:b]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), node[d], size[d], coarse[d])))):
+                        column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "sig", "node", "size", "point"])
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         joined = lambda column, kind: np.frombuffer(b"".join(part[column]), kind)
@@ -403,7 +406,7 @@ def candidates(nodes: DataFrame, width: int, percent: int) -> DataFrame:
         is_hot = np.r_[np.zeros(len(a), bool), np.ones(len(hot_sig), bool)]
         return pd.DataFrame({"hot": is_hot, "a": np.r_[a, hot_sig], "b": np.r_[b, hot_node]})
 
-    named = nodes.where("n_shingles >= 4").select("node", *PLACE, "n_shingles", "point", "named").mapInArrow(name, "shard int, sig binary, node binary, size binary, point binary")
+    named = nodes.select("node", *PLACE, "n_shingles", "point").mapInArrow(name, "shard int, sig binary, node binary, size binary, point binary")
     return written(named.groupBy("shard").applyInPandas(meet, "hot boolean, a long, b long"), "candidates")
 
 
@@ -416,16 +419,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
     joined = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(width)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        read = Sets(width)
+        for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
             x, y = (dict(zip((f.name for f in batch.column(c).type), batch.column(c).flatten())) for c in ("x", "y"))
             p, q = (np.frombuffer(b"".join(z["point"].to_pylist()), np.int32).reshape(-1, GROUPS) for z in (x, y))
             need = least_overlap(x["n_shingles"].to_numpy() + y["n_shingles"].to_numpy(), percent)
             near = np.flatnonzero(np.minimum(p, q).sum(1) >= need)
-            at = [[z[f].take(pa.array(near)).to_pylist() for f in PLACE] for z in (x, y)]
-            keep = [k for k, s, t in zip(near, zip(*at[0]), zip(*at[1])) if overlap(sets.get(*s), sets.get(*t)) >= need[k]]
+            sides = [list(zip(*(z[f].take(pa.array(near)).to_pylist() for f in PLACE))) for z in (x, y)]
+            keep, k = [], 0
+            while k < len(near):  # the sets of some pairs are made together
+                made, upto, words = {}, k, 0
+                while upto < len(near) and (upto == k or words < 1 << 20):
+                    for place in (sides[0][upto], sides[1][upto]):
+                        words += place[4] if made.setdefault(place, len(made)) == len(made) - 1 else 0
+                    upto += 1
+                flat, sizes = many_sets(read, list(made))
+                ends = np.cumsum(sizes)
+                own = lambda place: flat[ends[made[place]] - sizes[made[place]] : ends[made[place]]]  # noqa: E731, B023
+                keep += [near[m] for m in range(k, upto) if overlap(own(sides[0][m]), own(sides[1][m])) >= need[near[m]]]
+                k = upto
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -542,9 +554,9 @@ def bitmaps(sets: Sets, block: dict, rows: np.ndarray, bits: int = 2048) -> np.n
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
-    sets = document_sets(docs, width, percent)
+    sets = document_sets(docs, width)
     filled = sets.where("n_shingles > 0 and doc_id is not null")
-    place = F.struct("doc_id", *PLACE, "n_shingles", "point", "named")
+    place = F.struct("doc_id", *PLACE, "n_shingles", "point")
     nodes = filled.groupBy("digest").agg(F.min_by(place, F.col("doc_id")).alias("p")).select("digest", F.col("p.doc_id").alias("node"), "p.*").drop("doc_id")
     nodes = written(nodes, "nodes")
     found = candidates(nodes, width, percent)
