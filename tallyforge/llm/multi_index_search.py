@@ -114,20 +114,20 @@ def walk_needed(index: DataFrame, queries, books: list[np.ndarray], counts: np.n
     for q, cells in near.groupby("q").cell:
         sums = ((x[q, :half] @ books[0].T)[:, None] + (x[q, half:] @ books[1].T)[None]).ravel()
         walked = np.argsort(-sums, kind="stable")
-        held = np.empty(len(counts), np.int64)
-        held[walked] = np.cumsum(counts[walked]) - counts[walked]  # rows met before each cell
-        before.append(held[cells.to_numpy()])
+        # rows in all cells that are met no later than a neighbour's own, cells of one sum together
+        upto = np.searchsorted(-sums[walked], -sums[cells.to_numpy()], "right")
+        before.append(np.cumsum(counts[walked])[upto - 1])
     if not before:
         return 0
     before = np.sort(np.concatenate(before))
-    return int(before[min(len(before), max(1, int(np.ceil(recall * len(before))))) - 1]) + 1
+    return int(before[min(len(before), max(1, int(np.ceil(recall * len(before))))) - 1])
 
 
-def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, scan_least: int = 2000, fit_rows: int = FIT_ROWS, recall: float = 0.95, trial: int = TRIAL) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 20, fit_rows: int = FIT_ROWS, recall: float = 0.94, trial: int = TRIAL) -> DataFrame:
     """The ``k`` nearest rows by inner product for the rows of ``vectors`` where the Column ``queries`` holds.
 
-    ``scan_share`` of all rows, but ``scan_least`` at least, are compared with each query, and more where the walk
-    that ``recall`` needs is longer.
+    A query's walk is as long as the share ``recall`` of the neighbours of ``trial`` queries needs, whatever the size of
+    the table; with ``recall`` 1 and a trial of all queries it is exact.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -141,7 +141,7 @@ def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, s
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < int(part * 1_000_003)) if part < 1 else rows
     points = matrix(sample.select("embedding").limit(2 * fit_rows).toArrow().column(0), dim)
     half = max(1, dim // 2)
-    size = int(min(MAX_CENTROIDS, max(1, round((total / 8) ** 0.5)), max(1, len(points) // 8)))
+    size = int(min(MAX_CENTROIDS, max(1, round(total**0.5)), max(1, len(points) // 8)))
     books = [k_means(points[:, :half], size), k_means(points[:, half:], size) if dim > half else np.zeros((1, 0))]
     n_second = len(books[1])
     shared = spark.sparkContext.broadcast(books)  # at most 2 * MAX_CENTROIDS half vectors
@@ -159,9 +159,7 @@ def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, s
     counts[held.i.to_numpy() * n_second + held.j.to_numpy()] = held.n.to_numpy()
     salts = np.maximum(1, -(-counts.reshape(-1, n_second).sum(1) // BLOCK_ROWS))
     all_counts = spark.sparkContext.broadcast(counts)
-    enough = max(scan_least, k + 1, int(scan_share * total))
-    if enough < total:
-        enough = max(enough, walk_needed(index, queries, books, counts, k, recall, trial))
+    enough = max(k + 1, walk_needed(index, queries, books, counts, k, recall, trial))
 
     def routes(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, (one, two), n = matrix(batch.column("embedding"), dim), shared.value, all_counts.value
@@ -181,6 +179,10 @@ def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, s
     many = F.create_map(*(F.lit(x) for pair in enumerate(salts.tolist()) for x in pair)) if len(salts) else None
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), (many[F.col("i")] - 1).cast("int"))))
     dealt = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), many[F.col("i")]).cast("int"))
+    # so are the queries, and the rows go to each of their blocks
+    blocks = max(1, -(-index.where(queries).count() // BLOCK_ROWS))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def compare(key: tuple, asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
@@ -204,7 +206,7 @@ def search(vectors: DataFrame, queries, k: int = 20, scan_share: float = 0.15, s
             out.append((np.full(len(best), query_id), ids[at][best], score[best]))
         return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
-    found = asked.groupBy("i", "salt").cogroup(dealt.groupBy("i", "salt")).applyInPandas(compare, "query_id long, vec_id long, score double")
+    found = asked.groupBy("i", "salt", "block").cogroup(dealt.groupBy("i", "salt", "block")).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
