@@ -5,7 +5,9 @@ of the same format, by an alternating Feistel network over decimal halves.  Equa
 document, so records stay linked; the layout (separators, length) stays.  E-mail addresses keep their domain, and
 their local part becomes a keyed digest.
 
-Null text: null stays null, with counts 0.  Rows repeated: each by itself.  Values that fail validation stay.
+Null text: null stays null, with counts 0.  Empty text stays.  Rows repeated: each by itself.  Very long texts are
+handled whole.  Values that fail validation stay.  Columns of the input named as a count (``n_card`` and so on) are
+replaced by the count; all others stay.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -132,6 +134,13 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def last_of_overlapping(text: Column, cards: Column) -> Column:
+    """``cards`` without those of 4-4-4-4 digits in which, somewhere in ``text``, another one begins: the later one is taken."""
+    starts_inside = lambda c, d, k: F.startswith(d, F.substr(c, k + 1)) & F.contains(text, F.concat(F.substr(c, F.lit(1), k), d))
+    inside = lambda c: F.exists(cards, lambda d: (c != d) & F.exists(F.array(*map(F.lit, (5, 10, 15))), lambda k: starts_inside(c, d, k)))
+    return F.filter(cards, lambda c: ~((F.length(c) == 19) & inside(c)))
+
+
 def any_value(text: str) -> Column:
     """The pattern of all kinds for a row's text; earlier kinds win where two could begin at one place.
 
@@ -139,7 +148,8 @@ def any_value(text: str) -> Column:
     digits may reach into one of these, nor a free run into a value of another kind, so neighbouring digits hide none.
     """
     grouped = F.array_distinct(F.regexp_extract_all(text, F.lit(GROUPED), F.lit(1)))
-    valid = F.array_join(F.filter(grouped, lambda c: luhn_sum(digits(c)) % 10 == 0), "|")
+    valid = bind(F.filter(grouped, lambda c: luhn_sum(digits(c)) % 10 == 0), lambda v: F.when(F.size(v) > 1, last_of_overlapping(F.col(text), v)).otherwise(v))
+    valid = F.array_join(valid, "|")
     # (?!) matches nowhere
     cards = F.concat(F.lit("(?<![0-9])(?:"), F.when(valid == "", F.lit("(?!)")).otherwise(valid), F.lit(")(?![0-9])"))
     last_four = "[0-9]{4}(?!"
@@ -180,7 +190,7 @@ def _pseudonym(value: Column, kind: Column, plain: Column, key: Column) -> Colum
     day = F.when(month_first, permuted_below(number, N_DAYS, "month first", key, lambda x: F.dayofmonth(F.date_add(start, x.cast("int"))) > 12)).otherwise(permuted_below(number, N_DAYS, "date", key))
     new_day = F.date_add(start, day.cast("int"))
     date = F.when(is_iso, F.date_format(new_day, "yyyy-MM-dd")).otherwise(relaid(value, F.when(month_first, F.date_format(new_day, "MMddyyyy")).otherwise(F.date_format(new_day, "ddMMyyyy"))))
-    local = F.concat(F.lit("p"), F.substring(F.sha2(F.concat(key, F.lit("|email|"), F.lower(F.split_part(value, F.lit("@"), F.lit(1)))), 256), 1, 12))
+    local = F.concat(F.lit("p"), F.substring(F.sha2(F.concat(key, F.lit("|email|"), F.lower(F.split_part(value, F.lit("@"), F.lit(1)))), 256), 1, 24))
     email = F.concat(local, F.lit("@"), F.split_part(value, F.lit("@"), F.lit(2)))
     return (
         F.when(kind == "email", email)
@@ -199,6 +209,8 @@ def count_of(kinds: str, kind: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text pseudonymised and the number of replaced values by kind in ``n_email``, ``n_card``, ..."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     secret = F.lit(key)
     rows = docs.withColumn("_any", F.when(F.col(text).rlike("[0-9@]"), any_value(text)))
     rows = rows.withColumn("_hits", F.coalesce(F.regexp_extract_all(text, F.col("_any"), F.lit(0)), F.array().cast("array<string>")))
