@@ -19,6 +19,8 @@ from tallyforge.llm.common import map_batches, texts, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+#: So many verdicts at most are sent to all executors, counted first; with more, documents are dealt by host and salt.
+FEW_HOSTS, SALTS = 100_000, 32
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -104,5 +106,11 @@ def host_rules(docs: DataFrame, host: str = "source", width: int = 5, max_rate:
     rows = measured(docs.select("doc_id", "text", F.col(host).cast("string").alias("host")), width)
     key = F.coalesce(F.concat(F.lit("="), "host"), F.lit("null"))
     marked = written(rows.withColumn("base_failed", base_failed()).withColumn("host_key", key), "host-rules")
-    verdicts = host_verdicts(marked, max_rate)
-    return marked.join(verdicts.select("host_key", "shrunk_rate", "host_rejected"), "host_key").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("host_key")
+    verdicts = written(host_verdicts(marked, max_rate).select("host_key", "shrunk_rate", "host_rejected"), "host-verdicts")
+    if verdicts.count() <= FEW_HOSTS:
+        joined = marked.join(F.broadcast(verdicts), "host_key")
+    else:
+        # a hot host's documents are dealt over SALTS tasks, its verdict goes to each
+        salted = marked.withColumn("_salt", F.pmod(F.xxhash64("doc_id", *MEASURES), F.lit(SALTS)).cast("int"))
+        joined = salted.join(verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host_key", "_salt"]).drop("_salt")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("host_key")
