@@ -5,7 +5,8 @@ the sources, and each source's blocks to its shards, by highest quotients; a sha
 seeded permutation.  A document gets what the mix takes of the blocks it lies in.
 
 Null text: size 0, nothing taken.  Null source: a source of its own, last in order.  Repeated rows lie side by side
-in their shard and are each taken by themselves.  An empty table gives an empty result.
+in their shard and are each taken by themselves.  A very long text spans many blocks.  Ties between quotients: the
+lower source or shard.  An empty table gives an empty result; further columns, also of names used here, stay as they are.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ WEIGHTS = (3, 1, 2)
 #: Primes larger than any number of blocks in a shard; one is the step of a shard's permutation.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 BLOCK_WORDS = 64
-SHARD_WORDS = 65_536
-MAX_SHARDS = 4096
+#: A shard has about so many words or rows; a source has at most MAX_SHARDS, which are larger where it has more.
+SHARD_WORDS, SHARD_ROWS = 16_384, 200
+MAX_SHARDS = 65_536
 
 
 def hash32(*parts: Column) -> Column:
@@ -49,7 +51,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     rows = rows.withColumn("full", F.col("full_at") <= F.col("level"))
     level = F.min(F.when(~F.col("full"), F.struct("full_at", "place", "level"))).over(Window.partitionBy())["level"]
     target = F.when(F.col("full") | level.isNull(), F.col("most")).otherwise(F.col("weight") * level)
-    return rows.select("source", F.col("place").alias("source_no"), "source_size", target.alias("target"))
+    return rows.select("source", F.col("place").alias("source_no"), "source_size", target.alias("target"), *(c for c in ("n_rows",) if c in sizes.columns))
 
 
 def sainte_lague(rows: DataFrame, group: list[str], key: str, weight: str, seats: str, quota: str) -> DataFrame:
@@ -80,11 +82,11 @@ def block_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float
     document's ``shard`` and ``start`` there, the shard's ``shard_size``, ``n_blocks``, ``quota`` and ``step``, and
     ``taken``.
     """
-    by_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = written(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), "mix-by-source")
     sources = source_targets(by_source, weights, share, cap).withColumn("all", F.lit(0))
     total = F.round(F.sum("target").over(Window.partitionBy("all")) / BLOCK_WORDS).cast("long")
     sources = written(sainte_lague(sources.withColumn("seats", total), ["all"], "source_no", "target", "seats", "source_quota"), "mix-sources")
-    shards_of = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long")
+    shards_of = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.greatest(F.col("source_size") / SHARD_WORDS, F.col("n_rows") / SHARD_ROWS)))).cast("long")
     sources = sources.select("source", "source_no", "source_size", "target", "source_quota", shards_of.alias("n_shards"))
     at = F.struct(F.col("source").alias("s"))
     joined = docs.withColumn("_s", at).join(sources.withColumn("_t", at).drop("source"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_s", "_t")
@@ -140,7 +142,12 @@ def taken_words() -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long").alias("size"), F.col("source").cast("string").alias("source"))
+    """``doc_id``, ``size`` in words, ``source`` and ``text_hash`` of every row."""
+    return docs.select("doc_id", n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"))
+
+
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
@@ -154,22 +161,22 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     A row's ``text`` is made of the document's blocks taken in that round, in order; a document of which nothing is
     taken has no row.
     """
-    columns = docs.columns
     plan = mix(docs, weights, share, cap, seed)
     spans = F.filter(F.transform(block_numbers(), lambda k: F.struct((F.greatest(block_start(k), F.col("start")) - F.col("start")).alias("a"), overlap(k).alias("n"), times(k).alias("t"))), lambda x: (x["n"] > 0) & (x["t"] > 0))
-    plan = plan.where("taken > 0").select("doc_id", "size", "source", spans.alias("_spans"))
-    return cut(docs, plan, columns)
-
-
-def cut(docs: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
-    """Cuts the spans of ``plan`` out of the texts; rows with the same id and source are matched in any order."""
-    # one text column for the key, so that the windows and the join share one partitioning of the texts
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    left = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long"))
-    left = left.withColumn("_key", key).drop("size").withColumn("_n", turn)
-    right = plan.withColumn("_key", key).withColumn("_m", turn).select("_key", "_m", "_spans")
-    joined = left.join(right, (left["_key"] == right["_key"]) & (F.col("_n") - F.col("_m") == 0)).drop("_key")
+    return cut(docs, plan.where("taken > 0").select("doc_id", "source", "text_hash", spans.alias("_spans")))
+
+
+def cut(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Cuts the spans of ``plan`` out of the texts; rows with the same id, source and text are matched in any order."""
+
+    def key(text_hash: Column) -> Column:
+        # one text column, so that the windows and the join share one partitioning of the texts
+        return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_hash.cast("string"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
+
+    order = Window.partitionBy("_key").orderBy(F.lit(0))
+    left = docs.where(n_words(F.col("text")) > 0).withColumn("_key", key(F.xxhash64("text"))).withColumn("_n", F.row_number().over(order))
+    right = plan.select(key(F.col("text_hash")).alias("_key"), "_spans").withColumn("_m", F.row_number().over(order.partitionBy("_key").orderBy("_spans"))).withColumnRenamed("_key", "_their_key")
+    joined = left.join(right, (F.col("_key") == F.col("_their_key")) & (F.col("_n") - F.col("_m") == 0))
     # a word with the white space before it; the pieces of a text joined again are the text without its trailing space
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     joined = joined.withColumn("_p", pieces).withColumn("_round", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -177,6 +184,6 @@ def cut(docs: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
     joined = joined.where(F.size(kept) > 0)
     text = F.array_join(F.transform(kept, lambda x: F.array_join(F.slice("_p", (x["a"] + 1).cast("int"), x["n"].cast("int")), "")), "")
     out = joined.withColumn("text", text)
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return out.select(*docs.columns)
