@@ -7,7 +7,12 @@ of 12 characters or more outside the labelled spans is then scored by its length
 likelihood under an automaton of ordinary tokens, and joins the spans where a kind explains it as well as its own
 examples and better than ordinary text does.
 
-Null text: empty.  Rows repeated: each by itself.  Further columns of the input are ignored.
+Values are learned by their first ``DEPTH`` characters, from ``LEAST_EXAMPLES`` values of a kind on; candidates are
+scored whole.
+
+Null text: empty.  Rows repeated: each by itself.  Very long texts are scanned whole.  Ties between kinds: the last in
+alphabetical order; spans at one place: in the order of KINDS.  An empty table gives an empty result; further columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 KINDS = ("assign", "access", "hex")
 SAMPLE = 4096
-DEPTH = 64
+#: Character classes of a value that are learned; what is longer is learned without its end.
+DEPTH = 256
+#: Labelled values from which a grammar is inferred; with fewer, a kind has its fixed pattern alone.
+LEAST_EXAMPLES = 5
 CLASSES = 6
 
 
@@ -73,7 +81,7 @@ class Automaton:
     def __init__(self, examples: list[bytes], alpha: float = 0.05):
         self.count, self.stop, self.next = [0], [0], [{}]
         for value in examples:
-            self._add(value[:DEPTH])
+            self._add(value)
         self.root = list(range(len(self.count)))
         self._merge(alpha)
         self._normalise()
@@ -81,7 +89,7 @@ class Automaton:
     def _add(self, value: bytes) -> None:
         state = 0
         self.count[0] += 1
-        for c in value:
+        for c in value[:DEPTH]:
             step = self.next[state].get(c)
             if step is None:
                 step = len(self.count)
@@ -91,7 +99,10 @@ class Automaton:
                 self.next[state][c] = step
             state = step
             self.count[state] += 1
-        self.stop[state] += 1
+        if len(value) <= DEPTH:
+            self.stop[state] += 1
+        else:
+            self.count[state] -= 1  # how it goes on is not known
 
     def _find(self, state: int) -> int:
         while self.root[state] != state:
@@ -191,7 +202,7 @@ class Grammar:
         self.kinds = {}
         for kind, values in labelled.items():
             examples = sorted(map(classes, values))
-            if len(examples) < 5:
+            if len(examples) < LEAST_EXAMPLES:
                 continue
             automaton = Automaton(examples)
             scores = sorted(map(automaton.score, examples))
@@ -223,10 +234,10 @@ def examples(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
         rows = sorted(found)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
 
-    rows = map_batches(docs.select("text"), run, "kind string, value string").where(F.length("value") <= 4096)
+    rows = map_batches(docs.select("text"), run, "kind string, value string")
     # partial: each task keeps the lowest of its own, so the shuffle carries few rows of a frequent kind
     rows = rows.withColumn("h", F.xxhash64("value"))
-    lowest = rows.groupBy("kind", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by("value", F.struct("h", "value")).alias("value"))
+    lowest = rows.groupBy("kind", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by(F.substring("value", 1, DEPTH + 1), F.struct("h", "value")).alias("value"))
     out: dict[str, list[str]] = defaultdict(list)
     for r in lowest.collect():  # at most ``sample`` values of each kind
         out[r.kind].append(r.value)
