@@ -4,8 +4,11 @@ A word's script narrows the languages it may be in; within those it has a log li
 Viterbi's algorithm then labels the words of a text, with a penalty for each switch of language, which gives spans;
 the text's language is the one with most letters.
 
-The model is fitted on at most about ``fit_docs`` labelled documents, taken by a hash of the id.  Null text, or text
+The model is fitted on about ``fit_docs`` labelled documents at most, as many of each language, taken by a hash of the id
+(``LEAST_DOCS`` of each at least).  Null text, or text
 without letters: ``und`` with score 0.  Repeated rows: each by itself.  No labelled documents: everything is ``und``.
+A very long text is labelled whole.  Ties between languages: the first in code-point order.  An empty table gives an
+empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +25,11 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import map_batches, texts
 
 FIT_DOCS = 20_000
+#: Rows of a language that are learned from even where there are very many languages.
+LEAST_DOCS = 50
 SWITCH = 6.0
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: what ``str.isalpha`` holds for, which leaves out numbers such as the superscript two or one half.
+LETTERS = re.compile("[^\\W\\d_" + "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 #: First and last code point of ranges and their script.  Letters elsewhere count as "other".
 SCRIPTS = (
     (0x0041, 0x024F, "latin"),
@@ -176,13 +182,19 @@ def label_words(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nd
 
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """A model from the ``text`` and ``lang`` of about ``fit_docs`` rows at most, counted in Spark.
+    """A model from the ``text`` and ``lang`` of about ``fit_docs`` rows at most, as many of each language, counted in Spark.
 
-    What comes to the driver are the trigrams of that sample seen twice or more in a language.
+    What comes to the driver are the trigrams of that sample, by language.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    part = min(1.0, fit_docs / max(1, labelled.count()))
-    sample = labelled if part == 1 else labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003))
+    # one row for each language; a rare language gives all its rows, a frequent one its part of ``fit_docs``
+    held = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(LEAST_DOCS, fit_docs // max(1, len(held)))
+    frequent = {lang: int(each / n * 1_000_003) for lang, n in held.items() if n > each}
+    sample = labelled
+    if frequent:
+        limit = F.create_map(*(F.lit(x) for pair in sorted(frequent.items()) for x in pair))[F.col("lang")]
+        sample = labelled.where(limit.isNull() | (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < limit))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: Counter = Counter()
@@ -193,7 +205,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
                     counts[lang, "g" + g] += n
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "feature", "n"])
 
-    rows = map_batches(sample.select("text", "lang"), run, "lang string, feature string, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).where("n >= 2")
+    rows = map_batches(sample.select("text", "lang"), run, "lang string, feature string, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts, scripts = {}, {}
     for r in rows.collect():
         (counts if r.feature[0] == "g" else scripts)[r.lang, r.feature[1:]] = r.n
