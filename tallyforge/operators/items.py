@@ -40,14 +40,11 @@ def ownership_windows(buys: DataFrame, sold: str, end: str) -> DataFrame:
 
 
 def gained_while_owned(windows: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, value: str, window_keys: Sequence[str]) -> DataFrame:
-    """A running total's gain within ownership windows: its last value up to the end less its last up to the buy."""
+    """A running total's gain within ownership windows: its largest value up to the end less its largest up to the buy."""
     joined = windows.join(samples.select(*keys, F.col(at).alias("_t"), F.col(value).alias("_v")), list(keys), "left")
-    upto = F.max_by("_v", F.when(F.col("kept") | (F.col("_t") <= F.col("owned_to")), F.col("_t")))
-    before = F.max_by("_v", F.when(F.col("_t") <= F.col("owned_from"), F.col("_t")))
-    inside = F.max(F.when(F.col("kept") | (F.col("_t") <= F.col("owned_to")), 1))
-    earlier = F.max(F.when(F.col("_t") <= F.col("owned_from"), 1))
-    gain = F.when(inside == 1, upto).otherwise(F.lit(0)) - F.when(earlier == 1, before).otherwise(F.lit(0))
-    return joined.groupBy(*window_keys).agg(gain.alias(value))
+    upto = F.max(F.when(F.col("kept") | (F.col("_t") <= F.col("owned_to")), F.col("_v")))
+    before = F.max(F.when(F.col("_t") <= F.col("owned_from"), F.col("_v")))
+    return joined.groupBy(*window_keys).agg((F.coalesce(upto, F.lit(0)) - F.coalesce(before, F.lit(0))).alias(value))
 
 
 def buy_order(buys: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "buy_n") -> DataFrame:
@@ -76,23 +73,23 @@ def win_rates(rows: DataFrame, keys: Sequence[str], won: Column, least: int = 0)
 
 
 def verdict(ranked: DataFrame, peers: str, value: str = "win_percent") -> DataFrame:
-    """An item's edge over the mean of the other items of its group; alone in it, null."""
+    """An item's edge over the mean of the other items of its group; alone in it, 0."""
     window = Window.partitionBy(peers)
     n, total = F.count(F.lit(1)).over(window), F.sum(value).over(window)
-    return ranked.withColumn("peer_mean", F.when(n > 1, (total - F.col(value)) / (n - 1))).withColumn("edge", F.col(value) - F.col("peer_mean"))
+    return ranked.withColumn("peer_mean", F.when(n > 1, (total - F.col(value)) / (n - 1)).otherwise(F.col(value))).withColumn("edge", F.col(value) - F.col("peer_mean"))
 
 
-def synergies(rows: DataFrame, build: Sequence[str], item: str, won: Column, least: int) -> DataFrame:
-    """Pairs of items in one build: their win percent, and its lead over each alone.
+def synergies(rows: DataFrame, build: Sequence[str], item: str, won: Column, least: int, top: int = 10) -> DataFrame:
+    """For each ``item`` the ``top`` others in one build with it by the pair's win percent over the item's own.
 
     A build holds a bounded number of distinct items, which bounds its pairs.
     """
     one = rows.select(*build, F.col(item).alias("item"), won.alias("won")).distinct()
     solo = win_rates(one, ["item"], F.col("won")).select("item", F.col("win_percent").alias("solo"))
-    pairs = one.withColumnRenamed("item", "a").join(one.select(*build, F.col("item").alias("b")), list(build)).where("a < b")
-    out = win_rates(pairs, ["a", "b"], F.col("won"), least)
-    out = out.join(solo.select(F.col("item").alias("a"), F.col("solo").alias("solo_a")), "a").join(solo.select(F.col("item").alias("b"), F.col("solo").alias("solo_b")), "b")
-    return out.withColumn("lead", F.col("win_percent") - F.greatest("solo_a", "solo_b"))
+    pairs = one.join(one.select(*build, F.col("item").alias("other")), list(build)).where("item != other")
+    out = win_rates(pairs, ["item", "other"], F.col("won"), least).join(solo, "item").withColumn("lead", F.col("win_percent") - F.col("solo"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.round("lead", 9)), "other"))
+    return out.withColumn("place", place).where(F.col("place") <= top)
 
 
 def pick_rates(rows: DataFrame, key: str, won: Column, per_match: int = 12) -> DataFrame:

@@ -35,10 +35,12 @@ def team_ranks(df: DataFrame, team: Sequence[str], value: str, tie: Sequence[str
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Percentile by average rank within the group: 0 for the lowest, 100 for the highest, null for one alone."""
+    """Percentile: the average rank as a rounded share of all rows of the group; rows without a value have none but count."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    out = df.withColumn("avg_rank", average_rank(F.col(value), group, value))
-    return out.withColumn("percentile", F.when(n > 1, 100.0 * (F.col("avg_rank") - 1) / (n - 1)))
+    out = df.withColumn("_known", F.col(value).isNotNull())
+    rank = average_rank(F.col(value), [*group, "_known"], value)
+    out = out.withColumn("avg_rank", F.when(F.col("_known"), rank)).drop("_known")
+    return out.withColumn("percentile", F.round(100.0 * F.col("avg_rank") / n))
 
 
 def flag_gaps(df: DataFrame, by: Sequence[str], order: Sequence[str], start: str, end: str) -> DataFrame:
@@ -57,12 +59,13 @@ def nearby(events: DataFrame, positions: DataFrame, match: Sequence[str], own: s
     """How many others stand within reach of each event, at the same match and second: allies and enemies.
 
     ``events`` and ``positions`` join on ``match``; ``near`` is the distance condition on both sides' columns, and the
-    columns ``own`` and ``other`` tell the teams.
+    columns ``own`` and ``other`` tell the teams.  Equal events are counted once and given back as often as they were.
     """
-    rows = events.withColumn("_event", F.struct(*events.columns)).join(positions, list(match), "left")
+    distinct = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("_times"))
+    rows = distinct.withColumn("_event", F.struct(*events.columns, "_times")).join(positions, list(match), "left")
     close = F.coalesce(near, F.lit(False))
     out = rows.groupBy("_event").agg(zero_sum(F.lit(1), close & (F.col(own) == F.col(other))).alias("allies"), zero_sum(F.lit(1), close & (F.col(own) != F.col(other))).alias("enemies"))
-    out = out.select("_event.*", "allies", "enemies")
+    out = out.select("_event.*", "allies", "enemies").withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times")
     return out.withColumn("solo", F.col("allies") == 0).withColumn("outnumbered", F.col("enemies") > F.col("allies") + 1)
 
 

@@ -41,10 +41,10 @@ def column_gains(samples, games, keys, at, order, values, width, duration="durat
 
 
 def source_gains(samples, games, keys, source, at, order, value, width, duration="duration_s") -> DataFrame:
-    """Gains of a total kept per source: each source is carried forward on its own, then the sources are added."""
+    """Gains of a total kept per source: each source's largest total so far is carried forward on its own, then the sources are added."""
     pairs = samples.select(*keys, source).distinct()
     grid = interval_grid(games, keys, duration, width).join(pairs, list(keys))
-    per = gains(filled_grid(samples, grid, [*keys, source], at, order, [value], width), [*keys, source], [value])
+    per = gains(filled_grid(samples, grid, [*keys, source], at, [value, *order], [value], width), [*keys, source], [value])
     return per.groupBy(*keys, "interval").agg(F.sum(value).alias(value))
 
 

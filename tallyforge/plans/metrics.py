@@ -168,7 +168,9 @@ def view_frame(context: Context, view: MetricView, needed: set[str] | None = Non
 
 def _collapsed(df: DataFrame, series: Series) -> DataFrame:
     best = F.max_by if series.take == "last" else F.min_by
-    return df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(series.partition))).agg(best(F.struct("*"), F.col(series.order)).alias("_row")).select("_row.*")
+    # of rows at one time always the same one
+    tie = F.xxhash64(*(f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+    return df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(series.partition))).agg(best(F.struct("*"), F.struct(F.col(series.order), tie)).alias("_row")).select("_row.*")
 
 
 def summarize(

@@ -179,7 +179,7 @@ def interval_gains(spark, sf_dir):
 
 
 @query(
-    f"WITH {EVENTS_SQL}, {_GRID}, p AS (SELECT user_id, event_type, greatest((t - 1) // 86400, 0) AS interval, arg_max(total, (t, event_id)) AS total FROM s GROUP BY 1, 2, 3), "
+    f"WITH {EVENTS_SQL}, {_GRID}, p AS (SELECT user_id, event_type, greatest((t - 1) // 86400, 0) AS interval, max(total) AS total FROM s GROUP BY 1, 2, 3), "
     "k AS (SELECT DISTINCT user_id, event_type FROM s), f AS (SELECT user_id, event_type, interval, coalesce(last_value(total IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY interval), 0) AS total FROM grid JOIN k USING (user_id) LEFT JOIN p USING (user_id, event_type, interval)), "
     "d AS (SELECT user_id, interval, total - lag(total, 1, 0) OVER (PARTITION BY user_id, event_type ORDER BY interval) AS total FROM f) SELECT user_id, interval, round(sum(total), 4) AS total FROM d GROUP BY 1, 2"
 )
@@ -313,7 +313,7 @@ def component_credit(spark, sf_dir):
 
 @query(
     f"WITH {EVENTS_SQL}, b AS (SELECT e.user_id, e.event_id, e.t AS owned_from, (SELECT min(x.t) FROM e x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.t > e.t) AS sold FROM e WHERE event_type = 'signup') "
-    "SELECT b.event_id, b.user_id, round(coalesce(arg_max(total, t) FILTER (sold IS NULL OR t <= sold), 0) - coalesce(arg_max(total, t) FILTER (t <= owned_from), 0), 4) AS total FROM b LEFT JOIN (SELECT user_id, t, max(total) AS total FROM s WHERE event_type = 'purchase' GROUP BY 1, 2) s USING (user_id) GROUP BY 1, 2"
+    "SELECT b.event_id, b.user_id, round(coalesce(max(total) FILTER (sold IS NULL OR t <= sold), 0) - coalesce(max(total) FILTER (t <= owned_from), 0), 4) AS total FROM b LEFT JOIN (SELECT user_id, t, max(total) AS total FROM s WHERE event_type = 'purchase' GROUP BY 1, 2) s USING (user_id) GROUP BY 1, 2"
 )
 def damage_while_owned(spark, sf_dir):
     from pyspark.sql import Window
@@ -351,7 +351,7 @@ def builds(spark, sf_dir) -> DataFrame:
 
 @query(
     f"WITH {_BUILDS}, r AS (SELECT p_size, item, count(*) AS matches, sum(won::INT)::BIGINT AS wins, 100.0 * sum(won::INT) / count(*) AS win_percent FROM x GROUP BY 1, 2 HAVING count(*) >= 20), "
-    "w AS (SELECT *, count(*) OVER o AS n, sum(win_percent) OVER o AS s FROM r WINDOW o AS (PARTITION BY p_size)) SELECT p_size, item, matches, wins, round(win_percent, 4) AS win_percent, round(CASE WHEN n > 1 THEN win_percent - (s - win_percent) / (n - 1) END, 4) AS edge FROM w"
+    "w AS (SELECT *, count(*) OVER o AS n, sum(win_percent) OVER o AS s FROM r WINDOW o AS (PARTITION BY p_size)) SELECT p_size, item, matches, wins, round(win_percent, 4) AS win_percent, round(CASE WHEN n > 1 THEN win_percent - (s - win_percent) / (n - 1) ELSE 0 END, 4) AS edge FROM w"
 )
 def item_verdicts(spark, sf_dir):
     rows = builds(spark, sf_dir).select("l_orderkey", F.col("p_brand").alias("item"), "p_size", "o_orderstatus").distinct()
@@ -361,12 +361,13 @@ def item_verdicts(spark, sf_dir):
 
 @query(
     "WITH x AS (SELECT DISTINCT l_orderkey, p_brand AS item, o_orderstatus = 'F' AS won FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT item, 100.0 * sum(won::INT) / count(*) AS solo FROM x GROUP BY 1), "
-    "p AS (SELECT a.item AS a, b.item AS b, count(*) AS matches, sum(a.won::INT)::BIGINT AS wins FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5) "
-    "SELECT a, b, matches, wins, round(100.0 * wins / matches, 4) AS win_percent, round(100.0 * wins / matches - greatest(x.solo, y.solo), 4) AS lead FROM p JOIN s x ON x.item = a JOIN s y ON y.item = b"
+    "p AS (SELECT a.item, b.item AS other, count(*) AS matches, sum(a.won::INT)::BIGINT AS wins FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item <> b.item GROUP BY 1, 2 HAVING count(*) >= 5), "
+    "q AS (SELECT *, 100.0 * wins / matches - solo AS d FROM p JOIN s USING (item)), k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(d, 9) DESC, other) AS place FROM q) "
+    "SELECT item, other, matches, wins, place, round(100.0 * wins / matches, 4) AS win_percent, round(d, 4) AS lead FROM k WHERE place <= 10"
 )
 def item_synergies(spark, sf_dir):
     out = items.synergies(builds(spark, sf_dir), ["l_orderkey"], "p_brand", F.col("o_orderstatus") == "F", 5)
-    return rounded(out.drop("solo_a", "solo_b"), "win_percent", "lead")
+    return rounded(out.drop("solo").withColumn("place", F.col("place").cast("long")), "win_percent", "lead")
 
 
 @query("WITH r AS (SELECT c_nationkey, count(*) AS matches, sum((o_orderstatus = 'F')::INT)::BIGINT AS wins FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) SELECT c_nationkey, matches, wins, round(100.0 * wins / matches, 4) AS win_percent, round(100.0 * 12 * matches / (SELECT sum(matches) FROM r), 4) AS pick_percent FROM r")
@@ -396,11 +397,11 @@ def team_ranks(spark, sf_dir):
 
 @query(
     "WITH x AS (SELECT c_custkey, c_mktsegment, floor(c_acctbal / 100) AS v FROM customer), r AS (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY v) + (count(*) OVER (PARTITION BY c_mktsegment, v) - 1) / 2.0 AS ar, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM x) "
-    "SELECT c_custkey, c_mktsegment, ar::DOUBLE AS avg_rank, round(CASE WHEN n > 1 THEN 100.0 * (ar - 1) / (n - 1) END, 4)::DOUBLE AS percentile FROM r"
+    "SELECT c_custkey, c_mktsegment, ar::DOUBLE AS avg_rank, round(100.0 * ar / n)::DOUBLE AS percentile FROM r"
 )
 def percentiles(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").withColumn("v", F.floor(F.col("c_acctbal") / 100))
-    return rounded(records.percentiles(rows, ["c_mktsegment"], "v"), "percentile").select("c_custkey", "c_mktsegment", "avg_rank", "percentile")
+    return records.percentiles(rows, ["c_mktsegment"], "v").select("c_custkey", "c_mktsegment", "avg_rank", "percentile")
 
 
 @query("SELECT o_orderkey, o_custkey, coalesce(lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) <> o_orderpriority, false) AS gap FROM orders")

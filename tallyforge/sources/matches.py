@@ -103,7 +103,7 @@ def normalize(docs: DataFrame, items: DataFrame | None = None, stat_names: dict[
     out["stats"] = snapshots.select(*head, "account_id", "hero_id", *(F.col(f"s.{g}").alias(c) for c, g in _GOLD.items()))
     at = F.col("s.time_stamp_s").alias("time_stamp_s")
     out["soul_sources"] = snapshots.select(*head, "account_id", "hero_id", at, F.explode("s.gold_sources").alias("g")).select("*", F.col("g.source"), F.col("g.gold").alias("souls"), F.col("g.gold_orbs").alias("souls_orbs")).drop("g")
-    events = each("items", "i").select(*head, "account_id", "hero_id", *(F.col(f"i.{c}") for c in ("game_time_s", "item_id", "sold_time_s", "flags", "imbued_ability_id")))
+    events = each("items", "i").select(*head, "account_id", "hero_id", *(F.col(f"i.{c}") for c in ("game_time_s", "item_id", "sold_time_s", "flags")), none_if_zero(F.col("i.imbued_ability_id")).alias("imbued_ability_id"))
     if items is None:
         events = events.withColumns({"item": F.lit(None).cast("string"), "cost": F.lit(None).cast("long"), "slot": F.lit(None).cast("string"), "tier": F.lit(None).cast("long")})
     else:
@@ -152,20 +152,24 @@ def _damage(docs: DataFrame, head: list[Column], stat_names: dict[int, str]) ->
 
 def _movement(docs: DataFrame, head: list[Column], combat_names: dict[int, str], move_names: dict[int, str]) -> dict[str, DataFrame]:
     m = F.col("match_paths")
-    rows = docs.select(*head, "duration_s", "slot_account", "slot_hero", m["interval_s"].alias("step"), m["x_resolution"].alias("xr"), m["y_resolution"].alias("yr"), F.explode(m["paths"]).alias("p"))
+    rows = docs.select(*head, "duration_s", "slot_account", "slot_hero", F.coalesce(F.nullif(m["interval_s"], F.lit(0)), F.lit(1.0)).alias("step"), m["x_resolution"].alias("xr"), m["y_resolution"].alias("yr"), F.explode(m["paths"]).alias("p"))
     n = F.least(F.size("p.x_pos"), F.floor(F.col("duration_s") / F.col("step")) + 1).cast("int")
     zipped = F.slice(F.arrays_zip(*(F.col(f"p.{c}") for c in ("x_pos", "y_pos", "health", "combat_type", "move_type"))), 1, n)
     rows = rows.where(n > 0).select("*", F.posexplode(zipped).alias("k", "z"))
-    world = lambda axis: F.col(f"p.{axis}_min") + F.col(f"z.{axis}_pos") * (F.col(f"p.{axis}_max") - F.col(f"p.{axis}_min")) / F.col(f"{axis}r")
+    world = lambda axis: F.col(f"p.{axis}_min") + F.col(f"z.{axis}_pos") * F.coalesce(F.try_divide(F.col(f"p.{axis}_max") - F.col(f"p.{axis}_min"), F.col(f"{axis}r")), F.lit(0.0))
     movement = rows.select(
-        *head, F.col("slot_account")[F.col("p.player_slot")].alias("account_id"), F.col("slot_hero")[F.col("p.player_slot")].alias("hero_id"), (F.col("k") * F.col("step")).cast("long").alias("game_time_s"),
+        *head, F.col("slot_account")[F.col("p.player_slot")].alias("account_id"), F.col("slot_hero")[F.col("p.player_slot")].alias("hero_id"), F.bround(F.col("k") * F.col("step")).cast("long").alias("game_time_s"),
         world("x").alias("x"), world("y").alias("y"), F.col("z.health").alias("health_percent"), _named(F.col("z.combat_type"), combat_names).alias("combat_type"), _named(F.col("z.move_type"), move_names).alias("move_type"),
     )
     return {"movement": movement, "movement_intervals": movement_intervals(movement)}
 
 
 def movement_intervals(movement: DataFrame, cap: float = 2500.0, still: float = 40.0) -> DataFrame:
-    """Per player and minute: seconds alive and in each way of moving, dashes begun, and the way gone."""
+    """Per player and minute: seconds alive and in each way of moving, dashes begun, and the way gone.
+
+    ``moving_s`` are the seconds with a step from the second before, ``stationary_s`` those of them with a short one;
+    a dash begins where another state was known before it.
+    """
     window = Window.partitionBy("match_id", "account_id").orderBy("game_time_s")
     alive = movement.where("health_percent > 0")
     before = lambda c: F.lag(c).over(window)
@@ -173,12 +177,12 @@ def movement_intervals(movement: DataFrame, cap: float = 2500.0, still: float =
     zip_now, zip_before = move == "ziplining", before("move_type") == "ziplining"
     step = F.sqrt(F.pow(F.col("x") - before("x"), 2) + F.pow(F.col("y") - before("y"), 2))
     joined = (F.col("game_time_s") - before("game_time_s") == 1) & ~zip_now & ~zip_before
-    rows = alive.withColumn("step", F.when(joined & (step < cap), step)).withColumn("entered", F.when(before("move_type").isNull() | (before("move_type") != move), move))
+    rows = alive.withColumn("step", F.when(joined & (step < cap), step)).withColumn("entered", F.when(before("move_type") != move, move))
     count = lambda p: F.count(F.when(p, 1))
     minute = (F.floor(F.col("game_time_s") / 60) * 60).cast("long")
     return rows.groupBy("match_id", "start_time", "account_id", "hero_id", minute.alias("start_s")).agg(
-        F.count(F.lit(1)).alias("alive_s"), count(F.col("step") >= still).alias("moving_s"), count(F.col("step") < still).alias("stationary_s"), count(move == "slide").alias("slide_s"), count(move == "in_air").alias("in_air_s"), count(zip_now).alias("zipline_s"),
-        count(F.col("combat_type") != "out_of_combat").alias("combat_s"), count(F.col("entered") == "ground_dash").alias("dashes"), count(F.col("entered") == "air_dash").alias("air_dashes"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("distance"),
+        F.count(F.lit(1)).alias("alive_s"), count(F.col("step").isNotNull()).alias("moving_s"), count(F.col("step") < still).alias("stationary_s"), count(move == "slide").alias("slide_s"), count(move == "in_air").alias("in_air_s"), count(zip_now).alias("zipline_s"),
+        count(F.col("combat_type") == "player").alias("combat_s"), count(F.col("entered") == "ground_dash").alias("dashes"), count(F.col("entered") == "air_dash").alias("air_dashes"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("distance"),
     )
 
 

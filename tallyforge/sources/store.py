@@ -5,6 +5,7 @@ All paths go through Spark, so a store can lie in any file system that Spark rea
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,7 @@ class Store:
     def overwrite(self, table: str, df: DataFrame) -> None:
         if table in FACTS:
             body = with_month(conform(df, TABLES[table])) if "start_time" in df.columns else df
-            body.repartition("month").sortWithinPartitions("match_id").write.mode("overwrite").partitionBy("month").parquet(self.path(table))
+            body.repartitionByRange("month", "match_id").sortWithinPartitions("month", "match_id").write.mode("overwrite").partitionBy("month").parquet(self.path(table))
         else:
             conform(df, TABLES[table]).write.mode("overwrite").parquet(self.path(table))
 
@@ -83,17 +84,20 @@ class Store:
         """Writes a batch of whole matches: rows of its matches in the months that it touches are replaced.
 
         The months' new content is written beside the table first, for a path can't be overwritten while it is read;
-        running the same batch again changes nothing.
+            running the same batch again changes nothing.  A month's rows are written by as many tasks as their ranges of
+        matches fill.  A table whose columns drifted from the declared ones is refused; ``reshape`` mends it.
         """
         batch = with_month(conform(batch, TABLES[table]))
         if self.exists(table):
+            if said := self.drift(table):
+                raise ValueError(said)
             months = batch.select("month").distinct()
             stored = self.scan(table).join(F.broadcast(months), "month", "left_semi")  # a row for each month
             batch = stored.join(batch.select("match_id").distinct(), "match_id", "left_anti").unionByName(batch)
-        staging = f"{self.root}/.staging/{table}"
+        staging = f"{self.root}/.staging/{table}-{uuid.uuid4().hex}"
         batch.write.mode("overwrite").parquet(staging)
         rows = self.spark.read.schema(batch.schema).parquet(staging)
-        rows.repartition("month").sortWithinPartitions("match_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path(table))
+        rows.repartitionByRange("month", "match_id").sortWithinPartitions("month", "match_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path(table))
 
     def new_only(self, docs: DataFrame) -> DataFrame:
         """Documents of matches that the store does not hold."""

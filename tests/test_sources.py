@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.schemas import FACTS, TABLES
 from tallyforge.sources.matches import MATCH, movement_intervals, normalize, one_body_each, read_documents, with_accounts
@@ -38,7 +39,7 @@ def docs(spark, tmp_path):
 
 
 def test_tables_have_the_declared_columns(docs):
-    tables = normalize(docs, stat_names={1: "spirit"}, move_names={0: "normal", 1: "ground_dash"}, combat_names={0: "out_of_combat"})
+    tables = normalize(docs, stat_names={1: "spirit"}, move_names={0: "normal", 1: "ground_dash"}, combat_names={0: "out_of_combat", 1: "player"})
     assert set(tables) == set(FACTS) - {"downloads"}
     for name, df in tables.items():
         conform(df, TABLES[name])
@@ -52,7 +53,7 @@ def test_tables_have_the_declared_columns(docs):
     assert one["deaths"][0]["killer_account_id"] == 22 and one["deaths"][0]["z"] == 3 and one["deaths"][0]["killer_x"] is None
     assert one["objectives"][0]["destroyed_time_s"] is None and len(one["hero_xp_rewards"]) == 1
     (minute,) = one["movement_intervals"]
-    assert (minute["alive_s"], minute["moving_s"], minute["stationary_s"], minute["dashes"], minute["distance"], minute["combat_s"]) == (4, 2, 1, 1, 200.0, 1)
+    assert (minute["alive_s"], minute["moving_s"], minute["stationary_s"], minute["dashes"], minute["distance"], minute["combat_s"]) == (4, 3, 1, 1, 200.0, 1)
     assert with_accounts(docs, [22]).count() == 2 and with_accounts(docs, [5]).count() == 0
 
 
@@ -82,6 +83,31 @@ def test_streaming_ingest(spark, docs, tmp_path):
     assert store.counts()["players"] == 4
 
 
+def test_movement_intervals_rules(spark):
+    rows = [(1, None, 11, 101, t, x, 0.0, 100, combat, move) for t, x, combat, move in ((0, 0.0, "player", "ground_dash"), (1, 100.0, "player", "normal"), (2, 110.0, "creep", "ground_dash"), (4, 500.0, None, "normal"), (5, 4000.0, None, "normal"), (6, 4100.0, None, "ziplining"))]
+    (got,) = movement_intervals(spark.createDataFrame(rows, TABLES["movement"])).collect()
+    assert (got.alive_s, got.moving_s, got.stationary_s, got.combat_s, got.dashes, got.zipline_s, got.distance) == (6, 2, 1, 2, 1, 1, 110.0)
+
+
+def test_imbued_zero_is_null_and_odd_paths(spark, tmp_path):
+    doc = document()
+    doc["players"][0]["items"] = [{"game_time_s": 5, "item_id": 50, "imbued_ability_id": k} for k in (0, 9)]
+    doc["match_paths"] |= {"interval_s": None, "x_resolution": 0}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    tables = normalize(read_documents(spark, str(tmp_path)))
+    assert sorted(r.imbued_ability_id or 0 for r in tables["item_events"].collect()) == [0, 9] and tables["item_events"].where("imbued_ability_id is null").count() == 1
+    assert [(r.game_time_s, r.x) for r in tables["movement"].orderBy("game_time_s").collect()] == [(k, 0.0) for k in range(4)]
+
+
+def test_drifted_target_is_refused(spark, docs, tmp_path):
+    store = Store(spark, str(tmp_path / "drift"))
+    players = normalize(docs)["players"]
+    store.upsert("players", players)
+    store.scan("players").withColumn("more", F.lit(1)).write.mode("append").partitionBy("month").parquet(store.path("players"))
+    with pytest.raises(ValueError):
+        store.upsert("players", players)
+
+
 def test_bodies(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 5, "b"), (2, 0, "c")], "match_id long, salt long, name string")
     assert sorted(r.name for r in one_body_each(rows).collect()) == ["b", "c"]
