@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tallyforge import report_queries  # noqa: F401  adds its queries
 from tallyforge.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
