@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators import breakdown, standing, timeline
+from tallyforge.plans import registry, views  # noqa: F401  views registers its builders
+from tallyforge.plans.metrics import Context, summarize
 from tallyforge.queries import _BUILDS, _CLOSURE, SECONDS, builds, closure_of, query, read, rounded
 from tallyforge.sources.matches import movement_intervals
 
@@ -344,3 +346,91 @@ def archive_coverage(spark, sf_dir):
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS wins, count(*) FILTER (o_orderstatus <> 'F') AS losses, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 9 > 0) AS wins_without, count(*) FILTER (o_orderstatus <> 'F' AND o_custkey % 9 > 0) AS losses_without FROM orders GROUP BY 1")
 def record_by_mode(spark, sf_dir):
     return standing.record_without(read(spark, sf_dir, "orders"), ["o_orderpriority"], F.col("o_orderstatus") == "F", F.col("o_custkey") % 9 == 0)
+
+
+# Registered views over facts made of events: a user's day is a game
+
+_FACTS = (
+    f"{SAMPLES}, m AS (SELECT match_id, max(t) + 1000 AS duration_s, match_id % 3 AS match_mode, match_id % 5 = 0 AS not_scored, match_id % 2 AS winning_team FROM e GROUP BY 1), "
+    "p AS (SELECT match_id, account_id, account_id % 7 AS hero_id, account_id % 2 = match_id % 2 AS won, count(*) FILTER (source = 'signup') AS kills, count(*) FILTER (source = 'error') AS deaths, count(*) FILTER (source = 'view') AS assists, sum(v)::BIGINT AS net_worth FROM e GROUP BY 1, 2), "
+    "st AS (SELECT match_id, account_id, t, max(run)::BIGINT AS net_worth FROM (SELECT match_id, account_id, t, sum(v) OVER (PARTITION BY match_id, account_id ORDER BY t, event_id) AS run FROM e) GROUP BY 1, 2, 3)"
+)
+
+
+def facts(spark, sf_dir):
+    """A context's tables: ``matches``, ``players``, ``stats``, ``soul_sources`` and ``movement_intervals``."""
+    e, _ = samples(spark, sf_dir)
+    start = F.timestamp_seconds(F.lit(1704067200) + F.col("match_id") * 86400).alias("start_time")
+    hero = (F.col("account_id") % 7).alias("hero_id")
+
+    def table(name: str) -> DataFrame:
+        if name == "matches":
+            rows = e.groupBy("match_id").agg((F.max("t") + 1000).alias("duration_s"))
+            return rows.select("match_id", start, "duration_s", (F.col("match_id") % 3).alias("match_mode"), F.lit(1).alias("game_mode"), (F.col("match_id") % 5 == 0).alias("not_scored"), (F.col("match_id") % 2).alias("winning_team"))
+        if name == "players":
+            n = lambda kind: F.count(F.when(F.col("source") == kind, 1))
+            rows = e.groupBy(*KEYS).agg(n("signup").alias("kills"), n("error").alias("deaths"), n("view").alias("assists"), F.sum("v").alias("net_worth"))
+            more = {"won": F.col("account_id") % 2 == F.col("match_id") % 2, "team": F.col("account_id") % 2, "last_hits": F.lit(0), "denies": F.lit(0), "assigned_lane": F.lit(1)}
+            return rows.select("*", start, hero).withColumns(more)
+        if name == "stats":
+            window = Window.partitionBy(*KEYS).orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+            return e.withColumn("run", F.sum("v").over(window)).groupBy(*KEYS, F.col("t").alias("time_stamp_s")).agg(F.max("run").alias("net_worth")).select("*", start, hero)
+        if name == "soul_sources":
+            return e.select(*KEYS, start, hero, "source", F.col("total").alias("souls"), F.floor(F.col("total") / 10).alias("souls_orbs"))
+        if name == "movement_intervals":
+            return _minutes(spark, sf_dir).select("*", F.lit(None).cast("timestamp").alias("start_time"), F.lit(1).alias("hero_id"))
+        raise KeyError(name)
+
+    return Context(spark, table)
+
+
+@query(
+    f"WITH {_FACTS} SELECT hero_id AS hero, count(*) AS games, count(*) FILTER (NOT not_scored) AS scored_games, count(*) FILTER (won AND NOT not_scored) AS wins, CASE WHEN count(*) FILTER (NOT not_scored) > 0 THEN round(100.0 * count(*) FILTER (won AND NOT not_scored) / count(*) FILTER (NOT not_scored), 4) END AS win_rate, "
+    "sum(kills)::BIGINT AS kills, round((sum(kills) + sum(assists)) / greatest(sum(deaths), 1)::DOUBLE, 4) AS kda, round(sum(net_worth) / count(*)::DOUBLE, 4) AS net_worth_per_game FROM p JOIN m USING (match_id) WHERE match_mode = 1 GROUP BY 1"
+)
+def view_my_games(spark, sf_dir):
+    out = summarize(facts(spark, sf_dir), registry.build("my_games", match_mode=1), "hero", ["games", "scored_games", "wins", "win_rate", "kills", "kda", "net_worth_per_game"])
+    return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("scored_games", "wins")}), "win_rate", "kda", "net_worth_per_game")
+
+
+@query(f"WITH {_FACTS}, l AS (SELECT match_id, account_id, arg_max(net_worth, t) AS w FROM st GROUP BY 1, 2) SELECT won, count(*) AS games, sum(w)::BIGINT AS net_worth FROM l JOIN p USING (match_id, account_id) GROUP BY 1")
+def view_stat_snapshots(spark, sf_dir):
+    return summarize(facts(spark, sf_dir), registry.build("stat_snapshots"), "won", ["games", "net_worth"])
+
+
+@query(
+    f"WITH {_FACTS}, x AS (SELECT match_id, account_id, source, max(total) AS s, max(total // 10) AS o FROM s GROUP BY 1, 2, 3 HAVING max(total) + max(total // 10) <> 0) "
+    "SELECT source, count(*) AS games, sum(s + o)::BIGINT AS souls, sum(o)::BIGINT AS secured_orbs, round(100.0 * sum(o) / sum(s + o), 4) AS orb_share FROM x GROUP BY 1"
+)
+def view_soul_sources(spark, sf_dir):
+    return rounded(summarize(facts(spark, sf_dir), registry.build("soul_source_games"), "source", ["games", "souls", "secured_orbs", "orb_share"]), "orb_share")
+
+
+@query(
+    f"WITH {_FACTS}, gr AS (SELECT match_id, account_id, unnest(range(0, duration_s // 7200)) AS interval FROM p JOIN m USING (match_id)), b AS (SELECT match_id, account_id, greatest((t - 1) // 7200, 0) AS interval, arg_max(net_worth, t) AS w FROM st GROUP BY 1, 2, 3), "
+    "c AS (SELECT match_id, account_id, interval, coalesce(last_value(w IGNORE NULLS) OVER (PARTITION BY match_id, account_id ORDER BY interval), 0) AS w FROM gr LEFT JOIN b USING (match_id, account_id, interval)), d AS (SELECT *, w - lag(w, 1, 0) OVER (PARTITION BY match_id, account_id ORDER BY interval) AS gain FROM c) "
+    "SELECT interval, count(*) AS games, sum(gain)::BIGINT AS total_gain, round(avg(gain), 4) AS mean_gain, median(gain) AS median_gain FROM d GROUP BY 1"
+)
+def view_compare_intervals(spark, sf_dir):
+    return rounded(summarize(facts(spark, sf_dir), registry.build("compare_intervals", width=7200), "interval", ["games", "total_gain", "mean_gain", "median_gain"]), "mean_gain")
+
+
+@query(
+    f"WITH {_FACTS}, k AS (SELECT match_id, account_id, unnest([21600, 43200, 64800])::BIGINT AS mark_s, duration_s FROM p JOIN m USING (match_id)), x AS (SELECT match_id, account_id, mark_s, arg_max(net_worth, t) AS w FROM k JOIN st USING (match_id, account_id) WHERE t <= mark_s GROUP BY 1, 2, 3) "
+    "SELECT mark_s, count(*) AS games, round(avg(coalesce(w, 0)), 4) AS mean, median(coalesce(w, 0)) AS median FROM k LEFT JOIN x USING (match_id, account_id, mark_s) WHERE duration_s >= mark_s GROUP BY 1"
+)
+def view_cumulative_marks(spark, sf_dir):
+    return rounded(summarize(facts(spark, sf_dir), registry.build("cumulative_marks", marks=(21600, 43200, 64800)), "mark_s", ["games", "mean", "median"]), "mean")
+
+
+@query(
+    f"WITH {_FACTS}, w AS (SELECT match_id, account_id, t AS t1, net_worth AS v1, lag(t, 1, 0) OVER o AS t0, lag(net_worth, 1, 0) OVER o AS v0 FROM st WINDOW o AS (PARTITION BY match_id, account_id ORDER BY t)), "
+    "x AS (SELECT match_id, account_id, target, min(t0 + (t1 - t0) * (target - v0) / (v1 - v0)) / 60.0 AS minutes FROM w, (SELECT unnest([50.0, 100.0, 200.0])::DOUBLE AS target) WHERE v0 < target AND target <= v1 GROUP BY 1, 2, 3) SELECT target, count(*) AS games, round(median(minutes), 4) AS minutes FROM x GROUP BY 1"
+)
+def view_milestone_games(spark, sf_dir):
+    return rounded(summarize(facts(spark, sf_dir), registry.build("milestone_games", targets=(50, 100, 200)), "target", ["games", "minutes"]), "minutes")
+
+
+@query(f"WITH {_MOVES}, s AS (SELECT match_id, account_id, {_SUMS}, sum(distance) AS distance FROM mi GROUP BY 1, 2) SELECT match_id AS match, count(*) AS games, round(avg(100.0 * combat_s / alive_s), 4) AS mean_combat_percent, round(avg(distance / nullif(moving_s, 0)), 4) AS mean_pace FROM s GROUP BY 1")
+def view_movement_games(spark, sf_dir):
+    return rounded(summarize(facts(spark, sf_dir), registry.build("movement_games"), "match", ["games", "mean_combat_percent", "mean_pace"]), "mean_combat_percent", "mean_pace")
