@@ -49,18 +49,18 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(1) - 2 * points @ centres.T, axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
+def walk(first: np.ndarray, second: np.ndarray, counts: list[int] | np.ndarray, enough: int) -> list[int]:
     """Cells (i * len(second) + j) by descending first[i] + second[j] until they hold ``enough`` rows.
 
     Each list is sorted; a pair enters the heap once its left and its upper neighbour have been taken.
     """
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    fa, fb = first[a], second[b]
-    heap, taken, found, held = [(-(fa[0] + fb[0]), 0, 0)], np.zeros(len(a), np.int64), [], 0
+    fa, fb, a, b = first[a].tolist(), second[b].tolist(), a.tolist(), b.tolist()
+    heap, taken, found, held = [(-(fa[0] + fb[0]), 0, 0)], [0] * len(a), [], 0
     while heap and held < enough:
         _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(b) + int(b[j])
-        n = int(counts[cell])
+        cell = a[i] * len(b) + b[j]
+        n = counts[cell]
         if n:
             found.append(cell)
             held += n
@@ -141,7 +141,7 @@ def search(vectors: DataFrame, queries, k: int = 20, fit_rows: int = FIT_ROWS, r
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < int(part * 1_000_003)) if part < 1 else rows
     points = matrix(sample.select("embedding").limit(2 * fit_rows).toArrow().column(0), dim)
     half = max(1, dim // 2)
-    size = int(min(MAX_CENTROIDS, max(1, round(total**0.5)), max(1, len(points) // 8)))
+    size = int(min(MAX_CENTROIDS, max(1, round((total / 2) ** 0.5)), max(1, len(points) // 8)))
     books = [k_means(points[:, :half], size), k_means(points[:, half:], size) if dim > half else np.zeros((1, 0))]
     n_second = len(books[1])
     shared = spark.sparkContext.broadcast(books)  # at most 2 * MAX_CENTROIDS half vectors
@@ -162,7 +162,7 @@ def search(vectors: DataFrame, queries, k: int = 20, fit_rows: int = FIT_ROWS, r
     enough = max(k + 1, walk_needed(index, queries, books, counts, k, recall, trial))
 
     def routes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, (one, two), n = matrix(batch.column("embedding"), dim), shared.value, all_counts.value
+        x, (one, two), n = matrix(batch.column("embedding"), dim), shared.value, all_counts.value.tolist()
         at, group, cells = [], [], []
         first, second = x[:, :half] @ one.T, x[:, half:] @ two.T
         for q in range(len(x)):
