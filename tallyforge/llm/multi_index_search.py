@@ -167,10 +167,11 @@ def search(vectors: DataFrame, queries, k: int = 20, fit_rows: int = FIT_ROWS, r
         first, second = x[:, :half] @ one.T, x[:, half:] @ two.T
         for q in range(len(x)):
             found = np.array(walk(first[q], second[q], n, enough))
-            for i in np.unique(found // n_second):
-                at.append(q)
-                group.append(i)
-                cells.append((found[found // n_second == i] % n_second).astype(np.int32))
+            found = found[np.argsort(found // n_second, kind="stable")]
+            first_of = np.flatnonzero(np.r_[True, np.diff(found // n_second) > 0])
+            at += [q] * len(first_of)
+            group += (found[first_of] // n_second).tolist()
+            cells += np.split((found % n_second).astype(np.int32), first_of[1:])
         vec_id, embedding = batch.column("vec_id").take(pa.array(at)), batch.column("embedding").take(pa.array(at))
         return pa.RecordBatch.from_arrays([vec_id, embedding, pa.array(group, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "query", "i", "cells"])
 
@@ -191,16 +192,19 @@ def search(vectors: DataFrame, queries, k: int = 20, fit_rows: int = FIT_ROWS, r
         block = block.sort_values(["j", "vec_id"], kind="stable")
         ids, x, j = block.vec_id.to_numpy(), np.stack(block.embedding.to_numpy()), block.j.to_numpy()
         longest = np.sqrt((x**2).sum(1).max())
-        left, right = np.searchsorted(j, np.arange(n_second)), np.searchsorted(j, np.arange(n_second), "right")
-        out = []
-        for query_id, q, cells in zip(asked.query_id, asked["query"], asked.cells):
-            at = np.concatenate([np.arange(left[c], right[c]) for c in cells])
+        out, rough = [], None
+        for n, (query_id, q, cells) in enumerate(zip(asked.query_id, asked["query"], asked.cells)):
+            if n % 512 == 0:  # products of some queries with the whole block at a time
+                rough = np.stack(asked["query"].iloc[n : n + 512].to_numpy()) @ x.T
+            mine = np.zeros(n_second, bool)
+            mine[cells] = True
+            at = np.flatnonzero(mine[j])
             at = at[ids[at] != query_id]
             if len(at) > k:
                 # a fast product leaves all rows that could be among the best; the scores are summed in a fixed order
-                rough = (x @ q)[at]
-                edge = np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-12 * dim * longest * np.sqrt((q * q).sum())
-                at = at[rough >= edge]
+                near = rough[n % 512, at]
+                edge = np.partition(near, len(near) - k)[len(near) - k] - 1e-12 * dim * longest * np.sqrt((q * q).sum())
+                at = at[near >= edge]
             score = (x[at] * q).sum(1)
             best = np.lexsort((ids[at], -score))[:k]
             out.append((np.full(len(best), query_id), ids[at][best], score[best]))
