@@ -28,6 +28,8 @@ from tallyforge.llm.common import map_batches, written
 FIT_ROWS = 20_000
 MAX_CENTROIDS = 512
 BLOCK_ROWS = 4096
+#: about as many rows as cells would make a query's walk, one heap step a cell, cost more than comparing the rows does
+ROWS_PER_CELL = 8
 TRIAL = 256
 
 
@@ -141,7 +143,7 @@ def search(vectors: DataFrame, queries, k: int = 20, fit_rows: int = FIT_ROWS, r
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < int(part * 1_000_003)) if part < 1 else rows
     points = matrix(sample.select("embedding").limit(2 * fit_rows).toArrow().column(0), dim)
     half = max(1, dim // 2)
-    size = int(min(MAX_CENTROIDS, max(1, round((total / 2) ** 0.5)), max(1, len(points) // 8)))
+    size = int(min(MAX_CENTROIDS, max(1, round((total / ROWS_PER_CELL) ** 0.5)), max(1, len(points) // 8)))
     books = [k_means(points[:, :half], size), k_means(points[:, half:], size) if dim > half else np.zeros((1, 0))]
     n_second = len(books[1])
     shared = spark.sparkContext.broadcast(books)  # at most 2 * MAX_CENTROIDS half vectors
