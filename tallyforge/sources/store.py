@@ -48,13 +48,14 @@ class Store:
             raise KeyError(f"no table {table!r}; tables are {', '.join(TABLES)}")
         return f"{self.root}/{'assets/' if table in DIMENSIONS else ''}{table}"
 
-    def _files(self, path: str) -> bool:
+    def holds(self, path: str) -> bool:
+        """Whether there is a file, or a folder with files."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return fs.exists(hadoop) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(hadoop))
 
     def exists(self, table: str) -> bool:
-        return self._files(self.path(table))
+        return self.holds(self.path(table))
 
     def scan(self, table: str) -> DataFrame:
         path = self.path(table)
