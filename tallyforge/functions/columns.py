@@ -53,6 +53,11 @@ def local_time(at: Column, zone: str) -> Column:
     return F.from_utc_timestamp(at, zone)
 
 
+def since_day(at: Column, day: str, zone: str = "UTC") -> Column:
+    """Whether a time's local day is ``day`` or later."""
+    return F.to_date(local_time(at, zone)) >= F.to_date(F.lit(day))
+
+
 def mean_of_two(a: Column, b: Column) -> Column:
     """Mean of those that are not null."""
     n = a.isNotNull().cast("int") + b.isNotNull().cast("int")
