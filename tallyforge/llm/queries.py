@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import curve_packing, feistel, host_rules, jaccard_join, kneser_ney, language_spans, license_join, mixing, multi_index_search, secret_grammar
+from tallyforge.llm import sql
 from tallyforge.llm.common import crc32_of_id, table
 
 #: The pseudonyms' key; a deployment sets its own.
@@ -84,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SPACED = r"[^\x20\x09-\x0D]"
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_join": sql.license_sql(),
+    "op5_source_mix": sql.mix_sql(),
+    "op6_jaccard_join": sql.jaccard_sql(),
     "op4_host_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, 'null') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '{_SPACED}+') AS w FROM d),
