@@ -1,8 +1,9 @@
 """Hashes of the words of many texts at once, from the bytes of an Arrow column.
 
-A word's hash is the sum of a random number per byte times a power of an odd number, modulo 2**64, taken from running
-sums over the bytes, then mixed.  A-Z count as a-z.  Words are runs of bytes without white space; no byte of a longer
-UTF-8 sequence is white space, so these are the words of the text.
+A word's hash is a polynomial over its bytes modulo the prime 2**61 - 1 at a fixed random place, taken from running sums
+over the bytes, then mixed.  Modulo a prime two different words of n bytes meet at no more than n of all places, however
+regular they are.  A-Z count as a-z.  Words are runs of bytes without white space; no byte of a longer UTF-8 sequence is
+white space, so these are the words of the text.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes whose words are hashed at once, and bytes of text in one piece of a batch.
 WINDOW = 1 << 18
 PIECE_BYTES = 4 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 61) - 1
+#: the place of the polynomial: a random number below the prime
+_BASE = 0x0B4F2A6D93E1C587
 
-_VALUE = np.random.default_rng(17).integers(1, 1 << 64, 256, np.uint64)
+_VALUE = np.arange(1, 257, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
 _SOLID = np.ones(256, bool)
 _SOLID[list(SPACES)] = False
@@ -33,11 +35,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The powers of the base and of its inverse, ``n`` of each at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, WINDOW + 1)
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (_BASE, _INVERSE)]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo the prime."""
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - np.uint64(_PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 31 bits."""
+    low, u = np.uint64((1 << 31) - 1), np.uint64
+    a1, a0, b1, b0 = a >> u(31), a & low, b >> u(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced(u(2) * (a1 * b1) + (middle >> u(30)) + ((middle & u((1 << 30) - 1)) << u(31)) + a0 * b0)
+
+
+def powers() -> list[np.ndarray]:
+    """Upper 31 and lower 30 bits of the base's powers below ``WINDOW``, and the inverses of these powers."""
+    if not _powers:
+        both = []
+        for base in (_BASE, pow(_BASE, -1, _PRIME)):
+            out = np.ones(1, np.uint64)
+            while len(out) <= WINDOW:
+                out = np.concatenate([out, times(out, np.full(len(out), pow(base, len(out), _PRIME), np.uint64))])
+            both.append(out[: WINDOW + 1])
+        _powers[:] = [both[0] >> np.uint64(30), both[0] & np.uint64((1 << 30) - 1), both[1]]
     return _powers
 
 
@@ -68,19 +89,33 @@ def word_bounds(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def window_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomials of spans that lie within ``WINDOW`` bytes."""
+    upper, lower, inverse = powers()
+    low, n = int(start[0]), int(end[-1] - start[0])
+    value = _VALUE[flat[low : low + n]]
+    s, e, parts = start - low, end - low, []
+    for power in (upper, lower):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(value * power[:n], out=sums[1:])
+        parts.append(sums[e] - sums[s])
+    high = parts[0]
+    total = reduced((high >> np.uint64(31)) + ((high & np.uint64((1 << 31) - 1)) << np.uint64(30)) + parts[1])
+    return times(total, inverse[s])
+
+
 def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte spans, which are in order and don't overlap."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + WINDOW, "right")))
-        low, high = int(start[i]), int(end[j - 1])
-        power, inverse = powers(high - low + 1)
-        sums = np.empty(high - low + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_VALUE[flat[low:high]] * power[: high - low], out=sums[1:])
-        s = start[i:j] - low
-        out[i:j] = (sums[end[i:j] - low] - sums[s]) * inverse[s]
+        if end[i] - start[i] > WINDOW:  # one long span, window by window
+            cuts = np.arange(start[i], end[i], WINDOW)
+            each = [int(window_hashes(flat, cuts[k : k + 1], np.minimum(cuts[k : k + 1] + WINDOW, end[i]))[0]) for k in range(len(cuts))]
+            out[i] = sum(h * pow(_BASE, k * WINDOW, _PRIME) for k, h in enumerate(each)) % _PRIME
+        else:
+            out[i:j] = window_hashes(flat, start[i:j], end[i:j])
         i = j
     return mixed(out)
 

@@ -15,7 +15,7 @@ Equal sets are one point from the start.  A content whose tree leaves few pairs
 over ``LARGE`` points, gives a star; where the star leaves it in several components its points are dealt to blocks by
 range, the blocks' boxes make the tree's upper levels, and blocks that these leave are compared across components.
 
-Words are 64-bit hashes, shingles too: two different ones are taken as equal with odds of 1 in 10**19.  Empty or null
+Words are hashes of 61 bits, shingles of 64: two different words of n bytes are taken as equal with odds of n in 2 * 10**18.  Empty or null
 text: an empty set, linked with nothing.  Rows with one doc_id are one document.  A row without doc_id has no component.
 Repeated rows are equal sets.  An empty table gives an empty result; further columns of the input are ignored.
 """
