@@ -7,8 +7,8 @@ two, which need no padding.
 
 Null text: the end id alone.  Documents at one place are dealt by their id's hash, so copies can fill several ranges.
 Repeated rows are packed each by itself, side by side.  A very long text is cut over as many sequences as it takes.  An
-empty table gives an empty result; further columns of the input are ignored.  Pieces of text are told apart by 64-bit
-hashes: two different ones are taken as equal with odds of 1 in 10**19.
+empty table gives an empty result; further columns of the input are ignored.  Pieces of text are told apart by hashes
+modulo a prime of 61 bits: two different ones of n bytes are taken as equal with odds of n in 2 * 10**18.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ class TokenIds:
             found[new] = self.slots.find(keys[new])
         return found
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids of the texts, each with the end id, how many each has, and the sum of each text's directions."""
         flat, at = byte_words.text_bytes(column)
         n_texts = len(at) - 1
@@ -176,7 +176,7 @@ class TokenIds:
         lengths = before[edges[1:]] - before[edges[:-1]] + 1
         for k, ids in own.items():
             lengths[k] += len(ids)
-        out = np.full(int(lengths.sum()), END_ID, np.uint32)
+        out = np.full(int(lengths.sum()), end_id, np.uint32)
         ends = np.cumsum(lengths)
         inside = np.ones(len(out), bool)
         inside[ends - 1] = False
@@ -248,13 +248,23 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 _TOKENS: dict[str, TokenIds] = {}
 
 
+def token_ids(tokenizer: str) -> TokenIds:
+    """The worker's token ids of this tokenizer, kept from task to task."""
+    if tokenizer not in _TOKENS:
+        _TOKENS[tokenizer] = TokenIds(tokenizer)
+    return _TOKENS[tokenizer]
+
+
+def forget_tokens() -> None:
+    _TOKENS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id``, ``place``, ``n`` and ``ids`` (16 or 32 bits each, by ``width``) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _TOKENS.get(tokenizer)
-        if cache is None:
-            cache = _TOKENS[tokenizer] = TokenIds(tokenizer)
+        cache = token_ids(tokenizer)
         kind = np.dtype("<u2") if cache.size <= 1 << 16 else np.dtype("<u4")
         for batch in byte_words.pieces(batches, 500):
             flat, lengths, sums = cache.encode(batch.column("text"))
@@ -321,8 +331,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         # no text is looked up any more, and the executor's memory is shared with the sort
-        _TOKENS.clear()
-        pa.default_memory_pool().release_unused()
+        forget_tokens()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
         types = [pa.int64()] * 7 + [pa.list_(pa.uint32())]
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import curve_packing, feistel, host_rules, jaccard_join, kneser_ney, language_spans, license_join, mixing, multi_index_search, secret_grammar
+from tallyforge.llm import angular_negatives, curve_packing, dictionary_kmeans, feistel, host_rules, jaccard_join, kneser_ney, language_spans, license_join, mixing, multi_index_search, secret_grammar, wavelet_store
 from tallyforge.llm import sql
 from tallyforge.llm.common import crc32_of_id, table
 
@@ -67,6 +67,19 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_dictionary_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet_store.write(table(spark, sf_dir, "documents"), tokenizer_path()).documents()
+
+
+def op13_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return angular_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_spans,
         op9_kneser_ney,
         op10_curve_packing,
+        op11_dictionary_kmeans,
+        op12_wavelet_store,
+        op13_angular_negatives,
     )
 }
 
@@ -88,6 +104,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_license_join": sql.license_sql(),
     "op5_source_mix": sql.mix_sql(),
     "op6_jaccard_join": sql.jaccard_sql(),
+    "op11_dictionary_kmeans": sql.kmeans_sql(),
+    "op13_angular_negatives": sql.negatives_sql(),
     "op4_host_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, 'null') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '{_SPACED}+') AS w FROM d),

@@ -86,3 +86,40 @@ reach(x, y) AS (SELECT id, id FROM c UNION SELECT reach.x, links.y FROM reach JO
 least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
 SELECT k.doc_id, k.n AS n_shingles, coalesce(component_id, k.doc_id) AS component_id FROM k LEFT JOIN c ON k.h = c.h AND k.n = c.n AND k.n > 0 LEFT JOIN least_of ON least_of.x = c.id
 """
+
+
+def kmeans_sql(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Every component against every centroid's, round after round."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (SELECT r, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM (SELECT v.r, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS distance FROM v JOIN m{n} m USING (d) GROUP BY 1, 2) GROUP BY r)"""
+
+    def moved(n: int) -> str:
+        return f"""s{n} AS (SELECT c, d, sum(x)::BIGINT AS total, count(*) AS n FROM v JOIN a{n - 1} USING (r) GROUP BY 1, 2),
+m{n} AS MATERIALIZED (SELECT o.c, o.d, coalesce((total - (total % n + n) % n) // n, o.x) AS x FROM m{n - 1} o LEFT JOIN s{n} s ON o.c = s.c AND o.d = s.d)"""
+
+    steps = ",\n".join([assigned(0)] + [f"{moved(n)},\n{assigned(n)}" for n in range(1, rounds + 1)])
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor({scale} * y::DOUBLE)::BIGINT) AS xs FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {dim}),
+v AS MATERIALIZED (SELECT r, unnest(xs) AS x, unnest(range({dim})) AS d FROM e),
+m0 AS MATERIALIZED (SELECT c, unnest(xs) AS x, unnest(range({dim})) AS d FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), xs) - 1 AS c, xs FROM e WHERE vec_id IS NOT NULL) WHERE c < {k}),
+{steps},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM m{rounds} GROUP BY c),
+t AS (SELECT c, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, a.c::INT AS cluster, distance, cluster_inertia, (SELECT sum(distance) FROM a{rounds})::BIGINT AS inertia, centroid_sha256 FROM a{rounds} a JOIN e USING (r) JOIN h USING (c) JOIN t USING (c)
+"""
+
+
+def negatives_sql(positives: int = 5, negatives: int = 3, least: int = 50, most: int = 95, scale: int = 256) -> str:
+    """Every anchor against every row."""
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda y: floor({scale} * y::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = len(embedding)),
+u AS MATERIALIZED (SELECT * FROM v WHERE len(x) = (SELECT len(x) FROM v GROUP BY len(x) ORDER BY count(*) DESC, len(x) LIMIT 1)),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, b.r AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id OR a.label <> b.label WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= {positives}),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.place ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM p JOIN s n ON p.r = n.r AND NOT n.same AND {least} * p.score <= 100 * n.score AND 100 * n.score <= {most} * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}
+"""
