@@ -230,12 +230,12 @@ def interval_table(spark, sf_dir):
 # Scoreboards and items
 
 
-@query(f"WITH {SAMPLES}, b AS (SELECT match_id, account_id, count(*) AS buffs FROM e WHERE source = 'error' GROUP BY 1, 2), x AS (SELECT match_id, account_id, account_id % 2 AS team, coalesce(total, 0)::BIGINT AS worth, coalesce(buffs, 0)::BIGINT AS buffs FROM g LEFT JOIN (SELECT * FROM f WHERE source = 'purchase') USING (match_id, account_id) LEFT JOIN b USING (match_id, account_id)) SELECT *, row_number() OVER (PARTITION BY match_id, team ORDER BY worth DESC, account_id) AS place FROM x")
+@query(f"WITH {SAMPLES}, b AS (SELECT match_id, account_id, sum(v % 3) AS buffs FROM e WHERE source = 'error' GROUP BY 1, 2), x AS (SELECT match_id, account_id, account_id % 2 AS team, coalesce(total, 0)::BIGINT AS worth, coalesce(buffs, 0)::BIGINT AS buffs FROM g LEFT JOIN (SELECT * FROM f WHERE source = 'purchase') USING (match_id, account_id) LEFT JOIN b USING (match_id, account_id)) SELECT *, row_number() OVER (PARTITION BY match_id, team ORDER BY worth DESC, account_id) AS place FROM x")
 def scoreboard(spark, sf_dir):
     s, games = samples(spark, sf_dir)
     finals = finals_of(s).where("source = 'purchase'").select(*KEYS, F.col("total").alias("worth"))
     players = games.select(*KEYS, (F.col("account_id") % 2).alias("team"))
-    return listings.scoreboard(players, finals, s.where("source = 'error'"), KEYS, ["match_id", "team"], "worth")
+    return listings.scoreboard(players, finals, s.where("source = 'error'").withColumn("count", F.col("v") % 3), KEYS, ["match_id", "team"], "worth")
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, buy_n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS buy_n FROM lineitem) WHERE l_suppkey % 5 = 2")

@@ -18,26 +18,6 @@ def final_values(samples: DataFrame, keys: Sequence[str], source: str, value: st
     return samples.groupBy(*keys, source).agg(F.max(value).alias(value)).where(F.col(value) != 0)
 
 
-def by_source(finals: DataFrame, games: DataFrame, keys: Sequence[str], source: str, value: str) -> DataFrame:
-    """Per source: games with it, total, total per minute of all games and of the games with it, percent of all sources.
-
-    The window's totals are one row; a source whose total is 0 is left out.
-    """
-    window = games.agg((F.sum("duration_s") / 60.0).alias("_minutes"))
-    per = finals.join(games.select(*keys, "duration_s"), list(keys)).groupBy(source).agg(F.count(F.lit(1)).alias("games"), F.sum(value).alias("total"), (F.sum("duration_s") / 60.0).alias("_owned"))
-    per = per.where("total != 0")
-    whole = per.agg(F.sum("total").alias("_all"))
-    out = per.crossJoin(F.broadcast(window)).crossJoin(F.broadcast(whole))  # one row each
-    return out.select(
-        source,
-        "games",
-        "total",
-        ratio(F.col("total"), F.col("_minutes")).alias("per_min"),
-        ratio(F.col("total"), F.col("_owned")).alias("per_min_owned"),
-        ratio(100.0 * F.col("total"), F.col("_all")).alias("percent"),
-    )
-
-
 def game_split(finals: DataFrame, games: DataFrame, keys: Sequence[str], kind: Column, kinds: Sequence[str], value: str) -> DataFrame:
     """One row per game: its total, the part of each kind, and the kinds' percents, null where the total is 0."""
     per = finals.withColumn("_kind", kind).groupBy(*keys).agg(zero_sum(F.col(value)).alias("total"), *(zero_sum(F.col(value), F.col("_kind") == k).alias(k) for k in kinds))
@@ -54,11 +34,16 @@ def healing_split(healing: DataFrame, prevented: DataFrame, keys: Sequence[str],
     return out.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("healing", "self_healing", "prevented")))
 
 
-def souls_by_source(finals: DataFrame, games: DataFrame, keys: Sequence[str], source: str, souls: str, orbs: str) -> DataFrame:
-    """Per income source: games, souls (orbs included), orbs, minutes of its games, percent of all and share of orbs."""
-    per = finals.join(games.select(*keys, "duration_s"), list(keys)).groupBy(source).agg(
-        F.count(F.lit(1)).alias("games"), F.sum(F.col(souls) + F.col(orbs)).alias("souls"), F.sum(orbs).alias("secured_orbs"), (F.sum("duration_s") / 60.0).alias("minutes")
+def souls_by_source(finals: DataFrame, games: DataFrame, keys: Sequence[str], source: str, souls: str, orbs: str, match: Sequence[str] | None = None) -> DataFrame:
+    """Per income source: games, souls (orbs included), orbs, minutes of its games, percent of all and share of orbs.
+
+    With ``match`` the minutes count a match once in a source, however many of its players are among the games.
+    """
+    rows, match = finals.join(games.select(*keys, "duration_s"), list(keys)), list(match or keys)
+    one = rows.groupBy(source, *(F.col(k).alias(f"_{k}") for k in match)).agg(
+        F.count(F.lit(1)).alias("games"), F.sum(F.col(souls) + F.col(orbs)).alias("souls"), F.sum(orbs).alias("orbs"), F.max("duration_s").alias("duration_s")
     )
+    per = one.groupBy(source).agg(F.sum("games").alias("games"), F.sum("souls").alias("souls"), F.sum("orbs").alias("secured_orbs"), (F.sum("duration_s") / 60.0).alias("minutes"))
     whole = per.agg(F.sum("souls").alias("_all"))
     out = per.crossJoin(F.broadcast(whole))  # one row
     return out.withColumns({"percent": ratio(100.0 * F.col("souls"), F.col("_all")), "orb_share": ratio(100.0 * F.col("secured_orbs"), F.col("souls"))}).drop("_all")
@@ -84,18 +69,27 @@ def dealt_and_taken(hits: DataFrame, players: DataFrame, match: Sequence[str], b
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dealt", "taken")})
 
 
-def item_games(games: DataFrame, buys: DataFrame, gained: DataFrame, keys: Sequence[str], item: Column, at: Sequence[str]) -> DataFrame:
+def item_games(games: DataFrame, buys: DataFrame, gained: DataFrame, keys: Sequence[str], item: Column, at: Sequence[str], tier: int | Column | None = None, costs: DataFrame | None = None, name: str | None = None) -> DataFrame:
     """One row per game, also of games without the item: whether it was built, its first buy, that buy's place among all
     buys and among those of its tier, and what was gained while it was owned.
 
-    ``buys``: keys, ``at``, ``tier``; ``gained``: keys and ``gained``.
+    ``buys``: keys, ``at``, ``tier``; ``gained``: keys and ``gained``.  With ``name``, the buys' column of names, also what
+    was bought first of the item's tier (``tier`` in games without it) and whether that was the item; with ``costs`` (keys,
+    ``effective_cost``) the souls put into it, null without a buy.
     """
     from tallyforge.operators.items import buy_order
 
-    placed = buy_order(buy_order(buys, keys, at, "buy_n"), [*keys, "tier"], at, "tier_buy_n")
-    first = placed.where(item).groupBy(*keys).agg(F.min_by(F.struct(F.col(at[0]).alias("bought_at"), "buy_n", "tier_buy_n"), F.struct(*at)).alias("_f")).select(*keys, "_f.*")
+    placed = buy_order(buy_order(buys, keys, at, "buy_n"), [*keys, "tier"], at, "tier_buy_n").withColumn("_is", item)
+    buy = F.struct(F.col(at[0]).alias("bought_at"), "buy_n", "tier_buy_n", F.col("tier").alias("item_tier"))
+    first = placed.where("_is").groupBy(*keys).agg(F.min_by(buy, F.struct(*at)).alias("_f")).select(*keys, "_f.*")
     out = games.join(first, list(keys), "left").join(gained, list(keys), "left")
-    return out.withColumn("built", F.col("bought_at").isNotNull()).withColumn("gained", F.coalesce("gained", F.lit(0)))
+    out = out.withColumn("built", F.col("bought_at").isNotNull()).withColumn("gained", F.coalesce("gained", F.lit(0)))
+    if costs is not None:
+        out = out.join(costs.groupBy(*keys).agg(F.sum("effective_cost").alias("effective_cost")), list(keys), "left")
+    if name is not None:
+        of_tier = placed.where("tier_buy_n = 1").select(*keys, F.col("tier").alias("item_tier"), F.col(name).alias("first_of_tier"), F.col(at[0]).alias("first_of_tier_at"), F.col("_is").alias("is_first_of_tier"))
+        out = out.withColumn("item_tier", F.coalesce("item_tier", F.lit(tier) if not isinstance(tier, Column) else tier)).join(of_tier, [*keys, "item_tier"], "left")
+    return out if name is not None else out.drop("item_tier")
 
 
 def built_summary(rows: DataFrame, won: Column) -> DataFrame:
@@ -104,14 +98,20 @@ def built_summary(rows: DataFrame, won: Column) -> DataFrame:
     return out.select("built", "games", "wins", ratio(100.0 * F.col("wins"), F.col("games")).alias("win_percent"), "mean_gained", ratio(60.0 * F.col("_g"), F.col("_s")).alias("per_min_owned"))
 
 
-def item_core(builds: DataFrame, build: Sequence[str], item: str, won: Column, least: float) -> DataFrame:
-    """In what percent of won and of lost builds an item is; items at ``least`` percent or more of either."""
-    one = builds.select(*build, F.col(item).alias("item"), won.alias("won")).distinct()
-    n = one.select(*build, "won").distinct().agg(zero_sum(F.col("won").cast("long")).alias("_w"), zero_sum((~F.col("won")).cast("long")).alias("_l"))
-    per = one.groupBy("item").agg(zero_sum(F.col("won").cast("long")).alias("wins"), zero_sum((~F.col("won")).cast("long")).alias("losses"))
+def item_core(builds: DataFrame, build: Sequence[str], item: str, won: Column, least: float, at: str | None = None, facts: Sequence[str] = ()) -> DataFrame:
+    """Items in ``least`` percent or more of the won builds, with their percent of the lost ones, 0 where in none.
+
+    With ``at`` also the median of an item's latest time in won builds; ``facts`` are columns of the item, as its slot.
+    """
+    latest = [F.max(at).alias("at")] if at else []
+    one = builds.groupBy(*build, F.col(item).alias("item"), won.alias("won")).agg(*latest, *(F.max(f).alias(f) for f in facts), F.lit(1).alias("_n")).drop("_n")
+    n = builds.select(*build, won.alias("won")).distinct().agg(zero_sum(F.col("won").cast("long")).alias("_w"), zero_sum((~F.col("won")).cast("long")).alias("_l"))
+    times = [F.median(F.when(F.col("won"), F.col("at"))).alias("median_at")] if at else []
+    per = one.groupBy("item").agg(zero_sum(F.col("won").cast("long")).alias("wins"), zero_sum((~F.col("won")).cast("long")).alias("losses"), *times, *(F.max(f).alias(f) for f in facts))
     out = per.crossJoin(F.broadcast(n))  # one row
-    out = out.select("item", ratio(100.0 * F.col("wins"), F.col("_w")).alias("win_share"), ratio(100.0 * F.col("losses"), F.col("_l")).alias("loss_share"))
-    return out.where(F.greatest("win_share", "loss_share") >= least)
+    loss = F.coalesce(ratio(100.0 * F.col("losses"), F.col("_l")), F.lit(0.0))
+    out = out.select("item", ratio(100.0 * F.col("wins"), F.col("_w")).alias("win_share"), loss.alias("loss_share"), *(["median_at"] if at else []), *facts)
+    return out.where(F.col("win_share") >= least)
 
 
 def consumed_into(consumed: DataFrame, buys: DataFrame, closure: DataFrame, keys: Sequence[str], at: str) -> DataFrame:

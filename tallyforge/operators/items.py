@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.eras import asof_group, asof_join
+
 
 def component_closure(edges: DataFrame, parent: str, child: str, depth: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """All components of each item up to a depth, with the smallest depth: ``depth`` - 1 joins of the edge list."""
@@ -20,19 +22,29 @@ def component_closure(edges: DataFrame, parent: str, child: str, depth: int = 3,
     return found.groupBy(*by, "item", "component").agg(F.min("depth").alias("depth"))
 
 
-def effective_cost(buys: DataFrame, consumed: DataFrame, closure: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+def effective_cost(buys: DataFrame, consumed: DataFrame, closure: DataFrame, keys: Sequence[str], at: str, time: str | None = None, start: str = "era_from") -> DataFrame:
     """Each buy's cost less the prices of components consumed at the same moment.
 
-    A component that several buys of that moment could use goes to the closest relative, then to the lowest item.
-    ``buys``: keys, ``at``, ``item``, ``cost``; ``consumed``: keys, ``at``, ``component``, ``price``.
+    A component that several buys of that moment could use goes to the closest relative, then to the lowest item; all its
+    rows of that moment count.  ``buys``: keys, ``at``, ``item``, ``cost``; ``consumed``: keys, ``at``, ``component``,
+    ``price``.  With ``time`` the closure is that of the recipes live then: ``closure`` has ``start``, and buys have ``time``.
     """
-    offered = buys.join(closure, "item").join(consumed, [*keys, at, "component"])
-    first = F.row_number().over(Window.partitionBy(*keys, at, "component").orderBy("depth", "item"))
-    credit = offered.withColumn("_n", first).where("_n = 1").groupBy(*keys, at, "item").agg(F.sum("price").alias("credit"))
+    one = buys.select(*keys, at, "item", *([time] if time else [])).distinct()
+    made_of = asof_group(one, closure, ["item"], time, start) if time else one.join(closure, "item")
+    offered = made_of.select(*keys, at, "item", "component", "depth")
+    relative = F.min(F.struct("depth", "item")).alias("_r")
+    taker = offered.join(consumed.select(*keys, at, "component").distinct(), [*keys, at, "component"]).groupBy(*keys, at, "component").agg(relative)
+    used = consumed.groupBy(*keys, at, "component").agg(F.sum("price").alias("price"))
+    credit = taker.select(*keys, at, "component", F.col("_r.item").alias("item")).join(used, [*keys, at, "component"]).groupBy(*keys, at, "item").agg(F.sum("price").alias("credit"))
     out = buys.join(credit, [*keys, at, "item"], "left").withColumn("credit", F.coalesce("credit", F.lit(0)))
     return out.withColumn("effective_cost", F.col("cost") - F.col("credit"))
 
 
+def priced(events: DataFrame, item_eras: DataFrame, at: str = "start_time", item: str = "item_id", values: Sequence[str] = ("cost", "slot", "tier")) -> DataFrame:
+    """Events with the prices, slots and tiers of the era live at their match's start, in place of those they came with."""
+    return asof_join(events.drop(*values), item_eras.select(item, "era_from", *values), [item], at, values)
+
+
 def ownership_windows(buys: DataFrame, sold: str, end: str) -> DataFrame:
     """``owned_to`` is the sale, or the end where the item was kept (``sold`` 0 or null)."""
     kept = F.coalesce(F.col(sold), F.lit(0)) == 0
@@ -40,11 +52,20 @@ def ownership_windows(buys: DataFrame, sold: str, end: str) -> DataFrame:
 
 
 def gained_while_owned(windows: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, value: str, window_keys: Sequence[str]) -> DataFrame:
-    """A running total's gain within ownership windows: its largest value up to the end less its largest up to the buy."""
-    joined = windows.join(samples.select(*keys, F.col(at).alias("_t"), F.col(value).alias("_v")), list(keys), "left")
-    upto = F.max(F.when(F.col("kept") | (F.col("_t") <= F.col("owned_to")), F.col("_v")))
-    before = F.max(F.when(F.col("_t") <= F.col("owned_from"), F.col("_v")))
-    return joined.groupBy(*window_keys).agg((F.coalesce(upto, F.lit(0)) - F.coalesce(before, F.lit(0))).alias(value))
+    """A running total's gain within ownership windows: its largest value up to the end less its largest up to the buy.
+
+    Samples and the ends of windows are sorted together and the largest value so far is read off, so a game's windows
+    don't each meet all its samples.
+    """
+    marks = windows.select(*keys, F.struct(*window_keys).alias("_window"), F.inline(F.array(
+        F.struct(F.col("owned_from").cast("double").alias("_t"), F.lit(False).alias("_end")),
+        F.struct(F.when(~F.col("kept"), F.col("owned_to").cast("double")).otherwise(F.lit(float("inf"))).alias("_t"), F.lit(True).alias("_end")),
+    )))
+    both = samples.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v")).where("_t IS NOT NULL").unionByName(marks.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    so_far = F.max("_v").over(Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    read = both.withColumn("_v", so_far).where("_side = 1")
+    upto = lambda end: F.coalesce(F.max(F.when(F.col("_end") == end, F.col("_v"))), F.lit(0))
+    return read.groupBy("_window").agg((upto(True) - upto(False)).alias(value)).select("_window.*", value)
 
 
 def buy_order(buys: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "buy_n") -> DataFrame:

@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.eras import asof_join, folded
+from tallyforge.operators.eras import asof_join, folded, highest_reached
 
 #: Base stats and their gain for each standard level.
 BASES = {"health": "max_health", "light": "light_melee_damage", "heavy": "heavy_melee_damage"}
 GAINS = {"health": "base_health_from_level", "spirit": "tech_power", "bullet": "base_bullet_damage_from_level", "melee": "base_melee_damage_from_level"}
+#: What levels give to spend.
+CURRENCIES = ("ability_points", "ability_unlocks")
 #: Names of the six levels in a rank.
 SUBRANKS = ("I", "II", "III", "IV", "V", "VI")
 
@@ -41,6 +43,20 @@ def boon_stats(levels: DataFrame, stats: DataFrame, gains: DataFrame, by: Sequen
     )
 
 
+def with_currencies(levels: DataFrame, currencies: DataFrame, by: Sequence[str], names: Sequence[str] = CURRENCIES) -> DataFrame:
+    """Adds how much of each currency all levels up to each one have given; ``currencies``: by, level, currency, amount."""
+    at_level = currencies.groupBy(*by, "level").agg(*(F.sum(F.when(F.col("currency") == n, F.col("amount"))).alias(n) for n in names))
+    upto = Window.partitionBy(*by).orderBy("level").rangeBetween(Window.unboundedPreceding, 0)
+    rows = levels.join(at_level, [*by, "level"], "left")
+    return rows.withColumns({n: F.coalesce(F.sum(n).over(upto), F.lit(0)) for n in names})
+
+
+def boons_at_souls(left: DataFrame, levels: DataFrame, boons: DataFrame, by: Sequence[str], souls: str) -> DataFrame:
+    """The boons of the highest level whose ``required_souls`` a row's souls reach; level 0 and nulls before the first."""
+    reached = highest_reached(left, levels.select(*by, "required_souls", "level"), by, souls, "required_souls", "level")
+    return reached.withColumn("level", F.coalesce("level", F.lit(0))).join(boons, [*by, "level"], "left")
+
+
 def gun_at_level(guns: DataFrame, bonus: str) -> DataFrame:
     """Damage of a bullet with a bonus added, and damage per second in proportion; guns without bullet damage are left out."""
     bullet = F.col("bullet_damage") + F.coalesce(bonus, F.lit(0.0))

@@ -156,9 +156,9 @@ def interval_table(intervals: DataFrame, keys: Sequence[str], source: str, group
 # Scoreboards, awards, items
 
 
-def scoreboard(players: DataFrame, finals: DataFrame, buffs: DataFrame, keys: Sequence[str], team: Sequence[str], worth: str) -> DataFrame:
-    """Players with their last sample and the buffs they hold, placed in their team by worth; missing figures are 0."""
-    held = buffs.groupBy(*keys).agg(F.count(F.lit(1)).alias("buffs"))
+def scoreboard(players: DataFrame, finals: DataFrame, buffs: DataFrame, keys: Sequence[str], team: Sequence[str], worth: str, count: str = "count") -> DataFrame:
+    """Players with their last sample and the buffs they hold (``count`` of each row), placed in their team by worth; missing figures are 0."""
+    held = buffs.groupBy(*keys).agg(F.sum(count).alias("buffs"))
     out = players.join(finals, list(keys), "left").join(held, list(keys), "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("buffs", *(c for c in finals.columns if c not in keys))})
     return out.withColumn("place", F.row_number().over(Window.partitionBy(*team).orderBy(F.col(worth).desc(), *keys)))

@@ -55,7 +55,7 @@ def held_on_average(counters: DataFrame, games: DataFrame, keys: Sequence[str],
 
 
 def pool_medians(gains: DataFrame, mine: Column, interval: str, value: str, least: int = 3, lower_is_better: bool = False) -> DataFrame:
-    """Medians of two pools by interval, their gap, its running sum and the interval where mine falls short the most.
+    """Medians of two pools by interval, their gap, its running sum and the interval where mine falls short the most, if any.
 
     It ends before the first interval that fewer than ``least`` rows of either pool reach.  There is one row per
     interval of a game, so the windows over all of them are small.
@@ -69,7 +69,7 @@ def pool_medians(gains: DataFrame, mine: Column, interval: str, value: str, leas
     gap = F.col("mine") - F.col("theirs")
     out = kept.withColumn("gap", gap).withColumn("running_gap", F.sum("gap").over(order))
     behind = F.col("gap") if lower_is_better else -F.col("gap")
-    return out.withColumn("worst", F.row_number().over(Window.orderBy(F.desc(behind), interval)) == 1)
+    return out.withColumn("worst", (F.row_number().over(Window.orderBy(F.desc(behind), interval)) == 1) & (behind > 0))
 
 
 def milestone_medians(times: DataFrame, target: str, minutes: str, targets: Sequence[float], least: int = 3) -> DataFrame:

@@ -57,16 +57,28 @@ def match_intervals(samples: DataFrame, events: DataFrame, games: DataFrame, key
 
 
 def movement_buckets(minutes: DataFrame, games: DataFrame, keys: Sequence[str], width: int, states: Sequence[str]) -> DataFrame:
-    """Minute rows in wider buckets: sums, each state's percent of the seconds alive, way per second moving; empty ones stay."""
-    interval = F.floor(F.col("start_s") / width).cast("long")
-    sums = minutes.withColumn("interval", interval).groupBy(*keys, "interval").agg(*(F.sum(c).alias(c) for c in ("alive_s", "moving_s", "distance", *states)))
-    out = whole_grid(games, keys, width).select(*keys, "interval").join(sums, [*keys, "interval"], "left")
-    return movement_shares(out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("alive_s", "moving_s", "distance", *states)}), states)
+    """Minute rows in wider buckets: sums and shares as of ``movement_shares``; empty buckets stay.
+
+    Buckets go up to the game's end, and further where there are minutes after it; ``end_s`` is never after the end.
+    """
+    interval, counted = F.floor(F.col("start_s") / width).cast("long"), ("alive_s", "moving_s", "distance", *states)
+    sums = minutes.withColumn("interval", interval).groupBy(*keys, "interval").agg(*(F.sum(c).alias(c) for c in counted))
+    ends = sums.groupBy(*keys).agg(F.max("interval").alias("_moved"))
+    last = F.greatest(last_interval(F.col("duration_s"), width), F.coalesce("_moved", F.lit(0)))
+    grid = games.select(*keys, "duration_s").join(ends, list(keys), "left").select(*keys, "duration_s", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("interval"))
+    grid = grid.select(*keys, "interval", (F.col("interval") * width).alias("start_s"), F.least((F.col("interval") + 1) * width, "duration_s").cast("long").alias("end_s"))
+    out = grid.join(sums, [*keys, "interval"], "left")
+    return movement_shares(out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counted}), states)
+
+
+#: States that are told of the seconds that someone could move in; all others are of the seconds alive.
+OF_MOVING = ("stationary_s",)
 
 
 def movement_shares(sums: DataFrame, states: Sequence[str]) -> DataFrame:
-    shares = {f"{s.removesuffix('_s')}_percent": ratio(100.0 * F.col(s), F.col("alive_s")) for s in states}
-    return sums.withColumns(shares | {"pace": ratio(F.col("distance"), F.col("moving_s"))})
+    """Percents of the states, standing still of the moving seconds and the others of those alive; ``pace`` is the way in a moving minute."""
+    shares = {f"{s.removesuffix('_s')}_percent": ratio(100.0 * F.col(s), F.col("moving_s" if s in OF_MOVING else "alive_s")) for s in states}
+    return sums.withColumns(shares | {"pace": ratio(60.0 * F.col("distance"), F.col("moving_s"))})
 
 
 def movement_totals(minutes: DataFrame, keys: Sequence[str], states: Sequence[str], counts: Sequence[str] = ()) -> DataFrame:
@@ -116,3 +128,23 @@ def buff_sources(taken: DataFrame, jackpots: DataFrame, bosses: DataFrame, keys:
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("jackpots", "bosses")})
     out = out.withColumns({"from_jackpots": F.col("jackpots") * 4, "from_bosses": F.col("bosses") * 2})
     return out.withColumn("collected", F.greatest(F.col("taken") - F.col("from_jackpots") - F.col("from_bosses"), F.lit(0)))
+
+
+def enemy_totals(damage: DataFrame, games: DataFrame, players: DataFrame, match: str, mine: str, other: str, value: str) -> DataFrame:
+    """What a game's player exchanged with each enemy in all, from final figures: a whole-game twin of the intervals.
+
+    ``damage`` has the dealer and the target; ``mine`` is the side that ``games`` (match, account_id) names, ``other`` the
+    enemy's.  ``players`` give the enemy's hero and team.  Games without figures have no rows; rows of 0 don't count.
+    """
+    wanted = games.select(match, "account_id").distinct()
+    rows = damage.where(F.col(other).isNotNull() & (F.col(value) != 0)).select(match, F.col(mine).alias("account_id"), F.col(other).alias("enemy_account_id"), value)
+    per = rows.join(wanted, [match, "account_id"], "left_semi").groupBy(match, "account_id", "enemy_account_id").agg(F.sum(value).alias(value))
+    enemies = players.select(match, F.col("account_id").alias("enemy_account_id"), F.col("hero_id").alias("enemy_hero_id"), F.col("team").alias("enemy_team"))
+    return per.join(enemies, [match, "enemy_account_id"], "left")
+
+
+def differing_totals(totals: DataFrame, intervals: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Keys whose final figure is not the sum of its intervals, with both; none where the two tables agree."""
+    summed = intervals.groupBy(*keys).agg(F.sum(value).alias("from_intervals")).where("from_intervals != 0")
+    both = totals.select(*keys, F.col(value).alias("final")).join(summed, list(keys), "full")
+    return both.where(~F.col("final").eqNullSafe(F.col("from_intervals")))

@@ -19,9 +19,10 @@ Expression = Callable[["Names"], Column]
 class Names:
     """Gives Columns by name and remembers the names."""
 
-    def __init__(self, measures: dict[str, Column] | None = None):
+    def __init__(self):
         self.used: set[str] = set()
-        self.measures = measures
+        #: measures that count a value once for each key: the value and the key's columns
+        self.once: dict[str, tuple[Column, tuple[str, ...]]] = {}
 
     def __getitem__(self, name: str) -> Column:
         self.used.add(name)
@@ -44,9 +45,29 @@ class Dimension:
         return column == (self.resolve(wanted) if self.resolve else wanted)
 
 
+@dataclass(frozen=True)
+class Series:
+    """Snapshots: of each ``partition`` only the first or last row by ``order`` counts."""
+
+    partition: tuple[str, ...]
+    order: str
+    take: str = "last"
+
+    def __post_init__(self):
+        if self.take not in ("first", "last"):
+            raise ValueError(f"a series takes its first or last row, not {self.take!r}")
+        if not self.partition or not isinstance(self.order, str):
+            raise ValueError("a series needs the columns that tell it from others, and one column that it runs along")
+
+
 @dataclass(frozen=True)
 class Measure:
-    """``expression`` aggregates source columns; ``composed`` combines other measures by name."""
+    """``expression`` aggregates source columns; ``composed`` combines other measures by name.
+
+    With ``once_per``, ``expression`` is a value of a row and the measure its sum, where each key of these columns counts
+    once in a group, with its largest value: the lengths of games, over rows of several sources in a game.  ``series``
+    says that the measure reads one sample of each series.
+    """
 
     expression: Expression | None = None
     composed: Callable[[dict[str, Column]], Column] | None = None
@@ -54,24 +75,27 @@ class Measure:
     higher_is_better: bool = True
     synonyms: tuple[str, ...] = ()
     cumulative_over: tuple[str, ...] = ()  # grains along which the measure is a running total
-
-
-@dataclass(frozen=True)
-class Series:
-    """Snapshots: of each ``partition`` only the first or last row by ``order`` counts."""
-
-    partition: tuple[str, ...]
-    order: str
-    take: str = "last"
+    once_per: tuple[str, ...] = ()
+    series: Series | None = None
 
 
 @dataclass(frozen=True)
 class Lookup:
-    """A left lookup whose columns appear as a struct named ``alias``; at most one row may match."""
+    """A left lookup whose columns appear as a struct named ``alias``; at most one row may match.
+
+    Of cardinality ``1:1`` no two rows of the source may have the same key either.
+    """
 
     alias: str
     table: str | Callable[[SparkSession], DataFrame]
     on: dict[str, str]  # source column -> lookup column
+    cardinality: str = "m:1"
+
+    def __post_init__(self):
+        if self.cardinality not in ("m:1", "1:1"):
+            raise ValueError(f"lookup {self.alias}: cardinality is m:1 or 1:1, not {self.cardinality!r}")
+        if not self.on:
+            raise ValueError(f"lookup {self.alias} needs a key")
 
 
 @dataclass(frozen=True)
@@ -93,6 +117,29 @@ class MetricView:
                     if said in seen:
                         raise ValueError(f"{self.name}: the name {said!r} is used twice")
                     seen.add(said)
+        aliases = [k.alias for k in self.lookups]
+        if len(set(aliases)) < len(aliases):
+            raise ValueError(f"{self.name}: two lookups have one alias")
+        self._check_series()
+
+    def _check_series(self) -> None:
+        """Collapsing a series holds for the whole query, so all measures over rows must ask for the same one, or none."""
+        said = {n: m.series for n, m in self.measures.items() if m.series}
+        if not said:
+            return
+        first = self.series or next(iter(said.values()))
+        if different := sorted(n for n, x in said.items() if x != first):
+            raise ValueError(f"{self.name}: {different} read another sample than other measures do")
+        over_rows = [n for n, m in self.measures.items() if m.composed is None]
+        if not self.series and (plain := sorted(n for n in over_rows if n not in said)):
+            raise ValueError(f"{self.name}: {plain} read all rows, other measures one sample of each series")
+        if running := sorted(n for n, m in self.measures.items() if m.cumulative_over):
+            raise ValueError(f"{self.name}: {running} run along time, other measures take one sample")
+
+    @property
+    def sampled(self) -> Series | None:
+        """The series that the view's measures read, declared by the view or by its measures."""
+        return self.series or next((m.series for m in self.measures.values() if m.series), None)
 
     def field(self, kind: str, said: str) -> str:
         """The declared name behind a name or synonym."""
@@ -112,6 +159,10 @@ class MetricView:
             raise KeyError(f"{self.name} has no measure {name!r}")
         if (item.expression is None) == (item.composed is None):
             raise TypeError(f"{self.name}: measure {name!r} needs an expression or a composition")
+        if item.expression and item.once_per:
+            names.once[name] = (item.expression(names), item.once_per)
+            names.used.update(item.once_per)
+            return F.coalesce(F.sum(f"_once_{name}"), F.lit(0))
         if item.expression:
             return item.expression(names)
 
@@ -132,6 +183,22 @@ class Context:
     table: Callable[[str], DataFrame]
     check_keys: bool = False
     views: dict[str, MetricView] = field(default_factory=dict)
+    #: which state a table is in; a table's keys are looked at once in each state
+    version: Callable[[str], object] = lambda name: None
+    checked: dict[tuple, bool] = field(default_factory=dict)
+
+    def unique(self, df: DataFrame, keys: Sequence[str], table: str | None = None) -> bool:
+        """Whether no two rows of ``df`` (the table's, if it is one) have the same key; rows with a null in it don't count."""
+        said = (table, tuple(keys), self.version(table)) if table else None
+        if said not in self.checked or said is None:
+            known = df
+            for k in keys:
+                known = known.where(F.col(k).isNotNull())
+            once = known.groupBy(*keys).count().where("count > 1").isEmpty()
+            if said is None:
+                return once
+            self.checked[said] = once
+        return self.checked[said]
 
 
 def view_frame(context: Context, view: MetricView, needed: set[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
@@ -141,8 +208,8 @@ def view_frame(context: Context, view: MetricView, needed: set[str] | None = Non
     columns = {d: view.dimensions[d].expression(names) for d in wanted}
     keep = view.filter(names) if view.filter else None
     names.used |= needed or set()
-    if view.series:
-        names.used |= {*view.series.partition, view.series.order}
+    if view.sampled:
+        names.used |= {*view.sampled.partition, view.sampled.order}
     joined = [k for k in view.lookups if needed is None or any(n == k.alias or n.startswith(f"{k.alias}.") for n in names.used)]
     names.used |= {left for k in joined for left in k.on}
     if rows is not None:
@@ -155,8 +222,12 @@ def view_frame(context: Context, view: MetricView, needed: set[str] | None = Non
         df = view.source(context.spark, context.table)
     for lookup in joined:
         right = context.table(lookup.table) if isinstance(lookup.table, str) else lookup.table(context.spark)
-        if context.check_keys and not right.groupBy(*lookup.on.values()).count().where("count > 1").isEmpty():
-            raise ValueError(f"{view.name}: lookup {lookup.alias} has a key twice")
+        if context.check_keys:
+            if not context.unique(right, list(lookup.on.values()), lookup.table if isinstance(lookup.table, str) else None):
+                raise ValueError(f"{view.name}: lookup {lookup.alias} has a key twice")
+            source = view.source if isinstance(view.source, str) and rows is None else None
+            if lookup.cardinality == "1:1" and not context.unique(df, list(lookup.on), source):
+                raise ValueError(f"{view.name}: two rows have one key of lookup {lookup.alias}, which is 1:1")
         keys = [F.col(r).alias(f"_{lookup.alias}_{k}") for k, r in enumerate(lookup.on.values())]
         right = right.select(*keys, F.struct(*right.columns).alias(lookup.alias))
         on = [df[left] == right[f"_{lookup.alias}_{k}"] for k, left in enumerate(lookup.on)]
@@ -173,6 +244,15 @@ def _collapsed(df: DataFrame, series: Series) -> DataFrame:
     return df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(series.partition))).agg(best(F.struct("*"), F.struct(F.col(series.order), tie)).alias("_row")).select("_row.*")
 
 
+def _with_once(df: DataFrame, names: Names, by: Sequence[str]) -> DataFrame:
+    """Adds what measures of ``once_per`` sum: a key's largest value in one of its rows of the group, null in the others."""
+    for name, (value, keys) in names.once.items():
+        df = df.withColumn("_value", value)
+        first = F.row_number().over(Window.partitionBy(*by, *keys).orderBy(F.desc_nulls_last("_value")))
+        df = df.withColumn(f"_once_{name}", F.when(first == 1, F.col("_value"))).drop("_value")
+    return df
+
+
 def summarize(
     context: Context,
     view: MetricView,
@@ -190,10 +270,11 @@ def summarize(
     names = Names()
     aggregates = [view.measure(m, names).alias(m) for m in wanted]
     df = view_frame(context, view, {*names.used, *by, *filters}, rows)
-    if view.series:
-        df = _collapsed(df, view.series)
+    if view.sampled:
+        df = _collapsed(df, view.sampled)
     for name, value in filters.items():
         df = df.where(view.dimensions[name].where(F.col(name), value))
+    df = _with_once(df, names, by)
     out = df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
     for m in wanted:
         grains = view.measures[m].cumulative_over
@@ -251,8 +332,11 @@ def reading(view: MetricView, measure: str, gap: Column) -> Column:
 
 def validate_view(context: Context, view: MetricView) -> None:
     """Raises unless every declared expression resolves; no job runs."""
-    df = view_frame(context, view)
-    df.agg(*(view.measure(m).alias(m) for m in view.measures)).schema  # noqa: B018
+    df, names = view_frame(context, view), Names()
+    if view.sampled and (lacking := sorted({*view.sampled.partition, view.sampled.order} - set(df.columns))):
+        raise ValueError(f"{view.name}: the series' columns {lacking} are not in the source")
+    measures = [view.measure(m, names).alias(m) for m in view.measures]
+    _with_once(df, names, ()).agg(*measures).schema  # noqa: B018
 
 
 def repeated_keys(df: DataFrame, grain: Sequence[str]) -> DataFrame:

@@ -39,10 +39,10 @@ def build(name: str, **given) -> MetricView:
 
 def check_windows(made: MetricView) -> None:
     """A view over samples collapses all its measures alike, and its series' columns are those of its grain, if it has one."""
-    if made.series is None:
+    if made.sampled is None:
         return
     over = [n for n, m in made.measures.items() if m.cumulative_over]
     if over:
         raise ValueError(f"{made.name}: {over} run along time, the view's other measures take one sample")
-    if made.grain and not set(made.series.partition) <= set(made.grain):
-        raise ValueError(f"{made.name}: the series is kept by {made.series.partition}, the rows by {made.grain}")
+    if made.grain and not set(made.sampled.partition) <= set(made.grain):
+        raise ValueError(f"{made.name}: the series is kept by {made.sampled.partition}, the rows by {made.grain}")

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import badge_index, iso_week, mean_of_two, month_text, ratio, zero_sum
-from tallyforge.functions.labels import damage_category
-from tallyforge.operators import breakdown, snapshots, timeline
-from tallyforge.plans.metrics import Dimension, Lookup, Measure, MetricView, Series
-from tallyforge.plans.registry import view
+from tallyforge.functions.columns import any_true, badge_index, badge_of, iso_week, month_text, ratio, zero_sum
+from tallyforge.functions.labels import buff_family, buff_level, damage_category
+from tallyforge.operators import delivery, items, snapshots, source_facts, timeline
+from tallyforge.operators.levels import with_rank_label
+from tallyforge.plans.metrics import Context, Dimension, Lookup, Measure, MetricView, Series, summarize
+from tallyforge.plans.registry import build, view
+from tallyforge.schemas import TABLES
 
 GAME = ("match_id", "account_id")
 MATCH = Lookup("game", "matches", {"match_id": "match_id"})
@@ -83,16 +85,40 @@ def my_games(accounts: Sequence[int] | None = None, match_mode: int | None = Non
     )
 
 
+#: Placed players a lobby's rating is taken from, at least.
+LEAST_PLACED = 6
+
+
+def lobby_facts(players: DataFrame) -> DataFrame:
+    """Per match: the mean rating that its placed players began with (null where few are placed), and whether anyone left."""
+    index = F.when(F.col("player_rank_initial_display_rank") > 0, badge_index(F.col("player_rank_initial_display_rank")))
+    return players.groupBy("match_id").agg(F.when(F.count(index) >= LEAST_PLACED, F.avg(index)).alias("placed_subrank"), any_true(F.col("abandon_time_s").isNotNull()).alias("abandoned"))
+
+
+def lobby_subrank(team0: Column, team1: Column, placed: Column) -> Column:
+    """A lobby's rating: the mean of both teams' published ones where both are there, or else that of its placed players."""
+    both = F.when((team0 > 0) & (team1 > 0), (badge_index(team0) + badge_index(team1)) / 2)
+    return F.coalesce(both, placed)
+
+
 @view
-def record_games(account: int) -> MetricView:
-    """One account's matches: wins along the days, change of points and the lobby's rating."""
+def record_games(account: int | Sequence[int], hero: int | None = None) -> MetricView:
+    """Matches of one or several accounts: wins along the days, change of points, who left, and the lobbies' rating."""
+    accounts = [account] if isinstance(account, int) else list(account)
+
+    def source(spark, table) -> DataFrame:
+        players = table("players")
+        mine = players.where(F.col("account_id").isin(*accounts) & (F.lit(True) if hero is None else F.col("hero_id") == hero))
+        lobbies = lobby_facts(players.join(mine.select("match_id").distinct(), "match_id", "left_semi"))
+        return mine.join(lobbies, "match_id", "left")
+
     scored = lambda c: ~F.coalesce(c["game.not_scored"], F.lit(False))
     change = lambda c: F.when(F.coalesce(c["player_rank_initial_calibration_games"], F.lit(0)) == 0, c["player_rank_final_flat_progress"] - c["player_rank_initial_flat_progress"])
-    subrank = lambda c: mean_of_two(badge_index(c["game.average_badge_team0"]), badge_index(c["game.average_badge_team1"]))
+    subrank = lambda c: lobby_subrank(c["game.average_badge_team0"], c["game.average_badge_team1"], c["placed_subrank"])
     return MetricView(
         "record_games",
-        "players",
-        dimensions=_calendar() | _plain("account_id", "won", "team") | {"match_mode": Dimension(lambda c: c["game.match_mode"]), "game_mode": Dimension(lambda c: c["game.game_mode"]), "ranked_type": Dimension(lambda c: c["game.ranked_type"])},
+        source,
+        dimensions=_calendar() | _plain("account_id", "hero_id", "won", "team", "abandoned") | {"match_mode": Dimension(lambda c: c["game.match_mode"]), "game_mode": Dimension(lambda c: c["game.game_mode"]), "ranked_type": Dimension(lambda c: c["game.ranked_type"]), "scored": Dimension(scored)},
         measures={
             "games": Measure(lambda c: F.count(F.lit(1)), missing="zero"),
             "scored_games": Measure(lambda c: zero_sum(F.lit(1), scored(c)), missing="zero"),
@@ -102,18 +128,34 @@ def record_games(account: int) -> MetricView:
             "cum_net": Measure(composed=lambda m: m["wins"] - m["losses"], cumulative_over=("day", "week", "month")),
             "win_rate": _rate("wins", "scored_games", 100.0),
             "net_points": Measure(lambda c: F.sum(F.when(scored(c), change(c)))),
-            "mvps": Measure(lambda c: zero_sum(F.lit(1), c["mvp_rank"] == 1), missing="zero"),
+            "mvps": Measure(lambda c: zero_sum(F.lit(1), (c["mvp_rank"] == 1) & scored(c)), missing="zero"),
+            "key_players": Measure(lambda c: zero_sum(F.lit(1), (c["mvp_rank"] >= 2) & scored(c)), missing="zero"),
+            "abandons": Measure(lambda c: zero_sum(F.lit(1), c["abandoned"] & scored(c)), missing="zero", higher_is_better=False),
             "subrank_sum": Measure(lambda c: zero_sum(subrank(c)), missing="zero"),
             "rated_games": Measure(lambda c: F.count(subrank(c)), missing="zero"),
             "lobby_subrank": _rate("subrank_sum", "rated_games"),
+            "lobby_badge": Measure(composed=lambda m: badge_of(ratio(m["subrank_sum"], m["rated_games"]))),
             "last_rated_at": Measure(lambda c: F.max(F.when(subrank(c).isNotNull(), c["start_time"]))),
         },
         lookups=(MATCH,),
-        filter=lambda c: c["account_id"] == account,
-        grain=("match_id",),
+        grain=GAME,
     )
 
 
+RECORD = ("games", "wins", "losses", "net", "cum_net", "win_rate", "mvps", "key_players", "abandons", "subrank_sum", "rated_games", "lobby_badge", "last_rated_at", "net_points")
+
+
+def daily_record(context: Context, account: int | Sequence[int], by: str = "day", ranks: DataFrame | None = None, hero: int | None = None, since: str | None = None) -> DataFrame:
+    """The scored games' record by day, week or month, with the label of the lobbies' mean rating.
+
+    ``ranks`` gives the names of ranks by era; the label is that of the newest rated game of the bucket.
+    """
+    made = build("record_games", account=account, hero=hero)
+    filters = {"scored": True} | ({} if since is None else {"day": F.col("day") >= F.to_date(F.lit(since))})
+    out = summarize(context, made, by, RECORD, filters)
+    return out if ranks is None else with_rank_label(out, ranks, "lobby_badge", "last_rated_at", "lobby")
+
+
 @view
 def stat_snapshots() -> MetricView:
     """A player's samples in a match; the last one counts."""
@@ -145,37 +187,86 @@ def hero_damage_games(stat: str | None = None) -> MetricView:
             "targets": Measure(lambda c: F.count_distinct(c["match_id"], c["account_id"], c["target_account_id"]), missing="zero"),
             "per_game": _rate("total", "games"),
             "gun": Measure(lambda c: zero_sum(c["damage"], damage_category(c["source_class"]) == "gun"), missing="zero"),
+            "gun_headshot": Measure(lambda c: zero_sum(c["damage"], (damage_category(c["source_class"]) == "gun") & c["source_class"].endswith("_crit")), missing="zero"),
+            "gun_body": Measure(composed=lambda m: m["gun"] - m["gun_headshot"]),
+            "headshot_share": _rate("gun_headshot", "gun", 100.0),
         },
         filter=lambda c: c["target_account_id"].isNotNull() & (c["damage"] != 0) & (F.lit(True) if stat is None else c["stat"] == stat),
     )
 
 
-def _with_minutes(rows: DataFrame, table) -> DataFrame:
-    return rows.join(table("matches").select("match_id", (F.col("duration_s") / 60.0).alias("minutes")), "match_id", "left")
+def _dimension(spark, table, name: str) -> DataFrame:
+    """A dimension table, or an empty one where the context has none of it."""
+    try:
+        return table(name)
+    except KeyError:
+        return spark.createDataFrame([], TABLES[name])
 
 
-@view
-def damage_source_games(stat: str | None = None) -> MetricView:
-    """A game's final damage by source."""
+def item_facts(spark, table) -> tuple[DataFrame, DataFrame]:
+    """Minutes that each item was owned in a game, and the souls put into it, by its class name.
 
-    def source(spark, table) -> DataFrame:
-        rows = table("damage_sources")
-        rows = rows if stat is None else rows.where(F.col("stat") == stat)
-        return _with_minutes(breakdown.final_values(rows.where("vs_heroes"), [*GAME, "start_time", "hero_id"], "source_class", "damage"), table)
+    Prices are those of the match's time, less the components used up.  Items whose class no era knows are left out.
+    """
+    events, eras, parts = table("item_events"), _dimension(spark, table, "item_history"), _dimension(spark, table, "item_component_history")
+    # an item keeps its class; of several the last one counts
+    classes = eras.where("class_name IS NOT NULL").groupBy("item_id").agg(F.max_by("class_name", "era_from").alias("source_class"))
+    bought = items.priced(events, eras).join(classes, "item_id").join(table("matches").select("match_id", "duration_s"), "match_id", "left")
+    windows = items.ownership_windows(bought.withColumn("owned_from", F.col("game_time_s")), "sold_time_s", "duration_s")
+    edges = parts.join(classes.select(F.col("source_class").alias("component_class_name"), F.col("item_id").alias("component_id")), "component_class_name").select("item_id", "component_id", "era_from")
+    closure = items.component_closure(edges, "item_id", "component_id", by=["era_from"])
+    buys = bought.select(*GAME, "game_time_s", F.col("item_id").alias("item"), "source_class", "start_time", "cost")
+    used = bought.where("flags = 1 AND sold_time_s > 0").select(*GAME, F.col("sold_time_s").alias("game_time_s"), F.col("item_id").alias("component"), F.col("cost").alias("price"))
+    costs = items.effective_cost(buys, used, closure, GAME, "game_time_s", time="start_time")
+    return source_facts.owned_minutes(windows, GAME), source_facts.outlay(costs, GAME)
+
+
+def damage_source_rows(spark, table, stat: str, hero: int | None = None, accounts: Sequence[int] | None = None) -> DataFrame:
+    """Final damage of a stat to players, by game and source, with item facts; see ``source_facts.source_rows``."""
+    players = table("players").where((F.lit(True) if hero is None else F.col("hero_id") == hero) & (F.lit(True) if accounts is None else F.col("account_id").isin(*accounts)))
+    games = players.select(*GAME, F.col("hero_id").alias("hero"), "won").join(table("matches").select("match_id", "start_time", (F.col("duration_s") / 60.0).alias("game_minutes")), "match_id")
+    eras = _dimension(spark, table, "item_history").where("class_name IS NOT NULL")
+    slots = eras.select(F.col("class_name").alias("source_class"), "era_from", "slot")
+    labels = delivery.source_labels(_dimension(spark, table, "ability_history").select(F.col("ability_class").alias("class_name"), "name").distinct(), eras.groupBy("class_name").agg(F.max_by("name", "era_from").alias("name")))
+
+    def named(rows: DataFrame) -> DataFrame:
+        of_match = games.select("match_id", "start_time").distinct()
+        return delivery.with_source_name(delivery.with_delivery(rows, of_match, slots, "match_id", "source_class", "start_time"), labels, "source_class")
+
+    hits = table("damage").where((F.col("stat") == stat) & F.col("target_account_id").isNotNull() & (damage_category(F.col("source_class")) != "total"))
+    per = hits.join(games.select(*GAME), list(GAME), "left_semi").groupBy(*GAME, "source_class").agg(F.sum("damage").alias("amount"), zero_sum(F.col("damage"), F.col("target_account_id") == F.col("account_id")).alias("self_amount"))
+    return source_facts.source_rows(named(per).drop("category"), games, *item_facts(spark, table), GAME, named)
 
+
+@view
+def damage_source_games(stat: str = "damage", hero: int | None = None, accounts: Sequence[int] | None = None) -> MetricView:
+    """A game's final damage by source, silent items included: what it dealt, how long it was owned and what it cost."""
+    dealt = lambda c: c["amount"] != 0
+    by = lambda kind: Measure(lambda c: zero_sum(c["amount"], c["delivery"].isin(*kind)), missing="zero")
     return MetricView(
         "damage_source_games",
-        source,
-        dimensions=_who() | _calendar() | {"source": Dimension(lambda c: c["source_class"]), "category": Dimension(lambda c: damage_category(c["source_class"]))},
+        lambda spark, table: damage_source_rows(spark, table, stat, hero, accounts),
+        dimensions={
+            "match": Dimension(lambda c: c["match_id"]), "account": Dimension(lambda c: c["account_id"]), **_plain("hero", "source_name", "delivery", "won"), **_calendar(),
+            "source": Dimension(lambda c: c["source_class"], synonyms=("source_class",)), "category": Dimension(lambda c: damage_category(c["source_class"])),
+        },
         measures={
-            "total": Measure(lambda c: zero_sum(c["damage"]), missing="zero"),
-            "games": _games(),
-            "minutes": Measure(lambda c: zero_sum(c["minutes"]), missing="zero"),
+            "total": Measure(lambda c: zero_sum(c["amount"]), missing="zero"),
+            "games": Measure(lambda c: F.when(dealt(c), 1), once_per=GAME, missing="zero"),
+            "minutes": Measure(lambda c: F.when(dealt(c), c["game_minutes"]), once_per=GAME, missing="zero"),
             "per_game": _rate("total", "games"),
             "per_min": _rate("total", "minutes"),
+            "owned_minutes": Measure(lambda c: zero_sum(c["owned_minutes"]), missing="zero"),
+            "per_min_owned": _rate("total", "owned_minutes"),
+            "outlay": Measure(lambda c: zero_sum(c["effective_cost"]), missing="zero"),
+            "per_1k": _rate("total", "outlay", 1000.0),
+            "gun": by(("gun",)),
+            "abilities": by(("ability",)),
+            "items": by(("gun_proc", "spirit_proc")),
+            "self": Measure(lambda c: zero_sum(c["self_amount"]), missing="zero"),
         },
         grain=(*GAME, "source_class"),
-    )
+    )
 
 
 @view
@@ -247,7 +338,7 @@ def buff_games() -> MetricView:
     return MetricView(
         "buff_games",
         "buffs",
-        dimensions=_who() | _plain("type") | {"team": Dimension(lambda c: c["player.team"])},
+        dimensions=_who() | _plain("type") | {"buff": Dimension(lambda c: buff_family(c["type"])), "level": Dimension(lambda c: buff_level(c["type"])), "team": Dimension(lambda c: c["player.team"]), "won": Dimension(lambda c: c["player.won"])},
         measures={"held": Measure(lambda c: zero_sum(c["count"]), missing="zero"), "permanent": Measure(lambda c: zero_sum(c["count"], c["permanent"]), missing="zero"), "games": _games()},
         lookups=(PLAYER,),
         grain=(*GAME, "type"),

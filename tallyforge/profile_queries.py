@@ -140,7 +140,7 @@ def unspent_average(spark, sf_dir):
 @query(
     f"WITH {SAMPLES}, x AS (SELECT match_id, account_id, t // 7200 AS interval, sum(v)::BIGINT AS v FROM e GROUP BY 1, 2, 3), m AS (SELECT interval, median(v) FILTER (account_id % 2 = 0) AS mine, median(v) FILTER (account_id % 2 = 1) AS theirs, count(*) FILTER (account_id % 2 = 0) AS n_mine, count(*) FILTER (account_id % 2 = 1) AS n_theirs FROM x GROUP BY 1), "
     "k AS (SELECT *, bool_and(least(n_mine, n_theirs) >= 3 AND interval = rn - 1) OVER (ORDER BY interval) AS good FROM (SELECT *, row_number() OVER (ORDER BY interval) AS rn FROM m)) "
-    "SELECT interval, mine, theirs, n_mine, n_theirs, mine - theirs AS gap, sum(mine - theirs) OVER (ORDER BY interval) AS running_gap, row_number() OVER (ORDER BY theirs - mine DESC, interval) = 1 AS worst FROM k WHERE good"
+    "SELECT interval, mine, theirs, n_mine, n_theirs, mine - theirs AS gap, sum(mine - theirs) OVER (ORDER BY interval) AS running_gap, row_number() OVER (ORDER BY theirs - mine DESC, interval) = 1 AND theirs > mine AS worst FROM k WHERE good"
 )
 def pool_medians(spark, sf_dir):
     e, _ = samples(spark, sf_dir)

@@ -97,13 +97,6 @@ def enemy_counts_by_interval(spark, sf_dir):
 # Totals by source and per game
 
 
-@query(f"WITH {SAMPLES} SELECT source, count(*) AS games, sum(total)::BIGINT AS total, round(sum(total) / ((SELECT sum(duration_s) FROM g) / 60.0), 6) AS per_min, round(sum(total) / (sum(duration_s) / 60.0), 6) AS per_min_owned, round(100.0 * sum(total) / (SELECT sum(total) FROM f), 6) AS percent FROM f JOIN g USING (match_id, account_id) GROUP BY 1 HAVING sum(total) <> 0")
-def damage_by_source(spark, sf_dir):
-    s, games = samples(spark, sf_dir)
-    out = breakdown.by_source(breakdown.final_values(s, KEYS, "source", "total"), games, KEYS, "source", "total")
-    return out.withColumns({c: F.round(c, 6) for c in ("per_min", "per_min_owned", "percent")})
-
-
 _SPLIT = ", ".join(f"coalesce(sum(total) FILTER (kind = '{k}'), 0)::BIGINT AS {k}" for k in ("gun", "item", "ability"))
 _KIND = "CASE source WHEN 'click' THEN 'gun' WHEN 'purchase' THEN 'item' ELSE 'ability' END"
 
@@ -129,13 +122,14 @@ def healing_game_records(spark, sf_dir):
 
 
 @query(
-    f"WITH {SAMPLES}, o AS (SELECT *, total // 10 AS orbs FROM f), x AS (SELECT source, count(*) AS games, sum(total + orbs)::BIGINT AS souls, sum(orbs)::BIGINT AS secured_orbs, sum(duration_s) / 60.0 AS minutes FROM o JOIN g USING (match_id, account_id) GROUP BY 1) "
+    f"WITH {SAMPLES}, o AS (SELECT *, total // 10 AS orbs FROM f), m AS (SELECT source, match_id, max(duration_s) AS longest FROM o JOIN g USING (match_id, account_id) GROUP BY 1, 2), "
+    "x AS (SELECT source, count(*) AS games, sum(total + orbs)::BIGINT AS souls, sum(orbs)::BIGINT AS secured_orbs, (SELECT sum(longest) FROM m WHERE m.source = o.source) / 60.0 AS minutes FROM o GROUP BY 1) "
     "SELECT source, games, souls, secured_orbs, round(minutes, 4) AS minutes, round(100.0 * souls / (SELECT sum(souls) FROM x), 4) AS percent, CASE WHEN souls <> 0 THEN round(100.0 * secured_orbs / souls, 4) END AS orb_share FROM x"
 )
 def souls_by_source(spark, sf_dir):
     s, games = samples(spark, sf_dir)
     finals = breakdown.final_values(s, KEYS, "source", "total").withColumn("orbs", F.floor(F.col("total") / 10))
-    return rounded(breakdown.souls_by_source(finals, games, KEYS, "source", "total", "orbs"), "minutes", "percent", "orb_share")
+    return rounded(breakdown.souls_by_source(finals, games, KEYS, "source", "total", "orbs", ["match_id"]), "minutes", "percent", "orb_share")
 
 
 @query(
@@ -191,9 +185,9 @@ def item_report(spark, sf_dir):
     return rounded(breakdown.built_summary(_item_games(spark, sf_dir), F.col("won")), "win_percent", "mean_gained", "per_min_owned")
 
 
-@query(f"WITH {_BUILDS}, d AS (SELECT DISTINCT l_orderkey, item, won FROM x), n AS (SELECT count(DISTINCT l_orderkey) FILTER (won) AS w, count(DISTINCT l_orderkey) FILTER (NOT won) AS l FROM d), r AS (SELECT item, 100.0 * count(*) FILTER (won) / max(w) AS ws, 100.0 * count(*) FILTER (NOT won) / max(l) AS ls FROM d, n GROUP BY 1) SELECT item, round(ws, 4) AS win_share, round(ls, 4) AS loss_share FROM r WHERE greatest(ws, ls) >= 12")
+@query(f"WITH {_BUILDS}, d AS (SELECT DISTINCT l_orderkey, item, won FROM x), n AS (SELECT count(DISTINCT l_orderkey) FILTER (won) AS w, count(DISTINCT l_orderkey) FILTER (NOT won) AS l FROM d), r AS (SELECT item, 100.0 * count(*) FILTER (won) / max(w) AS ws, 100.0 * count(*) FILTER (NOT won) / max(l) AS ls FROM d, n GROUP BY 1) SELECT item, round(ws, 4) AS win_share, round(ls, 4) AS loss_share FROM r WHERE ws >= 5")
 def item_core(spark, sf_dir):
-    return rounded(breakdown.item_core(builds(spark, sf_dir), ["l_orderkey"], "p_brand", F.col("o_orderstatus") == "F", 12), "win_share", "loss_share")
+    return rounded(breakdown.item_core(builds(spark, sf_dir), ["l_orderkey"], "p_brand", F.col("o_orderstatus") == "F", 5), "win_share", "loss_share")
 
 
 @query(f"WITH {_CLOSURE}, b AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem) SELECT c.l_orderkey, c.item AS component, arg_min(b.item, (depth, b.item)) AS item FROM b c JOIN cl ON cl.component = c.item JOIN b ON b.l_orderkey = c.l_orderkey AND b.item = cl.item GROUP BY 1, 2")
@@ -246,23 +240,24 @@ def movement_minutes(spark, sf_dir):
     return rounded(_minutes(spark, sf_dir), "distance")
 
 
-_PERCENTS = ", ".join(f"CASE WHEN alive_s > 0 THEN round(100.0 * {s} / alive_s, 4) END AS {s[:-2]}_percent" for s in _STATES)
+_OF = {s: "moving_s" if s == "stationary_s" else "alive_s" for s in _STATES}
+_PERCENTS = ", ".join(f"CASE WHEN {of} > 0 THEN round(100.0 * {s} / {of}, 4) END AS {s[:-2]}_percent" for s, of in _OF.items())
 _SUMS = ", ".join(f"coalesce(sum({s}), 0)::BIGINT AS {s}" for s in ["alive_s", "moving_s", *_STATES])
 
 
 @query(
-    f"WITH {_MOVES}, g AS (SELECT match_id, account_id, max(start_s) + 60 AS duration_s FROM mi GROUP BY 1, 2), gr AS (SELECT match_id, account_id, unnest(range(0, greatest((duration_s - 1) // 3600, 0) + 1)) AS interval FROM g), "
-    f"s AS (SELECT match_id, account_id, interval, {_SUMS}, coalesce(sum(distance), 0) AS distance FROM gr LEFT JOIN (SELECT *, start_s // 3600 AS interval FROM mi) USING (match_id, account_id, interval) GROUP BY 1, 2, 3) "
-    f"SELECT * REPLACE (round(distance, 4) AS distance), {_PERCENTS}, CASE WHEN moving_s > 0 THEN round(distance / moving_s, 4) END AS pace FROM s"
+    f"WITH {_MOVES}, g AS (SELECT match_id, account_id, max(start_s) - 7000 AS duration_s, max(start_s) // 3600 AS moved FROM mi GROUP BY 1, 2), gr AS (SELECT match_id, account_id, duration_s, unnest(range(0, greatest((duration_s - 1) // 3600, moved, 0) + 1)) AS interval FROM g), "
+    f"s AS (SELECT match_id, account_id, interval, (interval * 3600)::BIGINT AS start_s, least((interval + 1) * 3600, any_value(duration_s))::BIGINT AS end_s, {_SUMS}, coalesce(sum(distance), 0) AS distance FROM gr LEFT JOIN (SELECT *, start_s // 3600 AS interval FROM mi) m USING (match_id, account_id, interval) GROUP BY 1, 2, 3) "
+    f"SELECT * REPLACE (round(distance, 4) AS distance), {_PERCENTS}, CASE WHEN moving_s > 0 THEN round(60.0 * distance / moving_s, 4) END AS pace FROM s"
 )
 def movement_buckets(spark, sf_dir):
     minutes = _minutes(spark, sf_dir)
-    games = minutes.groupBy(*KEYS).agg((F.max("start_s") + 60).alias("duration_s"))
+    games = minutes.groupBy(*KEYS).agg((F.max("start_s") - 7000).alias("duration_s"))
     out = timeline.movement_buckets(minutes, games, KEYS, 3600, _STATES)
     return rounded(out, "distance", "pace", *(f"{s[:-2]}_percent" for s in _STATES))
 
 
-@query(f"WITH {_MOVES}, s AS (SELECT match_id, account_id, {_SUMS}, sum(distance) AS distance, sum(dashes)::BIGINT AS dashes FROM mi GROUP BY 1, 2) SELECT * REPLACE (round(distance, 4) AS distance), {_PERCENTS}, CASE WHEN moving_s > 0 THEN round(distance / moving_s, 4) END AS pace, round(60.0 * dashes / alive_s, 4) AS dashes_per_min FROM s")
+@query(f"WITH {_MOVES}, s AS (SELECT match_id, account_id, {_SUMS}, sum(distance) AS distance, sum(dashes)::BIGINT AS dashes FROM mi GROUP BY 1, 2) SELECT * REPLACE (round(distance, 4) AS distance), {_PERCENTS}, CASE WHEN moving_s > 0 THEN round(60.0 * distance / moving_s, 4) END AS pace, round(60.0 * dashes / alive_s, 4) AS dashes_per_min FROM s")
 def movement_scoreboard(spark, sf_dir):
     out = timeline.movement_totals(_minutes(spark, sf_dir), KEYS, _STATES, ["dashes"])
     return rounded(out, "distance", "pace", "dashes_per_min", *(f"{s[:-2]}_percent" for s in _STATES))
@@ -431,6 +426,6 @@ def view_milestone_games(spark, sf_dir):
     return rounded(summarize(facts(spark, sf_dir), registry.build("milestone_games", targets=(50, 100, 200)), "target", ["games", "minutes"]), "minutes")
 
 
-@query(f"WITH {_MOVES}, s AS (SELECT match_id, account_id, {_SUMS}, sum(distance) AS distance FROM mi GROUP BY 1, 2) SELECT match_id AS match, count(*) AS games, round(avg(100.0 * combat_s / alive_s), 4) AS mean_combat_percent, round(avg(distance / nullif(moving_s, 0)), 4) AS mean_pace FROM s GROUP BY 1")
+@query(f"WITH {_MOVES}, s AS (SELECT match_id, account_id, {_SUMS}, sum(distance) AS distance FROM mi GROUP BY 1, 2) SELECT match_id AS match, count(*) AS games, round(avg(100.0 * combat_s / alive_s), 4) AS mean_combat_percent, round(avg(60.0 * distance / nullif(moving_s, 0)), 4) AS mean_pace FROM s GROUP BY 1")
 def view_movement_games(spark, sf_dir):
     return rounded(summarize(facts(spark, sf_dir), registry.build("movement_games"), "match", ["games", "mean_combat_percent", "mean_pace"]), "mean_combat_percent", "mean_pace")

@@ -33,6 +33,8 @@ item_history |  | item_id long, name string, class_name string, cost long, slot
 item_component_history |  | item_id long, position long, component_class_name string, era_from timestamp, client_version long
 hero_history |  | hero_id long, name string, class_name string, hero_type string, gun_tag string, complexity long, player_selectable boolean, disabled boolean, era_from timestamp, client_version long
 hero_level_history |  | hero_id long, level long, required_souls long, standard_upgrade boolean, era_from timestamp, client_version long
+hero_level_currency_history |  | hero_id long, level long, currency string, amount long, era_from timestamp, client_version long
+hero_cost_bonus_history |  | hero_id long, slot string, position long, souls long, bonus double, era_from timestamp, client_version long
 hero_stat_history |  | hero_id long, stat string, value double, era_from timestamp, client_version long
 hero_level_up_history |  | hero_id long, stat string, per_level_value double, era_from timestamp, client_version long
 ability_history |  | ability_class string, id long, name string, hero long, kind string, description string, era_from timestamp, client_version long
@@ -65,6 +67,8 @@ KEYS = {name: key for name, (key, _) in FACTS.items()} | {
     "item_component_history": ["item_id", "position", "era_from"],
     "hero_history": ["hero_id", "era_from"],
     "hero_level_history": ["hero_id", "level", "era_from"],
+    "hero_level_currency_history": ["hero_id", "level", "currency", "era_from"],
+    "hero_cost_bonus_history": ["hero_id", "slot", "position", "era_from"],
     "hero_stat_history": ["hero_id", "stat", "era_from"],
     "hero_level_up_history": ["hero_id", "stat", "era_from"],
     "ability_history": ["ability_class", "era_from"],

@@ -18,7 +18,8 @@ _WEAPON = [c for c in TABLES["ability_weapon_history"].names if c not in ("abili
 ITEM = "id long, name string, class_name string, cost long, slot string, tier long, is_active boolean, description string, components array<string>"
 HERO = (
     "id long, name string, class_name string, hero_type string, gun_tag string, complexity long, player_selectable boolean, disabled boolean, "
-    "levels array<struct<level: long, required_souls: long, standard_upgrade: boolean>>, stats map<string, string>, level_up map<string, string>"
+    "levels array<struct<level: long, required_souls: long, standard_upgrade: boolean, currencies: array<string>>>, stats map<string, string>, level_up map<string, string>, "
+    "cost_bonuses map<string, array<struct<souls: long, bonus: double>>>"
 )
 ABILITY = (
     "class_name string, id long, name string, hero long, kind string, description string, properties map<string, string>, scaling map<string, struct<stat: string, scale: double>>, "
@@ -49,10 +50,20 @@ def item_tables(history: DataFrame) -> dict[str, DataFrame]:
 
 def hero_tables(history: DataFrame) -> dict[str, DataFrame]:
     rec = decoded(history, HERO).withColumnRenamed("id", "hero_id")
-    levels = rec.select("hero_id", *ERA, F.inline("levels")).withColumns({"required_souls": F.coalesce("required_souls", F.lit(0)), "standard_upgrade": _flag("standard_upgrade")})
+    reached = rec.select("hero_id", *ERA, F.inline("levels"))
+    levels = reached.drop("currencies").withColumns({"required_souls": F.coalesce("required_souls", F.lit(0)), "standard_upgrade": _flag("standard_upgrade")})
     spread = lambda column, value: rec.select("hero_id", *ERA, F.explode(column).alias("stat", value)).withColumn(value, F.col(value).try_cast("double"))
-    heroes = rec.drop("levels", "stats", "level_up").withColumns({c: _flag(c) for c in ("player_selectable", "disabled")})
-    return _conformed({"hero_history": heroes, "hero_level_history": levels, "hero_stat_history": spread("stats", "value"), "hero_level_up_history": spread("level_up", "per_level_value")})
+    gained = reached.select("hero_id", "level", *ERA, F.explode("currencies").alias("currency")).groupBy("hero_id", "level", "currency", *ERA).agg(F.count(F.lit(1)).alias("amount"))
+    curves = rec.select("hero_id", *ERA, F.explode("cost_bonuses").alias("slot", "_steps")).select("hero_id", *ERA, "slot", F.posexplode("_steps").alias("position", "_s")).select("hero_id", "slot", "position", "_s.*", *ERA)
+    heroes = rec.drop("levels", "stats", "level_up", "cost_bonuses").withColumns({c: _flag(c) for c in ("player_selectable", "disabled")})
+    return _conformed({
+        "hero_history": heroes,
+        "hero_level_history": levels,
+        "hero_level_currency_history": gained,
+        "hero_cost_bonus_history": curves,
+        "hero_stat_history": spread("stats", "value"),
+        "hero_level_up_history": spread("level_up", "per_level_value"),
+    })
 
 
 def ability_tables(history: DataFrame) -> dict[str, DataFrame]:

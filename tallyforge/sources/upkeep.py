@@ -20,11 +20,12 @@ def reexport(store: Store, docs: DataFrame, ids: DataFrame | None = None, **name
     The ids are written down first, for they may come from the very tables that change.
     """
     if ids is not None:
-        path = f"{store.root}/.staging/ids-{uuid.uuid4().hex}"
-        ids.select("match_id").distinct().write.parquet(path)
+        path = store.staged("ids", ids.select("match_id").distinct())
         docs = docs.join(store.spark.read.parquet(path), "match_id", "left_semi")
     for table, rows in normalize(docs, **names).items():
         store.upsert(table, rows)
+    if ids is not None:
+        store.clear(path)
 
 
 def reprice(store: Store, docs: DataFrame, horizon: str, **names) -> None:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tallyforge import listing_queries, profile_queries, report_queries  # noqa: F401  they add their queries
+from tallyforge import fact_queries, listing_queries, profile_queries, report_queries  # noqa: F401  they add their queries
 from tallyforge.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

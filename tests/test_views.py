@@ -37,7 +37,7 @@ def test_views_give_the_documents_figures(context):
     assert one("my_games", "account", ["games", "kills", "win_rate"], accounts=[22]) == {22: (2, 4, 0.0)}
     assert one("stat_snapshots", "account", ["games", "net_worth"]) == {11: (2, 2400)}
     assert one("soul_source_games", "source", ["souls", "secured_orbs", "games"]) == {1: (1210, 10, 2)}
-    assert one("damage_source_games", "source", ["total", "games"]) == {"fire": (60, 2)}
+    assert one("damage_source_games", "source", ["total", "games", "minutes", "items"], stat="1") == {"fire": (60, 2, 2 * 610 / 60, 0)}
     assert one("combat_games", "account", ["shots", "hit_rate"]) == {11: (1200, 0.0)}
     assert one("buff_games", "type", ["held", "games"]) == {"gun_lv2": (4, 2)}
     assert one("cumulative_marks", "mark_s", ["games", "mean"], marks=(360, 600))[360] == (4, 300.0)
