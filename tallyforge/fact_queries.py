@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators import breakdown, eras, items, levels, objectives, source_facts, timeline
+from tallyforge.operators import breakdown, eras, items, levels, listings, objectives, records, source_facts, timeline
 from tallyforge.plans import views
 from tallyforge.queries import query, read, rounded
 from tallyforge.report_queries import KEYS, SAMPLES, WIDTH, samples
@@ -263,3 +263,46 @@ def lobby_ratings(spark, sf_dir):
     players = orders.select(F.col("o_custkey").alias("match_id"), F.when(key % 4 == 0, 0).otherwise((key % 7 + 1) * 10 + key % 6 + 1).alias("player_rank_initial_display_rank"), F.when(key % 9 == 0, 1).alias("abandon_time_s"))
     lobbies = views.lobby_facts(players).withColumns({"a": F.col("match_id") % 3 * 21, "b": F.col("match_id") % 2 * 34})
     return rounded(lobbies.select("match_id", views.lobby_subrank(F.col("a"), F.col("b"), F.col("placed_subrank")).alias("subrank"), "abandoned"), "subrank")
+
+
+# Aim and leavers
+
+_AIM = f"{SAMPLES}, c AS (SELECT match_id, account_id, account_id % 3 AS hero, sum(v) FILTER (source = 'click')::BIGINT AS shots, coalesce(sum(v // 2) FILTER (source = 'click'), 0)::BIGINT AS hits, coalesce(sum(v // 7) FILTER (source = 'click' AND event_id % 2 = 0), 0)::BIGINT AS headshots FROM e GROUP BY 1, 2), k AS (SELECT *, 100.0 * hits / shots AS hit, CASE WHEN hits <> 0 THEN 100.0 * headshots / hits END AS head FROM c WHERE shots >= 100)"
+_PLACE = "CASE WHEN {0} IS NOT NULL THEN round(100.0 * (rank() OVER (PARTITION BY hero ORDER BY {0} NULLS LAST) + (count(*) OVER (PARTITION BY hero, {0}) - 1) / 2.0) / count(*) OVER (PARTITION BY hero)) END"
+
+
+@query(f"WITH {_AIM} SELECT match_id, account_id, hero, shots, hits, headshots, round(hit, 4) AS hit_rate, round(head, 4) AS headshot_rate, count(*) OVER (PARTITION BY hero) AS hero_games, {_PLACE.format('hit')} AS hit_percentile, {_PLACE.format('head')} AS headshot_percentile FROM k")
+def aim_rates(spark, sf_dir):
+    e, _ = samples(spark, sf_dir)
+    clicks = e.where("source = 'click'")
+    kinds = F.array(F.struct(F.lit("Shots").alias("stat"), F.col("v").alias("value")), F.struct(F.lit("Hits").alias("stat"), F.floor(F.col("v") / 2).alias("value")), F.struct(F.lit("Headshots").alias("stat"), F.when(F.col("event_id") % 2 == 0, F.floor(F.col("v") / 7)).alias("value")))
+    counters = clicks.select(*KEYS, (F.col("account_id") % 3).alias("hero"), F.inline(kinds))
+    return rounded(records.aim_rates(counters, KEYS, "hero", "stat", "value", 100, 1), "hit_rate", "headshot_rate")
+
+
+@query(
+    f"WITH {SAMPLES}, lv AS (SELECT match_id, account_id, account_id % 2 AS team, min(t) AS gone FROM e WHERE source = 'error' GROUP BY 1, 2), p AS (SELECT match_id, account_id, t, sum(total) AS v FROM s GROUP BY 1, 2, 3), "
+    "r AS (SELECT match_id, account_id, team, coalesce(max(v) FILTER (t > gone) > min(v) FILTER (t > gone), false) AS returned FROM lv LEFT JOIN p USING (match_id, account_id) GROUP BY 1, 2, 3), m AS (SELECT DISTINCT match_id, match_id % 2 AS mine, match_id % 3 = 0 AS won FROM e) "
+    "SELECT match_id, bool_or(won) AS won, bool_or(account_id IN (1, 2, 3)) AS you, bool_or(account_id NOT IN (1, 2, 3) AND team = mine) AS ally, bool_or(team <> mine) AS enemy, bool_or(returned) AS returned FROM r JOIN m USING (match_id) GROUP BY 1"
+)
+def abandon_record(spark, sf_dir):
+    s, _ = samples(spark, sf_dir)
+    games = s.select("match_id", (F.col("match_id") % 3 == 0).alias("won"), (F.col("match_id") % 2).alias("team")).distinct()
+    leavers = s.where("source = 'error'").groupBy(*KEYS).agg(F.min("t").alias("abandon_time_s")).withColumn("team", F.col("account_id") % 2)
+    return records.abandons(games, leavers, s.withColumnRenamed("t", "time_stamp_s"), [1, 2, 3], "total")
+
+
+@query(
+    f"WITH {SAMPLES}, x AS (SELECT match_id, account_id, account_id % 4 AS hero, coalesce(sum(v) FILTER (source = 'click'), 0) AS shots, coalesce(sum(v // 3) FILTER (source = 'click'), 0) AS hits, coalesce(sum(v) FILTER (source = 'view'), 0) AS them, count(*) FILTER (source = 'signup') AS parries, count(*) FILTER (source = 'error') AS missed FROM e GROUP BY 1, 2) "
+    "SELECT hero, count(*) AS games, sum(shots)::BIGINT AS shots, round(sum(shots) / count(*), 4) AS shots_per_game, round(100.0 * sum(hits) / sum(shots), 4) AS hit_percent, sum(them)::BIGINT AS incoming_shots, CASE WHEN sum(parries + missed) > 0 THEN round(100.0 * sum(parries) / sum(parries + missed), 4) END AS parry_percent FROM x GROUP BY 1"
+)
+def combat_totals(spark, sf_dir):
+    e, _ = samples(spark, sf_dir)
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("source") == kind, value)), F.lit(0))
+    none = F.lit(0).cast("long")
+    games = e.groupBy(*KEYS).agg(
+        of("click", F.col("v")).alias("shots"), of("click", F.floor(F.col("v") / 3)).alias("hits"), F.max(none).alias("headshots"), of("view", F.col("v")).alias("incoming_shots"), F.max(none).alias("incoming_hits"),
+        of("signup", F.lit(1)).alias("parries"), of("error", F.lit(1)).alias("missed_parries"),
+    )
+    out = listings.combat_totals(games.withColumn("hero", F.col("account_id") % 4), ["hero"])
+    return rounded(out.select("hero", "games", "shots", "shots_per_game", "hit_percent", "incoming_shots", "parry_percent"), "shots_per_game", "hit_percent", "parry_percent")

@@ -12,6 +12,20 @@ SOUL_SOURCES = {
     1: "players", 2: "troopers", 3: "jungle", 4: "bosses", 5: "treasure", 6: "assists", 7: "denies", 8: "team_bonus",
     9: "assassinate", 10: "trophy_collector", 11: "cultist_sacrifice", 12: "breakables", 13: "goose_egg",
 }
+#: Groups of income sources; rare and catch-up sources have none.
+SOUL_GROUPS = {"troopers": "waves", "denies": "waves", "jungle": "roaming", "breakables": "roaming", "players": "combat", "assists": "combat", "bosses": "objectives", "treasure": "objectives"}
+#: Figures that are sums of income sources.
+SOUL_COMPOSITES = {
+    "farm": ("troopers", "jungle", "breakables", "treasure", "denies"), "troopers": ("troopers",), "jungle": ("jungle",), "breakables": ("breakables",), "rift_urn": ("treasure",), "deny_souls": ("denies",),
+    "combat": ("players", "assists"), "objectives": ("bosses",), "catch_up": ("team_bonus",), "other": ("trophy_collector", "cultist_sacrifice", "assassinate", "goose_egg"),
+}
+#: Names of match modes and game modes.
+MATCH_MODES = {0: "Invalid", 1: "Standard", 2: "Private Lobby", 3: "Coop Bot", 4: "Ranked", 5: "Server Test", 6: "Tutorial", 7: "Hero Labs", 8: "New Player Placement"}
+GAME_MODES = {0: "Invalid", 1: "Normal", 2: "1v1Test", 3: "Sandbox", 4: "Street Brawl", 5: "Explore NYC", 6: "Internal"}
+#: Names of the damage matrix's figures, and of states on the way.
+STAT_NAMES = {0: "damage", 1: "healing", 2: "heal_prevented", 3: "mitigated", 4: "lethal_damage", 5: "regen"}
+COMBAT_NAMES = {0: "out", 1: "player", 2: "enemy_npc", 3: "neutral"}
+MOVE_NAMES = {0: "normal", 1: "ability", 2: "ability_debuff", 3: "ground_dash", 4: "slide", 5: "rope_climbing", 6: "ziplining", 7: "in_air", 8: "air_dash"}
 #: Ids of objectives, and the lanes of those that stand in one; the second lane is retired.
 OBJECTIVES = {
     0: "Weakened Patron", 1: "Guardian", 2: "Guardian", 3: "Guardian", 4: "Guardian", 5: "Walker", 6: "Walker", 7: "Walker", 8: "Walker",
@@ -32,6 +46,24 @@ def mapped(value: Column, names: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[value]
 
 
+def match_mode_name(mode: Column) -> Column:
+    return mapped(mode, MATCH_MODES)
+
+
+def game_mode_name(mode: Column) -> Column:
+    return mapped(mode, GAME_MODES)
+
+
+def soul_group(source: Column) -> Column:
+    """The group of an income source's id: waves, roaming, combat or objectives; null for others."""
+    return mapped(soul_source_name(source), SOUL_GROUPS)
+
+
+def composite_sources(name: str) -> list[int]:
+    """The ids of the income sources that a composite figure sums."""
+    return [k for k, n in SOUL_SOURCES.items() if n in SOUL_COMPOSITES[name]]
+
+
 def lane_name(lane: Column) -> Column:
     return mapped(lane, LANES)
 

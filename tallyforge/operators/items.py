@@ -81,12 +81,19 @@ def upgrade_points(events: DataFrame, keys: Sequence[str], ability: str, order:
     return out.withColumn("cost", price).withColumn("points", F.sum("cost").over(window))
 
 
-def item_frequency(builds: DataFrame, build: Sequence[str], item: str, at: str) -> DataFrame:
-    """In what part of the builds an item is, and its median time; the latest buy counts in each build."""
+def item_frequency(builds: DataFrame, build: Sequence[str], item: str, at: str, sold: str | None = None, include_sold: bool = False, facts: Sequence[str] = ()) -> DataFrame:
+    """In what part of the builds an item is, and its median time; the latest buy counts in each build.
+
+    Buys that were ``sold`` again (a flag) count only if asked for, but their builds do.  ``facts``, as slot and tier, are
+    those of the item's latest buy of all.
+    """
     total = builds.select(*build).distinct().agg(F.count(F.lit(1)).alias("n_builds"))
-    latest = builds.groupBy(*build, item).agg(F.max(at).alias(at))
-    out = latest.groupBy(item).agg(F.count(F.lit(1)).alias("builds"), F.median(at).alias("median_at"))
-    return out.crossJoin(F.broadcast(total)).withColumn("percent", 100.0 * F.col("builds") / F.col("n_builds")).drop("n_builds")  # one row
+    kept = builds if sold is None or include_sold else builds.where(~F.coalesce(F.col(sold), F.lit(False)))
+    latest = kept.groupBy(*build, item).agg(F.max(at).alias(at), *([F.max_by(F.struct(*facts), F.struct(at, *facts)).alias("_facts")] if facts else []))
+    newest = [F.max_by("_facts", F.struct(at, "_facts")).alias("_facts")] if facts else []
+    out = latest.groupBy(item).agg(F.count(F.lit(1)).alias("builds"), F.median(at).alias("median_at"), *newest)
+    out = out.crossJoin(F.broadcast(total)).withColumn("percent", 100.0 * F.col("builds") / F.col("n_builds")).drop("n_builds")  # one row
+    return out.select("*", "_facts.*").drop("_facts") if facts else out
 
 
 def win_rates(rows: DataFrame, keys: Sequence[str], won: Column, least: int = 0) -> DataFrame:

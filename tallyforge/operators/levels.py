@@ -64,6 +64,13 @@ def gun_at_level(guns: DataFrame, bonus: str) -> DataFrame:
     return rows.withColumns({"bullet": bullet, "dps": F.coalesce("damage_per_second", F.lit(0.0)) * bullet / F.col("bullet_damage")})
 
 
+def alternate_gun(guns: DataFrame) -> DataFrame:
+    """A second firing mode as it is, for boons don't raise it: bullet, dps, bullets a second for each pellet, and ammo."""
+    pellets = F.coalesce(F.nullif("bullets", F.lit(0.0)), F.lit(1.0))
+    rate = F.coalesce("bullets_per_second", F.lit(0.0)) / pellets
+    return guns.where("bullet_damage <> 0").withColumns({"bullet": F.col("bullet_damage"), "dps": F.coalesce("damage_per_second", F.lit(0.0)), "shots_per_second": rate, "ammo": F.coalesce("clip_size", F.lit(0.0))})
+
+
 def scaling_asof(left: DataFrame, levels: DataFrame, at: str, values: Sequence[str]) -> DataFrame:
     """What was true of a hero's level at the time of each row."""
     return asof_join(left, levels, ["hero_id", "level"], at, values)

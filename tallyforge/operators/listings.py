@@ -30,6 +30,13 @@ def with_side(rows: DataFrame, mine: DataFrame, match: str, team: str = "team")
     return rows.join(own, match).withColumn("side", F.when(F.col(team) == F.col("_mine"), "ally").otherwise("enemy")).drop("_mine")
 
 
+def match_players(players: DataFrame, matches: DataFrame, match: str, ids: Sequence[int] | None = None, hero: int | None = None, accounts: Sequence[int] = ()) -> DataFrame:
+    """The players meant in matches: those on a hero, or else those of one's own accounts, with their match's columns."""
+    meant = F.col("hero_id") == hero if hero is not None else F.col("account_id").isin(*accounts) if accounts else F.lit(False)
+    rows = players.where(meant) if ids is None else players.where(meant & F.col(match).isin(*ids))
+    return rows.join(matches.select(match, *(c for c in matches.columns if c not in players.columns)), match)
+
+
 def newest(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The last ``n`` rows, the feature of a listing; Spark keeps ``n`` rows of each task and merges those."""
     return rows.orderBy(*(F.col(c).desc() for c in order)).limit(n)
@@ -106,6 +113,21 @@ def aim_totals(counters: DataFrame, by: Sequence[str], game: Sequence[str], name
     return out.withColumns(per | {"hit_percent": ratio(100.0 * F.col("hits"), F.col("shots")), "headshot_percent": ratio(100.0 * F.col("headshots"), F.col("hits"))})
 
 
+def combat_totals(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counters of both sides over a group's games: sums, per game, shares of hits and headshots, and parries.
+
+    ``rows``: by and, one row per game, shots, hits, headshots, incoming_shots, incoming_hits, parries, missed_parries.
+    """
+    names = ("shots", "hits", "headshots", "incoming_shots", "incoming_hits", "parries", "missed_parries")
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("games"), *(zero_sum(F.col(n)).alias(n) for n in names))
+    share = lambda part, whole: ratio(100.0 * F.col(part), F.col(whole))
+    return out.withColumns({
+        **{f"{n}_per_game": F.col(n) / F.col("games") for n in names},
+        "hit_percent": share("hits", "shots"), "headshot_percent": share("headshots", "hits"), "incoming_hit_percent": share("incoming_hits", "incoming_shots"),
+        "parry_percent": ratio(100.0 * F.col("parries"), F.col("parries") + F.col("missed_parries")),
+    })
+
+
 # Sources
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import average_rank, zero_sum
+from tallyforge.functions.columns import average_rank, ratio, zero_sum
 
 
 def last_days(df: DataFrame, day: str, n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -43,6 +43,36 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return out.withColumn("percentile", F.round(100.0 * F.col("avg_rank") / n))
 
 
+def aim_rates(counters: DataFrame, keys: Sequence[str], hero: str, name: str, value: str, min_shots: int = 100, min_games: int = 50) -> DataFrame:
+    """Each game's shots, hits, headshots and their rates, and percentiles of the rates within the hero over all games.
+
+    Games of fewer than ``min_shots`` shots are left out; a hero of fewer than ``min_games`` games has no percentiles.
+    Filter by account afterwards: percentiles are of everyone.  ``counters``: keys, hero, name, value.
+    """
+    wide = counters.groupBy(*keys, hero).agg(*(zero_sum(F.col(value), F.col(name) == n).alias(c) for c, n in (("shots", "Shots"), ("hits", "Hits"), ("headshots", "Headshots"))))
+    rows = wide.where(F.col("shots") >= min_shots).withColumns({"hit_rate": ratio(100.0 * F.col("hits"), F.col("shots")), "headshot_rate": ratio(100.0 * F.col("headshots"), F.col("hits"))})
+    rows = rows.withColumn("hero_games", F.count(F.lit(1)).over(Window.partitionBy(hero)))
+    for rate in ("hit", "headshot"):
+        rows = percentiles(rows, [hero], f"{rate}_rate").withColumn(f"{rate}_percentile", F.when(F.col("hero_games") >= min_games, F.col("percentile"))).drop("percentile", "avg_rank")
+    return rows
+
+
+def abandons(games: DataFrame, leavers: DataFrame, samples: DataFrame, accounts: Sequence[int], value: str) -> DataFrame:
+    """Matches that somebody left: whether that was one of ``accounts``, an ally or an enemy, and whether one came back.
+
+    ``games``: match_id, won, team of the account's player; ``leavers``: match_id, account_id, team, abandon_time_s;
+    ``samples``: match_id, account_id, time_stamp_s and a running total, which grows only for someone who plays.
+    """
+    per = samples.groupBy("match_id", "account_id", "time_stamp_s").agg(F.sum(value).alias("_v"))
+    after = leavers.join(per, ["match_id", "account_id"], "left").withColumn("_v", F.when(F.col("time_stamp_s") > F.col("abandon_time_s"), F.col("_v")))
+    each = after.groupBy("match_id", "account_id", F.col("team").alias("_team")).agg(F.coalesce(F.max("_v") > F.min("_v"), F.lit(False)).alias("returned"))
+    you = F.col("account_id").isin(*accounts)
+    both = games.select("match_id", "won", "team").distinct().join(each, "match_id")
+    return both.groupBy("match_id").agg(
+        F.min("won").alias("won"), F.bool_or(you).alias("you"), F.bool_or(~you & (F.col("_team") == F.col("team"))).alias("ally"), F.bool_or(F.col("_team") != F.col("team")).alias("enemy"), F.bool_or("returned").alias("returned")
+    )
+
+
 def flag_gaps(df: DataFrame, by: Sequence[str], order: Sequence[str], start: str, end: str) -> DataFrame:
     """Marks rows whose start is not the end of the row before."""
     before = F.lag(end).over(Window.partitionBy(*by).orderBy(*order))

@@ -30,10 +30,10 @@ def filled_grid(samples: DataFrame, grid: DataFrame, keys: Sequence[str], at: st
     return carried.select(*keys, "interval", *(F.coalesce(F.col(f"_v.{v}"), F.lit(0)).alias(v) for v in values))
 
 
-def gains(filled: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """What each interval adds to the interval before."""
+def gains(filled: DataFrame, keys: Sequence[str], values: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """What each interval adds to the interval before; columns in ``keep`` stay as they are."""
     window = Window.partitionBy(*keys).orderBy("interval")
-    return filled.select(*keys, "interval", *((F.col(v) - F.lag(v, 1, 0).over(window)).alias(v) for v in values))
+    return filled.select(*keys, "interval", *keep, *((F.col(v) - F.lag(v, 1, 0).over(window)).alias(v) for v in values))
 
 
 def column_gains(samples, games, keys, at, order, values, width, duration="duration_s") -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import zero_sum
 
-#: Points in a subrank, and in the sixth of a tier.
-SUBRANK, LAST_SUBRANK = 1000, 2000
+#: Points in a subrank, in the sixth of a tier, and in a tier; the tier whose levels are no matter of points.
+SUBRANK, LAST_SUBRANK, TIER, TOP_TIER = 1000, 2000, 7000, 11
 
 
 def points_change(start: Column, end: Column, placing: Column) -> Column:
@@ -19,14 +19,27 @@ def points_change(start: Column, end: Column, placing: Column) -> Column:
 
 
 def subrank_span(badge: Column) -> Column:
-    return F.when(badge % 10 == 6, LAST_SUBRANK).otherwise(SUBRANK)
+    """Points that a badge's subrank takes; null in the top tier and without a badge."""
+    return F.when((badge > 0) & (F.floor(badge / 10) != TOP_TIER), F.when(badge % 10 == 6, LAST_SUBRANK).otherwise(SUBRANK))
+
+
+def subrank_floor(badge: Column) -> Column:
+    """Points at which a badge's subrank begins; null as of ``subrank_span``."""
+    return F.when(subrank_span(badge).isNotNull(), (F.floor(badge / 10) - 1) * TIER + (badge % 10 - 1) * SUBRANK)
 
 
 def season_standing(games: DataFrame, by: Sequence[str], order: Sequence[str], badge: str, points: str, change: Column, won: Column) -> DataFrame:
-    """Newest badge and points in it, what its subrank takes, won and lost games and the net change of points."""
+    """Newest badge and points, how far these are into the subrank and what it takes, won and lost games, net points.
+
+    The net counts games with a badge only: placing moves no rating.  Without a badge there are no points either.
+    """
     newest = F.max_by(F.struct(badge, points), F.struct(*order)).alias("_r")
-    out = games.groupBy(*by).agg(newest, F.sum(won.cast("long")).alias("wins"), F.sum((~won).cast("long")).alias("losses"), zero_sum(change).alias("net_points"))
-    return out.select(*by, f"_r.{badge}", f"_r.{points}", subrank_span(F.col(f"_r.{badge}")).alias("subrank_points"), "wins", "losses", "net_points")
+    placed = F.col(badge) > 0
+    out = games.groupBy(*by).agg(
+        newest, F.sum(won.cast("long")).alias("wins"), F.sum((~won).cast("long")).alias("losses"), zero_sum(change, placed).alias("net_points"), zero_sum(F.lit(1), placed).alias("placed_games")
+    )
+    held, reached = F.col(f"_r.{badge}"), F.when(F.col(f"_r.{badge}") > 0, F.col(f"_r.{points}"))
+    return out.select(*by, held.alias(badge), reached.alias(points), (reached - subrank_floor(held)).alias("into_subrank"), subrank_span(held).alias("subrank_points"), "wins", "losses", "net_points", "placed_games")
 
 
 def eligibility(games: DataFrame, account: str, hero: str, won: Column, bar: int) -> DataFrame:

@@ -23,14 +23,18 @@ def whole_grid(games: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
 
 
 def source_intervals(samples: DataFrame, games: DataFrame, keys: Sequence[str], source: Sequence[str], at: str, value: str, width: int) -> DataFrame:
-    """Gains of each source's running total by interval; samples after a game's end count in its last interval."""
-    ends = games.select(*keys, last_interval(F.col("duration_s"), width).alias("_last"))
-    top = samples.join(ends, list(keys)).withColumn("interval", F.least(bucket(F.col(at), width), F.col("_last"))).groupBy(*keys, *source, "interval").agg(F.max(value).alias(value))
-    grid = whole_grid(games, keys, width).join(samples.select(*keys, *source).distinct(), list(keys))
+    """Gains of each source's running total by interval; samples after a game's end count in its last interval.
+
+    Samples meet their game once, and each source's intervals are laid out from what it reached in them; a game has few.
+    """
+    rows = samples.select(*keys, *source, at, value).join(games.select(*keys, "duration_s"), list(keys))
+    at_most = rows.withColumn("interval", F.least(bucket(F.col(at), width), last_interval(F.col("duration_s"), width)))
+    top = at_most.groupBy(*keys, *source, "interval").agg(F.max(value).alias("_v"), F.max("duration_s").alias("duration_s"))
+    per = top.groupBy(*keys, *source).agg(F.max("duration_s").alias("duration_s"), F.map_from_entries(F.collect_list(F.struct("interval", "_v"))).alias("_reached"))
+    every = per.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_interval(F.col("duration_s"), width))).alias("interval"))
     so_far = Window.partitionBy(*keys, *source).orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(top, [*keys, *source, "interval"], "left").withColumn(value, F.coalesce(F.max(value).over(so_far), F.lit(0)))
-    per = gains(filled, [*keys, *source], [value])
-    return per.join(grid.select(*keys, *source, "interval", "full"), [*keys, *source, "interval"])
+    filled = every.select(*keys, *source, "interval", ((F.col("interval") + 1) * width <= F.col("duration_s")).alias("full"), F.coalesce(F.max(F.col("_reached")[F.col("interval")]).over(so_far), F.lit(0)).alias(value))
+    return gains(filled, [*keys, *source], [value], ["full"])
 
 
 def regrouped(intervals: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -42,16 +46,19 @@ def regrouped(intervals: DataFrame, keys: Sequence[str], group: str, value: str)
 def match_intervals(samples: DataFrame, events: DataFrame, games: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], kinds: Sequence[str], width: int) -> DataFrame:
     """Gains of several running totals and counts of events by interval, the last one clipped to the game's end.
 
-    ``events`` has ``kind``; each of ``kinds`` gets a column.  The first of ``values`` also comes per minute.
+    A total counts as its last sample so far, also where it fell.  ``events`` has ``kind``; each of ``kinds`` gets a
+    column.  The first of ``values`` also comes per minute.
     """
     ends = games.select(*keys, last_interval(F.col("duration_s"), width).alias("_last"))
     clamp = F.least(bucket(F.col(at), width), F.col("_last"))
-    top = samples.join(ends, list(keys)).withColumn("interval", clamp).groupBy(*keys, "interval").agg(*(F.max(v).alias(v) for v in values))
+    last = F.max_by(F.struct(*values), F.struct(at, *values)).alias("_v")
+    top = samples.join(ends, list(keys)).withColumn("interval", clamp).groupBy(*keys, "interval").agg(last)
     counted = events.join(ends, list(keys)).withColumn("interval", clamp).groupBy(*keys, "interval").agg(*(zero_sum(F.lit(1), F.col("kind") == k).alias(k) for k in kinds))
     so_far = Window.partitionBy(*keys).orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
     grid = whole_grid(games, keys, width)
-    filled = grid.join(top, [*keys, "interval"], "left").select(*grid.columns, *(F.coalesce(F.max(v).over(so_far), F.lit(0)).alias(v) for v in values))
-    out = gains(filled, keys, values).join(grid.select(*keys, "interval", "end_s"), [*keys, "interval"]).join(counted, [*keys, "interval"], "left")
+    carried = grid.join(top, [*keys, "interval"], "left").withColumn("_v", F.last("_v", ignorenulls=True).over(so_far))
+    filled = carried.select(*grid.columns, *(F.coalesce(F.col("_v")[v], F.lit(0)).alias(v) for v in values))
+    out = gains(filled, keys, values, ["end_s"]).join(counted, [*keys, "interval"], "left")
     out = out.withColumns({k: F.coalesce(k, F.lit(0)) for k in kinds})
     return out.withColumn("per_min", ratio(60.0 * F.col(values[0]), F.col("end_s") - F.col("interval") * width))
 

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import any_true, badge_index, badge_of, iso_week, month_text, ratio, zero_sum
-from tallyforge.functions.labels import buff_family, buff_level, damage_category
+from tallyforge.functions.labels import SOUL_COMPOSITES, buff_family, buff_level, composite_sources, damage_category, soul_group, soul_source_name, with_stack_labels
 from tallyforge.operators import delivery, items, snapshots, source_facts, timeline
 from tallyforge.operators.levels import with_rank_label
 from tallyforge.plans.metrics import Context, Dimension, Lookup, Measure, MetricView, Series, summarize
@@ -271,45 +271,65 @@ def damage_source_games(stat: str = "damage", hero: int | None = None, accounts:
 
 @view
 def soul_source_games() -> MetricView:
-    """A game's final income by source."""
+    """A game's final income by source, with the sources' groups."""
 
     def source(spark, table) -> DataFrame:
         per = table("soul_sources").groupBy(*GAME, "start_time", "hero_id", "source").agg(F.max("souls").alias("plain"), F.max("souls_orbs").alias("orbs"))
         return per.where("plain + orbs <> 0")
 
+    of = lambda group: Measure(lambda c: zero_sum(c["plain"] + c["orbs"], soul_group(c["source"]) == group), missing="zero")
     return MetricView(
         "soul_source_games",
         source,
-        dimensions=_who() | _calendar() | _plain("source"),
+        dimensions=_who() | _calendar() | _plain("source") | {"source_name": Dimension(lambda c: soul_source_name(c["source"])), "group": Dimension(lambda c: soul_group(c["source"]))},
         measures={
             "souls": Measure(lambda c: zero_sum(c["plain"] + c["orbs"]), missing="zero"),
             "secured_orbs": Measure(lambda c: zero_sum(c["orbs"]), missing="zero"),
-            "games": _games(),
+            "games": Measure(lambda c: F.count_distinct(c["match_id"]), missing="zero"),
             "souls_per_game": _rate("souls", "games"),
             "orb_share": _rate("secured_orbs", "souls", 100.0),
+            **{g: of(g) for g in ("waves", "roaming", "combat", "objectives")},
         },
         grain=(*GAME, "source"),
     )
 
 
-@view
-def combat_games(shots: str = "Shots", hits: str = "Hits", headshots: str = "Headshots", group: str | None = None) -> MetricView:
-    """A game's final counters of shooting, with the counters' names as parameters."""
+#: Groups and names of the counters of a fight, and what they are called here.
+COMBAT_COUNTERS = (
+    ("Enemy Hero Accuracy", "Shots", "shots"), ("Enemy Hero Accuracy", "Hits", "hits"), ("Enemy Hero Accuracy", "Headshots", "headshots"), (None, "Parry Success", "parries"), (None, "Parry Miss", "missed_parries"),
+    ("Enemy Hero Accuracy - Incoming", "Shots", "incoming_shots"), ("Enemy Hero Accuracy - Incoming", "Hits", "incoming_hits"),
+)
 
-    def source(spark, table) -> DataFrame:
-        rows = table("custom_stats")
-        rows = rows if group is None else rows.where(F.col("group") == group)
-        top = rows.groupBy(*GAME, "start_time", "hero_id", "stat").agg(F.max("value").alias("value"))
-        return top.groupBy(*GAME, "start_time", "hero_id").agg(*(zero_sum(F.col("value"), F.col("stat") == s).alias(n) for n, s in (("shots", shots), ("hits", hits), ("headshots", headshots))))
 
+def combat_game_rows(table, hero: int | None = None, counters: Sequence[tuple] = COMBAT_COUNTERS) -> DataFrame:
+    """Every game (of a hero) with its final counters of fights and the gun's damage to players, 0 where there is none."""
+    games = table("players").where(F.lit(True) if hero is None else F.col("hero_id") == hero).select(*GAME, "hero_id", "won", "start_time")
+    known = table("custom_stats").where(F.col("stat").isin(*{s for _, s, _ in counters}))
+    finals = known.groupBy(*GAME, "group", "stat").agg(F.max_by("value", "time_stamp_s").alias("value"))
+    is_it = lambda group, stat: (F.col("stat") == stat) & (F.col("group").isNull() if group is None else F.col("group") == group)
+    wide = finals.groupBy(*GAME).agg(*(zero_sum(F.col("value"), is_it(g, s)).alias(n) for g, s, n in counters))
+    gun = table("damage").where((F.col("stat") == "damage") & F.col("target_account_id").isNotNull() & (damage_category(F.col("source_class")) == "gun")).groupBy(*GAME).agg(F.sum("damage").alias("gun_damage"))
+    rows = games.join(wide, list(GAME), "left").join(gun, list(GAME), "left")
+    return rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in (*(n for _, _, n in counters), "gun_damage")})
+
+
+@view
+def combat_games(hero: int | None = None) -> MetricView:
+    """Every game with its final counters of shooting, of being shot at and of parries."""
+    names = [n for _, _, n in COMBAT_COUNTERS]
     return MetricView(
         "combat_games",
-        source,
-        dimensions=_who() | _calendar() | {"won": Dimension(lambda c: c["player.won"])},
-        measures={"games": _games(), **_sums("shots", "hits", "headshots"), "hit_rate": _rate("hits", "shots", 100.0), "headshot_rate": _rate("headshots", "hits", 100.0), "shots_per_game": _rate("shots", "games")},
-        lookups=(PLAYER,),
+        lambda spark, table: combat_game_rows(table, hero),
+        dimensions=_who() | _calendar() | _plain("won"),
+        measures={
+            "games": Measure(lambda c: F.count(F.lit(1)), missing="zero"), **_sums(*names, "gun_damage"),
+            "hit_rate": _rate("hits", "shots", 100.0), "headshot_rate": _rate("headshots", "hits", 100.0),
+            "incoming_hit_rate": Measure(composed=lambda m: ratio(100.0 * m["incoming_hits"], m["incoming_shots"]), higher_is_better=False),
+            "shots_per_game": _rate("shots", "games"), "gun_damage_per_game": _rate("gun_damage", "games"), "gun_damage_per_hit": _rate("gun_damage", "hits"),
+            "parries_per_game": _rate("parries", "games"), "missed_parries_per_game": Measure(composed=lambda m: ratio(m["missed_parries"], m["games"]), higher_is_better=False),
+        },
         grain=GAME,
-    )
+    )
 
 
 STATES = ("stationary_s", "slide_s", "in_air_s", "zipline_s", "combat_s")
@@ -347,32 +367,82 @@ def buff_games() -> MetricView:
 
 @view
 def stack_games() -> MetricView:
+    def source(spark, table) -> DataFrame:
+        abilities = _dimension(spark, table, "ability_history").groupBy("id").agg(F.max_by(F.struct(F.col("ability_class").alias("class_name"), "name"), "era_from").alias("_a")).select("id", "_a.*")
+        known = _dimension(spark, table, "item_history").groupBy(F.col("item_id").alias("id")).agg(F.max_by(F.struct("class_name", "name"), "era_from").alias("_i")).select("id", "_i.*")
+        return with_stack_labels(table("stacks"), abilities, known)
+
     return MetricView(
         "stack_games",
-        "stacks",
-        dimensions=_who() | _plain("ability_id") | {"team": Dimension(lambda c: c["player.team"])},
+        source,
+        dimensions=_who() | _plain("ability_id", "class_name", "name") | {"team": Dimension(lambda c: c["player.team"])},
         measures={"total": Measure(lambda c: zero_sum(c["value"]), missing="zero"), "games": _games(), "mean": _rate("total", "games"), "most": Measure(lambda c: F.max(c["value"]))},
         lookups=(PLAYER,),
         grain=(*GAME, "ability_id"),
     )
 
 
+#: Figures that are columns of samples, and those where less is better.
+SAMPLED = {
+    "souls": "net_worth", "assists": "assists", "damage": "player_damage", "damage_taken": "player_damage_taken", "obj_damage": "boss_damage", "healing": "player_healing",
+    "heal_prevented": "heal_prevented", "creeps": "creep_kills", "neutrals": "neutral_kills", "denies": "denies",
+}
+LESS_IS_BETTER = ("deaths", "damage_taken")
+
+
+def known_stats() -> list[str]:
+    return sorted({*SAMPLED, *SOUL_COMPOSITES, "kills", "deaths"})
+
+
+def _death_events(table, kills: bool) -> DataFrame:
+    """Deaths by the one who died, or by the one who killed."""
+    rows = table("deaths")
+    if kills:
+        rows = rows.where("killer_account_id IS NOT NULL").withColumn("account_id", F.col("killer_account_id"))
+    return rows.select(*GAME, "game_time_s")
+
+
+def _running(table, stat: str) -> DataFrame:
+    """Samples of a figure as a running total: ``time_stamp_s`` and ``value``; income is the sum of its sources so far.
+
+    Every source keeps its last sample until its next one, so a composite changes with each of its sources.
+    """
+    if stat in ("kills", "deaths"):
+        so_far = Window.partitionBy(*GAME).orderBy("game_time_s").rowsBetween(Window.unboundedPreceding, 0)
+        return _death_events(table, stat == "kills").select(*GAME, F.col("game_time_s").alias("time_stamp_s"), F.count(F.lit(1)).over(so_far).alias("value"))
+    if stat in SOUL_COMPOSITES:
+        rows = table("soul_sources").where(F.col("source").isin(*composite_sources(stat))).withColumn("_v", F.col("souls") + F.col("souls_orbs"))
+        step = F.col("_v") - F.coalesce(F.lag("_v").over(Window.partitionBy(*GAME, "source").orderBy("time_stamp_s")), F.lit(0))
+        steps = rows.withColumn("_step", step).groupBy(*GAME, "time_stamp_s").agg(F.sum("_step").alias("_step"))
+        so_far = Window.partitionBy(*GAME).orderBy("time_stamp_s").rowsBetween(Window.unboundedPreceding, 0)
+        return steps.select(*GAME, "time_stamp_s", F.sum("_step").over(so_far).alias("value"))
+    return table("stats").select(*GAME, "time_stamp_s", F.col(SAMPLED.get(stat, stat)).alias("value"))
+
+
 def _lengths(table) -> DataFrame:
     return table("players").select(*GAME).join(table("matches").select("match_id", "duration_s"), "match_id")
 
 
 @view
 def compare_intervals(stat: str = "net_worth", width: int = 300) -> MetricView:
-    """What each interval adds to a running total."""
+    """What each interval adds to a figure: a sampled total, a sum of income sources, or kills or deaths."""
+    better = stat not in LESS_IS_BETTER
 
     def source(spark, table) -> DataFrame:
-        return snapshots.column_gains(table("stats"), _lengths(table), list(GAME), "time_stamp_s", ["time_stamp_s"], [stat], width).withColumnRenamed(stat, "gain")
+        games = _lengths(table)
+        if stat in ("kills", "deaths"):
+            return snapshots.event_gains(_death_events(table, stat == "kills"), games, list(GAME), "game_time_s", width, "gain")
+        if stat in SOUL_COMPOSITES:
+            rows = table("soul_sources").where(F.col("source").isin(*composite_sources(stat))).withColumn("gain", F.col("souls") + F.col("souls_orbs"))
+            return snapshots.source_gains(rows, games, list(GAME), "source", "time_stamp_s", ["time_stamp_s"], "gain", width)
+        column = SAMPLED.get(stat, stat)
+        return snapshots.column_gains(table("stats"), games, list(GAME), "time_stamp_s", ["time_stamp_s"], [column], width).withColumnRenamed(column, "gain")
 
     return MetricView(
         "compare_intervals",
         source,
         dimensions={"match": Dimension(lambda c: c["match_id"]), "account": Dimension(lambda c: c["account_id"]), **_plain("interval")},
-        measures={"games": _games(), "total_gain": Measure(lambda c: zero_sum(c["gain"]), missing="zero"), "mean_gain": Measure(lambda c: F.avg(c["gain"])), "median_gain": Measure(lambda c: F.median(c["gain"]))},
+        measures={"games": _games(), "total_gain": Measure(lambda c: zero_sum(c["gain"]), missing="zero"), "mean_gain": Measure(lambda c: F.avg(c["gain"]), higher_is_better=better), "median_gain": Measure(lambda c: F.median(c["gain"]), higher_is_better=better)},
         grain=(*GAME, "interval"),
     )
 
@@ -382,7 +452,7 @@ def cumulative_marks(stat: str = "net_worth", marks: Sequence[int] = (360, 600,
     """A running total at fixed times, for the games that last so long."""
 
     def source(spark, table) -> DataFrame:
-        return snapshots.at_marks(table("stats"), _lengths(table), list(GAME), "time_stamp_s", ["time_stamp_s"], stat, list(marks)).withColumnRenamed(stat, "value")
+        return snapshots.at_marks(_running(table, stat), _lengths(table), list(GAME), "time_stamp_s", ["time_stamp_s", "value"], "value", list(marks))
 
     return MetricView(
         "cumulative_marks",
@@ -398,7 +468,7 @@ def milestone_games(stat: str = "net_worth", targets: Sequence[float] = tuple(ra
     """When a running total passes each target."""
 
     def source(spark, table) -> DataFrame:
-        out = snapshots.target_times(table("stats"), list(GAME), "time_stamp_s", ["time_stamp_s"], stat, list(targets))
+        out = snapshots.target_times(_running(table, stat), list(GAME), "time_stamp_s", ["time_stamp_s", "value"], "value", list(targets))
         return out.withColumn("minutes", F.col("reached_s") / 60.0)
 
     return MetricView(

@@ -320,7 +320,7 @@ def _rated(spark, sf_dir) -> DataFrame:
 
 @query(
     f"WITH r AS ({_POINTS}), x AS (SELECT o_custkey, arg_max(badge, (o_orderdate, o_orderkey)) AS badge, arg_max(points, (o_orderdate, o_orderkey)) AS points, sum(won::INT)::BIGINT AS wins, sum((NOT won)::INT)::BIGINT AS losses, coalesce(sum(change), 0)::BIGINT AS net_points FROM r GROUP BY 1) "
-    "SELECT o_custkey, badge, points, CASE WHEN badge % 10 = 6 THEN 2000 ELSE 1000 END AS subrank_points, wins, losses, net_points FROM x"
+    "SELECT o_custkey, badge, points, CASE WHEN badge < 80 THEN points - (badge // 10 - 1) * 7000 - (badge % 10 - 1) * 1000 END AS into_subrank, CASE WHEN badge % 10 = 6 THEN 2000 ELSE 1000 END AS subrank_points, wins, losses, net_points, wins + losses AS placed_games FROM x"
 )
 def season_standing(spark, sf_dir):
     return standing.season_standing(_rated(spark, sf_dir), ["o_custkey"], ["o_orderdate", "o_orderkey"], "badge", "points", F.col("change"), F.col("won"))
@@ -395,7 +395,7 @@ def view_stat_snapshots(spark, sf_dir):
 
 @query(
     f"WITH {_FACTS}, x AS (SELECT match_id, account_id, source, max(total) AS s, max(total // 10) AS o FROM s GROUP BY 1, 2, 3 HAVING max(total) + max(total // 10) <> 0) "
-    "SELECT source, count(*) AS games, sum(s + o)::BIGINT AS souls, sum(o)::BIGINT AS secured_orbs, round(100.0 * sum(o) / sum(s + o), 4) AS orb_share FROM x GROUP BY 1"
+    "SELECT source, count(DISTINCT match_id) AS games, sum(s + o)::BIGINT AS souls, sum(o)::BIGINT AS secured_orbs, round(100.0 * sum(o) / sum(s + o), 4) AS orb_share FROM x GROUP BY 1"
 )
 def view_soul_sources(spark, sf_dir):
     return rounded(summarize(facts(spark, sf_dir), registry.build("soul_source_games"), "source", ["games", "souls", "secured_orbs", "orb_share"]), "orb_share")

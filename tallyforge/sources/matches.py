@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.labels import COMBAT_NAMES, MOVE_NAMES, STAT_NAMES
 from tallyforge.schemas import TABLES
 
 _SNAPSHOT = [c for c in TABLES["stats"].names if c not in ("match_id", "start_time", "account_id", "hero_id")]
@@ -126,8 +127,8 @@ def normalize(docs: DataFrame, items: DataFrame | None = None, stat_names: dict[
     out["objectives"] = docs.select(*head, F.explode("objectives").alias("o")).select(
         *head, "o.team", F.col("o.team_objective_id").alias("objective_id"), none_if_zero(F.col("o.destroyed_time_s")).alias("destroyed_time_s"), none_if_zero(F.col("o.first_damage_time_s")).alias("first_damage_time_s"), "o.player_damage", "o.player_spirit_damage", "o.creep_damage"
     )
-    out |= _damage(docs, head, stat_names or {})
-    out |= _movement(docs, head, combat_names or {}, move_names or {})
+    out |= _damage(docs, head, STAT_NAMES if stat_names is None else stat_names)
+    out |= _movement(docs, head, COMBAT_NAMES if combat_names is None else combat_names, MOVE_NAMES if move_names is None else move_names)
     return out
 
 

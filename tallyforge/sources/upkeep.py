@@ -50,6 +50,23 @@ def rebuild(store: Store, docs: DataFrame, **names) -> None:
     fill_missing(store)
 
 
+def export_new(store: Store, docs: DataFrame, **names) -> dict[str, int]:
+    """Brings a store up to ``docs``: what drifted is mended first, then matches that it lacks are added; rows per table.
+
+    Months that only hold columns that are no longer declared, or other types, are rewritten from themselves; where columns
+    are missing all tables are made anew from the documents, with old rows carried forward.
+    """
+    drifted = {t: store.drifted(t) for t in FACTS if t != "downloads" and store.exists(t)}
+    if any(not rows.where("size(missing) > 0").isEmpty() for rows in drifted.values()):
+        rebuild(store, docs, **names)
+    else:
+        for table in drifted:
+            store.heal(table)
+        reexport(store, docs, store.new_only(docs.select("match_id")), **names)
+        fill_missing(store)
+    return store.counts()
+
+
 def take_place(store: Store, staging: str, table: str) -> None:
     """Renames a written table to its place; the one there before goes away last."""
     jvm = store.spark._jvm
@@ -100,13 +117,9 @@ def migrate(store: Store, legacy: str) -> list[str]:
 def extend_from_ledger(store: Store, downloads: DataFrame, docs: DataFrame, **names) -> dict[str, int]:
     """A second store: new downloads merged into its ledger, matches that it lacks added; rows per table are returned.
 
-    A store whose tables drifted is rebuilt from ``docs`` first.
+    What drifted is mended first, as of ``export_new``.
     """
-    if any(store.exists(t) and store.drift(t) for t in FACTS if t != "downloads"):
-        rebuild(store, docs, **names)
-    else:
-        reexport(store, docs, store.new_only(docs.select("match_id")), **names)
-        fill_missing(store)
+    export_new(store, docs, **names)
     parts = [conform(downloads, TABLES["downloads"])] + ([store.scan("downloads").drop("month")] if store.exists("downloads") else [])
     staging = f"{store.root}/.staging/downloads-{uuid.uuid4().hex}"
     conform(merged_ledger(*parts, keys=KEYS["downloads"], at="downloaded_at"), TABLES["downloads"]).write.parquet(staging)

@@ -5,11 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import breakdown, eras, items, levels, listings, objectives, reports, source_facts, timeline
+from tallyforge.functions import labels
+from tallyforge.operators import breakdown, eras, items, levels, listings, objectives, records, reports, source_facts, standing, timeline
 from tallyforge.plans import registry, views
 from tallyforge.plans.metrics import Context, Dimension, Lookup, Measure, MetricView, Series, summarize, validate_view, view_frame
 from tallyforge.schemas import TABLES
-from tallyforge.sources import histories
+from tallyforge.sources import histories, upkeep
 from tallyforge.sources.store import Store
 
 from .test_histories import HERO, history
@@ -450,3 +451,117 @@ def test_upserts_leave_nothing_behind(spark, tables, tmp_path):
         store.upsert("matches", tables["matches"])
     store.reshape("matches")
     assert size() <= once + 64 and store.scan("matches").count() == 2  # a few bytes of checksums may differ
+
+
+# Standings, aim, leavers, builds, combats
+
+
+def test_standing_knows_points_in_the_subrank(spark):
+    rows_ = [(1, 1, 33, 16_400, 100, True), (1, 2, 36, 20_500, 250, True), (2, 1, 0, 300, 300, True), (2, 2, 11, 40, 40, False), (3, 1, 112, 90_000, 10, True), (4, 1, 0, 500, 500, False), (4, 2, 0, 700, 200, True)]
+    games = spark.createDataFrame(rows_, "account int, n int, badge int, points int, change int, won boolean")
+    out = standing.season_standing(games, ["account"], ["n"], "badge", "points", F.col("change"), F.col("won"))
+    assert rows(out, "account", "badge", "points", "into_subrank", "subrank_points", "wins", "losses", "net_points", "placed_games") == [
+        (1, 36, 20_500, 1500, 2000, 2, 0, 350, 2), (2, 11, 40, 40, 1000, 1, 1, 40, 1), (3, 112, 90_000, None, None, 1, 0, 10, 1), (4, 0, None, None, None, 1, 1, 0, 0)
+    ]
+
+
+def test_aim_needs_shots_and_games(spark):
+    shots = [(m, 7, "a", s, h, x) for m, s, h, x in ((1, 100, 50, 10), (2, 200, 60, 0), (3, 99, 99, 99), (4, 100, 0, 0))] + [(5, 8, "b", 100, 20, 5)]
+    counters = spark.createDataFrame([(m, a, hero, n, v) for m, a, hero, *vs in shots for n, v in zip(("Shots", "Hits", "Headshots"), vs)], "match_id int, account_id int, hero string, stat string, value int")
+    got = {r.match_id: r for r in records.aim_rates(counters, KEYS, "hero", "stat", "value", 100, 3).collect()}
+    assert sorted(got) == [1, 2, 4, 5]
+    assert [(got[m].hit_rate, got[m].hit_percentile, got[m].hero_games) for m in (1, 2, 4, 5)] == [(50.0, 100.0, 3), (30.0, 67.0, 3), (0.0, 33.0, 3), (20.0, None, 1)]
+    assert got[4].headshot_rate is None and got[4].headshot_percentile is None and got[1].headshot_percentile == 67.0
+
+
+def test_who_left_and_who_came_back(spark):
+    games = spark.createDataFrame([(1, True, 0), (2, False, 1), (3, True, 0)], "match_id int, won boolean, team int")
+    leavers = spark.createDataFrame([(1, 7, 0, 100), (1, 9, 1, 100), (2, 8, 1, 50)], "match_id int, account_id int, team int, abandon_time_s int")
+    samples = spark.createDataFrame([(1, 7, t, v) for t, v in ((50, 5), (150, 9), (200, 9))] + [(1, 9, t, v) for t, v in ((150, 1), (150, 2), (250, 8))], "match_id int, account_id int, time_stamp_s int, damage int")
+    assert rows(records.abandons(games, leavers, samples, [7], "damage")) == [(1, True, True, False, True, True), (2, False, False, True, False, False)]
+
+
+def test_sold_items_are_no_part_of_a_build(spark):
+    builds = spark.createDataFrame([(1, "a", 5, True, "gun"), (1, "b", 9, False, "gun"), (2, "a", 7, False, "spirit"), (2, "a", 8, True, "gun"), (3, "c", 1, True, "gun")], "build int, item string, t int, sold boolean, slot string")
+    assert rows(items.item_frequency(builds, ["build"], "item", "t", "sold", facts=["slot"])) == [("a", 1, 7.0, 100 / 3, "spirit"), ("b", 1, 9.0, 100 / 3, "gun")]
+    assert rows(items.item_frequency(builds, ["build"], "item", "t", "sold", True), "item", "builds", "median_at") == [("a", 2, 6.5), ("b", 1, 9.0), ("c", 1, 1.0)]
+
+
+def test_players_of_matches(spark):
+    players = spark.createDataFrame([(1, 7, 3), (1, 8, 4), (2, 7, 4)], "match_id int, account_id int, hero_id int")
+    matches = spark.createDataFrame([(1, 600), (2, 700)], "match_id int, duration_s int")
+    assert rows(listings.match_players(players, matches, "match_id", hero=4), "match_id", "account_id", "duration_s") == [(1, 8, 600), (2, 7, 700)]
+    assert rows(listings.match_players(players, matches, "match_id", [1], accounts=[7]), "match_id", "account_id") == [(1, 7)]
+    assert listings.match_players(players, matches, "match_id").count() == 0
+
+
+def test_combat_of_both_sides(spark):
+    tables = {
+        "players": times(spark.createDataFrame([(1, 7, 3, True, "2026-01-01"), (2, 7, 3, False, "2026-01-02"), (2, 8, 4, True, "2026-01-02")], "match_id long, account_id long, hero_id long, won boolean, start_time string"), "start_time"),
+        "custom_stats": spark.createDataFrame(
+            [(1, 7, 60, "Enemy Hero Accuracy", "Shots", 10), (1, 7, 120, "Enemy Hero Accuracy", "Shots", 40), (1, 7, 120, "Enemy Hero Accuracy", "Hits", 20), (1, 7, 120, "Enemy Hero Accuracy - Incoming", "Shots", 30), (1, 7, 120, "Enemy Hero Accuracy - Incoming", "Hits", 3), (1, 7, 120, None, "Parry Success", 2), (1, 7, 120, "Other", "Parry Success", 9), (1, 7, 120, None, "Parry Miss", 6)],
+            "match_id long, account_id long, time_stamp_s long, group string, stat string, value long",
+        ),
+        "damage": spark.createDataFrame([(1, 7, 20, "citadel_weapon_x", "damage", 500), (1, 7, None, "citadel_weapon_x", "damage", 900), (1, 7, 20, "Bullet", "damage", 500)], "match_id long, account_id long, target_account_id long, source_class string, stat string, damage long"),
+    }
+    context = Context(spark, tables.__getitem__)
+    got = summarize(context, registry.build("combat_games", hero=3), (), ["games", "shots", "hits", "incoming_shots", "incoming_hit_rate", "parries", "missed_parries_per_game", "gun_damage", "gun_damage_per_hit", "hit_rate"]).first()
+    assert tuple(got) == (2, 40, 20, 30, 10.0, 2, 3.0, 500, 25.0, 50.0)
+    totals = listings.combat_totals(views.combat_game_rows(context.table, 3), ["account_id"]).first()
+    assert (totals.games, totals.shots_per_game, totals.hit_percent, totals.incoming_hit_percent, totals.parry_percent, totals.headshot_percent) == (2, 20.0, 50.0, 10.0, 25.0, 0.0)
+
+
+def test_alternate_guns(spark):
+    guns = spark.createDataFrame([("g", 8.0, 4.0, 60.0, 12.0, 30.0), ("h", 0.0, 1.0, 1.0, 1.0, 1.0), ("i", 5.0, None, None, None, None)], "ability_class string, bullet_damage double, bullets double, damage_per_second double, bullets_per_second double, clip_size double")
+    assert rows(levels.alternate_gun(guns), "ability_class", "bullet", "dps", "shots_per_second", "ammo") == [("g", 8.0, 60.0, 3.0, 30.0), ("i", 5.0, 0.0, 0.0, 0.0)]
+
+
+def test_a_total_that_falls_counts_as_its_last_sample(spark):
+    samples = spark.createDataFrame([(1, 100, 50), (1, 200, 30), (1, 400, 45)], "m int, t int, worth int")
+    games = spark.createDataFrame([(1, 500)], "m int, duration_s int")
+    events = spark.createDataFrame([(1, 150, "kills")], "m int, t int, kind string")
+    out = timeline.match_intervals(samples, events, games, ["m"], "t", ["worth"], ["kills"], 300)
+    assert rows(out, "interval", "end_s", "worth", "kills", "per_min") == [(0, 300, 30, 1, 6.0), (1, 500, 15, 0, 4.5)]
+    assert "Join" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_income_sources_keep_their_last_sample(spark):
+    tables = {
+        "soul_sources": spark.createDataFrame([(1, 7, 2, 60, 100, 0), (1, 7, 3, 90, 40, 10), (1, 7, 2, 240, 160, 0), (1, 7, 1, 240, 999, 0)], "match_id long, account_id long, source long, time_stamp_s long, souls long, souls_orbs long"),
+        "players": spark.createDataFrame([(1, 7)], "match_id long, account_id long"), "matches": spark.createDataFrame([(1, 600)], "match_id long, duration_s long"),
+    }
+    context = Context(spark, tables.__getitem__)
+    marks = summarize(context, registry.build("cumulative_marks", stat="farm", marks=(60, 120, 300)), "mark_s", "mean")
+    assert rows(marks) == [(120, 150.0), (300, 210.0), (60, 100.0)]
+    gained = summarize(context, registry.build("compare_intervals", stat="farm", width=120), "interval", "total_gain")
+    assert rows(gained) == [(0, 150), (1, 60), (2, 0), (3, 0), (4, 0)]
+
+
+def test_names_of_modes_and_groups(spark):
+    got = spark.range(1).select(labels.match_mode_name(F.lit(4)), labels.game_mode_name(F.lit(4)), labels.match_mode_name(F.lit(99)), labels.soul_group(F.lit(3)), labels.soul_group(F.lit(13))).first()
+    assert tuple(got) == ("Ranked", "Street Brawl", None, "roaming", None)
+    assert labels.composite_sources("combat") == [1, 6]
+
+
+def test_a_store_is_mended_and_brought_up_to_date(spark, tables, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(upkeep, "rebuild", lambda store, docs, **names: calls.append("rebuild"))
+    monkeypatch.setattr(upkeep, "reexport", lambda store, docs, ids, **names: calls.append(sorted(r.match_id for r in ids.collect())))
+    monkeypatch.setattr(upkeep, "fill_missing", lambda store: calls.append("fill"))
+    store = Store(spark, str(tmp_path / "store"))
+    for name, df in tables.items():
+        store.upsert(name, df.where("match_id = 1"))
+    docs = tables["matches"].select("match_id")
+    upkeep.export_new(store, docs)
+    assert calls == [[2], "fill"]
+    month = next(d for d in os.listdir(store.path("players")) if d.startswith("month="))
+    copy = str(tmp_path / "copy")
+    spark.read.parquet(f"{store.path('players')}/{month}").withColumn("extra", F.lit(1)).write.parquet(copy)
+    spark.read.parquet(copy).write.mode("overwrite").parquet(f"{store.path('players')}/{month}")
+    calls.clear()
+    upkeep.export_new(store, docs)
+    assert calls == [[2], "fill"] and store.drift("players") is None  # rewritten from itself
+    spark.read.parquet(copy).drop("kills").write.mode("overwrite").parquet(f"{store.path('players')}/{month}")
+    calls.clear()
+    upkeep.export_new(store, docs)
+    assert calls == ["rebuild"]

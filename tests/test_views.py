@@ -37,8 +37,15 @@ def test_views_give_the_documents_figures(context):
     assert one("my_games", "account", ["games", "kills", "win_rate"], accounts=[22]) == {22: (2, 4, 0.0)}
     assert one("stat_snapshots", "account", ["games", "net_worth"]) == {11: (2, 2400)}
     assert one("soul_source_games", "source", ["souls", "secured_orbs", "games"]) == {1: (1210, 10, 2)}
-    assert one("damage_source_games", "source", ["total", "games", "minutes", "items"], stat="1") == {"fire": (60, 2, 2 * 610 / 60, 0)}
-    assert one("combat_games", "account", ["shots", "hit_rate"]) == {11: (1200, 0.0)}
+    assert one("damage_source_games", "source", ["total", "games", "minutes", "items"], stat="healing") == {"fire": (60, 2, 2 * 610 / 60, 0)}
+    assert one("combat_games", "account", ["games", "shots", "hit_rate"]) == {11: (2, 0, None), 22: (2, 0, None)}
+    assert one("stack_games", "name", "games") == {}
+    assert one("compare_intervals", "interval", ["total_gain"], stat="farm", width=300) == {}
+    assert one("compare_intervals", "interval", ["total_gain"], stat="combat", width=300) == {0: (610,), 1: (600,)}
+    assert one("compare_intervals", "interval", ["total_gain"], stat="kills", width=300) == {0: (2,), 1: (0,)}
+    assert one("compare_intervals", "account", ["total_gain"], stat="deaths", width=300) == {11: (2,), 22: (0,)}
+    assert one("cumulative_marks", "mark_s", ["games", "mean"], stat="combat", marks=(360, 600)) == {360: (4, 152.5), 600: (4, 302.5)}
+    assert one("milestone_games", "target", ["games", "minutes"], stat="combat", targets=(305, 455)) == {305.0: (2, 5.0), 455.0: (2, 7.5)}
     assert one("buff_games", "type", ["held", "games"]) == {"gun_lv2": (4, 2)}
     assert one("cumulative_marks", "mark_s", ["games", "mean"], marks=(360, 600))[360] == (4, 300.0)
     assert one("compare_intervals", "interval", ["total_gain"], width=300) == {0: (1200,), 1: (1200,)}
