@@ -212,11 +212,13 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     if not key:
         raise ValueError("pseudonyms need a key")
     secret = F.lit(key)
-    rows = docs.withColumn("_any", F.when(F.col(text).rlike("[0-9@]"), any_value(text)))
-    rows = rows.withColumn("_hits", F.coalesce(F.regexp_extract_all(text, F.col("_any"), F.lit(0)), F.array().cast("array<string>")))
-    pieces = F.split(text, F.col("_any"), -1)
-    new = F.transform("_hits", lambda v: pseudonym(v, secret))
+    # the document's own columns lie in ``doc``, so that none of them can clash with those used here
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("whole"))
+    rows = rows.withColumn("any", F.when(F.col("whole").rlike("[0-9@]"), any_value("whole")))
+    rows = rows.withColumn("hits", F.coalesce(F.regexp_extract_all("whole", F.col("any"), F.lit(0)), F.array().cast("array<string>")))
+    pieces = F.split("whole", F.col("any"), -1)
+    new = F.transform("hits", lambda v: pseudonym(v, secret))
     joined = F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, v: F.array(F.coalesce(p, F.lit("")), F.coalesce(v, F.lit(""))))), "")
-    rows = rows.withColumn("_kinds", F.transform("_hits", kind_of)).withColumn(text, F.when(F.size("_hits") > 0, joined).otherwise(F.col(text)))
-    counts = {f"n_{k}": count_of("_kinds", k) for k in KINDS}
-    return rows.withColumns(counts).drop("_any", "_hits", "_kinds")
+    rows = rows.withColumn("kinds", F.transform("hits", kind_of)).withColumn("whole", F.when(F.size("hits") > 0, joined).otherwise(F.col("whole")))
+    made = {text: F.col("whole")} | {f"n_{k}": count_of("kinds", k) for k in KINDS}
+    return rows.select(*(made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns), *(made[c].alias(c) for c in made if c not in docs.columns))

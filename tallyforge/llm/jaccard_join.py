@@ -583,7 +583,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     found = jaccard_components(docs, width, percent)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rows = marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("_row").alias("_row")).join(first, "doc_id", "left_semi")
-    kept = marked.join(rows, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # the document's own columns lie in ``doc``, so that none of them can clash with those used here
+    marked = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.struct("*").alias("doc"))
+    rows = marked.groupBy("id").agg(F.min("hash").alias("hash")).join(first.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    kept = marked.join(rows, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))

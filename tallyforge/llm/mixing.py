@@ -163,7 +163,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     """
     plan = mix(docs, weights, share, cap, seed)
     spans = F.filter(F.transform(block_numbers(), lambda k: F.struct((F.greatest(block_start(k), F.col("start")) - F.col("start")).alias("a"), overlap(k).alias("n"), times(k).alias("t"))), lambda x: (x["n"] > 0) & (x["t"] > 0))
-    return cut(docs, plan.where("taken > 0").select("doc_id", "source", "text_hash", spans.alias("_spans")))
+    return cut(docs, plan.where("taken > 0").select("doc_id", "source", "text_hash", spans.alias("spans")))
 
 
 def cut(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -173,17 +173,17 @@ def cut(docs: DataFrame, plan: DataFrame) -> DataFrame:
         # one text column, so that the windows and the join share one partitioning of the texts
         return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_hash.cast("string"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
 
-    order = Window.partitionBy("_key").orderBy(F.lit(0))
-    left = docs.where(n_words(F.col("text")) > 0).withColumn("_key", key(F.xxhash64("text"))).withColumn("_n", F.row_number().over(order))
-    right = plan.select(key(F.col("text_hash")).alias("_key"), "_spans").withColumn("_m", F.row_number().over(order.partitionBy("_key").orderBy("_spans"))).withColumnRenamed("_key", "_their_key")
-    joined = left.join(right, (F.col("_key") == F.col("_their_key")) & (F.col("_n") - F.col("_m") == 0))
+    # the document's own columns lie in ``doc``, so that none of them can clash with those used here
+    order = Window.partitionBy("key").orderBy(F.lit(0))
+    left = docs.where(n_words(F.col("text")) > 0).select(F.struct("*").alias("doc"), key(F.xxhash64("text")).alias("key")).withColumn("n", F.row_number().over(order))
+    right = plan.select(key(F.col("text_hash")).alias("key"), "spans").withColumn("m", F.row_number().over(order.partitionBy("key").orderBy("spans"))).withColumnRenamed("key", "their_key")
+    joined = left.join(right, (F.col("key") == F.col("their_key")) & (F.col("n") - F.col("m") == 0))
     # a word with the white space before it; the pieces of a text joined again are the text without its trailing space
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    joined = joined.withColumn("_p", pieces).withColumn("_round", F.explode(F.array(F.lit(1), F.lit(2))))
-    kept = F.filter("_spans", lambda x: x["t"] >= F.col("_round"))
+    pieces = F.regexp_extract_all(F.col("doc")["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    joined = joined.withColumn("pieces", pieces).withColumn("round", F.explode(F.array(F.lit(1), F.lit(2))))
+    kept = F.filter("spans", lambda x: x["t"] >= F.col("round"))
     joined = joined.where(F.size(kept) > 0)
-    text = F.array_join(F.transform(kept, lambda x: F.array_join(F.slice("_p", (x["a"] + 1).cast("int"), x["n"].cast("int")), "")), "")
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.array_join(F.transform(kept, lambda x: F.array_join(F.slice("pieces", (x["a"] + 1).cast("int"), x["n"].cast("int")), "")), "")
+    joined = joined.withColumn("cut", text)
+    new = {"text": F.col("cut")} | ({"n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
