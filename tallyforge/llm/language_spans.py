@@ -28,8 +28,8 @@ FIT_DOCS = 20_000
 #: Rows of a language that are learned from even where there are very many languages.
 LEAST_DOCS = 50
 SWITCH = 6.0
-#: Runs of letters: what ``str.isalpha`` holds for, which leaves out numbers such as the superscript two or one half.
-LETTERS = re.compile("[^\\W\\d_" + "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+#: Runs of letters and of numerals that are no digits, such as the superscript two or one half.
+RUNS = re.compile(r"[^\W\d_]+")
 #: First and last code point of ranges and their script.  Letters elsewhere count as "other".
 SCRIPTS = (
     (0x0041, 0x024F, "latin"),
@@ -48,6 +48,14 @@ SCRIPTS = (
 )
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of what ``str.isalpha`` holds for."""
+    found = RUNS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for part in found for run in ("".join(c if c.isalpha() else " " for c in part).split() if not part.isalpha() else [part])]
+
+
 def script(word: str) -> str:
     code = ord(word[0])
     if code <= 0x024F:
@@ -94,7 +102,7 @@ class LanguageModel:
         letters = np.zeros(len(words), np.int32)
         get, unseen = self.where.get, len(self.table) - 1
         for k, word in enumerate(words):
-            for part in LETTERS.findall(word):
+            for part in letter_runs(word):
                 starts.append(len(grams))
                 owner.append(k)
                 scripts.append(script(part))
@@ -199,7 +207,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: Counter = Counter()
         for text, lang in zip(texts(batch), batch.column("lang").to_pylist()):
-            for word, n in Counter(LETTERS.findall(text.lower())).items():
+            for word, n in Counter(letter_runs(text.lower())).items():
                 counts[lang, "s" + script(word)] += n
                 for g in trigrams(word):
                     counts[lang, "g" + g] += n
