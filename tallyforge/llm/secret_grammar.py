@@ -20,7 +20,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +222,18 @@ class Grammar:
         return (max(found)[1], max(found)[0]) if found and max(found)[0] >= self.margin else None
 
 
+def overlaps(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether a place overlaps any of the spans, by two looks into sorted lists."""
+    spans = sorted(spans)
+    starts, upto = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def test(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)  # those that begin before the place ends
+        return before > 0 and upto[before - 1] > start
+
+    return test
+
+
 def examples(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
     """At most ``sample`` distinct labelled values per kind, and as many ordinary tokens, those of the lowest hash."""
 
@@ -227,10 +242,8 @@ def examples(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
         for text in texts(batch):
             spans = base_spans(text)
             found.update((KINDS[k], v) for _, k, _, v in spans)
-            ends = [(s, e) for s, _, e, _ in spans]
-            for m in TOKEN.finditer(text):
-                if not any(s < m.end() and m.start() < e for s, e in ends):
-                    found.add(("other", m[0]))
+            touches = overlaps([(s, e) for s, _, e, _ in spans])
+            found.update(("other", m[0]) for m in TOKEN.finditer(text) if not touches(m.start(), m.end()))
         rows = sorted(found)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
 
@@ -253,8 +266,9 @@ def found_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int]]
     """(start, kind's place, end) of the fixed patterns, and of all spans."""
     base = [(s, k, e) for s, k, e, _ in base_spans(text)]
     more = []
+    touches = overlaps([(s, e) for s, _, e in base])
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and (hit := grammar.best(m[0])):
+        if not touches(m.start(), m.end()) and (hit := grammar.best(m[0])):
             more.append((m.start(), KINDS.index(hit[0]), m.end()))
     return base, sorted(base + more)
 
