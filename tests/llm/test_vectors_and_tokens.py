@@ -293,3 +293,53 @@ def test_no_vectors_no_negatives(spark):
     table = odd_vectors(spark)
     assert angular_negatives.hard_negatives(table.where("false"), F.col("vec_id") % 50 == 0).collect() == []
     assert angular_negatives.hard_negatives(table.where("vec_id = 51"), F.col("vec_id") % 50 == 0).collect() == []
+
+
+# Columns of the operators' own names
+
+
+INNER = ["_row", "_spans", "_key", "_their_key", "_n", "_m", "_p", "_round", "_any", "_hits", "_kinds", "doc", "key", "their_key", "n", "m", "spans", "pieces", "round", "cut", "whole", "any", "hits", "kinds", "hash", "id", "h", "size", "shard", "start", "place"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(1, "call 415-555-0187 about the red fox and its den by the river", "en", "a"), (2, "call 415-555-0187 about the red fox and its den by the river", "en", "a"), (3, "der Hund und die Katze sind im Haus am Fluss", "de", "b"), (4, None, None, None)]
+    return documents(spark, rows).withColumns({c: F.lit(f"own {c}") for c in INNER})
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["accepted", "one_of_each", "redacted", "mixed_documents", "pseudonymised"],
+)
+def test_columns_of_any_name_stay(clashing, name):
+    from tallyforge.llm import feistel, language_spans, mixing, secret_grammar
+
+    run = {
+        "accepted": lambda d: language_spans.accepted(d, language_spans.fit(d.select("doc_id", "text", "lang"))), "one_of_each": jaccard_join.one_of_each, "redacted": secret_grammar.redacted,
+        "mixed_documents": mixing.mixed_documents, "pseudonymised": lambda d: feistel.pseudonymised(d, "secret"),
+    }[name]
+    out = run(clashing)
+    assert out.columns[: len(clashing.columns)] == clashing.columns
+    got = out.collect()
+    assert got and all(r[c] == f"own {c}" for r in got for c in INNER)
+
+
+def test_letter_runs():
+    from tallyforge.llm.language_spans import letter_runs
+
+    text = "ab1c x² y½z été_über 東京²タワー ᛭ Ⅷx"
+    runs, run = [], ""
+    for c in text + " ":
+        if c.isalpha():
+            run += c
+        elif run:
+            runs, run = [*runs, run], ""
+    assert letter_runs(text) == runs
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 8)), max_size=12), st.integers(0, 35), st.integers(1, 9))
+def test_overlaps(spans, start, length):
+    from tallyforge.llm.secret_grammar import overlaps
+
+    spans = [(s, s + n) for s, n in spans]
+    assert overlaps(spans)(start, start + length) == any(s < start + length and start < e for s, e in spans)
