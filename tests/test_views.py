@@ -18,7 +18,7 @@ def context(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("docs")
     (folder / "a.json").write_text(json.dumps(document()) + "\n" + json.dumps(document(2, 1_703_000_000)))
     tables = normalize(read_documents(spark, str(folder)))
-    return Context(spark, tables.__getitem__)
+    return Context(spark, {name: df.cache() for name, df in tables.items()}.__getitem__)
 
 
 def test_thirteen_views():
