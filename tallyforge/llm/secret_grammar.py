@@ -3,12 +3,13 @@
 Three fixed patterns label credentials.  From a bounded sample of the labelled values a probabilistic automaton is
 inferred per kind: the values, as strings of character classes, make a prefix tree with counts, and states whose
 futures don't differ more than chance allows are merged (state merging with the Hoeffding bound).  Every token
-of 12 characters or more outside the labelled spans is then scored by its length-normalised log likelihood under each automaton, against the
-likelihood under an automaton of ordinary tokens, and joins the spans where a kind explains it as well as its own
-examples and better than ordinary text does.
+of 12 characters or more that is not part of one labelled span is then scored by its length-normalised log likelihood
+under each automaton, against the likelihood under an automaton of ordinary tokens, and joins the spans where a kind
+explains it as well as its own examples and better than ordinary text does.  A token that a labelled span is only a part
+of is scored whole, so spans may overlap.
 
-Values are learned by their first ``DEPTH`` characters, from ``LEAST_EXAMPLES`` values of a kind on; candidates are
-scored whole.
+Values are learned by their first ``DEPTH`` characters (``depth``; None learns them whole), from ``LEAST_EXAMPLES`` values
+of a kind on; candidates are scored whole.
 
 Null text: empty.  Rows repeated: each by itself.  Very long texts are scanned whole.  Ties between kinds: the last in
 alphabetical order; spans at one place: in the order of KINDS.  An empty table gives an empty result; further columns of
@@ -20,14 +21,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from heapq import nsmallest
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, texts
@@ -39,6 +42,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 KINDS = ("assign", "access", "hex")
 SAMPLE = 4096
+#: Groups in which the tasks' samples are cut down before one task sees what is left of a kind.
+GROUPS = 256
 #: Character classes of a value that are learned; what is longer is learned without its end.
 DEPTH = 256
 #: Labelled values from which a grammar is inferred; with fewer, a kind has its fixed pattern alone.
@@ -81,7 +86,8 @@ class Automaton:
     ``count`` are visits of a state, ``stop`` the values that end there, ``next`` its transitions with their counts.
     """
 
-    def __init__(self, examples: list[bytes], alpha: float = 0.05):
+    def __init__(self, examples: list[bytes], alpha: float = 0.05, depth: int | None = DEPTH):
+        self.depth = depth
         self.count, self.stop, self.next = [0], [0], [{}]
         for value in examples:
             self._add(value)
@@ -92,7 +98,7 @@ class Automaton:
     def _add(self, value: bytes) -> None:
         state = 0
         self.count[0] += 1
-        for c in value[:DEPTH]:
+        for c in value[: self.depth]:
             step = self.next[state].get(c)
             if step is None:
                 step = len(self.count)
@@ -102,7 +108,7 @@ class Automaton:
                 self.next[state][c] = step
             state = step
             self.count[state] += 1
-        if len(value) <= DEPTH:
+        if self.depth is None or len(value) <= self.depth:
             self.stop[state] += 1
         else:
             self.count[state] -= 1  # how it goes on is not known
@@ -199,15 +205,15 @@ class Automaton:
 class Grammar:
     """Automata of the kinds and of ordinary tokens, with each kind's threshold."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], keep: float = 0.95, margin: float = 0.3):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], keep: float = 0.95, margin: float = 0.3, depth: int | None = DEPTH):
         self.margin = margin
-        self.other = Automaton([classes(v) for v in ordinary])
+        self.other = Automaton([classes(v) for v in ordinary], depth=depth)
         self.kinds = {}
         for kind, values in labelled.items():
             examples = sorted(map(classes, values))
             if len(examples) < LEAST_EXAMPLES:
                 continue
-            automaton = Automaton(examples)
+            automaton = Automaton(examples, depth=depth)
             scores = sorted(map(automaton.score, examples))
             self.kinds[kind] = (automaton, scores[int((1 - keep) * len(scores))])
 
@@ -234,41 +240,69 @@ def overlaps(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
     return test
 
 
-def examples(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """At most ``sample`` distinct labelled values per kind, and as many ordinary tokens, those of the lowest hash."""
+def contains(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether one of the spans holds a whole place."""
+    spans = sorted(spans)
+    starts, upto = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = set()
-        for text in texts(batch):
-            spans = base_spans(text)
-            found.update((KINDS[k], v) for _, k, _, v in spans)
-            touches = overlaps([(s, e) for s, _, e, _ in spans])
-            found.update(("other", m[0]) for m in TOKEN.finditer(text) if not touches(m.start(), m.end()))
-        rows = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
-
-    rows = map_batches(docs.select("text"), run, "kind string, value string")
-    # partial: each task keeps the lowest of its own, so the shuffle carries few rows of a frequent kind
-    rows = rows.withColumn("h", F.xxhash64("value"))
-    lowest = rows.groupBy("kind", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by(F.substring("value", 1, DEPTH + 1), F.struct("h", "value")).alias("value"))
+    def test(start: int, end: int) -> bool:
+        before = bisect_right(starts, start)  # those that begin at the place or before it
+        return before > 0 and upto[before - 1] >= end
+
+    return test
+
+
+def examples(docs: DataFrame, sample: int = SAMPLE, depth: int | None = DEPTH) -> dict[str, list[str]]:
+    """The ``sample`` distinct labelled values of the lowest hash per kind (all, if fewer), and as many ordinary tokens.
+
+    A task keeps the lowest of its own only; these are cut down in groups, and what is left of a kind, at most ``GROUPS``
+    times ``sample`` rows, is ordered once more.  Values are told apart by 63 bits of hash of the whole value.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest: dict[str, dict[int, str]] = defaultdict(dict)
+
+        def add(kind: str, value: str) -> None:
+            kept = lowest[kind]
+            kept[xxhash.xxh64_intdigest(value) >> 1] = value if depth is None else value[: depth + 1]
+            if len(kept) > 2 * sample:
+                lowest[kind] = {h: kept[h] for h in nsmallest(sample, kept)}
+
+        for batch in batches:
+            for text in texts(batch):
+                spans = base_spans(text)
+                for _, k, _, value in spans:
+                    add(KINDS[k], value)
+                touches = overlaps([(s, e) for s, _, e, _ in spans])
+                for m in TOKEN.finditer(text):
+                    if not touches(m.start(), m.end()):
+                        add("other", m[0])
+        rows = [(kind, h, kept[h]) for kind, kept in lowest.items() for h in nsmallest(sample, kept)]
+        columns = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["kind", "h", "value"])
+
+    rows = docs.select("text").mapInArrow(run, "kind string, h long, value string").groupBy("kind", "h").agg(F.min("value").alias("value"))
+    rows = rows.withColumn("group", F.pmod("h", F.lit(GROUPS)))
+    for by in (["kind", "group"], ["kind"]):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= sample)
     out: dict[str, list[str]] = defaultdict(list)
-    for r in lowest.collect():  # at most ``sample`` values of each kind
+    for r in rows.collect():  # at most ``sample`` values of each kind
         out[r.kind].append(r.value)
     return {k: sorted(v) for k, v in out.items()}
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
-    values = examples(docs, sample)
-    return Grammar({k: values.get(k, []) for k in KINDS}, values.get("other", []))
+def learn(docs: DataFrame, sample: int = SAMPLE, depth: int | None = DEPTH) -> Grammar:
+    values = examples(docs, sample, depth)
+    return Grammar({k: values.get(k, []) for k in KINDS}, values.get("other", []), depth=depth)
 
 
 def found_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind's place, end) of the fixed patterns, and of all spans."""
     base = [(s, k, e) for s, k, e, _ in base_spans(text)]
     more = []
-    touches = overlaps([(s, e) for s, _, e in base])
+    known = contains([(s, e) for s, _, e in base])
     for m in TOKEN.finditer(text):
-        if not touches(m.start(), m.end()) and (hit := grammar.best(m[0])):
+        if not known(m.start(), m.end()) and (hit := grammar.best(m[0])):
             more.append((m.start(), KINDS.index(hit[0]), m.end()))
     return base, sorted(base + more)
 

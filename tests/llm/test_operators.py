@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyforge.llm import curve_packing, feistel, host_rules, jaccard_join, kneser_ney, language_spans, license_join, mixing, multi_index_search, queries, secret_grammar
@@ -540,6 +543,63 @@ def test_long_values_are_learned_without_an_end():
     assert grammar.best("0123456789abcdef" * 40)[0] == "hex" and "assign" not in grammar.kinds
 
 
+def test_secrets_sample_is_whole_up_to_its_bound(spark):
+    """Distinct values are learned without loss up to the bound, the lowest hashes beyond it, frequent ones once."""
+    values = [f"token={random.Random(i).getrandbits(96):024x}Zz" for i in range(600)]
+    rows = [(i, v + " " + values[0], None, None) for i, v in enumerate(values)]
+    docs = documents(spark, rows).repartition(7)
+    whole = {v[6:] for v in values}
+    assert set(secret_grammar.examples(docs, 600)["assign"]) == whole
+    least = sorted(whole, key=lambda v: xxhash.xxh64_intdigest(v) >> 1)[:100]
+    assert secret_grammar.examples(docs, 100)["assign"] == sorted(least)
+
+
+def test_secrets_token_around_a_span(spark):
+    """A token that holds a labelled span is a candidate as a whole; one inside a labelled span is not."""
+    r = random.Random(5)
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    value = lambda: pick("GHJKLMNPQRSTUVWXYZ", 7) + pick("0123456789abcdef", 16) + pick("ghijklmnopqrstuvwxyz", 7)
+    grammar = secret_grammar.Grammar({"assign": [value() for _ in range(300)]}, ["ordinary-words-" * 2] * 50 + ["someIdentifierName"] * 50)
+    text = "see XYZXYZX0123456789abcdefqwrtyui and token=XYZXYZX0123456789abcdefqwrtyui."
+    base, every = secret_grammar.found_spans(text, grammar)
+    assert (4, 0, 34) in every and (4, 0, 34) not in base
+    assert set(base) < set(every) and len(every) == len(base) + 1
+
+
+def test_secrets_values_learned_whole(spark):
+    """Without a cut, values that differ behind ``DEPTH`` characters only give another automaton."""
+    long = "0123456789abcdef" * 20
+    cut, whole = (secret_grammar.Automaton([secret_grammar.classes(long + "ABCDEF")] * 30, depth=d) for d in (256, None))
+    good, bad = (secret_grammar.classes(long + end) for end in ("ABCDEF", "-----="))
+    assert whole.score(good) > whole.score(bad) and abs(cut.score(good) - cut.score(bad)) < whole.score(good) - whole.score(bad)
+
+
+def secret_cases(n: int, seed: int) -> tuple[list[str], list[str]]:
+    """Credentials of three formats, and ordinary tokens of twelve characters or more."""
+    r = random.Random(seed)
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    word = lambda: pick(string.ascii_lowercase, r.randint(3, 9))
+    mixed = string.ascii_letters + string.digits
+    secrets = [(lambda: pick(mixed, 40), lambda: "sk_" + pick(mixed, 24), lambda: "-".join(pick("0123456789ABCDEF", 8) for _ in range(4)))[i % 3]() for i in range(n)]
+    plain = [
+        lambda: "/".join(word() for _ in range(4)), lambda: "_".join(word() for _ in range(3)) + "_id", lambda: word() + "".join(word().title() for _ in range(3)),
+        lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}", lambda: "-".join(word() for _ in range(4)), lambda: "internationalisation" + word(),
+    ]
+    return secrets, [plain[i % len(plain)]() for i in range(n)]
+
+
+def test_secrets_precision_and_recall(spark):
+    """Learned from labelled credentials and ordinary tokens, tried on others of both, none of them labelled."""
+    secrets, plain = secret_cases(600, 1)
+    rows = [(i, f"the api_key = {s} stands beside {p} here", None, None) for i, (s, p) in enumerate(zip(secrets, plain))]
+    grammar = secret_grammar.learn(documents(spark, rows))
+    secrets, plain = secret_cases(3000, 2)
+    hit = sum(grammar.best(s) is not None for s in secrets)
+    false = sum(grammar.best(p) is not None for p in plain)
+    print("secrets: recall", hit / len(secrets), "precision", hit / (hit + false))
+    assert hit >= 0.9 * len(secrets) and hit >= 0.97 * (hit + false)
+
+
 # 8 languages
 
 
