@@ -30,10 +30,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_batches, texts
+from tallyforge.llm.common import map_batches, texts, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -42,8 +42,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 KINDS = ("assign", "access", "hex")
 SAMPLE = 4096
-#: Groups in which the tasks' samples are cut down before one task sees what is left of a kind.
-GROUPS = 256
+#: Steps of an octave in the histogram of hashes that says how far the sample goes.
+STEPS = 32
 #: Character classes of a value that are learned; what is longer is learned without its end.
 DEPTH = 256
 #: Labelled values from which a grammar is inferred; with fewer, a kind has its fixed pattern alone.
@@ -255,8 +255,9 @@ def contains(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
 def examples(docs: DataFrame, sample: int = SAMPLE, depth: int | None = DEPTH) -> dict[str, list[str]]:
     """The ``sample`` distinct labelled values of the lowest hash per kind (all, if fewer), and as many ordinary tokens.
 
-    A task keeps the lowest of its own only; these are cut down in groups, and what is left of a kind, at most ``GROUPS``
-    times ``sample`` rows, is ordered once more.  Values are told apart by 63 bits of hash of the whole value.
+    A task keeps the lowest of its own only.  A histogram of what the tasks kept, by the logarithm of the hash and so of
+    63 * ``STEPS`` steps at most, says up to which step values are wanted; about ``sample`` / ``STEPS`` more than the
+    sample come to the driver.  Values are told apart by 63 bits of hash of the whole value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,13 +283,18 @@ def examples(docs: DataFrame, sample: int = SAMPLE, depth: int | None = DEPTH) -
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["kind", "h", "value"])
 
     rows = docs.select("text").mapInArrow(run, "kind string, h long, value string").groupBy("kind", "h").agg(F.min("value").alias("value"))
-    rows = rows.withColumn("group", F.pmod("h", F.lit(GROUPS)))
-    for by in (["kind", "group"], ["kind"]):
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= sample)
-    out: dict[str, list[str]] = defaultdict(list)
-    for r in rows.collect():  # at most ``sample`` values of each kind
-        out[r.kind].append(r.value)
-    return {k: sorted(v) for k, v in out.items()}
+    rows = written(rows.withColumn("step", F.floor(STEPS * F.log2(F.col("h") + 1.0)).cast("int")), "secret-examples")
+    steps: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for r in rows.groupBy("kind", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+        steps[r.kind].append((r.step, r.n))
+    out: dict[str, list[str]] = {}
+    for kind, found in sorted(steps.items()):
+        found.sort()
+        upto = list(accumulate(n for _, n in found))
+        last = found[min(bisect_left(upto, sample), len(found) - 1)][0]
+        wanted = rows.where((F.col("kind") == kind) & (F.col("step") <= last)).select("h", "value").collect()
+        out[kind] = sorted(r.value for r in nsmallest(sample, wanted))
+    return out
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, depth: int | None = DEPTH) -> Grammar:
