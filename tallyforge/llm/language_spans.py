@@ -2,7 +2,9 @@
 
 A word's script narrows the languages it may be in; within those it has a log likelihood from character trigrams.
 Viterbi's algorithm then labels the words of a text, with a penalty for each switch of language, which gives spans;
-the text's language is the one with most letters.
+the text's language is the one with most letters.  Words are those between white space, cut further where letters of two
+scripts meet, so that a Latin name inside Japanese is a word of its own; Han and kana are written together, and a run
+that holds both is one of kana.
 
 The model is fitted on about ``fit_docs`` labelled documents at most, as many of each language, taken by a hash of the id
 (``LEAST_DOCS`` of each at least).  Null text, or text
@@ -32,7 +34,7 @@ SWITCH = 6.0
 RUNS = re.compile(r"[^\W\d_]+")
 #: First and last code point of ranges and their script.  Letters elsewhere count as "other".
 SCRIPTS = (
-    (0x0041, 0x024F, "latin"),
+    (0x0041, 0x02AF, "latin"),
     (0x0370, 0x03FF, "greek"),
     (0x0400, 0x052F, "cyrillic"),
     (0x0530, 0x058F, "armenian"),
@@ -48,19 +50,59 @@ SCRIPTS = (
 )
 
 
+#: Scripts that one language writes in one word.
+TOGETHER = {"kana": "han"}
+
+
+def _borders() -> re.Pattern:
+    """Places between letters of two scripts that aren't written together; letters elsewhere part nothing."""
+    ranges: dict[str, str] = {}
+    for low, high, name in SCRIPTS:
+        name = TOGETHER.get(name, name)
+        ranges[name] = ranges.get(name, "") + f"{chr(low)}-{chr(high)}"
+    other = {a: "".join(r for b, r in ranges.items() if b != a) for a in ranges}
+    # marks and digits inside the ranges are no letters, so they part nothing either
+    return re.compile("|".join(rf"(?<=[{r}])(?<=[^\W\d_])(?=[{other[a]}])(?=[^\W\d_])" for a, r in ranges.items()))
+
+
+BORDER = _borders()
+KANA = re.compile("[\u3040-\u30ff]")
+
+
+def parted(word: str) -> list[str]:
+    """A word cut where letters of another script begin, with what is no letter between them or not."""
+    if word.isascii():
+        return [word]
+    cuts, before = [0], None
+    for run in RUNS.finditer(word):
+        at = run.start()
+        for piece in BORDER.split(run[0]):
+            name = TOGETHER.get(script(piece), script(piece))
+            if name != "other":
+                if before not in (None, name):
+                    cuts.append(at)
+                before = name
+            at += len(piece)
+    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+
+
 def letter_runs(text: str) -> list[str]:
-    """Runs of what ``str.isalpha`` holds for."""
+    """Runs of what ``str.isalpha`` holds for, cut where two scripts meet."""
     found = RUNS.findall(text)
-    if all(map(str.isalpha, found)):
+    if text.isascii():
         return found
-    return [run for part in found for run in ("".join(c if c.isalpha() else " " for c in part).split() if not part.isalpha() else [part])]
+    if not all(map(str.isalpha, found)):
+        found = [run for part in found for run in ("".join(c if c.isalpha() else " " for c in part).split() if not part.isalpha() else [part])]
+    return [run for part in found for run in ([part] if part.isascii() else BORDER.split(part))]
 
 
 def script(word: str) -> str:
+    """The script of a run's first letter; Han with kana is kana."""
     code = ord(word[0])
-    if code <= 0x024F:
+    if code <= 0x02AF:
         return "latin"
-    return next((name for low, high, name in SCRIPTS if low <= code <= high), "other")
+    name = next((name for low, high, name in SCRIPTS if low <= code <= high), "other")
+    return "kana" if name == "han" and KANA.search(word) else name
 
 
 def trigrams(word: str) -> list[str]:
@@ -121,9 +163,13 @@ class Scores(dict):
     """Rows of a growing table of word scores by lower-cased word, with the word's letters."""
 
     LIMIT = 500_000
+    #: Numbers in the table; with many languages fewer words are kept.
+    CELLS = 40_000_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.limit = min(self.LIMIT, self.CELLS // max(1, len(model.languages)))
+        self.parts: dict[str, list[str]] = {}
         self.new: list[str] = []
         self.table = np.zeros((1024, len(model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int32)
@@ -136,10 +182,26 @@ class Scores(dict):
 
     def trim(self) -> None:
         """Begins anew where the table has grown too large."""
-        if len(self) > self.LIMIT:
+        if len(self) + len(self.parts) > self.limit:
             self.clear()
             self.__init__(self.model)
 
+    def words(self, text: str) -> list[str]:
+        """White-space words in lower case, cut where two scripts meet."""
+        found = text.lower().split()
+        if text.isascii():
+            return found
+        out = []
+        for word in found:
+            if word.isascii():
+                out.append(word)
+                continue
+            parts = self.parts.get(word)
+            if parts is None:
+                parts = self.parts[word] = parted(word)
+            out += parts
+        return out
+
     def learn(self) -> None:
         while len(self) > len(self.letters):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -149,22 +211,25 @@ class Scores(dict):
         self.new = []
 
 
-def label_words(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
+def label_words(scores: np.ndarray, lengths: np.ndarray, switch: float, ids: np.ndarray | None = None) -> np.ndarray:
     """Viterbi labels of many texts at once; ``scores`` has the words of all texts one after the other.
 
+    With ``ids``, the words of the texts are these rows of ``scores``.
+
     Texts are handled longest first, so that step t touches only the texts that have a word t.  With one penalty for
     every switch, a state comes from itself or from the best state of the step before.
     """
     n_states = scores.shape[1]
+    ids = np.arange(len(scores)) if ids is None else ids
     order = np.argsort(-lengths, kind="stable")
     lengths, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), "left")
-    labels = np.zeros(len(scores), np.int16)
+    labels = np.zeros(len(ids), np.int16)
     if not steps:
         return labels
-    stay = np.ones((len(scores), n_states), bool)
-    came = np.zeros(len(scores), np.int16)
+    stay = np.ones((len(ids), n_states), bool)
+    came = np.zeros(len(ids), np.int16)
     best = np.zeros((active[0], n_states), np.float32)
     for t in range(steps):
         a = active[t]
@@ -176,7 +241,7 @@ def label_words(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nd
             same = here >= jump[:, None]
             stay[at], came[at] = same, top
             np.maximum(here, jump[:, None], out=here)
-        here += scores[at]
+        here += scores[ids[at]]
     state = best.argmax(1).astype(np.int16)
     # a text's best state at its own end: rows of ``best`` stop changing when their text ends
     for t in range(steps - 1, -1, -1):
@@ -220,16 +285,47 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
     return LanguageModel(counts, scripts)
 
 
+#: Words times languages for which paths are held at once, unless one text alone has more.
+PATHS = 40_000_000
+
+
 def predicted(cache: Scores, batch_texts: list[str], switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Each word's text, words per text, each word's label, and the texts' languages and scores."""
+    """Each word's text, words per text, each word's label, and the texts' languages and scores.
+
+    Texts are handled a few at a time where they are long, so memory is bounded by ``PATHS`` or by the longest text.
+    """
+    n = max(1, len(cache.model.languages))
+    doc, lengths, labels, pred, score = [], [], [], [], []
+    words: list[list[str]] = []
+    held = 0
+
+    def close() -> None:
+        nonlocal words, held
+        d, *more = _predicted(cache, words, switch)
+        doc.append(d + len(pred))
+        for column, x in zip((lengths, labels, score), (more[0], more[1], more[3])):
+            column.append(x)
+        pred.extend(more[2])
+        words, held = [], 0
+
+    for text in batch_texts:
+        found = cache.words(text)
+        if words and (held + len(found)) * n > PATHS:
+            close()
+        words.append(found)
+        held += len(found)
+    close()
+    return np.concatenate(doc), np.concatenate(lengths), np.concatenate(labels), pred, np.concatenate(score)
+
+
+def _predicted(cache: Scores, words: list[list[str]], switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     names = cache.model.languages
     cache.trim()
-    words = [t.lower().split() for t in batch_texts]
     lengths = np.array([len(w) for w in words], np.int64)
     ids = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
     cache.learn()
     # words without letters take the label of their neighbours, for their scores are all 0
-    labels = label_words(cache.table[ids], lengths, switch) if names else np.zeros(len(ids), np.int16)
+    labels = label_words(cache.table, lengths, switch, ids) if names else np.zeros(len(ids), np.int16)
     doc = np.repeat(np.arange(len(words)), lengths)
     n = max(1, len(names))
     share = np.bincount(doc * n + labels, cache.letters[ids], minlength=len(words) * n).reshape(-1, n)

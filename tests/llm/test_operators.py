@@ -669,6 +669,37 @@ def test_mixed_text_spans(spark):
     assert [tuple(s) for s in got[20].spans] == [("en", 0, 10), ("ru", 10, 10), ("en", 20, 10)] and got[20].lang_pred == "en"
 
 
+def test_words_are_cut_where_scripts_meet(spark):
+    parted = language_spans.parted
+    assert parted("thehouse東京タワーhello") == ["thehouse", "東京タワー", "hello"] and parted("漢字ひらがなです") == ["漢字ひらがなです"]
+    assert parted("ɓaya") == ["ɓaya"] and parted("naïve") == ["naïve"] and parted("a1東。b") == ["a1", "東。", "b"] and parted("приветworld") == ["привет", "world"]
+    assert language_spans.letter_runs("x½東京abc 漢字") == ["x", "東京", "abc", "漢字"]
+    assert [language_spans.script(w) for w in ("漢字ひらがな", "漢字", "ɓaya", "ქარ")] == ["kana", "han", "latin", "other"]
+    ja = "私は毎日学校に行きます。今日の天気はとても良いです。漢字とひらがなを使います。"
+    zh = "我每天去学校。今天的天气很好。我们使用汉字写文章。"
+    en = "the quick brown fox jumps over the lazy dog and the house again"
+    rows = [(k + 10 * g, text, lang, "a") for g, (text, lang) in enumerate(((ja, "ja"), (zh, "zh"), (en, "en"))) for k in range(5)]
+    rows += [(40, "漢字ひらがなです", None, "a"), (41, "今天的天气很好", None, "a"), (42, "thehouse" + ja + "thequickbrownfox", None, "a")]
+    got = {r.doc_id: r for r in language_spans.identified(documents(spark, rows), F.col("lang").isNotNull(), switch=2.0).collect()}
+    assert got[40].lang_pred == "ja" and got[41].lang_pred == "zh"
+    assert [s.lang for s in got[42].spans] == ["en", "ja", "en"] and got[42].lang_pred == "ja"
+
+
+def test_languages_do_not_depend_on_how_many_texts_are_held(monkeypatch):
+    """Groups of texts of any size, and a cache that begins anew all the time, give the same labels."""
+    counts = {(lang, g): 5 for lang, words in (("a", "lorem ipsum dolor"), ("b", "hello there world")) for w in words.split() for g in language_spans.trigrams(w)}
+    model = language_spans.LanguageModel(counts, {("a", "latin"): 9, ("b", "latin"): 9})
+    batch = ["lorem ipsum", "", "hello there lorem", "12 34", "world " * 50, "ipsum dolor hello東京"] * 7
+    want = language_spans.predicted(language_spans.Scores(model), batch, 3.0)
+    monkeypatch.setattr(language_spans, "PATHS", 1)
+    monkeypatch.setattr(language_spans.Scores, "CELLS", 6)
+    got = language_spans.predicted(language_spans.Scores(model), batch, 3.0)
+    for x, y in zip(want, got):
+        assert list(x) == list(y)
+    none = language_spans.predicted(language_spans.Scores(model), [], 3.0)
+    assert [len(x) for x in none] == [0] * 5
+
+
 # 9 language model
 
 
