@@ -58,6 +58,97 @@ def _parse(text: str) -> dict[str, tuple[list[str], StructType]]:
     return found
 
 
+#: What columns hold, by name, wherever the name alone doesn't say it.
+_DESCRIPTIONS = """
+match_id: number of the match
+start_time: start of the match, UTC
+duration_s: length of the match in seconds
+winning_team: side that won, 0 or 1
+match_mode: number of the matchmaking mode
+game_mode: number of the rules that were played
+ranked_type: null or above 0 in ranked matches
+average_badge_team0: mean badge of side 0; null or 0 where unknown
+average_badge_team1: mean badge of side 1; null or 0 where unknown
+not_scored: whether the result counts for no rating
+account_id: account of the player
+hero_id: number of the hero played
+team: side of the player or building, 0 or 1
+player_slot: place of the player in the match
+assigned_lane: lane at the start
+won: whether the player's side won
+player_match_outcome: how the match ended for this player; 5 is no score
+player_rank_initial_display_rank: badge before the match
+player_rank_initial_flat_progress: rating points before the match
+player_rank_final_flat_progress: rating points after the match
+player_rank_desired_progress_change: points assigned, before floors are applied
+player_rank_initial_calibration_games: placing games left before the match
+net_worth: souls held and spent so far
+last_hits: creeps finished
+denies: orbs denied
+party: number of the party, null without one
+abandon_time_s: second at which the player left, null if they stayed
+time_stamp_s: second of the sample; figures are totals so far
+souls: souls from the source so far
+souls_orbs: part of the souls that came as orbs
+source: number of the income source
+game_time_s: second of the match
+item_id: number of the item or upgrade
+item: name of the item as of the match
+cost: price of the item as of the match
+slot: category of the item
+tier: tier of the item, ability or rank
+sold_time_s: second of the sale, 0 if kept
+imbued_ability_id: ability that the item was bound to, null without one
+accolade_id: number of the award
+threshold: step of the award that was reached
+count: how often the buff was taken
+permanent: whether the buff lasts for the whole match
+ability_id: ability or item that the counter belongs to
+group: text before the separator in the counter's name, null without one
+stat: name of the figure
+target_account_id: account of the target, null for what is no player
+target_player_slot: place of the target in the match
+source_class: class name of what dealt the damage
+damage: amount so far, of the kind that stat names
+vs_heroes: whether the targets are players
+destroyed_time_s: second at which it fell, null if it stands
+team_killed: side that killed the boss
+team_claimed: side that took its reward
+objective_id: number of the building
+first_damage_time_s: second of the first damage to it, null without any
+health_percent: share of health left
+combat_type: what the player fought in this second
+move_type: how the player moved in this second
+start_s: first second of the interval
+alive_s: seconds alive
+moving_s: seconds with a known step
+stationary_s: seconds with a step below the limit of standing
+distance: length of the way, without jumps
+time_to_kill_s: seconds from the first damage to the death
+death_duration_s: seconds until the return
+killer_account_id: account of the killer, null for what is no player
+rank: place on the ladder at the download
+downloaded_at: when the match was fetched
+era_from: first moment at which the row holds
+client_version: version of the game that brought the row
+position: place in the order, from 0
+component_class_name: class name of an item that is built into this one
+required_souls: souls at which the level is reached
+standard_upgrade: whether the level raises the hero's figures
+per_level_value: what each such level adds
+amount: what the level gives of the currency
+bonus: what is added at this step
+scale_stat: figure that the property grows with
+scale: how much it grows by that figure
+"""
+DESCRIPTIONS = dict(line.split(": ", 1) for line in _DESCRIPTIONS.strip().splitlines())
+
+
+def described(column: str) -> str:
+    """What a column holds; a name without an entry is read as words."""
+    return DESCRIPTIONS.get(column) or column.removesuffix("_s").replace("_", " ") + (" in seconds" if column.endswith("_s") else "")
+
+
 FACTS = _parse(_FACTS)
 DIMENSIONS = _parse(_DIMENSIONS)
 TABLES = {name: schema for name, (_, schema) in (FACTS | DIMENSIONS).items()}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructType
 
-from tallyforge.schemas import DIMENSIONS, FACTS, KEYS, TABLES
+from tallyforge.schemas import DIMENSIONS, FACTS, KEYS, TABLES, described
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -33,9 +33,12 @@ def reshaped(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def describe(spark: SparkSession, table: str) -> DataFrame:
-    rows = [(f.name, f.dataType.simpleString(), f.name in KEYS[table]) for f in TABLES[table]]
-    return spark.createDataFrame(rows, "column string, type string, key boolean")
+def describe(spark: SparkSession, table: str | None = None) -> DataFrame:
+    """Columns of one table, or of all, in order: type, whether part of the natural key, and what they hold."""
+    if table is not None and table not in TABLES:
+        raise KeyError(f"no table {table!r}; tables are {', '.join(TABLES)}")
+    rows = [(t, k, f.name, f.dataType.simpleString(), f.name in KEYS[t], described(f.name)) for t in ([table] if table else TABLES) for k, f in enumerate(TABLES[t])]
+    return spark.createDataFrame(rows, "table string, position int, column string, type string, key boolean, description string")
 
 
 def spark_type(kind: pa.DataType) -> str:

@@ -73,7 +73,15 @@ def test_upsert_twice_is_once(spark, docs, tmp_path):
         store.scan("nothing")
     with pytest.raises(ValueError):
         conform(players.drop("team"), TABLES["players"])
-    assert describe(spark, "players").count() == len(TABLES["players"])
+
+
+def test_tables_are_described(spark):
+    rows = describe(spark, "players").orderBy("position").collect()
+    assert [r.column for r in rows] == TABLES["players"].names and [r.column for r in rows if r.key] == ["match_id", "account_id"]
+    assert {r.column: (r.type, r.description) for r in rows}["abandon_time_s"] == ("bigint", "second at which the player left, null if they stayed")
+    assert describe(spark).count() == sum(map(len, TABLES.values())) and describe(spark).where("description = ''").count() == 0
+    with pytest.raises(KeyError):
+        describe(spark, "nothing")
 
 
 def test_streaming_ingest(spark, docs, tmp_path):
