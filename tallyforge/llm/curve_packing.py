@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import byte_words
-from tallyforge.llm.common import written
+from tallyforge.llm.common import give_back, written
 
 LENGTH = 4096
 #: Pieces of letters that are encoded together.
@@ -251,19 +251,20 @@ _TOKENS: dict[str, TokenIds] = {}
 def token_ids(tokenizer: str) -> TokenIds:
     """The worker's token ids of this tokenizer, kept from task to task."""
     if tokenizer not in _TOKENS:
+        give_back()
         _TOKENS[tokenizer] = TokenIds(tokenizer)
     return _TOKENS[tokenizer]
 
 
 def forget_tokens() -> None:
     _TOKENS.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id``, ``place``, ``n`` and ``ids`` (16 or 32 bits each, by ``width``) of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = token_ids(tokenizer)
         kind = np.dtype("<u2") if cache.size <= 1 << 16 else np.dtype("<u4")
         for batch in byte_words.pieces(batches, 500):
@@ -281,6 +282,11 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ["doc_id", "place", "n", "width", "ids"],
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches)
+        # the worker may stay idle while others work; it keeps its token ids, but not what a batch took
+        give_back()
+
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place long, n long, width int, ids binary")
 
 
@@ -288,8 +294,8 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int, first_sequence: int)
     """Pieces (doc_id, start, ids, doc's length, sequence, offset) of the documents in order."""
     sequence, held, waiting = first_sequence, 0, []
     for batch in batches:
-        for doc_id, width, blob in zip(batch.column("doc_id").to_pylist(), batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
-            ids = np.frombuffer(blob, f"<u{width}").astype("<u4")
+        for doc_id, width, blob in zip(batch.column("doc_id").to_pylist(), batch.column("width").to_pylist(), batch.column("ids")):
+            ids = np.frombuffer(blob.as_buffer(), f"<u{width}").astype("<u4")
             at = 0
             while at < len(ids):
                 n = min(length - held, len(ids) - at)
@@ -333,17 +339,16 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
         # no text is looked up any more, and the executor's memory is shared with the sort
         forget_tokens()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
-        types = [pa.int64()] * 7 + [pa.list_(pa.uint32())]
+        types = [pa.int64()] * 7 + [pa.list_(pa.int64())]
 
         def out(found: list[tuple]) -> pa.RecordBatch:
-            rows = [(d, a, len(i), zlib.crc32(i.tobytes()), w, s, o, i) for d, a, i, w, s, o in found]
-            columns = list(zip(*rows))
-            arrays = [pa.array(c, t) for c, t in zip(columns[:7], types)]
-            return pa.RecordBatch.from_arrays(arrays + [pa.array([x.tolist() for x in columns[7]], pa.list_(pa.int64()))] * with_ids, names)
+            columns = list(zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
+        # a piece's ids are let go as soon as they are summed up, unless they are asked for
         found = []
-        for piece in pieces(batches, length, first):
-            found.append(piece)
+        for doc_id, start, ids, whole, sequence, offset in pieces(batches, length, first):
+            found.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), whole, sequence, offset, *([ids.astype("<i8")] * with_ids)))
             if len(found) == 4096:
                 yield out(found)
                 found = []
