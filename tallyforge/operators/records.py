@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import average_rank, ratio, zero_sum
+from tallyforge.functions.frames import dealt
 
 
 def last_days(df: DataFrame, day: str, n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -99,6 +102,58 @@ def nearby(events: DataFrame, positions: DataFrame, match: Sequence[str], own: s
     return out.withColumn("solo", F.col("allies") == 0).withColumn("outnumbered", F.col("enemies") > F.col("allies") + 1)
 
 
+def furthest(values: np.ndarray, reach: float) -> np.ndarray:
+    """The largest double whose difference from each value, as doubles subtract, is not above ``reach``.
+
+    Found by halving among the doubles in their order; ``value + reach`` may be rounded to a neighbour of it.
+    """
+    lowest = np.iinfo(np.int64).min
+    place = lambda x: np.where(x.view(np.int64) < 0, lowest - x.view(np.int64), x.view(np.int64))
+    double = lambda n: np.where(n < 0, lowest - n, n).view(np.float64)
+    low, high = place(values), place(np.full(len(values), np.finfo(np.float64).max))
+    with np.errstate(over="ignore"):
+        while (low < high).any():
+            middle = (low | high) - ((low ^ high) >> 1)
+            within = double(middle) - values <= reach
+            low, high = np.where(within, middle, low), np.where(within, high, middle - 1)
+    return double(low)
+
+
+def nearby_on_line(events: DataFrame, positions: DataFrame, match: Sequence[str], who: str, at: str, team: str, reach: float) -> DataFrame:
+    """``nearby`` where places are numbers: how many positions of others lie within ``reach`` of each event.
+
+    Positions and the two ends of each event's reach are sorted together and the positions so far are counted, over all,
+    the team, the player and both, so that no event meets each position of its match.  Both tables have ``match``, ``who``,
+    ``at`` and ``team``.  Equal events are counted once and given back as often as they were.
+    """
+
+    @F.pandas_udf("low double, high double")
+    def ends(values: pd.Series) -> pd.DataFrame:
+        v = values.to_numpy("float64")
+        return pd.DataFrame({"low": -furthest(-v, reach), "high": furthest(v, reach)})
+
+    columns = [*match, who, team]
+    placed = F.abs(at) < float("inf")
+    for c in columns:
+        placed = placed & F.col(c).isNotNull()
+    distinct = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_placed", F.coalesce(placed, F.lit(False)))
+    reached = ends(F.when(F.col("_placed"), F.col(at).cast("double")).otherwise(0.0))
+    marks = distinct.withColumn("_ends", reached).select(*columns, F.struct(*events.columns, "_times").alias("_event"), F.inline(F.array(
+        F.struct(F.when(F.col("_placed"), F.col("_ends.low")).alias("_t"), F.lit(0).alias("_side")),
+        F.struct(F.when(F.col("_placed"), F.col("_ends.high")).alias("_t"), F.lit(2).alias("_side")),
+    )))
+    both = positions.where(placed).select(*columns, F.col(at).cast("double").alias("_t"), F.lit(1).alias("_side")).unionByName(marks, allowMissingColumns=True)
+    out = dealt(both, *match)
+    for name, by in (("_all", ()), ("_team", (team,)), ("_own", (who,)), ("_both", (team, who))):
+        so_far = Window.partitionBy(*match, *by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(name, F.sum(F.when(F.col("_side") == 1, 1).otherwise(0)).over(so_far) * F.when(F.col("_side") == 0, -1).otherwise(1))
+    sums = out.where("_side <> 1").groupBy(*match, "_event").agg(*(F.sum(c).alias(c) for c in ("_all", "_team", "_own", "_both")))
+    allies = F.col("_team") - F.col("_both")
+    counted = sums.select("_event.*", allies.alias("allies"), (F.col("_all") - F.col("_own") - allies).alias("enemies"))
+    out = counted.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times")
+    return out.withColumn("solo", F.col("allies") == 0).withColumn("outnumbered", F.col("enemies") > F.col("allies") + 1)
+
+
 def modal_value(df: DataFrame, group: Sequence[str], value: str, least: int) -> DataFrame:
     """Each group's most frequent value, smallest first, where at least ``least`` rows have it."""
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))

@@ -565,3 +565,24 @@ def test_a_store_is_mended_and_brought_up_to_date(spark, tables, tmp_path, monke
     calls.clear()
     upkeep.export_new(store, docs)
     assert calls == ["rebuild"]
+
+
+# Work that grows with the tables
+
+
+def test_nearby_on_a_line_is_the_join_without_its_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    value = lambda: rng.choice([None, float("nan"), float("inf"), *(rng.randrange(-4500, 4500) / 100 for _ in range(30))])
+    some = [(i, rng.choice([None, 1, 1, 2]), rng.choice([None, *range(9)]), value(), rng.choice([None, 0, 1])) for i in range(900)]
+    edges = [(1000 + i, 3, i, x, i % 2) for i, x in enumerate([29.27, 9.27, 49.27, 49.28, -10.73, 0.1, 20.1, 20.3, 0.3, 40.1, 1e-300, 20.0, -0.0])]
+    places = spark.createDataFrame([*some, *edges, (5000, 1, 3, 1.0, 1), (5000, 1, 3, 1.0, 1)], "event_id long, hour int, who int, at double, team int")
+    died = places.where("event_id % 2 = 0")
+    near = (F.col("other") != F.col("who")) & (F.abs(F.col("place") - F.col("at")) <= 20)
+    others = places.select("hour", F.col("who").alias("other"), F.col("at").alias("place"), F.col("team").alias("side"))
+    want = records.nearby(died, others, ["hour"], "team", "side", near)
+    out = records.nearby_on_line(died, places, ["hour"], "who", "at", "team", 20)
+    assert out.columns == want.columns
+    assert list(map(repr, rows(out))) == list(map(repr, rows(want)))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
