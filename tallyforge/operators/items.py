@@ -110,12 +110,19 @@ def verdict(ranked: DataFrame, peers: str, value: str = "win_percent") -> DataFr
 def synergies(rows: DataFrame, build: Sequence[str], item: str, won: Column, least: int, top: int = 10) -> DataFrame:
     """For each ``item`` the ``top`` others in one build with it by the pair's win percent over the item's own.
 
-    A build holds a bounded number of distinct items, which bounds its pairs.
+    A build holds a bounded number of distinct items, which bounds its pairs.  They are laid out from one row per build,
+    in which an item beside itself stands for the item alone.
     """
-    one = rows.select(*build, F.col(item).alias("item"), won.alias("won")).distinct()
-    solo = win_rates(one, ["item"], F.col("won")).select("item", F.col("win_percent").alias("solo"))
-    pairs = one.join(one.select(*build, F.col("item").alias("other")), list(build)).where("item != other")
-    out = win_rates(pairs, ["item", "other"], F.col("won"), least).join(solo, "item").withColumn("lead", F.col("win_percent") - F.col("solo"))
+    mine = F.struct(F.col(item).alias("item"), won.alias("won"))
+    sets = rows.groupBy(*build).agg(F.collect_set(mine).alias("_all"))
+    each = sets.select(*build, "_all", F.explode("_all").alias("_a"))
+    known = F.lit(True)
+    for b in build:
+        known = known & F.col(b).isNotNull()
+    pairs = each.select(*build, "_a", F.explode("_all").alias("_b")).withColumn("_alone", F.col("_a").eqNullSafe(F.col("_b"))).where(F.col("_alone") | known & (F.col("_a.item") != F.col("_b.item")))
+    rated = win_rates(pairs.select("_a.item", F.col("_b.item").alias("other"), "_a.won", "_alone"), ["item", "other", "_alone"], F.col("won"))
+    solo = F.max(F.when(F.col("_alone"), F.col("win_percent"))).over(Window.partitionBy("item"))
+    out = rated.withColumn("solo", solo).where(~F.col("_alone") & (F.col("matches") >= least)).drop("_alone").withColumn("lead", F.col("win_percent") - F.col("solo"))
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.round("lead", 9)), "other"))
     return out.withColumn("place", place).where(F.col("place") <= top)
 

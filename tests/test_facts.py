@@ -586,3 +586,10 @@ def test_nearby_on_a_line_is_the_join_without_its_pairs(spark):
     assert out.columns == want.columns
     assert list(map(repr, rows(out))) == list(map(repr, rows(want)))
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_synergies_lay_pairs_out_of_one_row_per_build(spark):
+    table = [(1, "a", True), (1, "b", True), (1, "b", True), (2, "a", False), (2, "b", False), (3, "a", True), (3, "c", True), (None, "a", True), (None, "c", True), (4, None, True), (4, "a", False)]
+    out = items.synergies(spark.createDataFrame(table, "b int, i string, won boolean"), ["b"], "i", F.col("won"), 1)
+    assert rows(out, "item", "other", "matches", "wins", "solo", "lead", "place") == [("a", "b", 2, 1, 60.0, -10.0, 2), ("a", "c", 1, 1, 60.0, 40.0, 1), ("b", "a", 2, 1, 50.0, 0.0, 1), ("c", "a", 1, 1, 100.0, 0.0, 1)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
