@@ -600,3 +600,11 @@ def test_builds_are_dealt_over_many_tasks(spark):
     from tallyforge.queries import builds
 
     assert builds(spark, "/root/testdata/sf0.001").select("l_orderkey", "p_brand", "o_orderstatus").distinct().rdd.getNumPartitions() >= LEAST_TASKS
+
+
+def test_item_core_hashes_builds_in_many_tasks(spark):
+    from tallyforge import report_queries
+
+    plan = report_queries.item_core(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in x]
+    assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
