@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import binned, bucket, ratio, zero_sum
+from tallyforge.functions.frames import dealt
 from tallyforge.operators.snapshots import gains
 
 
@@ -25,16 +26,19 @@ def whole_grid(games: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
 def source_intervals(samples: DataFrame, games: DataFrame, keys: Sequence[str], source: Sequence[str], at: str, value: str, width: int) -> DataFrame:
     """Gains of each source's running total by interval; samples after a game's end count in its last interval.
 
-    Samples meet their game once, and each source's intervals are laid out from what it reached in them; a game has few.
+    Samples meet their game once, and each source's intervals are laid out from what it gained in them; a game has few.
+    Gains are worked out in one row per source, so the intervals laid out are not sorted again.
     """
-    rows = samples.select(*keys, *source, at, value).join(games.select(*keys, "duration_s"), list(keys))
+    rows = dealt(samples.select(*keys, *source, at, value), *keys).join(games.select(*keys, "duration_s"), list(keys))
     at_most = rows.withColumn("interval", F.least(bucket(F.col(at), width), last_interval(F.col("duration_s"), width)))
     top = at_most.groupBy(*keys, *source, "interval").agg(F.max(value).alias("_v"), F.max("duration_s").alias("duration_s"))
-    per = top.groupBy(*keys, *source).agg(F.max("duration_s").alias("duration_s"), F.map_from_entries(F.collect_list(F.struct("interval", "_v"))).alias("_reached"))
-    every = per.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_interval(F.col("duration_s"), width))).alias("interval"))
-    so_far = Window.partitionBy(*keys, *source).orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
-    filled = every.select(*keys, *source, "interval", ((F.col("interval") + 1) * width <= F.col("duration_s")).alias("full"), F.coalesce(F.max(F.col("_reached")[F.col("interval")]).over(so_far), F.lit(0)).alias(value))
-    return gains(filled, [*keys, *source], [value], ["full"])
+    reached = F.array_sort(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("interval", "_v"))))
+    per = top.groupBy(*keys, *source).agg(F.max("duration_s").alias("duration_s"), reached.alias("_reached"))
+    upto = lambda n: F.array_max(F.slice(F.transform("_reached", lambda r: r["_v"]), 1, n))
+    gained = F.map_from_entries(F.transform("_reached", lambda r, i: F.struct(r["interval"], (upto(i + 1) - F.coalesce(upto(i), F.lit(0))).alias("gain"))))
+    every = per.select(*keys, *source, "duration_s", gained.alias("_gained"), F.explode(F.sequence(F.lit(0).cast("long"), last_interval(F.col("duration_s"), width))).alias("interval"))
+    full = (F.col("interval") + 1) * width <= F.col("duration_s")
+    return every.select(*keys, *source, "interval", full.alias("full"), F.coalesce(F.col("_gained")[F.col("interval")], F.lit(0)).alias(value))
 
 
 def regrouped(intervals: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:

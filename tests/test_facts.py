@@ -608,3 +608,18 @@ def test_item_core_hashes_builds_in_many_tasks(spark):
     plan = report_queries.item_core(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in x]
     assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
+
+
+def test_source_intervals_lay_gains_out_without_sorting_them(spark):
+    games = spark.createDataFrame([(1, 7, 45), (2, 7, 5)], "match_id int, account_id int, duration_s int")
+    table = [(1, "a", 5, 3), (1, "a", 12, 9), (1, "a", 25, 7), (1, "a", 99, 20), (1, "b", 15, -4), (1, "b", 35, 2), (1, "c", 3, None), (2, "a", 4, 6), (3, "a", 1, 1)]
+    samples = spark.createDataFrame([(m, 7, *r) for m, *r in table], "match_id int, account_id int, source string, t int, total int")
+    out = timeline.source_intervals(samples, games, KEYS, ["source"], "t", "total", 10)
+    got = {}
+    for m, source, i, full, gain in sorted(tuple(r) for r in out.select("match_id", "source", "interval", "full", "total").collect()):
+        got.setdefault((m, source), []).append((i, full, gain))
+    whole = [True] * 4 + [False]
+    laid = lambda *gains: [(i, whole[i], g) for i, g in enumerate(gains)]
+    assert got == {(1, "a"): laid(3, 6, 0, 0, 11), (1, "b"): laid(0, -4, 0, 6, 0), (1, "c"): laid(0, 0, 0, 0, 0), (2, "a"): [(0, False, 6)]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "REPARTITION_BY_NUM" in plan
