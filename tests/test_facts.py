@@ -623,3 +623,10 @@ def test_source_intervals_lay_gains_out_without_sorting_them(spark):
     assert got == {(1, "a"): laid(3, 6, 0, 0, 11), (1, "b"): laid(0, -4, 0, 6, 0), (1, "c"): laid(0, 0, 0, 0, 0), (2, "a"): [(0, False, 6)]}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_damage_intervals_sort_only_for_running_totals_and_their_sum(spark):
+    from tallyforge import report_queries
+
+    plan = report_queries.damage_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and "REPARTITION_BY_NUM" in plan
