@@ -40,11 +40,13 @@ def latest_mark(rows: DataFrame, marks: DataFrame, by: Sequence[str], at: Column
 def asof_join(left: DataFrame, eras: DataFrame, by: Sequence[str], at: str, values: Sequence[str], start: str = "era_from", spread: int = SPREAD) -> DataFrame:
     """The era live at ``left[at]``, per key; earlier rows take the key's first era, unknown keys get nulls.
 
-    Every row of ``left`` stays once.
+    Every row of ``left`` stays once.  A key's first era is found among its eras, so no table is sent through the driver.
     """
     dim = eras.select(*by, start, *values)
-    first = dim.groupBy(*by).agg(F.min(start).alias("_first")) if by else dim.agg(F.min(start).alias("_first"))
-    dim = dim.join(first, list(by)) if by else dim.crossJoin(F.broadcast(first))  # one row
+    if by:
+        dim = dim.withColumn("_first", F.min(start).over(Window.partitionBy(*by)))
+    else:
+        dim = dim.crossJoin(F.broadcast(dim.agg(F.min(start).alias("_first"))))  # one row
     begins = F.when(F.col(start) == F.col("_first"), F.lit(EPOCH).cast("timestamp")).otherwise(F.col(start).cast("timestamp"))
     return latest_mark(left, dim.withColumn("_begins", begins), by, F.col(at).cast("timestamp"), F.col("_begins"), (), [start, *values], spread)
 

@@ -630,3 +630,11 @@ def test_damage_intervals_sort_only_for_running_totals_and_their_sum(spark):
 
     plan = report_queries.damage_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 2 and "REPARTITION_BY_NUM" in plan
+
+
+def test_asof_join_sends_no_table_through_the_driver(spark):
+    frame = times(spark.createDataFrame([(1, "2024-01-05"), (1, "2023-01-01"), (2, "2024-01-05")], "k int, at string"), "at")
+    dim = times(spark.createDataFrame([(1, "2024-01-01", 1), (1, "2024-01-04", 2)], "k int, era_from string, v int"), "era_from")
+    out = eras.asof_join(frame, dim, ["k"], "at", ["v"])
+    assert rows(out, "k", "v") == [(1, 1), (1, 2), (2, None)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
