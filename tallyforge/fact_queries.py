@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.frames import dealt
 from tallyforge.operators import breakdown, eras, items, levels, listings, objectives, records, source_facts, timeline
 from tallyforge.plans import views
 from tallyforge.queries import query, read, rounded
@@ -130,7 +131,8 @@ def component_credit_by_era(spark, sf_dir):
     recipe = lambda divisor, era: parts.where(f"p_partkey >= {divisor}").select(F.col("p_partkey").alias("item"), F.floor(F.col("p_partkey") / divisor).alias("part"), F.lit(era).cast("timestamp").alias("era_from"))
     closure = items.component_closure(recipe(2, "1993-01-01").unionByName(recipe(3, "1995-06-01")), "item", "part", by=["era_from"])
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("time"))
-    buys = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("item"), F.lit(1).alias("at")).agg((F.count(F.lit(1)) * 100).alias("cost")).join(orders, "l_orderkey")
+    lines = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")), "l_orderkey")
+    buys = lines.groupBy("l_orderkey", "item", F.lit(1).alias("at")).agg((F.count(F.lit(1)) * 100).alias("cost")).join(orders, "l_orderkey")
     used = buys.select("l_orderkey", "at", F.col("item").alias("component"), F.lit(40).alias("price"))
     return items.effective_cost(buys, used, closure, ["l_orderkey"], "at", time="time").select("l_orderkey", "item", "effective_cost")
 

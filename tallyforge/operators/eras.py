@@ -56,14 +56,19 @@ def keyless_asof(left: DataFrame, eras: DataFrame, at: str, start: str = "era_fr
     return asof_join(left, eras.select(start).distinct(), [], at, [], start, 16 * SPREAD)
 
 
-def asof_group(left: DataFrame, members: DataFrame, by: Sequence[str], at: str, start: str = "era_from") -> DataFrame:
-    """All members of the group live at ``left[at]``: the eras of a key are whole sets of rows, not single ones.
+def listed_eras(dim: DataFrame, by: Sequence[str], start: str, value: str) -> DataFrame:
+    """One row per key with all its eras, ``_eras``, for dimensions whose keys have few: when each begins, and its ``value``.
 
-    The set's start is found once for each key and time; the rows of the set then join by key and start.  Rows of keys
-    without members are left out.
+    The first era of a key begins before all times.  See ``live_of``.
     """
-    times = asof_join(left.select(*by, at).distinct(), members.select(*by, start).distinct(), by, at, [], start)
-    return left.join(times, [*by, at]).join(members, [*by, start])
+    of = dim.groupBy(*by).agg(F.min(start).alias("_first"), F.collect_list(F.struct(F.col(start).alias("start"), F.col(value).alias("value"))).alias("_eras"))
+    begins = lambda e: F.when(e["start"] == F.col("_first"), F.lit(EPOCH).cast("timestamp")).otherwise(e["start"].cast("timestamp"))
+    return of.select(*by, F.transform("_eras", lambda e: F.struct(begins(e).alias("begins"), e["value"].alias("value"))).alias("_eras"))
+
+
+def live_of(eras: str, at: Column) -> Column:
+    """The value of the era live at a time, of the list that ``listed_eras`` gives; null without a time."""
+    return F.array_max(F.filter(eras, lambda e: e["begins"] <= at.cast("timestamp")))["value"]
 
 
 def compacted(states: DataFrame, by: Sequence[str], order: Sequence[str], digest: str) -> DataFrame:

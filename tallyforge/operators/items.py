@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.eras import asof_group, asof_join
+from tallyforge.functions.frames import dealt
+from tallyforge.operators.eras import asof_join, listed_eras, live_of
 
 
 def component_closure(edges: DataFrame, parent: str, child: str, depth: int = 3, by: Sequence[str] = ()) -> DataFrame:
@@ -28,15 +29,33 @@ def effective_cost(buys: DataFrame, consumed: DataFrame, closure: DataFrame, key
     A component that several buys of that moment could use goes to the closest relative, then to the lowest item; all its
     rows of that moment count.  ``buys``: keys, ``at``, ``item``, ``cost``; ``consumed``: keys, ``at``, ``component``,
     ``price``.  With ``time`` the closure is that of the recipes live then: ``closure`` has ``start``, and buys have ``time``.
+
+    A buy meets its item's components, which are few, in one row.  Buys and what was consumed are then dealt by key once;
+    the components are laid out where they are needed, so none of them is shuffled.
     """
-    one = buys.select(*keys, at, "item", *([time] if time else [])).distinct()
-    made_of = asof_group(one, closure, ["item"], time, start) if time else one.join(closure, "item")
-    offered = made_of.select(*keys, at, "item", "component", "depth")
-    relative = F.min(F.struct("depth", "item")).alias("_r")
-    taker = offered.join(consumed.select(*keys, at, "component").distinct(), [*keys, at, "component"]).groupBy(*keys, at, "component").agg(relative)
-    used = consumed.groupBy(*keys, at, "component").agg(F.sum("price").alias("price"))
-    credit = taker.select(*keys, at, "component", F.col("_r.item").alias("item")).join(used, [*keys, at, "component"]).groupBy(*keys, at, "item").agg(F.sum("price").alias("credit"))
-    out = buys.join(credit, [*keys, at, "item"], "left").withColumn("credit", F.coalesce("credit", F.lit(0)))
+    on = [*keys, at]
+    depth = closure.schema["depth"].dataType
+    part = lambda component, depth: F.struct(component.alias("component"), depth.alias("depth"))
+    made_of = closure.where("item IS NOT NULL AND component IS NOT NULL").groupBy("item", *([start] if time else [])).agg(F.collect_set(F.struct("component", "depth")).alias("_parts"))
+    bought = buys.select(*on, "item", F.struct(*(c for c in buys.columns if c not in (*on, "item"))).alias("_buy"))
+    if time:
+        offered = bought.join(listed_eras(made_of, ["item"], start, "_parts"), "item", "left").withColumn("_parts", live_of("_eras", F.col("_buy")[time]))
+    else:
+        offered = bought.join(made_of, "item", "left")
+    no_part = F.lit(None).cast(closure.schema["component"].dataType)
+    # a buy stands first among its own offers, without a component; what was consumed has no item
+    offers = F.concat(F.array(part(no_part, F.lit(None).cast(depth))), F.coalesce("_parts", F.array().cast(made_of.schema["_parts"].dataType)))
+    used = consumed.select(*on, "price", F.array(part(F.col("component"), F.lit(None).cast(depth))).alias("_parts"))
+    rows = dealt(offered.select(*on, "item", "_buy", offers.alias("_parts")).unionByName(used, allowMissingColumns=True), *keys).select(*on, "item", "_buy", "price", F.inline("_parts"))
+    itself, known = F.col("component").isNull(), F.col("component").isNotNull()
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    rows = rows.where(known | itself & F.col("_buy").isNotNull()).withColumn("_buy", F.when(itself, F.col("_buy")))
+    taking = Window.partitionBy(*on, "component").orderBy(F.col("item").isNull(), "depth", "item")
+    taken = F.sum("price").over(taking.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    takers = rows.withColumns({"_n": F.row_number().over(taking), "_taken": taken}).where(itself | (F.col("_n") == 1) & F.col("item").isNotNull())
+    credit = F.coalesce(F.sum("_taken").over(Window.partitionBy(*on, "item")), F.lit(0))
+    out = takers.withColumn("credit", credit).where(itself).select(*on, "item", "_buy.*", "credit")
     return out.withColumn("effective_cost", F.col("cost") - F.col("credit"))
 
 

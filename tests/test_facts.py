@@ -89,6 +89,18 @@ def test_contested_components_go_to_the_closest_then_the_lowest(spark):
     assert rows(items.effective_cost(buys, used, closure, ["m"], "t"), "item", "effective_cost") == [("a", 100), ("b", 63), ("d", 100)]
 
 
+def test_credit_shuffles_no_laid_out_components(spark):
+    closure = times(spark.createDataFrame([("a", "c", 1, "2026-01-01"), ("b", "c", 1, "2026-01-01"), ("b", "d", None, "2026-01-01"), (None, "c", 1, "2026-01-01"), ("a", None, 1, "2026-01-01"), ("a", "d", 2, None)], "item string, component string, depth int, era_from string"), "era_from")
+    bought = [(1, 5, "b", 100, "2025-01-01"), (1, 5, "b", 90, "2026-05-01"), (1, 5, "a", 80, "2026-05-01"), (1, 5, None, 70, "2026-05-01"), (2, 5, "a", 60, None), (None, 5, "a", 50, "2026-05-01"), (3, None, "a", 40, "2026-05-01")]
+    buys = times(spark.createDataFrame(bought, "m int, t int, item string, cost int, start string"), "start")
+    used = spark.createDataFrame([(m, t, c, p) for m, t in ((1, 5), (2, 5), (None, 5), (3, None)) for c, p in (("c", 7), ("c", 3), ("d", None), (None, 5), ("e", 1))], "m int, t int, component string, price int")
+    out = items.effective_cost(buys, used, closure, ["m"], "t", time="start")
+    assert out.columns == ["m", "t", "item", "cost", "start", "credit", "effective_cost"]
+    assert sorted(map(repr, rows(out, "m", "item", "cost", "credit"))) == sorted(map(repr, [(1, "b", 100, 0), (1, "b", 90, 0), (1, "a", 80, 10), (1, None, 70, 0), (2, "a", 60, 0), (None, "a", 50, 0), (3, "a", 40, 0)]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Generate inline") < plan.index("REPARTITION_BY_NUM")  # laid out after the rows are dealt
+
+
 # As-of joins
 
 
