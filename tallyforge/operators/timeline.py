@@ -23,28 +23,49 @@ def whole_grid(games: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     return rows.withColumn("end_s", F.least(end, F.col("duration_s")).cast("long")).withColumn("full", end <= F.col("duration_s"))
 
 
-def source_intervals(samples: DataFrame, games: DataFrame, keys: Sequence[str], source: Sequence[str], at: str, value: str, width: int) -> DataFrame:
-    """Gains of each source's running total by interval; samples after a game's end count in its last interval.
+def _source_gains(samples: DataFrame, games: DataFrame, keys: Sequence[str], source: Sequence[str], at: str, value: str, width: int) -> DataFrame:
+    """One row per source of a game: ``duration_s``, and ``_gains`` with each interval that it has samples in and its gain there.
 
-    Samples meet their game once, and each source's intervals are laid out from what it gained in them; a game has few.
-    Gains are worked out in one row per source, so the intervals laid out are not sorted again.
+    Samples after a game's end count in its last interval.  Games are dealt like their samples, or the join would deal
+    both over as many tasks as the games came in.
     """
-    rows = dealt(samples.select(*keys, *source, at, value), *keys).join(games.select(*keys, "duration_s"), list(keys))
+    lengths = dealt(games.select(*keys, "duration_s"), *keys)
+    rows = dealt(samples.select(*keys, *source, at, value), *keys).join(lengths, list(keys))
     at_most = rows.withColumn("interval", F.least(bucket(F.col(at), width), last_interval(F.col("duration_s"), width)))
     top = at_most.groupBy(*keys, *source, "interval").agg(F.max(value).alias("_v"), F.max("duration_s").alias("duration_s"))
     reached = F.array_sort(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("interval", "_v"))))
     per = top.groupBy(*keys, *source).agg(F.max("duration_s").alias("duration_s"), reached.alias("_reached"))
     upto = lambda n: F.array_max(F.slice(F.transform("_reached", lambda r: r["_v"]), 1, n))
-    gained = F.map_from_entries(F.transform("_reached", lambda r, i: F.struct(r["interval"], (upto(i + 1) - F.coalesce(upto(i), F.lit(0))).alias("gain"))))
-    every = per.select(*keys, *source, "duration_s", gained.alias("_gained"), F.explode(F.sequence(F.lit(0).cast("long"), last_interval(F.col("duration_s"), width))).alias("interval"))
+    gained = F.transform("_reached", lambda r, i: F.struct(r["interval"].alias("interval"), (upto(i + 1) - F.coalesce(upto(i), F.lit(0))).alias("gain")))
+    return per.select(*keys, *source, "duration_s", gained.alias("_gains"))
+
+
+def source_intervals(samples: DataFrame, games: DataFrame, keys: Sequence[str], source: Sequence[str], at: str, value: str, width: int) -> DataFrame:
+    """Gains of each source's running total by interval; samples after a game's end count in its last interval.
+
+    Samples meet their game once, and each source's intervals are laid out from what it gained in them; a game has few.
+    Gains are worked out in one row per source, so the intervals laid out are not sorted again.
+    """
+    per = _source_gains(samples, games, keys, source, at, value, width).withColumn("_gained", F.map_from_entries("_gains"))
+    every = per.select(*keys, *source, "duration_s", "_gained", F.explode(F.sequence(F.lit(0).cast("long"), last_interval(F.col("duration_s"), width))).alias("interval"))
     full = (F.col("interval") + 1) * width <= F.col("duration_s")
     return every.select(*keys, *source, "interval", full.alias("full"), F.coalesce(F.col("_gained")[F.col("interval")], F.lit(0)).alias(value))
 
 
-def regrouped(intervals: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """Gains by another group of the sources (an enemy, a display name), with each group's total over the game."""
-    per = intervals.groupBy(*keys, group, "interval").agg(F.sum(value).alias(value))
-    return per.withColumn("total", F.sum(value).over(Window.partitionBy(*keys, group))).where("total != 0")
+def group_intervals(samples: DataFrame, games: DataFrame, keys: Sequence[str], source: Sequence[str], group: Column, name: str, at: str, value: str, width: int) -> DataFrame:
+    """Gains by another group of the sources (an enemy, a display name), with each group's total over the game.
+
+    Groups whose total is 0 are left out.  Gains are summed and sorted as they come, and all intervals are laid out last:
+    each gain brings the empty intervals before it, and the last one those up to the game's end.
+    """
+    gains = _source_gains(samples, games, keys, source, at, value, width).select(*keys, group.alias(name), "duration_s", F.inline("_gains"))
+    per = gains.groupBy(*keys, name, "interval").agg(F.sum("gain").alias("gain"), F.max("duration_s").alias("duration_s"))
+    along = Window.partitionBy(*keys, name).orderBy("interval")
+    total = F.sum("gain").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    spans = per.withColumns({"total": total, "_after": F.lag("interval").over(along), "_last": F.lead("interval").over(along).isNull()}).where("total != 0")
+    until = F.when(F.col("_last"), last_interval(F.col("duration_s"), width)).otherwise(F.col("interval"))
+    every = spans.select(*keys, name, F.explode(F.sequence(F.coalesce(F.col("_after") + 1, F.lit(0).cast("long")), until)).alias("_i"), "interval", "gain", "total")
+    return every.select(*keys, name, F.col("_i").alias("interval"), F.when(F.col("_i") == F.col("interval"), F.col("gain")).otherwise(F.lit(0)).alias(value), "total")
 
 
 def match_intervals(samples: DataFrame, events: DataFrame, games: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], kinds: Sequence[str], width: int) -> DataFrame:

@@ -50,8 +50,9 @@ def source_intervals(spark, sf_dir):
 
 @query(f"WITH {_SOURCE_GAINS}, x AS (SELECT match_id, account_id, CASE WHEN source IN ('error', 'signup') THEN 'rare' ELSE source END AS shown, interval, sum(total)::BIGINT AS gained FROM d GROUP BY 1, 2, 3, 4), y AS (SELECT *, (sum(gained) OVER (PARTITION BY match_id, account_id, shown))::BIGINT AS total FROM x) SELECT * FROM y WHERE total <> 0")
 def damage_intervals(spark, sf_dir):
-    per = source_intervals(spark, sf_dir).withColumn("shown", F.when(F.col("source").isin("error", "signup"), "rare").otherwise(F.col("source")))
-    return timeline.regrouped(per.withColumnRenamed("total", "gained"), KEYS, "shown", "gained")
+    s, games = samples(spark, sf_dir)
+    shown = F.when(F.col("source").isin("error", "signup"), "rare").otherwise(F.col("source"))
+    return timeline.group_intervals(s.withColumnRenamed("total", "gained"), games, KEYS, ["source"], shown, "shown", "t", "gained", WIDTH)
 
 
 @query(
@@ -67,8 +68,7 @@ def enemy_damage_intervals(spark, sf_dir):
     window = Window.partitionBy("match_id", "enemy", "source").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("gained", F.sum("v").over(window))
     games = s.groupBy("match_id").agg((F.max("t") + 1000).alias("duration_s"))
-    per = timeline.source_intervals(s, games, ["match_id"], ["enemy", "source"], "t", "gained", WIDTH)
-    return timeline.regrouped(per, ["match_id"], "enemy", "gained")
+    return timeline.group_intervals(s, games, ["match_id"], ["enemy", "source"], F.col("enemy"), "enemy", "t", "gained", WIDTH)
 
 
 @query(

@@ -644,6 +644,19 @@ def test_damage_intervals_sort_only_for_running_totals_and_their_sum(spark):
     assert plan.count("Window [") == 2 and "REPARTITION_BY_NUM" in plan
 
 
+def test_group_intervals_lay_out_what_was_summed_and_deal_games_too(spark):
+    games = spark.createDataFrame([(1, 7, 45), (1, 7, 45), (2, 7, 5), (4, 7, 30)], "match_id int, account_id int, duration_s int").groupBy(*KEYS).agg(F.max("duration_s").alias("duration_s"))
+    table = [(1, "a", 12, 9), (1, "a", 35, 7), (1, "b", 15, 2), (1, "b", 35, 4), (1, "x", 5, 3), (1, "y", 8, -3), (1, None, 3, 1), (1, None, 99, 2), (2, "a", 4, 6), (3, "a", 1, 1), (4, "b", 3, None), (4, "a", None, 8)]
+    samples = spark.createDataFrame([(m, 7, *r) for m, *r in table], "match_id int, account_id int, source string, t int, total int")
+    group = F.when(F.col("source").isin("a", "b"), "ab").when(F.col("source").isin("x", "y"), "xy")
+    out = timeline.group_intervals(samples.withColumnRenamed("total", "gained"), games, KEYS, ["source"], group, "group", "t", "gained", 10)
+    laid = lambda m, name, total, *gains: [(m, name, i, g, total) for i, g in enumerate(gains)]
+    want = [*laid(1, None, 2, 1, 0, 0, 0, 1), *laid(1, "ab", 13, 0, 11, 0, 2, 0), *laid(2, "ab", 6, 6), *laid(4, "ab", 8, 8, 0, 0)]
+    assert sorted(map(repr, map(tuple, out.select("match_id", "group", "interval", "gained", "total").collect()))) == sorted(map(repr, want))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window [") and plan.count("REPARTITION_BY_NUM") == 2
+
+
 def test_asof_join_sends_no_table_through_the_driver(spark):
     frame = times(spark.createDataFrame([(1, "2024-01-05"), (1, "2023-01-01"), (2, "2024-01-05")], "k int, at string"), "at")
     dim = times(spark.createDataFrame([(1, "2024-01-01", 1), (1, "2024-01-04", 2)], "k int, era_from string, v int"), "era_from")
