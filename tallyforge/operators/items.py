@@ -12,14 +12,17 @@ from tallyforge.operators.eras import asof_join, listed_eras, live_of
 
 
 def component_closure(edges: DataFrame, parent: str, child: str, depth: int = 3, by: Sequence[str] = ()) -> DataFrame:
-    """All components of each item up to a depth, with the smallest depth: ``depth`` - 1 joins of the edge list."""
+    """All components of each item up to a depth, with the smallest depth: ``depth`` - 1 joins of the edge list.
+
+    The joins are merges, as an edge list may be small on disk and yet too large to be sent to every task.
+    """
     edges = edges.select(*by, F.col(parent).alias("item"), F.col(child).alias("component")).distinct()
     level, found = edges.withColumn("depth", F.lit(1)), None
     step = edges.select(*by, F.col("item").alias("component"), F.col("component").alias("deeper"))
     for d in range(1, depth + 1):
         found = level if found is None else found.unionByName(level)
         if d < depth:
-            level = level.join(step, [*by, "component"]).select(*by, "item", F.col("deeper").alias("component"), F.lit(d + 1).alias("depth"))
+            level = level.join(step.hint("merge"), [*by, "component"]).select(*by, "item", F.col("deeper").alias("component"), F.lit(d + 1).alias("depth"))
     return found.groupBy(*by, "item", "component").agg(F.min("depth").alias("depth"))
 
 

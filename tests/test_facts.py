@@ -101,6 +101,13 @@ def test_credit_shuffles_no_laid_out_components(spark):
     assert plan.count("Join") == 1 and plan.index("Generate inline") < plan.index("REPARTITION_BY_NUM")  # laid out after the rows are dealt
 
 
+def test_closure_sends_no_edge_list_to_all(spark):
+    from tallyforge.queries import closure_of
+
+    plan = closure_of(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # As-of joins
 
 
